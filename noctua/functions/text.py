@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .scalar import empty_text, none_text
 
 TOKEN_SPLIT = "[^a-z0-9]+"
+_WS = "^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$"
+
+
+def strip_ws(c) -> Column:
+    """Strip leading / trailing whitespace (space, tab, CR, LF, FF)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(col, _WS, "")
 
 
 def tokenize(c) -> Column:
@@ -17,7 +24,7 @@ def tokenize(c) -> Column:
 
 
 def _cat(*parts) -> Column:
-    return F.trim(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    return strip_ws(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
 
 # D19 builders: which NULLs print as '' and which as 'None' follows the
@@ -25,7 +32,8 @@ def _cat(*parts) -> Column:
 def incident_text() -> Column:
     return _cat("incident severity=", none_text("severity"), " category=", none_text("category"), "/",
                 none_text("subcategory"), " element=", none_text("element_id"), " site=", none_text("site_id"),
-                " alarms=", none_text("alarm_count"), " anomaly=", none_text("anomaly_score"),
+                " alarms=", none_text("alarm_count"), " anomaly=",
+                F.coalesce(F.format_string("%.3f", F.col("anomaly_score").cast("double")), F.lit("None")),
                 " breakdown=", empty_text("anomaly_breakdown"), " ", empty_text("title"), ". ",
                 empty_text("description"))
 

@@ -72,14 +72,15 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id
     return nn.join(c.drop(corpus_vec), nn["neighbour_id"] == c[corpus_id]).drop(corpus_id)
 
 
-def hybrid_rerank(queries: DataFrame, tickets: DataFrame, *, top_n: int = 10, retrieve_n: int = 10,
-                  alpha: float = 0.7, use_text: bool = True, subcategory_col: str | None = None,
-                  query_id="query_id", query_vec="query_vec", query_text="query_text",
-                  ticket_id="ticket_id", ticket_vec="embedding", summary="summary") -> DataFrame:
-    """Vector candidates (retrieve_n by distance, optionally within the
-    query's subcategory) re-scored as round(alpha*sim + (1-alpha)*ft, 4) where
-    ft is BM25 on the summary divided by the max over the query's candidates
-    (a max of 0 divides by 1).  Ties keep vector order; cut to top_n."""
+def hybrid_candidates(queries: DataFrame, tickets: DataFrame, *, retrieve_n: int = 10, use_text: bool = True,
+                      subcategory_col: str | None = None, query_id="query_id", query_vec="query_vec",
+                      query_text="query_text", ticket_id="ticket_id", ticket_vec="embedding",
+                      summary="summary") -> DataFrame:
+    """Vector candidates (retrieve_n by distance, optionally within the query's
+    subcategory) with the BM25 text score on the summary divided by the max
+    over the query's candidates (a max of 0 divides by 1).
+
+    -> (query_id, doc_id, similarity, vec_rank, ft_norm)"""
     same = (subcategory_col, "subcategory") if subcategory_col else None
     cands = knn_join(queries, tickets, retrieve_n, query_id=query_id, query_vec=query_vec,
                      corpus_id=ticket_id, corpus_vec=ticket_vec, same_key=same)
@@ -92,23 +93,39 @@ def hybrid_rerank(queries: DataFrame, tickets: DataFrame, *, top_n: int = 10, re
     else:
         j = cands
         raw = F.lit(0.0)
-    wq = Window.partitionBy("query_id")
-    mx = F.max(raw).over(wq)
-    ft_norm = raw / F.when(mx > 0, mx).otherwise(F.lit(1.0))
-    scored = j.select("query_id", "doc_id", "similarity", "vec_rank",
-                      ft_norm.alias("ft_norm"))
-    scored = scored.withColumn("hybrid_score", F.round(alpha * F.col("similarity") + (1 - alpha) * F.col("ft_norm"), 4))
+    mx = F.max(raw).over(Window.partitionBy("query_id"))
+    return j.select("query_id", "doc_id", "similarity", "vec_rank",
+                    (raw / F.when(mx > 0, mx).otherwise(F.lit(1.0))).alias("ft_norm"))
+
+
+def hybrid_rank(cands: DataFrame, alpha: float, top_n: int) -> DataFrame:
+    """hybrid = round(alpha*sim + (1-alpha)*ft, 4) from unrounded sim; sorted
+    by hybrid desc, ties keep vector order; cut to top_n."""
+    scored = cands.withColumn("hybrid_score", F.round(alpha * F.col("similarity") + (1 - alpha) * F.col("ft_norm"), 4))
     w = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc(), F.col("vec_rank"))
-    ranked = (scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_n))
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_n)
+
+
+def hybrid_rerank(queries: DataFrame, tickets: DataFrame, *, top_n: int = 10, retrieve_n: int = 10,
+                  alpha: float = 0.7, use_text: bool = True, subcategory_col: str | None = None,
+                  query_id="query_id", query_vec="query_vec", query_text="query_text",
+                  ticket_id="ticket_id", ticket_vec="embedding", summary="summary") -> DataFrame:
+    """Vector candidates re-scored with normalised BM25 text relevance.
+    If top_n > retrieve_n only retrieve_n rows return."""
+    cands = hybrid_candidates(queries, tickets, retrieve_n=retrieve_n, use_text=use_text,
+                              subcategory_col=subcategory_col, query_id=query_id, query_vec=query_vec,
+                              query_text=query_text, ticket_id=ticket_id, ticket_vec=ticket_vec, summary=summary)
+    ranked = hybrid_rank(cands, alpha, top_n)
     meta = tickets.drop(ticket_vec)
     out = ranked.join(meta, ranked["doc_id"] == meta[ticket_id]).drop("doc_id")
     return out.withColumn("vec_sim", F.round("similarity", 4))
 
 
-def label_votes(neighbours: DataFrame, label_col: str = "label") -> DataFrame:
+def label_votes(neighbours: DataFrame, label_col: str = "label", keep_null: bool = False) -> DataFrame:
     """Per (query, label) vote count and best rank, ordered by count
     desc then best rank (first-seen in rank order)."""
-    v = (neighbours.filter(F.col(label_col).isNotNull()).groupBy("query_id", label_col)
+    src = neighbours if keep_null else neighbours.filter(F.col(label_col).isNotNull())
+    v = (src.groupBy("query_id", label_col)
          .agg(F.count("*").alias("votes"), F.min("rank").alias("best_rank")))
     w = Window.partitionBy("query_id").orderBy(F.col("votes").desc(), F.col("best_rank"))
     return v.withColumn("label_rank", F.row_number().over(w).cast("long"))
