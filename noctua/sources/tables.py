@@ -33,10 +33,10 @@ def _unique_guard(source: DataFrame, keys: list[str]) -> DataFrame:
     """Fail the job (lazily, on executors) if the source repeats a key."""
     dup = source.groupBy(*keys).agg(F.count("*").alias("_dupn")).filter("_dupn > 1")
     guarded = source.join(dup, keys, "left")
-    return guarded.withColumn(
-        "_dupn", F.when(F.col("_dupn").isNotNull(),
-                        F.raise_error(F.concat(F.lit("upsert source repeats key "), F.to_json(F.struct(*keys)))))
-    ).drop("_dupn")
+    ok = F.when(F.col("_dupn").isNotNull(),
+                F.raise_error(F.concat(F.lit("upsert source repeats key "), F.to_json(F.struct(*keys))))
+                ).otherwise(F.lit(True))
+    return guarded.filter(ok).drop("_dupn")
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str]) -> DataFrame:
