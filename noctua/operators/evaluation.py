@@ -3,8 +3,10 @@ quality and gate outcomes (A11, D22), the knob sweep (D23) and a latency
 style summary (A13).
 
 The expensive parts - vector candidates with their BM25 text scores, the 3
-nearest patterns and the nearest runbook - are computed once per item; every
-setting of the sweep only re-ranks or re-thresholds them.
+nearest patterns and the nearest runbook - are computed once per item, in
+one plan for all settings: candidates are re-ranked per alpha (a literal
+array explode) and the gates compare per-item signals, so the sweep costs
+one evaluation plus a small join with the 9-row settings table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from ..config import DEFAULT_TUNING, SWEEP_GRID, Tuning
 from ..functions.scalar import empty_text, none_text
 from ..functions.text import strip_ws
 from .memory import recall_similar
-from .ranking import hybrid_candidates, hybrid_rank, label_votes
+from .ranking import hybrid_candidates
 from .remediate import best_runbook
 
 
@@ -51,78 +53,97 @@ def eval_parts(items: DataFrame, tickets: DataFrame, memory: DataFrame, runbooks
     return EvalParts(items, cands, matches, rb, k)
 
 
-def item_quality(parts: EvalParts, alpha: float, tickets: DataFrame) -> DataFrame:
-    """Per item: precision over the retrieved (0 if none), reciprocal rank,
-    and whether the most common label (ties: best ranked) is the true one.
-    The own ticket is excluded after scoring, then the list is cut to k."""
+def item_quality(parts: EvalParts, alphas: list[float], tickets: DataFrame) -> DataFrame:
+    """Per (alpha, item): precision over the retrieved (0 if none), reciprocal
+    rank, and whether the most common label (ties: best ranked) is the true
+    one.  The own ticket is excluded after scoring, then the list is cut to
+    k.  All alphas are scored in one pass (candidates x a literal array)."""
     k = parts.k
-    ranked = hybrid_rank(parts.candidates, alpha, k + 6).filter(F.col("doc_id") != F.col("query_id"))
-    w = Window.partitionBy("query_id").orderBy("rank")
-    hits = ranked.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    c = parts.candidates.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    scored = c.withColumn("hybrid_score",
+                          F.round(F.col("alpha") * F.col("similarity") + (1 - F.col("alpha")) * F.col("ft_norm"), 4))
+    w1 = Window.partitionBy("alpha", "query_id").orderBy(F.col("hybrid_score").desc(), F.col("vec_rank"))
+    ranked = (scored.withColumn("rank", F.row_number().over(w1)).filter(F.col("rank") <= k + 6)
+              .filter(F.col("doc_id") != F.col("query_id")))
+    w2 = Window.partitionBy("alpha", "query_id").orderBy("rank")
+    hits = ranked.withColumn("rank", F.row_number().over(w2).cast("long")).filter(F.col("rank") <= k)
     hits = hits.join(tickets.select(F.col("ticket_id").alias("doc_id"), F.col("subcategory").alias("label")), "doc_id")
     truth = parts.items.select(F.col("ticket_id").alias("query_id"), "true_subcat")
     h = hits.join(truth, "query_id")
-    per = (h.groupBy("query_id")
+    per = (h.groupBy("alpha", "query_id")
            .agg(F.count("*").alias("n_ret"),
                 F.count_if(F.col("label") == F.col("true_subcat")).alias("n_match"),
                 F.min(F.when(F.col("label") == F.col("true_subcat"), F.col("rank"))).alias("first_hit")))
-    mode = (label_votes(hits.select("query_id", "label", "rank"), "label", keep_null=True)
-            .filter("label_rank = 1").select("query_id", F.col("label").alias("mode_label")))
-    j = truth.join(per, "query_id", "left").join(mode, "query_id", "left")
+    votes = (h.groupBy("alpha", "query_id", "label")
+             .agg(F.count("*").alias("votes"), F.min("rank").alias("best_rank")))
+    wv = Window.partitionBy("alpha", "query_id").orderBy(F.col("votes").desc(), F.col("best_rank"))
+    mode = (votes.withColumn("_r", F.row_number().over(wv)).filter("_r = 1")
+            .select("alpha", "query_id", F.col("label").alias("mode_label")))
+    grid = truth.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    j = grid.join(per, ["alpha", "query_id"], "left").join(mode, ["alpha", "query_id"], "left")
     return j.select(
-        "query_id",
+        "alpha", "query_id",
         F.when(F.col("n_ret") > 0, F.col("n_match") / F.col("n_ret")).otherwise(F.lit(0.0)).alias("precision"),
         F.when(F.col("first_hit").isNotNull(), 1.0 / F.col("first_hit")).otherwise(F.lit(0.0)).alias("rr"),
         F.coalesce(F.col("mode_label") == F.col("true_subcat"), F.lit(False)).alias("top1"))
 
 
-def item_outcomes(parts: EvalParts, tuning: Tuning) -> DataFrame:
-    """Per item: shortcut (any of the 3 nearest patterns passes both gates)
-    and escalation (nearest runbook below the floor, or none)."""
-    cg, sg = tuning.routing_confidence_gate, tuning.routing_similarity_gate
-    m = parts.matches
-    passing = (m.filter((F.coalesce(F.col("confidence"), F.lit(0.0)) >= cg) & (F.coalesce(F.col("similarity"), F.lit(0.0)) >= sg))
-               .select("query_id").distinct().withColumn("shortcut", F.lit(True)))
+def item_signals(parts: EvalParts, confidence_gate: float) -> DataFrame:
+    """Per item: the best similarity among the 3 nearest patterns whose
+    confidence clears the gate (shortcut iff >= similarity gate) and the
+    nearest runbook's similarity (escalate iff < floor; 0 when none)."""
+    conf = F.coalesce(F.col("confidence"), F.lit(0.0))
+    best = (parts.matches.filter(conf >= confidence_gate).groupBy("query_id")
+            .agg(F.max(F.coalesce(F.col("similarity"), F.lit(0.0))).alias("best_sim")))
     items = parts.items.select(F.col("ticket_id").alias("query_id"))
     rb = parts.runbook.select("query_id", F.col("similarity").alias("rb_sim"))
-    j = items.join(passing, "query_id", "left").join(rb, "query_id", "left")
-    return j.select("query_id", F.coalesce("shortcut", F.lit(False)).alias("shortcut"),
-                    (F.coalesce("rb_sim", F.lit(0.0)) < tuning.runbook_relevance_floor).alias("escalate"))
-
-
-def _summary(quality: DataFrame, outcomes: DataFrame) -> DataFrame:
-    j = quality.join(outcomes, "query_id")
-    return j.agg(
+    return items.join(best, "query_id", "left").join(rb, "query_id", "left").select(
+        "query_id", "best_sim", F.coalesce("rb_sim", F.lit(0.0)).alias("rb_sim"))
+
+
+def evaluate_settings(parts: EvalParts, tickets: DataFrame, settings: list[tuple], tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
+    """One summary row per setting (knob, value, alpha, similarity gate,
+    runbook floor).  Quality and signals are computed once for all settings;
+    the settings table is a literal joined on alpha."""
+    spark = parts.items.sparkSession
+    st = spark.createDataFrame([(k, float(v), float(a), float(sg), float(fl)) for k, v, a, sg, fl in settings],
+                               "knob string, value double, alpha double, sg double, fl double")
+    qual = item_quality(parts, sorted({float(a) for _, _, a, _, _ in settings}), tickets)
+    sig = item_signals(parts, tuning.routing_confidence_gate)
+    j = F.broadcast(st).join(qual, "alpha").join(sig, "query_id")
+    shortcut = F.coalesce(F.col("best_sim") >= F.col("sg"), F.lit(False))
+    escalate = F.col("rb_sim") < F.col("fl")
+    return (j.groupBy("knob", "value").agg(
         F.count("*").alias("n_items"),
         F.round(F.avg(F.col("top1").cast("double")), 3).alias("classification_top1_accuracy"),
         F.round(F.avg("precision"), 3).alias("rerank_precision_at_k"),
         F.round(F.avg("rr"), 3).alias("rerank_mrr"),
-        F.round(F.avg(F.col("shortcut").cast("double")), 3).alias("shortcut_rate"),
-        F.round(F.avg(F.col("escalate").cast("double")), 3).alias("escalation_rate"))
+        F.round(F.avg(shortcut.cast("double")), 3).alias("shortcut_rate"),
+        F.round(F.avg(escalate.cast("double")), 3).alias("escalation_rate")))
 
 
 def evaluate(items: DataFrame, tickets: DataFrame, memory: DataFrame, runbooks: DataFrame, k: int = 10,
              alpha: float = 0.7, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
     """One summary row for one setting."""
     parts = eval_parts(items, tickets, memory, runbooks, k)
-    return (_summary(item_quality(parts, alpha, tickets), item_outcomes(parts, tuning))
-            .select(F.lit(k).alias("k"), F.lit(float(alpha)).alias("alpha"), "*"))
+    setting = [("default", alpha, alpha, tuning.routing_similarity_gate, tuning.runbook_relevance_floor)]
+    return evaluate_settings(parts, tickets, setting, tuning).select(
+        F.lit(k).alias("k"), F.lit(float(alpha)).alias("alpha"), "*")
 
 
 def sweep(items: DataFrame, tickets: DataFrame, memory: DataFrame, runbooks: DataFrame, k: int = 10,
           grid: dict | None = None, base_alpha: float = 0.7, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
     """One knob at a time, others at default; one row per (knob, value)."""
     grid = grid or SWEEP_GRID
-    parts = eval_parts(items, tickets, memory, runbooks, k)
-    rows = None
+    settings = []
     for knob, values in grid.items():
         for v in values:
-            alpha = float(v) if knob == "alpha" else base_alpha
-            t = tuning if knob == "alpha" else tuning.with_(**{knob: float(v)})
-            s = _summary(item_quality(parts, alpha, tickets), item_outcomes(parts, t)).select(
-                F.lit(knob).alias("knob"), F.lit(float(v)).alias("value"), "*")
-            rows = s if rows is None else rows.unionByName(s)
-    return rows
+            settings.append((knob, v,
+                             v if knob == "alpha" else base_alpha,
+                             v if knob == "routing_similarity_gate" else tuning.routing_similarity_gate,
+                             v if knob == "runbook_relevance_floor" else tuning.runbook_relevance_floor))
+    parts = eval_parts(items, tickets, memory, runbooks, k)
+    return evaluate_settings(parts, tickets, settings, tuning)
 
 
 def latency_summary(samples: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

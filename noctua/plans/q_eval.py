@@ -9,7 +9,7 @@ from ..config import SWEEP_GRID
 from ..functions.text import band_text
 from ..operators import encoder as E
 from ..operators import evaluation as EV
-from ..sources.fixtures import view, with_views
+from ..sources.fixtures import table, view, with_views
 from .catalog import query
 from .q_vectors import _BM25_STATS, _BM25_TERM
 
@@ -171,6 +171,4 @@ SELECT event_type, count(value) AS n, round(avg(value), 1) AS mean_ms, round(qua
        round(quantile_cont(value, 0.95), 1) AS p95_ms
 FROM events GROUP BY event_type""")
 def q_latency_summary(spark, sf_dir):
-    from ..sources.fixtures import register
-    register(spark, sf_dir, [])
-    return EV.latency_summary(spark.table("events"), "value", ["event_type"])
+    return EV.latency_summary(table(spark, sf_dir, "events"), "value", ["event_type"])

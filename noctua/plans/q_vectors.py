@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..operators.knn import knn_join
-from ..sources.fixtures import view, with_views
+from ..sources.fixtures import table, view, with_views
 from .catalog import query
 
 _TICKET_Q = """
@@ -56,7 +56,7 @@ FROM qt JOIN tf ON tf.term = qt.term JOIN df ON df.term = qt.term JOIN dl ON dl.
 GROUP BY 1, 2"""))
 def q_bm25(spark, sf_dir):
     t = view(spark, sf_dir, "v_tickets_text")
-    bench = spark.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     s = R.bm25(bench, t, doc_id="ticket_id", doc_text="summary")
     return s.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 

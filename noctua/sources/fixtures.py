@@ -105,13 +105,43 @@ def view_sql(name: str, dialect: str) -> str:
     return sql.strip()
 
 
-def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
-    """Register the base tables of `sf_dir` and the fixture views in Spark."""
+# Base tables each view reads.
+VIEW_DEPS = {
+    "v_elements": ["customer", "nation", "region"],
+    "v_alarms": ["events"],
+    "v_tickets_volume": ["orders", "customer", "nation", "region"],
+    "v_tickets_text": ["documents", "embeddings"],
+    "v_outcomes": ["lineitem"],
+    "v_reasoning": ["conversations"],
+    "v_memory": ["embeddings"],
+    "v_runbooks": ["embeddings", "part"],
+    "v_incidents": ["events", "embeddings"],
+}
+
+# session -> (sf_dir, registered names); temp views are per session.
+_REGISTERED: dict[int, tuple[str, set]] = {}
+
+
+def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None, tables: list[str] | None = None) -> None:
+    """Register the fixture views `names` (all when None) and base `tables`
+    of `sf_dir` in Spark, skipping what this session already has for it."""
     prepare(spark)
-    for t in BASE_TABLES:
+    key = id(spark)
+    cur_dir, done = _REGISTERED.get(key, (None, set()))
+    if cur_dir != sf_dir:
+        done = set()
+    views = list(VIEWS) if names is None else list(names)
+    bases = set(tables or [])
+    for v in views:
+        bases.update(VIEW_DEPS[v])
+    for t in sorted(bases - done):
         spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
-    for v in (names or list(VIEWS)):
-        spark.sql(f"CREATE OR REPLACE TEMP VIEW {v} AS {view_sql(v, 'spark')}")
+        done.add(t)
+    for v in views:
+        if v not in done:
+            spark.sql(f"CREATE OR REPLACE TEMP VIEW {v} AS {view_sql(v, 'spark')}")
+            done.add(v)
+    _REGISTERED[key] = (sf_dir, done)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +149,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver base table of `sf_dir`."""
+    register(spark, sf_dir, [], [name])
+    return spark.table(name)
+
+
 def with_views(names: list[str], body: str) -> str:
     """DuckDB text: the named views as CTEs in front of `body`.
 
