@@ -74,14 +74,19 @@ def _knn_kernel(k: int):
     return fn
 
 
-def _blocks(q_keyed: DataFrame, c_keyed: DataFrame, block_rows: int) -> DataFrame:
-    """Per key: number of query blocks and corpus blocks."""
-    qc = q_keyed.groupBy("_key").agg(F.count("*").alias("_qn"))
-    cc = c_keyed.groupBy("_key").agg(F.count("*").alias("_cn"))
-    return qc.join(cc, "_key").select(
-        "_key",
-        F.ceil(F.col("_qn") / block_rows).cast("int").alias("_nq"),
+def _block_counts(q: DataFrame, c: DataFrame, block_rows: int, keyed: bool):
+    """Per-key (query blocks, corpus blocks).  Without a key they are two
+    scalar subqueries; with a key, a per-key table joined on the key."""
+    if not keyed:
+        nq = q.select(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")).scalar()
+        nc = c.select(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")).scalar()
+        return q.withColumn("_nq", nq).withColumn("_nc", nc), c.withColumn("_nq", nq).withColumn("_nc", nc)
+    qc = q.groupBy("_key").agg(F.count("*").alias("_qn"))
+    cc = c.groupBy("_key").agg(F.count("*").alias("_cn"))
+    blocks = qc.join(cc, "_key").select(
+        "_key", F.ceil(F.col("_qn") / block_rows).cast("int").alias("_nq"),
         F.ceil(F.col("_cn") / block_rows).cast("int").alias("_nc"))
+    return q.join(blocks, "_key"), c.join(blocks, "_key")
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
@@ -103,13 +108,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
     c = (corpus.filter(F.col(corpus_vec).isNotNull())
          .select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).cast("array<double>").alias("cv"), ckey.alias("_key"))
          .filter(F.col("_key").isNotNull()))
-    blocks = _blocks(q, c, block_rows)
-    qx = (q.join(blocks, "_key")
-          .select("qid", "qv", "_key", F.pmod(F.xxhash64("qid"), F.col("_nq")).alias("_qb"),
-                  F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_cb")))
-    cx = (c.join(blocks, "_key")
-          .select("cid", "cv", "_key", F.pmod(F.xxhash64("cid"), F.col("_nc")).alias("_cb"),
-                  F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_qb")))
+    qb, cb = _block_counts(q, c, block_rows, qk is not None)
+    qx = qb.select("qid", "qv", "_key", F.pmod(F.xxhash64("qid"), F.col("_nq")).alias("_qb"),
+                   F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_cb"))
+    cx = cb.select("cid", "cv", "_key", F.pmod(F.xxhash64("cid"), F.col("_nc")).alias("_cb"),
+                   F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_qb"))
     qid_t = queries.schema[query_id].dataType.simpleString()
     cid_t = corpus.schema[corpus_id].dataType.simpleString()
     schema = f"query_id {qid_t}, neighbour_id {cid_t}, similarity double, rank long"

@@ -24,11 +24,13 @@ B = 0.75
 
 
 def doc_postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(postings (doc, term, tf, dl), doc lengths (doc, dl)) over non-null texts."""
-    d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), tokenize(text_col).alias("toks"))
-    lengths = d.select("doc_id", F.size("toks").alias("dl"))
-    post = (d.select("doc_id", F.explode("toks").alias("term"))
-            .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+    """(postings (doc, term, tf), doc lengths (doc, dl)) over non-null texts.
+
+    The corpus is tokenised once: lengths are the sum of tf per document
+    (documents without tokens have no row and match nothing)."""
+    d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(tokenize(text_col)).alias("term"))
+    post = d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    lengths = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     return post, lengths
 
 
@@ -46,8 +48,8 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); statistics over all docs."""
     post, lengths = doc_postings(docs, doc_id, doc_text)
-    n_docs = lengths.select(F.count("*")).scalar()
-    avgdl = lengths.select(F.avg("dl")).scalar()
+    n_docs = docs.filter(F.col(doc_text).isNotNull()).select(F.count("*")).scalar()
+    avgdl = post.select(F.sum("tf") / n_docs).scalar()
     df_t = post.groupBy("term").agg(F.count("*").alias("df"))
     qt = query_terms(queries, query_id, query_text)
     if pairs is not None:
