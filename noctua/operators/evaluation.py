@@ -46,6 +46,9 @@ class EvalParts:
 
 
 def eval_parts(items: DataFrame, tickets: DataFrame, memory: DataFrame, runbooks: DataFrame, k: int = 10) -> EvalParts:
+    # The labelled set is small and bounded (n per label); materialise it
+    # once in the checkpoint folder instead of re-deriving it in every branch.
+    items = items.checkpoint()
     q = items.select(F.col("ticket_id").alias("query_id"), "query_vec", F.col("text").alias("query_text"))
     cands = hybrid_candidates(q, tickets, retrieve_n=k + 6)
     matches = recall_similar(q.select("query_id", "query_vec"), memory, 3)

@@ -50,6 +50,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     it is only filled in here when unset (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = os.environ.get("NOCTUA_CHECKPOINT_DIR", "/tmp/noctua-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
