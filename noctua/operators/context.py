@@ -116,11 +116,12 @@ def assemble_context(entities: DataFrame, elements: DataFrame, incidents: DataFr
         cost = F.when(txt.isNotNull(), approx_tokens(txt))
         take = txt.isNotNull() & (used + cost <= budget)
         blocks.append(F.when(take, txt))
-        tokens.append(F.when(take, cost).when(txt.isNull() & status_when_empty[n].isNotNull(), F.lit(0)).alias(f"{n}_tokens"))
+        tokens.append(F.when(take, cost).when(txt.isNull() & status_when_empty[n].isNotNull(), F.lit(0))
+                      .cast("long").alias(f"{n}_tokens"))
         statuses.append(F.when(take, status_when_text[n]).when(txt.isNull(), status_when_empty[n]).alias(f"{n}_status"))
         used = used + F.when(take, cost).otherwise(F.lit(0))
     return out.select("key", "entity_ref", "session_id",
                       F.concat_ws("\n", *blocks).alias("system_context"),
                       used.cast("int").alias("budget_used"), F.lit(budget).alias("budget_total"),
                       *tokens, *statuses, "top_match_id",
-                      F.coalesce(F.col("t5_n"), F.lit(0)).alias("n_vector_matches"))
+                      F.coalesce(F.col("t5_n"), F.lit(0)).cast("long").alias("n_vector_matches"))
