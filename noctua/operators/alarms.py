@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_TUNING, Tuning
+from ..config import DEFAULT_DOMAIN, DEFAULT_TUNING, Domain, Tuning
 from ..functions.scalar import category_of, incident_ref, parse_kpis, severity_name, severity_rank
 from .anomaly import score_anomaly, type_to_subcategory
 from .common import as_of_col, minus_interval
@@ -82,7 +82,7 @@ class Triage:
 
 
 def correlate_alarms(alarms: DataFrame, as_of=None, min_alarms: int = 5, lookback_hours: int = 6,
-                     tuning: Tuning = DEFAULT_TUNING) -> Triage:
+                     tuning: Tuning = DEFAULT_TUNING, domain: Domain = DEFAULT_DOMAIN) -> Triage:
     """One scored incident per element that has some (element, site) group
     of at least `min_alarms` uncorrelated alarms in the lookback.
 
@@ -94,7 +94,7 @@ def correlate_alarms(alarms: DataFrame, as_of=None, min_alarms: int = 5, lookbac
     totals = element_totals(window)
     dom = dominant_type(type_histogram(window))
     worst = worst_kpi(window)
-    scored = score_anomaly(worst, "element_id", tuning)
+    scored = score_anomaly(worst, "element_id", tuning, domain)
     hist_json = (type_histogram(window).groupBy("element_id")
                  .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
                      F.struct(F.coalesce("alarm_type", F.lit("None")), "n"))))).alias("types_json")))
@@ -103,7 +103,7 @@ def correlate_alarms(alarms: DataFrame, as_of=None, min_alarms: int = 5, lookbac
 
     base = (chosen.join(totals, "element_id").join(dom, "element_id")
             .join(scored, "element_id", "left").join(hist_json, "element_id", "left").join(worst_json, "element_id", "left"))
-    sub = type_to_subcategory("dominant_type")
+    sub = type_to_subcategory("dominant_type", domain)
     score = F.coalesce(F.col("anomaly_score"), F.lit(0.0))
     n = F.col("alarm_count").cast("string")
     bjson = F.coalesce(F.to_json("anomaly_breakdown"), F.lit("{}"))

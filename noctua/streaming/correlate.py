@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ANOMALY_FEATURES, DEFAULT_SUBCATEGORY, DEFAULT_TUNING, TYPE_TO_SUBCATEGORY, Tuning
+from ..config import DEFAULT_DOMAIN, DEFAULT_TUNING, Domain, Tuning
 from ..functions.scalar import category_of, incident_ref, parse_kpis, severity_name, severity_rank
 
-TYPES = sorted(TYPE_TO_SUBCATEGORY)
 OTHER = "other"
 
 
@@ -31,47 +30,50 @@ def _type_key(c: str) -> str:
 
 
 def window_aggregate(alarms: DataFrame, *, mode: str = "tumbling", size: str = "15 minutes",
-                     watermark: str = "10 minutes") -> DataFrame:
+                     watermark: str = "10 minutes", domain: Domain = DEFAULT_DOMAIN) -> DataFrame:
     """Watermarked per-(window, element) aggregate (works on batch or stream)."""
     a = alarms.withColumn("ts", F.col("ts").cast("timestamp_ltz")).withWatermark("ts", watermark)
     kpis = parse_kpis("metrics")
     a = a.select("element_id", "ts", "id", "severity", "alarm_type", kpis.alias("_k"))
     w = F.window("ts", size) if mode == "tumbling" else F.session_window("ts", size)
-    tkey = F.when(F.col("alarm_type").isin(*TYPES), F.col("alarm_type")).otherwise(F.lit(OTHER))
+    types = domain.types
+    tkey = F.when(F.col("alarm_type").isin(*types), F.col("alarm_type")).otherwise(F.lit(OTHER))
     aggs = [F.count("*").alias("alarm_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
             F.max(severity_rank("severity")).alias("severity_rank")]
-    for metric in sorted({m for _, m, _, _, _ in ANOMALY_FEATURES}):
+    for metric in domain.metrics:
         aggs.append(F.max(F.element_at("_k", F.lit(metric))).alias(f"kpi_{metric}"))
-    for t in TYPES + [OTHER]:
+    for t in types + [OTHER]:
         hit = tkey == t
         aggs.append(F.count_if(hit).alias(f"{_type_key(t)}_n"))
         aggs.append(F.min(F.when(hit, F.struct("ts", "id"))).alias(f"{_type_key(t)}_first"))
     return a.groupBy(w.alias("win"), "element_id").agg(*aggs)
 
 
-def _score(tuning: Tuning) -> tuple[Column, list[Column]]:
+def _score(tuning: Tuning, domain: Domain) -> tuple[Column, list[Column]]:
     subs = []
-    for feat, metric, thr, weight, scale in ANOMALY_FEATURES:
+    for feat, metric, thr, weight, scale in domain.features:
         t = thr * tuning.anomaly_threshold_scale
         v = F.greatest(F.lit(0.0), F.col(f"kpi_{metric}"))
         raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - F.lit(t)) / F.lit(scale))) * F.lit(weight)
         subs.append(F.when((v >= F.lit(t)) & (raw > 0), F.round(raw, 3)).alias(f"b_{feat}"))
-    score = F.coalesce(F.round(F.greatest(*[s for s in subs]), 3), F.lit(0.0))
+    best = subs[0] if len(subs) == 1 else F.greatest(*subs)
+    score = F.coalesce(F.round(best, 3), F.lit(0.0))
     return score, subs
 
 
-def _dominant() -> Column:
+def _dominant(domain: Domain) -> Column:
     cands = F.array(*[F.struct((-F.col(f"{_type_key(t)}_n")).alias("neg_n"), F.col(f"{_type_key(t)}_first").alias("first"),
-                               F.lit(t).alias("type")) for t in TYPES + [OTHER]])
+                               F.lit(t).alias("type")) for t in domain.types + [OTHER]])
     return F.array_min(F.filter(cands, lambda s: s["neg_n"] < 0))["type"]
 
 
-def incidents_from_windows(agg: DataFrame, min_alarms: int = 5, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
+def incidents_from_windows(agg: DataFrame, min_alarms: int = 5, tuning: Tuning = DEFAULT_TUNING,
+                           domain: Domain = DEFAULT_DOMAIN) -> DataFrame:
     """Windows with at least `min_alarms` alarms -> scored incident rows."""
-    score, subs = _score(tuning)
-    dom = _dominant()
-    m = F.create_map(*[x for k, v in TYPE_TO_SUBCATEGORY.items() for x in (F.lit(k), F.lit(v))])
-    sub = F.coalesce(F.element_at(m, dom), F.lit(DEFAULT_SUBCATEGORY))
+    score, subs = _score(tuning, domain)
+    dom = _dominant(domain)
+    m = F.create_map(*[x for k, v in domain.type_map for x in (F.lit(k), F.lit(v))])
+    sub = F.coalesce(F.element_at(m, dom), F.lit(domain.default_subcategory))
     w = agg.filter(F.col("alarm_count") >= min_alarms)
     return w.select(
         incident_ref("element_id", F.col("win.start")).alias("incident_ref"), "element_id",
@@ -84,9 +86,10 @@ def incidents_from_windows(agg: DataFrame, min_alarms: int = 5, tuning: Tuning =
 
 def stream_correlate(stream: DataFrame, out_path: str, checkpoint: str, *, mode: str = "tumbling",
                      size: str = "15 minutes", watermark: str = "10 minutes", min_alarms: int = 5,
-                     tuning: Tuning = DEFAULT_TUNING, available_now: bool = True):
+                     tuning: Tuning = DEFAULT_TUNING, domain: Domain = DEFAULT_DOMAIN, available_now: bool = True):
     """Start the streaming job; returns the StreamingQuery."""
-    inc = incidents_from_windows(window_aggregate(stream, mode=mode, size=size, watermark=watermark), min_alarms, tuning)
+    agg = window_aggregate(stream, mode=mode, size=size, watermark=watermark, domain=domain)
+    inc = incidents_from_windows(agg, min_alarms, tuning, domain)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")

@@ -96,3 +96,16 @@ def test_kpi_json_with_text_value_keeps_other_keys(spark):
     got = {(r.metric, r.worst) for r in w.collect()}
     assert ("latency_ms", 400.0) in got and ("temp_c", 0.0) in got
     assert all(m != "note" for m, _ in got)
+
+
+def test_domain_swap_changes_features_and_taxonomy(spark):
+    from noctua.config import Domain
+    from noctua.streaming.correlate import incidents_from_windows, window_aggregate
+    dom = Domain(features=(("cpu_hot", "cpu", 0.5, 1.0, 0.5),), type_map=(("cpuHigh", "Compute-CPU"),),
+                 default_subcategory="Compute-Other")
+    rows = [_a(i, "H1", "S", i, "major", "cpuHigh", '{"cpu": 0.75}') for i in range(3)]
+    r = A.correlate_alarms(_alarms(spark, rows), T0 + dt.timedelta(hours=1), min_alarms=3, domain=dom).incidents.collect()[0]
+    assert r.subcategory == "Compute-CPU" and r.category == "compute"
+    assert r.anomaly_score == 0.5 and r.anomaly_breakdown == '{"cpu_hot":0.5}'
+    s = incidents_from_windows(window_aggregate(_alarms(spark, rows), domain=dom), 3, domain=dom).collect()[0]
+    assert s.subcategory == "Compute-CPU" and s.anomaly_score == 0.5
