@@ -151,16 +151,24 @@ def _pairs_kernel(threshold: float):
 
 
 def near_pairs(df: DataFrame, threshold: float, *, id_col: str = "id", vec_col: str = "vec",
-               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               block_rows: int = DEFAULT_BLOCK_ROWS, key: str | None = None) -> DataFrame:
     """All pairs (id_a < id_b) with cosine distance strictly below
-    `threshold`; exact, by upper-triangular block pairs."""
+    `threshold`; exact, by upper-triangular block pairs.  With `key`, only
+    pairs sharing the key are compared (blocks are formed per key, so a key
+    holding a third of the rows is split, never sent whole to one task)."""
     base = (df.filter(F.col(vec_col).isNotNull())
-            .select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
-    nb = base.select(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")).scalar()
-    b = base.withColumn("_b", F.pmod(F.xxhash64("id"), nb).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), nb - 1)).alias("_o")
-    x = (b.select("id", "v", "_b", other)
-         .select("id", "v", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")))
+            .select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
+                    (F.col(key) if key else F.lit(0)).alias("_key")))
+    if key is None:
+        nb = base.select(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")).scalar()
+        b = base.withColumn("_nb", nb)
+    else:
+        counts = base.groupBy("_key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_nb"))
+        b = base.join(counts, "_key")
+    b = b.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o")
+    x = (b.select("_key", "id", "v", "_b", other)
+         .select("_key", "id", "v", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")))
     id_t = df.schema[id_col].dataType.simpleString()
-    return (x.groupBy("_lo", "_hi")
+    return (x.groupBy("_key", "_lo", "_hi")
             .applyInPandas(_pairs_kernel(threshold), f"id_a {id_t}, id_b {id_t}, distance double"))

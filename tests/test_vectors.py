@@ -87,7 +87,7 @@ def test_lsh_pairs_are_exact_and_recall_is_high(spark):
     rows += [(100 + i, (base[i] + rng.normal(scale=0.15, size=16)).tolist()) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, vec array<double>")
     exact = {(r.id_a, r.id_b) for r in near_pairs(df, 0.15).collect()}
-    approx = {(r.id_a, r.id_b) for r in near_pairs_lsh(df, 0.15, num_tables=12).collect()}
+    approx = {(r.id_a, r.id_b) for r in near_pairs_lsh(df, 0.15).collect()}
     assert approx <= exact
     assert len(approx) >= 0.8 * len(exact)
 
