@@ -3,11 +3,12 @@ rerank (D6) and its vector-only form (D7), label vote and top-5 (D24, W6,
 W7).
 
 BM25 is an inverted-index join: distinct (query, term) rows meet the
-(doc, term, tf) postings on term.  Corpus statistics (N, avgdl, df) are
-partial aggregates; the two scalars are scalar subqueries.  When only
-candidate pairs need a text score (hybrid rerank) the postings are first
-restricted to the candidates' documents, so work follows candidates, not
-the vocabulary.
+(doc, term, tf) postings on term.  The postings are built once per call
+(one scan and tokenisation of the texts, checkpointed into the shared
+checkpoint folder); corpus statistics (N, avgdl, df, lengths) are partial
+aggregates over them.  When only candidate pairs need a text score (hybrid
+rerank) the postings are first restricted to the candidates' documents, so
+work follows candidates, not the vocabulary.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ K1 = 1.2
 B = 0.75
 
 
-def doc_postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(postings (doc, term, tf), doc lengths (doc, dl)) over non-null texts.
-
-    The corpus is tokenised once: lengths are the sum of tf per document
-    (documents without tokens have no row and match nothing)."""
-    d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(tokenize(text_col)).alias("term"))
-    post = d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    return post, lengths
+def doc_postings(docs: DataFrame, id_col: str, text_col: str, materialize: bool = True) -> DataFrame:
+    """Postings (doc_id, term, tf) over non-null texts, plus one marker row
+    (term '', tf 0) per document so that N, lengths and avgdl derive from the
+    same table.  The corpus is scanned and tokenised once; with `materialize`
+    the postings are checkpointed (the index build), so every statistic and
+    the scoring join read the compact postings instead of the texts."""
+    d = (docs.filter(F.col(text_col).isNotNull())
+         .select(F.col(id_col).alias("doc_id"),
+                 F.explode(F.concat(F.array(F.lit("")), tokenize(text_col))).alias("term")))
+    post = (d.groupBy("doc_id", "term").agg(F.count("*").alias("_n"))
+            .select("doc_id", "term", F.when(F.col("term") == "", F.lit(0)).otherwise(F.col("_n")).cast("long").alias("tf")))
+    return post.checkpoint() if materialize else post
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,23 +50,30 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
     """(query_id, doc_id, score) for pairs sharing at least one term
     (or only for `pairs` (query_id, doc_id) when given).
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); statistics over all docs."""
-    post, lengths = doc_postings(docs, doc_id, doc_text)
-    n_docs = docs.filter(F.col(doc_text).isNotNull()).select(F.count("*")).scalar()
+    score = sum over shared distinct query terms of idf(t) * w(d, t) with
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)) and the document-side weight
+    w = tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)); statistics over all
+    docs.  Both factors are attached before the big term join (idf to the
+    few query terms, w to the postings), so the join carries four columns
+    into one partial aggregate."""
+    post = doc_postings(docs, doc_id, doc_text)
+    n_docs = post.filter(F.col("term") == "").select(F.count("*")).scalar()
     avgdl = post.select(F.sum("tf") / n_docs).scalar()
-    df_t = post.groupBy("term").agg(F.count("*").alias("df"))
+    lengths = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    df_t = post.filter(F.col("term") != "").groupBy("term").agg(F.count("*").alias("df"))
     qt = query_terms(queries, query_id, query_text)
+    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    q_idf = qt.join(df_t, "term").select("query_id", "term", idf.alias("idf"))
+    tf = F.col("tf").cast("double")
+    w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
     if pairs is not None:
         cand_docs = pairs.select("doc_id").distinct()
-        p = post.join(cand_docs, "doc_id")
-        m = pairs.select("query_id", "doc_id").join(p, "doc_id").join(qt, ["query_id", "term"])
+        weighted = post.join(cand_docs, "doc_id").join(lengths, "doc_id").select("doc_id", "term", w.alias("w"))
+        m = pairs.select("query_id", "doc_id").join(weighted, "doc_id").join(q_idf, ["query_id", "term"])
     else:
-        m = sized_broadcast(qt).join(post, "term")
-    m = m.join(df_t, "term").join(lengths, "doc_id")
-    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf").cast("double")
-    part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return m.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+        weighted = post.join(lengths, "doc_id").select("doc_id", "term", w.alias("w"))
+        m = sized_broadcast(q_idf).join(weighted, "term")
+    return m.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id="query_id", query_vec="query_vec",
