@@ -29,7 +29,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     for k, v in SQL_SETTINGS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 - Spark Connect
+        pass
     prepare(spark)
     return spark
 
@@ -50,13 +53,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     it is only filled in here when unset (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master or ""
+        master = spark.conf.get("spark.master", "") or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = os.environ.get("NOCTUA_CHECKPOINT_DIR", "/tmp/noctua-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    try:  # classic sessions; Spark Connect reads spark.checkpoint.dir itself
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
+    except Exception:  # noqa: BLE001
+        pass
     return root
 
 

@@ -29,6 +29,14 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt:
     w.save(path)
 
 
+def append_alarms(alarms: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Append alarm events; a map-typed KPI snapshot is stored as JSON text."""
+    df = alarms
+    if "metrics" in df.columns and df.schema["metrics"].dataType.typeName() == "map":
+        df = df.withColumn("metrics", F.to_json("metrics"))
+    append(df, path, partition_by)
+
+
 def _unique_guard(source: DataFrame, keys: list[str]) -> DataFrame:
     """Fail the job (lazily, on executors) if the source repeats a key."""
     dup = source.groupBy(*keys).agg(F.count("*").alias("_dupn")).filter("_dupn > 1")

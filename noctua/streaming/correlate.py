@@ -97,3 +97,14 @@ def stream_correlate(stream: DataFrame, out_path: str, checkpoint: str, *, mode:
     w = inc.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def late_rows(query) -> int:
+    """Alarms dropped behind the watermark, summed over the recent
+    progress reports of a streaming query."""
+    total = 0
+    for p in query.recentProgress or []:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else getattr(p, "stateOperators", []):
+            total += int(op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
+                         else getattr(op, "numRowsDroppedByWatermark", 0))
+    return total

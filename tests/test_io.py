@@ -71,3 +71,11 @@ def test_validate_reasons(spark):
     assert reasons == [(2, "null:element_id"), (3, "enum:severity"), (4, "duplicate:id"), (4, "json:metrics")]
     good, bad = split_valid(checked)
     assert good.count() == 1 and bad.count() == 4
+
+
+def test_append_alarms_stores_kpi_map_as_json(spark, tmp_out):
+    p = os.path.join(tmp_out, "alarms_json")
+    df = spark.createDataFrame([(1, {"prb_util": 0.97, "latency_ms": 210.0})], "id long, metrics map<string,double>")
+    T.append_alarms(df, p)
+    back = spark.read.parquet(p).collect()[0]
+    assert json.loads(back.metrics) == {"prb_util": 0.97, "latency_ms": 210.0}
