@@ -109,3 +109,39 @@ def test_domain_swap_changes_features_and_taxonomy(spark):
     assert r.anomaly_score == 0.5 and r.anomaly_breakdown == '{"cpu_hot":0.5}'
     s = incidents_from_windows(window_aggregate(_alarms(spark, rows), domain=dom), 3, domain=dom).collect()[0]
     assert s.subcategory == "Compute-CPU" and s.anomaly_score == 0.5
+
+
+def test_hot_element_matches_plain_computation_and_is_pre_aggregated(spark):
+    import random
+    rnd = random.Random(3)
+    rows, i = [], 0
+    for el in ["HOT"] * 300 + [f"E{k}" for k in range(30) for _ in range(20)]:
+        i += 1
+        typ = rnd.choice(["prbUtilHigh", "sctpReset", "latencyHigh"])
+        metric = {"prbUtilHigh": "prb_util", "sctpReset": "sctp_resets", "latencyHigh": "latency_ms"}[typ]
+        val = {"prb_util": rnd.uniform(0.5, 1.0), "sctp_resets": rnd.randint(0, 10), "latency_ms": rnd.uniform(0, 400)}[metric]
+        rows.append((i, el, rnd.choice(["S1", "S2"]), T0 + dt.timedelta(seconds=rnd.randint(0, 3600)),
+                     rnd.choice(["major", "minor", "warning"]), typ, '{"%s": %r}' % (metric, val)))
+    df = _alarms(spark, rows)
+    t = A.correlate_alarms(df, T0 + dt.timedelta(hours=1), min_alarms=5)
+    got = {r.element_id: (r.alarm_count, r.anomaly_score) for r in t.incidents.collect()}
+    # plain computation of the totals and scores
+    feats = {"prb_util": (0.85, 1.0, 1.0), "sctp_resets": (3.0, 0.8, 20.0), "latency_ms": (100.0, 0.9, 300.0)}
+    want = {}
+    for el in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == el]
+        worst = {}
+        for r in mine:
+            for m, v in __import__("json").loads(r[6]).items():
+                worst[m] = max(worst.get(m, 0.0), float(v))
+        subs = []
+        for m, v in worst.items():
+            thr, w, sc = feats[m]
+            if v >= thr:
+                raw = min(1.0, max(0.0, (v - thr) / sc)) * w
+                if raw > 0:
+                    subs.append(round(raw, 3))
+        want[el] = (len(mine), round(max(subs), 3) if subs else 0.0)
+    assert got == want
+    plan = t.incidents._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "CartesianProduct" not in plan
