@@ -108,3 +108,40 @@ def q_classify_top5(spark, sf_dir):
     lab = nn.join(t.select("ticket_id", F.col("subcategory").alias("label")), nn["neighbour_id"] == F.col("ticket_id"))
     c = R.classify(lab, "label")
     return c.select("query_id", F.array_join("top5", ",").alias("top5"), "chosen_label", "chosen_votes")
+
+
+@query("rank_within_label", with_views(["v_incidents", "v_tickets_text"], "WITH " + _BM25_STATS + """,
+q AS (SELECT incident_ref AS query_id, cast(signature_vec AS DOUBLE[]) AS v, title AS qtext FROM v_incidents WHERE signature_vec IS NOT NULL),
+c AS (SELECT ticket_id AS doc_id, subcategory, cast(embedding AS DOUBLE[]) AS v FROM v_tickets_text WHERE embedding IS NOT NULL),
+nn AS (SELECT * FROM (SELECT q.query_id, c.doc_id, c.subcategory, row_number() OVER (PARTITION BY q.query_id
+        ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.doc_id) AS rank FROM q CROSS JOIN c) WHERE rank <= 10),
+votes AS (SELECT query_id, subcategory AS label, count(*) AS votes, min(rank) AS best FROM nn WHERE subcategory IS NOT NULL GROUP BY 1, 2),
+chosen AS (SELECT query_id, label AS chosen_label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, best) AS lr
+           FROM votes) WHERE lr = 1),
+cand AS (SELECT * FROM (SELECT q.query_id, c.doc_id, list_cosine_similarity(q.v, c.v) AS sim,
+          row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.doc_id) AS vec_rank
+          FROM q JOIN chosen ch USING (query_id) JOIN c ON c.subcategory = ch.chosen_label) WHERE vec_rank <= 10),
+qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id,
+       unnest(list_filter(regexp_split_to_array(lower(qtext), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM q)),
+ft AS (SELECT c.query_id, c.doc_id, sum(""" + _BM25_TERM + """) AS score
+       FROM cand c JOIN qt ON c.query_id = qt.query_id JOIN tf ON tf.doc_id = c.doc_id AND tf.term = qt.term
+       JOIN df ON df.term = qt.term JOIN dl ON dl.doc_id = c.doc_id CROSS JOIN stats GROUP BY 1, 2),
+j AS (SELECT c.*, coalesce(ft.score, 0e0) AS raw FROM cand c LEFT JOIN ft USING (query_id, doc_id)),
+nz AS (SELECT *, raw / CASE WHEN max(raw) OVER (PARTITION BY query_id) > 0 THEN max(raw) OVER (PARTITION BY query_id) ELSE 1e0 END AS ftn FROM j),
+h AS (SELECT *, round(0.7e0 * sim + (1 - 0.7e0) * ftn, 4) AS hybrid_score FROM nz),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, vec_rank) AS rank FROM h)
+SELECT r.query_id, ch.chosen_label, r.doc_id AS ticket_id, r.rank, round(r.sim, 4) AS vec_sim, r.hybrid_score
+FROM r JOIN chosen ch USING (query_id) WHERE r.rank <= 5"""))
+def q_rank_within_label(spark, sf_dir):
+    """Descriptions -> neighbour vote for a label -> hybrid rerank of the
+    tickets of that label only (kNN restricted by key)."""
+    inc = view(spark, sf_dir, "v_incidents").select(F.col("incident_ref").alias("query_id"),
+                                                    F.col("signature_vec").alias("query_vec"),
+                                                    F.col("title").alias("query_text"))
+    t = view(spark, sf_dir, "v_tickets_text")
+    nn = knn_join(inc, t, 10, corpus_id="ticket_id", corpus_vec="embedding")
+    lab = nn.join(t.select("ticket_id", F.col("subcategory").alias("label")), nn["neighbour_id"] == F.col("ticket_id"))
+    chosen = R.classify(lab, "label").select("query_id", "chosen_label")
+    q = inc.join(chosen, "query_id")
+    r = R.hybrid_rerank(q, t, top_n=5, retrieve_n=10, alpha=0.7, subcategory_col="chosen_label")
+    return r.join(chosen, "query_id").select("query_id", "chosen_label", "ticket_id", "rank", "vec_sim", "hybrid_score")
