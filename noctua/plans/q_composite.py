@@ -139,7 +139,7 @@ def q_assemble_context(spark, sf_dir):
                               tuning=DEFAULT_TUNING.with_(context_budget_tokens=CONTEXT_BUDGET))
 
 
-@query("remediate", with_views(["v_incidents", "v_memory", "v_runbooks"], """
+_REMEDIATE_CTES = """
 WITH inc AS (SELECT * FROM v_incidents WHERE status = 'open'),
 q AS (SELECT incident_ref AS query_id, cast(signature_vec AS DOUBLE[]) AS v FROM inc),
 m AS (SELECT * FROM v_memory WHERE status = 'active' AND superseded_by IS NULL AND memory_vec IS NOT NULL),
@@ -157,7 +157,10 @@ d AS (SELECT i.incident_ref, i.element_id, i.subcategory, i.severity, i.anomaly_
              r1.id AS rb_id, r1.title AS rb_title, coalesce(r1.sim, 0e0) AS rb_sim,
              r1.id IS NOT NULL AND coalesce(r1.sim, 0e0) >= 0.45e0 AS chosen,
              least(0.95e0, 0.5e0 + (CASE WHEN i.anomaly_score IS NOT NULL AND i.anomaly_score <> 0 THEN i.anomaly_score ELSE 0.6e0 END) / 2) AS confidence
-      FROM inc i LEFT JOIN p ON p.query_id = i.incident_ref LEFT JOIN r1 ON r1.query_id = i.incident_ref)
+      FROM inc i LEFT JOIN p ON p.query_id = i.incident_ref LEFT JOIN r1 ON r1.query_id = i.incident_ref)"""
+
+
+@query("remediate", with_views(["v_incidents", "v_memory", "v_runbooks"], _REMEDIATE_CTES + """
 SELECT incident_ref, element_id, path, matched_id, CASE WHEN chosen THEN rb_id END AS chosen_runbook_id,
        round(rb_sim, 3) AS top_runbook_similarity, CASE WHEN chosen THEN 'confirmed' ELSE 'escalated' END AS resolution,
        CASE WHEN chosen THEN 'resolved' ELSE 'investigating' END AS new_status, confidence,
@@ -172,3 +175,16 @@ def q_remediate(spark, sf_dir):
     return (r.decisions.join(acc, "incident_ref", "left")
             .select("incident_ref", "element_id", "path", "matched_id", "chosen_runbook_id", "top_runbook_similarity",
                     "resolution", "new_status", "confidence", "observation", "hypothesis", "pattern_accepted"))
+
+
+@query("remediate_writeback", with_views(["v_incidents", "v_memory", "v_runbooks"], _REMEDIATE_CTES + """,
+t AS (SELECT rb_id AS runbook_id, count(*) AS s FROM d WHERE chosen GROUP BY 1)
+SELECT r.id, cast(r.success_count + coalesce(t.s, 0) AS BIGINT) AS success_count, cast(r.fail_count AS BIGINT) AS fail_count,
+       CASE WHEN t.runbook_id IS NOT NULL
+            THEN round((r.success_count + t.s) / greatest(r.success_count + t.s + r.fail_count, 1), 2)
+            ELSE r.confidence END AS confidence
+FROM v_runbooks r LEFT JOIN t ON r.id = t.runbook_id"""))
+def q_remediate_writeback(spark, sf_dir):
+    """Runbook table after one remediation batch (D18 write-back via D15)."""
+    r = RM.remediate(view(spark, sf_dir, "v_incidents"), view(spark, sf_dir, "v_memory"), view(spark, sf_dir, "v_runbooks"))
+    return r.runbooks.select("id", "success_count", "fail_count", "confidence")

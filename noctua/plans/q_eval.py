@@ -172,3 +172,28 @@ SELECT event_type, count(value) AS n, round(avg(value), 1) AS mean_ms, round(qua
 FROM events GROUP BY event_type""")
 def q_latency_summary(spark, sf_dir):
     return EV.latency_summary(table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+_REASONING_BAND = _strip("'observation: ' || coalesce(observation, '') || '. hypothesis: ' || coalesce(hypothesis, '')"
+                         " || '. resolution: ' || coalesce(resolution, '')")
+
+
+@query("embed_backfill_reasoning", with_views(["v_reasoning"], f"""
+WITH todo AS (SELECT id, {_REASONING_BAND} AS txt FROM v_reasoning),
+toks AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(txt), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM todo),
+h AS (SELECT id, md5(t) AS m FROM toks),
+b AS (SELECT id, cast(('0x' || substr(m, 1, 8))::BIGINT % 64 AS INTEGER) AS dim_index,
+             CASE WHEN substr(m, 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM h),
+pb AS (SELECT id, dim_index, cast(sum(s) AS DOUBLE) AS v FROM b GROUP BY 1, 2),
+nrm AS (SELECT id, sqrt(sum(v * v)) AS n FROM pb GROUP BY 1)
+SELECT nrm.id, g.dim_index, round(cast(cast(coalesce(pb.v, 0e0) / nrm.n AS FLOAT) AS DOUBLE), 6) AS value
+FROM nrm CROSS JOIN (SELECT cast(range AS INTEGER) AS dim_index FROM range(64)) g
+LEFT JOIN pb ON pb.id = nrm.id AND pb.dim_index = g.dim_index
+WHERE nrm.n > 0"""))
+def q_embed_backfill_reasoning(spark, sf_dir):
+    """Checkpoints carry no vector yet: every row is banded and encoded."""
+    r = view(spark, sf_dir, "v_reasoning").withColumn("reasoning_vec", F.lit(None).cast("array<float>"))
+    _, filled = E.embed_backfill(r, "agent_reasoning", 64)
+    return (filled.filter(F.col("reasoning_vec").isNotNull())
+            .select("id", F.posexplode(F.col("reasoning_vec").cast("array<double>")).alias("dim_index", "value"))
+            .select("id", F.col("dim_index").cast("int").alias("dim_index"), F.round("value", 6).alias("value")))
