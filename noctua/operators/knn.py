@@ -150,12 +150,28 @@ def _pairs_kernel(threshold: float):
     return fn
 
 
+def _packed_pairs_kernel(threshold: float):
+    """Many (key, block pair) sub-groups per pandas call (one Arrow round
+    trip for many small buckets)."""
+    one = _pairs_kernel(threshold)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [one(g) for _, g in pdf.groupby(["_key", "_lo", "_hi"], sort=False)]
+        parts = [p for p in parts if len(p)]
+        if not parts:
+            return pd.DataFrame({"id_a": pdf["id"].iloc[:0], "id_b": pdf["id"].iloc[:0], "distance": np.zeros(0)})
+        return pd.concat(parts, ignore_index=True)
+    return fn
+
+
 def near_pairs(df: DataFrame, threshold: float, *, id_col: str = "id", vec_col: str = "vec",
-               block_rows: int = DEFAULT_BLOCK_ROWS, key: str | None = None) -> DataFrame:
+               block_rows: int = DEFAULT_BLOCK_ROWS, key: str | None = None, pack_rows: int = 4 * DEFAULT_BLOCK_ROWS) -> DataFrame:
     """All pairs (id_a < id_b) with cosine distance strictly below
     `threshold`; exact, by upper-triangular block pairs.  With `key`, only
-    pairs sharing the key are compared (blocks are formed per key, so a key
-    holding a third of the rows is split, never sent whole to one task)."""
+    pairs sharing the key are compared: blocks are formed per key (a key
+    holding a third of the rows is split, never sent whole to one task), and
+    small (key, block pair) groups are packed about `pack_rows` rows per
+    pandas call so that many tiny keys do not cost one call each."""
     base = (df.filter(F.col(vec_col).isNotNull())
             .select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
                     (F.col(key) if key else F.lit(0)).alias("_key")))
@@ -170,5 +186,9 @@ def near_pairs(df: DataFrame, threshold: float, *, id_col: str = "id", vec_col:
     x = (b.select("_key", "id", "v", "_b", other)
          .select("_key", "id", "v", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")))
     id_t = df.schema[id_col].dataType.simpleString()
-    return (x.groupBy("_key", "_lo", "_hi")
-            .applyInPandas(_pairs_kernel(threshold), f"id_a {id_t}, id_b {id_t}, distance double"))
+    schema = f"id_a {id_t}, id_b {id_t}, distance double"
+    if key is None:
+        return x.groupBy("_key", "_lo", "_hi").applyInPandas(_pairs_kernel(threshold), schema)
+    n_packs = x.select(F.greatest(F.lit(1), F.ceil(F.count("*") / pack_rows)).cast("int")).scalar()
+    packed = x.withColumn("_pack", F.pmod(F.xxhash64("_key", "_lo", "_hi"), n_packs))
+    return packed.groupBy("_pack").applyInPandas(_packed_pairs_kernel(threshold), schema)

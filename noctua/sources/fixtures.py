@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import prepare, scratch_path
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -122,9 +122,15 @@ VIEW_DEPS = {
 _REGISTERED: dict[int, tuple[str, set]] = {}
 
 
-def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None, tables: list[str] | None = None) -> None:
+def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None, tables: list[str] | None = None,
+             materialize: bool = True) -> None:
     """Register the fixture views `names` (all when None) and base `tables`
-    of `sf_dir` in Spark, skipping what this session already has for it."""
+    of `sf_dir` in Spark, skipping what this session already has for it.
+
+    With `materialize` each view is written once (per session and scale) as
+    parquet under the shared checkpoint folder and re-registered over the
+    files, so jobs scan a stored table - as they would in production - instead
+    of re-planning the view's joins in every branch."""
     prepare(spark)
     key = id(spark)
     cur_dir, done = _REGISTERED.get(key, (None, set()))
@@ -140,6 +146,10 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None, t
     for v in views:
         if v not in done:
             spark.sql(f"CREATE OR REPLACE TEMP VIEW {v} AS {view_sql(v, 'spark')}")
+            if materialize:
+                path = scratch_path(spark, f"fixture-{v}")
+                spark.table(v).write.parquet(path)
+                spark.read.parquet(path).createOrReplaceTempView(v)
             done.add(v)
     _REGISTERED[key] = (sf_dir, done)
 
