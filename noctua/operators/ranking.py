@@ -86,16 +86,19 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id
 
 
 def hybrid_candidates(queries: DataFrame, tickets: DataFrame, *, retrieve_n: int = 10, use_text: bool = True,
-                      subcategory_col: str | None = None, query_id="query_id", query_vec="query_vec",
+                      subcategory_col: str | None = None, subcategory: str | None = None,
+                      query_id="query_id", query_vec="query_vec",
                       query_text="query_text", ticket_id="ticket_id", ticket_vec="embedding",
                       summary="summary") -> DataFrame:
-    """Vector candidates (retrieve_n by distance, optionally within the query's
-    subcategory) with the BM25 text score on the summary divided by the max
-    over the query's candidates (a max of 0 divides by 1).
+    """Vector candidates (retrieve_n by distance; within one `subcategory`
+    when given, or within each query's own `subcategory_col`) with the BM25
+    text score on the summary divided by the max over the query's candidates
+    (a max of 0 divides by 1).  BM25 statistics stay over all summaries.
 
     -> (query_id, doc_id, similarity, vec_rank, ft_norm)"""
     same = (subcategory_col, "subcategory") if subcategory_col else None
-    cands = knn_join(queries, tickets, retrieve_n, query_id=query_id, query_vec=query_vec,
+    corpus = tickets.filter(F.col("subcategory") == F.lit(subcategory)) if subcategory else tickets
+    cands = knn_join(queries, corpus, retrieve_n, query_id=query_id, query_vec=query_vec,
                      corpus_id=ticket_id, corpus_vec=ticket_vec, same_key=same)
     cands = cands.select("query_id", F.col("neighbour_id").alias("doc_id"), "similarity", F.col("rank").alias("vec_rank"))
     if use_text:
@@ -121,12 +124,14 @@ def hybrid_rank(cands: DataFrame, alpha: float, top_n: int) -> DataFrame:
 
 def hybrid_rerank(queries: DataFrame, tickets: DataFrame, *, top_n: int = 10, retrieve_n: int = 10,
                   alpha: float = 0.7, use_text: bool = True, subcategory_col: str | None = None,
+                  subcategory: str | None = None,
                   query_id="query_id", query_vec="query_vec", query_text="query_text",
                   ticket_id="ticket_id", ticket_vec="embedding", summary="summary") -> DataFrame:
     """Vector candidates re-scored with normalised BM25 text relevance.
     If top_n > retrieve_n only retrieve_n rows return."""
     cands = hybrid_candidates(queries, tickets, retrieve_n=retrieve_n, use_text=use_text,
-                              subcategory_col=subcategory_col, query_id=query_id, query_vec=query_vec,
+                              subcategory_col=subcategory_col, subcategory=subcategory,
+                              query_id=query_id, query_vec=query_vec,
                               query_text=query_text, ticket_id=ticket_id, ticket_vec=ticket_vec, summary=summary)
     ranked = hybrid_rank(cands, alpha, top_n)
     meta = tickets.drop(ticket_vec)

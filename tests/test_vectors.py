@@ -110,3 +110,15 @@ def test_hybrid_rank_ties_keep_vector_order_and_zero_max_divides_by_one(spark):
                               "query_id long, doc_id long, similarity double, vec_rank long, ft_norm double")
     got = [(r.doc_id, r.hybrid_score) for r in hybrid_rank(c, 0.7, 2).orderBy("rank").collect()]
     assert got == [(10, 0.35), (11, 0.35)]
+
+
+def test_hybrid_fixed_subcategory_filters_candidates_but_not_text_statistics(spark):
+    from noctua.operators.ranking import hybrid_rerank
+    t = spark.createDataFrame([
+        (1, "A", "fiber cut", [1.0, 0.0]), (2, "B", "fiber cut", [1.0, 0.01]),
+        (3, "A", "power", [0.9, 0.1]), (4, "B", "power loss", [0.0, 1.0])],
+        "ticket_id long, subcategory string, summary string, embedding array<float>")
+    q = spark.createDataFrame([(100, [1.0, 0.0], "fiber")], "query_id long, query_vec array<double>, query_text string")
+    got = hybrid_rerank(q, t, top_n=5, retrieve_n=5, subcategory="A").orderBy("rank").collect()
+    assert [r.ticket_id for r in got] == [1, 3]
+    assert got[0].hybrid_score == round(0.7 * 1.0 + 0.3 * 1.0, 4)
