@@ -12,18 +12,24 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def as_of_col(as_of, df: DataFrame | None = None, ts_col: str | None = None) -> Column:
+def as_of_col(as_of, df: DataFrame | None = None, ts_col: str | None = None, lazy: bool = False) -> Column:
     """The fixed `now` of one run, as a Column.
 
-    A datetime/str becomes a literal (prunes partitions, pushes to the scan);
-    None means "latest event time in `df`", planned as a scalar subquery
-    (one tiny aggregate, nothing collected to the driver)."""
+    A datetime/str becomes a literal.  None means "latest event time in
+    `df`": resolved by one single-column aggregate into a literal, so the
+    time-window filters built on it are pushed into the Parquet scan (row
+    group skipping, partition pruning) instead of scanning all history.
+    Only that one scalar passes through the driver.  `lazy=True` keeps it a
+    scalar subquery inside the plan instead."""
     if isinstance(as_of, Column):
         return as_of
     if as_of is None:
         if df is None or ts_col is None:
             raise ValueError("as_of is required")
-        return df.select(F.max(ts_col)).scalar()
+        if lazy:
+            return df.select(F.max(ts_col)).scalar()
+        value = df.select(F.max(ts_col).alias("_m")).first()["_m"]
+        return F.lit(value).cast(df.select(F.col(ts_col)).schema[0].dataType)
     if isinstance(as_of, str):
         as_of = _dt.datetime.fromisoformat(as_of)
     return F.lit(as_of)
