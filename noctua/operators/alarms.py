@@ -79,6 +79,34 @@ class Triage:
     marked_alarms: DataFrame
     checkpoints: DataFrame
     evidence: DataFrame
+    window: DataFrame | None = None
+    alarms: DataFrame | None = None
+    as_of: object = None
+    lookback_hours: int = 6
+
+    def materialize(self) -> "Triage":
+        """Compute the incident aggregate once (reliable checkpoint into the
+        shared folder) and derive the other outputs from it, so writing all
+        of them scans and aggregates the alarms once."""
+        inc = self.incidents.checkpoint()
+        refs = inc.select("element_id", "incident_ref")
+        evidence = (self.window.join(refs, "element_id")
+                    .select("incident_ref", F.col("id").alias("alarm_id"), "ts", "element_id"))
+        marked = mark_alarms(self.alarms, refs, self.as_of, self.lookback_hours)
+        return Triage(inc, marked, triage_checkpoints(inc), evidence, self.window, self.alarms, self.as_of,
+                      self.lookback_hours)
+
+
+def write_triage(t: Triage, base: str, version: int) -> dict:
+    """Sink for D1: incidents, checkpoints and evidence as new snapshot
+    versions under `base`, plus the next snapshot of the alarm table."""
+    from ..sources.tables import write_snapshot
+    m = t.materialize()
+    out = {}
+    for name, df in (("incidents", m.incidents), ("agent_reasoning", m.checkpoints),
+                     ("evidence", m.evidence), ("network_alarms", m.marked_alarms)):
+        out[name] = write_snapshot(df, f"{base.rstrip('/')}/{name}", version)
+    return out
 
 
 def correlate_alarms(alarms: DataFrame, as_of=None, min_alarms: int = 5, lookback_hours: int = 6,
@@ -129,7 +157,7 @@ def correlate_alarms(alarms: DataFrame, as_of=None, min_alarms: int = 5, lookbac
                 .select("incident_ref", F.col("id").alias("alarm_id"), "ts", "element_id"))
     marked = mark_alarms(alarms, refs, now, lookback_hours)
     checkpoints = triage_checkpoints(incidents)
-    return Triage(incidents, marked, checkpoints, evidence)
+    return Triage(incidents, marked, checkpoints, evidence, window, alarms, now, lookback_hours)
 
 
 def mark_alarms(alarms: DataFrame, refs: DataFrame, as_of, lookback_hours: int) -> DataFrame:

@@ -145,3 +145,15 @@ def test_hot_element_matches_plain_computation_and_is_pre_aggregated(spark):
     assert got == want
     plan = t.incidents._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "CartesianProduct" not in plan
+
+
+def test_write_triage_writes_all_outputs_from_one_aggregate(spark, tmp_out):
+    from noctua.sources.tables import read_latest
+    rows = [_a(i, "W1", "S", i) for i in range(4)] + [_a(10, "W2", "S", 1)]
+    t = A.correlate_alarms(_alarms(spark, rows), T0 + dt.timedelta(hours=1), min_alarms=3)
+    paths = A.write_triage(t, tmp_out, 1)
+    assert set(paths) == {"incidents", "agent_reasoning", "evidence", "network_alarms"}
+    assert read_latest(spark, f"{tmp_out}/incidents").count() == 1
+    assert read_latest(spark, f"{tmp_out}/evidence").count() == 4
+    marked = {r.id: r.correlated_incident for r in read_latest(spark, f"{tmp_out}/network_alarms").collect()}
+    assert marked[10] is None and marked[0] == "INC-W1-202401011200"
