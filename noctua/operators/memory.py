@@ -121,3 +121,11 @@ def decay_memory(memory: DataFrame, as_of=None, half_life_days: int = 30, grace_
                       F.when(dec, new).alias("new_confidence"),
                       F.when(dec, new < tuning.routing_confidence_gate).alias("will_lose_routing"),
                       F.when(dec, F.substring("content", 1, 60)).alias("snippet"))
+
+
+def apply_decay(memory: DataFrame, plan: DataFrame) -> DataFrame:
+    """D17 with dry_run=False: next memory snapshot with the decayed
+    confidences (S4); last_reinforced_at is untouched, so runs compound."""
+    from ..sources.tables import update_columns
+    changes = plan.filter(F.col("action") == "decay").select("id", F.col("new_confidence").alias("confidence"))
+    return update_columns(memory, changes, ["id"], ["confidence"])

@@ -86,3 +86,24 @@ def remediate(incidents: DataFrame, memory: DataFrame, runbooks: DataFrame, tuni
     new_runbooks = apply_runbook_outcomes(runbooks, outcomes) if auto_resolve else runbooks
     status = decisions.select("incident_ref", F.col("new_status").alias("status"))
     return Remediation(decisions, checkpoints, patterns, new_runbooks, status)
+
+
+def write_remediation(r: Remediation, incidents: DataFrame, base: str, version: int, as_of=None) -> dict:
+    """D18 write-back as new snapshot versions under `base`: incident status
+    (S4), the runbook table with outcomes (D15), and the appended
+    checkpoints and accepted patterns (S5, write control D13)."""
+    from ..sources.tables import append, update_columns, write_snapshot
+    from .memory import gated_patterns
+    root = base.rstrip("/")
+    out = {
+        "incidents": write_snapshot(update_columns(incidents, r.incident_status, ["incident_ref"], ["status"]),
+                                    f"{root}/incidents", version),
+        "runbook_memory": write_snapshot(r.runbooks, f"{root}/runbook_memory", version),
+    }
+    append(r.checkpoints.withColumn("batch_version", F.lit(int(version))), f"{root}/agent_reasoning")
+    accepted = r.patterns.filter("accepted").drop("accepted")
+    append(gated_patterns(accepted, as_of if as_of is not None else F.current_timestamp()).withColumn(
+        "batch_version", F.lit(int(version))), f"{root}/incident_memory_new")
+    out["agent_reasoning"] = f"{root}/agent_reasoning"
+    out["incident_memory_new"] = f"{root}/incident_memory_new"
+    return out

@@ -109,3 +109,37 @@ def test_connected_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (4, 3)], "id_a long, id_b long")
     got = {r.id: r.component for r in connected_components(e).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10}
+
+
+def test_apply_decay_updates_only_decayed_rows(spark):
+    as_of = dt.datetime(2024, 3, 1)
+    rows = [(1, "x", 0.9, as_of - dt.timedelta(days=3), None, "active", None),
+            (3, "x", 0.9, as_of - dt.timedelta(days=300), as_of - dt.timedelta(days=30), "active", None)]
+    mem = spark.createDataFrame(rows, "id long, content string, confidence double, created_at timestamp_ntz, "
+                                      "last_reinforced_at timestamp_ntz, status string, superseded_by long")
+    nxt = {r.id: r.confidence for r in M.apply_decay(mem, M.decay_memory(mem, as_of)).collect()}
+    assert nxt == {1: 0.9, 3: 0.45}
+
+
+def test_write_remediation(spark, tmp_out):
+    from noctua.operators.remediate import remediate, write_remediation
+    from noctua.sources.tables import read_latest
+    inc = spark.createDataFrame([("I1", "E1", "L1", "t", "major", 0.7, "open", [1.0, 0.0]),
+                                 ("I2", "E2", "L2", "t", "major", 0.0, "open", [0.0, 1.0])],
+                                "incident_ref string, element_id string, subcategory string, title string, severity string, "
+                                "anomaly_score double, status string, signature_vec array<double>")
+    mem = spark.createDataFrame([(1, "global", "pattern", "c", 0.9, 1, "active", None, [1.0, 0.0])],
+                                "id long, scope string, category string, content string, confidence double, "
+                                "evidence_count long, status string, superseded_by long, memory_vec array<double>")
+    rb = spark.createDataFrame([(7, "reset", "t", "[]", 0.6, 0, 0, "active", None, [1.0, 0.05])],
+                               "id long, title string, trigger_condition string, steps string, confidence double, "
+                               "success_count long, fail_count long, status string, superseded_by long, runbook_vec array<double>")
+    r = remediate(inc, mem, rb)
+    paths = write_remediation(r, inc, tmp_out, 1, dt.datetime(2024, 1, 1))
+    status = {x.incident_ref: x.status for x in read_latest(spark, f"{tmp_out}/incidents").collect()}
+    assert status == {"I1": "resolved", "I2": "investigating"}
+    rbn = read_latest(spark, f"{tmp_out}/runbook_memory").collect()[0]
+    assert rbn.success_count == 1 and rbn.confidence == 1.0
+    assert spark.read.parquet(paths["agent_reasoning"]).count() == 2
+    pats = spark.read.parquet(paths["incident_memory_new"]).collect()
+    assert len(pats) == 1 and pats[0].confidence == 0.85
