@@ -21,7 +21,8 @@ from ..streaming.embed import stream_embed
 from .catalog import ORACLES, query
 from .q_eval import q_embed_backfill  # noqa: F401  (registers the shared oracle)
 
-WINDOW = "15 minutes"
+WINDOW_HOURS = 6        # tumbling window size
+SESSION_GAP_HOURS = 1   # session gap
 WATERMARK_MIN = 10
 STREAM_MIN_ALARMS = 3
 
@@ -47,12 +48,13 @@ def replay_files(spark, df, order_col: str, name: str, n_files: int = 4) -> str:
 
 
 def _run_correlate(spark, sf_dir, mode: str):
+    size = f"{WINDOW_HOURS} hours" if mode == "tumbling" else f"{SESSION_GAP_HOURS} hours"
     alarms = view(spark, sf_dir, "v_alarms")
     src = replay_files(spark, alarms, "ts", "alarms")
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).parquet(src)
     out, ckpt = scratch_path(spark, "stream-incidents"), scratch_path(spark, "stream-ckpt")
-    q = stream_correlate(stream, out, ckpt, mode=mode, size=WINDOW, watermark=f"{WATERMARK_MIN} minutes",
+    q = stream_correlate(stream, out, ckpt, mode=mode, size=size, watermark=f"{WATERMARK_MIN} minutes",
                          min_alarms=STREAM_MIN_ALARMS, tuning=DEFAULT_TUNING)
     q.awaitTermination()
     res = spark.read.parquet(out)
@@ -99,17 +101,18 @@ FROM base b JOIN dom d USING (element_id, window_start) LEFT JOIN sc s USING (el
 WHERE b.window_end < a.max_ts - INTERVAL {WATERMARK_MIN} MINUTE"""
 
 
-_TUMBLING = """g AS (SELECT element_id, ts, id, severity, alarm_type, metric, value,
-             time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS window_end
+_TUMBLING = f"""g AS (SELECT element_id, ts, id, severity, alarm_type, metric, value,
+             time_bucket(INTERVAL {WINDOW_HOURS} HOUR, ts) AS window_start,
+             time_bucket(INTERVAL {WINDOW_HOURS} HOUR, ts) + INTERVAL {WINDOW_HOURS} HOUR AS window_end
       FROM v_alarms)"""
 
-_SESSION = """o AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY element_id ORDER BY ts, id) IS NULL
-                          OR ts - lag(ts) OVER (PARTITION BY element_id ORDER BY ts, id) >= INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS brk
+_SESSION = f"""o AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY element_id ORDER BY ts, id) IS NULL
+                          OR ts - lag(ts) OVER (PARTITION BY element_id ORDER BY ts, id) >= INTERVAL {SESSION_GAP_HOURS} HOUR THEN 1 ELSE 0 END AS brk
       FROM v_alarms),
 s0 AS (SELECT *, sum(brk) OVER (PARTITION BY element_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS sid FROM o),
 g AS (SELECT element_id, ts, id, severity, alarm_type, metric, value,
              min(ts) OVER (PARTITION BY element_id, sid) AS window_start,
-             max(ts) OVER (PARTITION BY element_id, sid) + INTERVAL 15 MINUTE AS window_end FROM s0)"""
+             max(ts) OVER (PARTITION BY element_id, sid) + INTERVAL {SESSION_GAP_HOURS} HOUR AS window_end FROM s0)"""
 
 
 @query("stream_correlate", with_views(["v_alarms"], _stream_sql(_TUMBLING)))

@@ -37,8 +37,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def ship_code() -> None:
+    """Pickle this package's functions by value into Python UDF closures, so
+    executors run the pandas kernels without the package installed there."""
+    import sys
+
+    from pyspark import cloudpickle
+    pkg = sys.modules[__name__.rsplit(".", 1)[0]]
+    cloudpickle.register_pickle_by_value(pkg)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to an existing session (idempotent)."""
+    ship_code()
     for k, v in SQL_SETTINGS.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
