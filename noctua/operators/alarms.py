@@ -120,10 +120,11 @@ def correlate_alarms(alarms: DataFrame, as_of=None, min_alarms: int = 5, lookbac
     window = in_window(alarms, now, lookback_hours)
     chosen = pick_groups(alarm_groups(window, min_alarms))
     totals = element_totals(window)
-    dom = dominant_type(type_histogram(window))
+    hist = type_histogram(window)
+    dom = dominant_type(hist)
     worst = worst_kpi(window)
     scored = score_anomaly(worst, "element_id", tuning, domain)
-    hist_json = (type_histogram(window).groupBy("element_id")
+    hist_json = (hist.groupBy("element_id")
                  .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
                      F.struct(F.coalesce("alarm_type", F.lit("None")), "n"))))).alias("types_json")))
     worst_json = (worst.groupBy("element_id")
