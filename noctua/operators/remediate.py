@@ -68,10 +68,10 @@ def remediate(incidents: DataFrame, memory: DataFrame, runbooks: DataFrame, tuni
         F.concat(F.lit("Incident "), F.col("incident_ref"), F.lit(" on "), F.coalesce("element_id", F.lit("None")),
                  F.lit(": "), F.coalesce("subcategory", F.lit("None")), F.lit(" sev="), F.coalesce("severity", F.lit("None")),
                  F.lit(" anomaly="), anom_txt).alias("observation"),
-        F.when(chosen, F.concat(F.lit("Apply runbook '"), F.col("rb_title"), F.lit("'")))
+        F.when(chosen, F.concat(F.lit("Apply runbook '"), F.coalesce("rb_title", F.lit("None")), F.lit("'")))
         .otherwise(F.lit("No matching runbook; escalate for manual investigation")).alias("hypothesis"),
         F.when(chosen, F.concat(F.coalesce("subcategory", F.lit("None")), F.lit(" on element resolved by runbook '"),
-                                F.col("rb_title"), F.lit("' (anomaly "), anom_txt, F.lit(").")))
+                                F.coalesce("rb_title", F.lit("None")), F.lit("' (anomaly "), anom_txt, F.lit(").")))
         .alias("pattern_content"),
     )
     checkpoints = decisions.select(

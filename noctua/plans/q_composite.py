@@ -166,7 +166,7 @@ SELECT incident_ref, element_id, path, matched_id, CASE WHEN chosen THEN rb_id E
        CASE WHEN chosen THEN 'resolved' ELSE 'investigating' END AS new_status, confidence,
        'Incident ' || incident_ref || ' on ' || coalesce(element_id, 'None') || ': ' || coalesce(subcategory, 'None') || ' sev='
          || coalesce(severity, 'None') || ' anomaly=' || coalesce(printf('%.3f', anomaly_score), 'None') AS observation,
-       CASE WHEN chosen THEN 'Apply runbook ''' || rb_title || '''' ELSE 'No matching runbook; escalate for manual investigation' END AS hypothesis,
+       CASE WHEN chosen THEN 'Apply runbook ''' || coalesce(rb_title, 'None') || '''' ELSE 'No matching runbook; escalate for manual investigation' END AS hypothesis,
        CASE WHEN chosen THEN confidence >= 0.80e0 END AS pattern_accepted
 FROM d"""))
 def q_remediate(spark, sf_dir):
