@@ -109,9 +109,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
          .select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).cast("array<double>").alias("cv"), ckey.alias("_key"))
          .filter(F.col("_key").isNotNull()))
     qb, cb = _block_counts(q, c, block_rows, qk is not None)
-    qx = qb.select("qid", "qv", "_key", F.pmod(F.xxhash64("qid"), F.col("_nq")).alias("_qb"),
+    # Both sides must group by identically typed keys: each side is hash
+    # partitioned by its own key expressions before the cogroup.
+    qx = qb.select("qid", "qv", "_key", F.pmod(F.xxhash64("qid"), F.col("_nq")).cast("int").alias("_qb"),
                    F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_cb"))
-    cx = cb.select("cid", "cv", "_key", F.pmod(F.xxhash64("cid"), F.col("_nc")).alias("_cb"),
+    cx = cb.select("cid", "cv", "_key", F.pmod(F.xxhash64("cid"), F.col("_nc")).cast("int").alias("_cb"),
                    F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_qb"))
     qid_t = queries.schema[query_id].dataType.simpleString()
     cid_t = corpus.schema[corpus_id].dataType.simpleString()

@@ -31,8 +31,19 @@ def _brute_knn(qrows, crows, k, same_key=False):
     return out
 
 
+@pytest.fixture
+def no_coalesce(spark):
+    """Keep every shuffle partition (AQE would merge small shuffles into one
+    and hide partitioning mistakes)."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, old)
+
+
 @pytest.mark.parametrize("block_rows", [7, 2048])
-def test_knn_join_matches_brute_force_across_blocks(spark, block_rows):
+def test_knn_join_matches_brute_force_across_blocks(spark, no_coalesce, block_rows):
     q, qrows = _vecs(spark, 40, 8, 1)
     c, crows = _vecs(spark, 55, 8, 2, start=1000)
     got = knn_join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), c, 5,
@@ -43,7 +54,7 @@ def test_knn_join_matches_brute_force_across_blocks(spark, block_rows):
     assert res == _brute_knn(qrows, crows, 5)
 
 
-def test_knn_join_same_key(spark):
+def test_knn_join_same_key(spark, no_coalesce):
     q, qrows = _vecs(spark, 20, 6, 3, key_mod=3)
     c, crows = _vecs(spark, 30, 6, 4, key_mod=3, start=500)
     got = knn_join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "key"), c, 3,
@@ -63,7 +74,7 @@ def test_ties_go_to_smaller_id_and_null_or_zero_vectors_never_match(spark):
 
 
 @pytest.mark.parametrize("block_rows", [6, 2048])
-def test_near_pairs_matches_brute_force(spark, block_rows):
+def test_near_pairs_matches_brute_force(spark, no_coalesce, block_rows):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(15, 6))
     rows = [(i, base[i].tolist()) for i in range(15)]
@@ -80,7 +91,7 @@ def test_near_pairs_matches_brute_force(spark, block_rows):
     assert got == want and len(want) > 0
 
 
-def test_lsh_pairs_are_exact_and_recall_is_high(spark):
+def test_lsh_pairs_are_exact_and_recall_is_high(spark, no_coalesce):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(40, 16))
     rows = [(i, base[i].tolist()) for i in range(40)]
