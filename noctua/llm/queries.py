@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, secrets, urls
+from . import langid, packing, pii, secrets, urls
 from .catalog import query
 from .common import read, span_digest, span_text
 from .oracles import OP2, OP6, OP7
@@ -33,3 +33,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[count_kind("secret_base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         span_digest(F.col("secret_base")).alias("base_sha256"), span_text(F.col("secret_spans")).alias("spans"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return told.select("doc_id", langid.fold_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
