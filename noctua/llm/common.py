@@ -18,6 +18,8 @@ from ..session import prepare, scratch_path
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
+    # rows of the text tables can be very long: keep Arrow batches small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

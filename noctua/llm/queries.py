@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, secrets, urls
+from . import jaccard, langid, packing, pii, secrets, urls
 from .catalog import query
 from .common import read, span_digest, span_text
 from .oracles import OP2, OP6, OP7
@@ -46,3 +46,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     told = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return told.select("doc_id", langid.fold_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_ngram_jaccard")
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
