@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, pii, secrets, urls
+from . import caps, jaccard, langid, packing, pii, secrets, urls
 from .catalog import query
 from .common import read, span_digest, span_text
 from .oracles import OP2, OP6, OP7
@@ -51,3 +51,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_jaccard")
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_embedding_near_dup")
+def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
