@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, jaccard, langid, packing, pii, secrets, urls
+from . import caps, jaccard, langid, mtree, packing, pii, secrets, urls
 from .catalog import query
 from .common import read, span_digest, span_text
-from .oracles import OP2, OP6, OP7
+from .oracles import OP1, OP2, OP4, OP6, OP7
 
 
 def count_kind(spans: str, kind: str):
@@ -53,6 +53,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op4_embedding_near_dup")
+@query("op4_embedding_near_dup", OP4)
 def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op1_mtree_topk", OP1)
+def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.top_k(vectors, F.col("vec_id") % 50 == 0)
