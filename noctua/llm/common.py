@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def per_worker(key: str, make):
+    """One object per Python worker process.  This package's functions travel by
+    value, so module globals would start anew with every task."""
+    store = vars(sys).setdefault("_noctua_llm", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once below the shared checkpoint folder and read it back."""
     spark = df.sparkSession

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from .common import per_worker
+
 ORDER = 4
 SAMPLE = 1800          # labelled rows per language that are drawn, by hash of the row id
 CALIBRATE = 6          # every so many of them fits temperature and rejection, the others feed the counts
@@ -39,13 +41,9 @@ SLACK = 8.0            # standard deviations above the calibrated cross-entropy
 OTHER = 0xFFFF         # stands for letters beyond the basic plane
 BLOCK_CHARS = 1_000_000
 
-_LETTERS: list = []
-
 
 def letters() -> np.ndarray:
-    if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _LETTERS[0]
+    return per_worker("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

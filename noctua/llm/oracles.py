@@ -4,7 +4,7 @@ contract's base patterns, independent of the Spark forms."""
 from __future__ import annotations
 
 from .pii import CARD_INNER, CONTEXT, CONTEXT_WORDS, IBAN, PHONE_INNER, SSN
-from .secrets import GITHUB, JWT, PRIVATE_KEY, SLACK
+from .secret_scan import GITHUB, JWT, PRIVATE_KEY, SLACK
 from .urls import BLOCKED_HOSTS, RULES
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, jaccard, langid, mtree, packing, pii, secrets, urls
+from . import caps, jaccard, langid, mtree, packing, pages, pii, secret_scan, urls
 from .catalog import query
 from .common import read, span_digest, span_text
 from .oracles import OP1, OP2, OP4, OP6, OP7
@@ -30,7 +30,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_secret_scan", OP7)
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[count_kind("secret_base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         span_digest(F.col("secret_base")).alias("base_sha256"), span_text(F.col("secret_spans")).alias("spans"))
 
@@ -62,3 +62,8 @@ def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return mtree.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import per_worker
+
 WORDS = 5
-_POWERS: list = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-_SPACE: list = []
 BASE = 0x9E3779B97F4A7C15
 # odd multipliers of the words of a shingle, from one generator
 _RNG = np.random.default_rng(20240607)
@@ -18,19 +18,18 @@ FACTORS = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.
 
 
 def powers(n: int):
-    if len(_POWERS[0]) < n:
+    known = per_worker("powers", lambda: [np.zeros(0, np.uint64), np.zeros(0, np.uint64)])
+    if len(known[0]) < n:
         size = 1 << max(n - 1, 1).bit_length()
         for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             t = np.full(size, b, np.uint64)
             t[0] = 1
-            _POWERS[k] = np.multiply.accumulate(t)
-    return _POWERS
+            known[k] = np.multiply.accumulate(t)
+    return known
 
 
 def spaces() -> np.ndarray:
-    if not _SPACE:
-        _SPACE.append(np.fromiter((chr(c).isspace() for c in range(0x110000)), bool, 0x110000))
-    return _SPACE[0]
+    return per_worker("spaces", lambda: np.fromiter((chr(c).isspace() for c in range(0x110000)), bool, 0x110000))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -15,9 +15,10 @@ from itertools import chain
 
 import numpy as np
 
+from .common import per_worker
+
 BLOCK_CHARS = 2_000_000
 KNOWN_TOKENS = 1_000_000     # memory bound of the worker's table of pre-tokens; beyond it the table starts anew
-_LOADED: dict = {}
 
 LETTER, NUMBER, SPACE = 1, 2, 3
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -159,6 +160,4 @@ class TextEncoder:
 
 def encoder(path: str | None = None) -> TextEncoder:
     """One encoder per Python worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = TextEncoder(path)
-    return _LOADED[path]
+    return per_worker(f"encoder {path}", lambda: TextEncoder(path))

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .common import per_worker
+
 # ---- fixed values: the rules of the contract and the sites the default list blocks ----
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 BLOCKED_HOSTS = ["adult-x.example.com", "spam-farm.example.com", "cheap-pills.example.com", "ads-track.example.com",
@@ -40,7 +42,6 @@ BLOCKED_HOSTS = ["adult-x.example.com", "spam-farm.example.com", "cheap-pills.ex
 # ---- end of fixed values ----
 
 BROADCAST_BOUND = 256 * 1024 * 1024      # index bytes; a larger list takes the join
-_MAPPED: dict[str, "Digests"] = {}
 
 
 def host_path(url):
@@ -99,13 +100,6 @@ class Digests:
         return out
 
 
-def mapped(name: str, data: bytes) -> Digests:
-    if name not in _MAPPED:
-        _MAPPED.clear()
-        _MAPPED[name] = Digests(data)
-    return _MAPPED[name]
-
-
 def candidates(host: str, path: str, max_labels: int, lengths: list[int]):
     """(host suffix, path prefix) pairs an entry could equal, longest string first."""
     labels = host.split(".") if host else []
@@ -138,7 +132,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules=None, blocked: list | Non
     name = xxhash.xxh64_hexdigest(data)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = mapped(name, shipped.value)
+        index = per_worker(f"digests {name}", lambda: Digests(shipped.value))
         for pdf in batches:
             strings, owner, kinds, plain = [], [], [], []
             for i, (h, p) in enumerate(zip(pdf["host"], pdf["path"])):
