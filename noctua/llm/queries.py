@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, jaccard, langid, mtree, packing, pages, pii, secret_scan, urls
+from . import caps, jaccard, langid, mtree, packing, pages, pii, secret_scan, segment, urls
 from .catalog import query
 from .common import read, span_digest, span_text
 from .oracles import OP1, OP2, OP4, OP6, OP7
@@ -67,3 +67,11 @@ def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_text")
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op3_sampled_segmentation")
+def op3_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    sampled = segment.encode(docs, keep=("text_hash",)).withColumn("ids_crc32", F.crc32("pieces"))
+    return segment.decode(sampled).select("doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "log_inclusion",
+                                          (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
