@@ -1,7 +1,68 @@
-"""Corpus pipeline: language ID, n-gram Jaccard join, secret scan, packing."""
-STAGES = []
+"""Corpus pipeline: language ID, n-gram Jaccard join, secret scan, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept; all but the last return the columns of `documents`.  Between stages the
+rows are written as Parquet below `spark.checkpoint.dir` and read again.
+
+Cases: documents with a null or empty text or without letters leave in the first
+stage; rows with a null doc_id are never merged with others; of rows that
+share a doc_id one stays; clashing extra columns are carried along where the
+stage returns the columns of its input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noctua.llm import jaccard, langid, packing, secret_scan
+from noctua.llm.common import read, stored
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go; a missing language is filled in."""
+    told = langid.predict(docs, langid.fit(docs)).filter(~F.col("rejected"))
+    return told.withColumn("lang", F.coalesce("lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred")))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies stays: the smallest doc_id."""
+    judged = jaccard.jaccard_join(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    kept = docs.join(judged, "doc_id", "left_semi")
+    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
+    if not ids.filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the text are replaced by a mark; every document stays."""
+    clean = secret_scan.redact(secret_scan.scan(docs))
+    changed = F.size("secret_spans") > 0
+    return clean.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                                     "sequence_id", "offset")
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+# trained models, token ids and approximate joins cannot be stated in SQL; tests compare with a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
+    return docs

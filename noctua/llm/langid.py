@@ -149,6 +149,14 @@ class Model:
         return n, top, score, far
 
 
+def restored(state: dict | None) -> Model | None:
+    if state is None:
+        return None
+    model = Model(state["langs"], state["tables"])
+    vars(model).update(state)
+    return model
+
+
 def find(sorted_keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(sorted_keys):
         return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
@@ -221,11 +229,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    shipped = rows.sparkSession.sparkContext.broadcast(vars(model))     # plain values: executors need no import
     k = len(model.langs)
 
     def measure(batches):
-        m = shipped.value
+        m = restored(shipped.value)
         for pdf in batches:
             texts = pdf["text"].tolist()
             n, h, v = m.entropy(texts)
@@ -261,10 +269,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     kept = [c for c in docs.columns if c not in added]
     src = docs.select(*kept)
     schema = StructType(src.schema.fields + [StructField(k, t) for k, t in added.items()])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shipped.value
+        m = restored(shipped.value)
         for pdf in batches:
             body = [t if isinstance(t, str) else "" for t in pdf[text]]
             lang, score, gone = [], [], []
