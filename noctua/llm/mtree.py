@@ -164,49 +164,69 @@ class Tree:
             else:
                 self.pages[r.page] = (False, lifted(ints, top), parent, np.frombuffer(r.radius, "<f8"), np.frombuffer(r.child, "<i8"), None)
 
-    def search(self, own: int, q: np.ndarray, k: int, floor) -> list[tuple[int, int]]:
-        """The k best (-score, id); only scores >= floor can matter."""
-        lift = np.append(q.astype(np.float64), 0.0)
-        base = float((lift * lift).sum()) + self.top
-        best: list[tuple[int, int]] = []
-        least = floor
-
-        def reach():       # largest distance that can still matter
-            return np.inf if least is None else np.sqrt(max(base - 2.0 * least, 0.0)) + EPS
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
+        """The k best (-score, id) of every query row; only scores >= its floor can matter.
+
+        Best-first for all queries of the block: the page with the smallest lower
+        bound of any query is opened next, for those queries whose own bound still
+        reaches it; the others, and entries that the stored parent distance
+        excludes for every one of them, cost no computation."""
+        lift = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
+        base = (lift * lift).sum(axis=1) + self.top
+        best: list[list[tuple[int, int]]] = [[] for _ in range(len(q))]
+        least = floor.copy()                                   # -inf: nothing known yet
+
+        def reach(rows):       # largest distance that can still matter
+            with np.errstate(invalid="ignore"):
+                return np.sqrt(np.maximum(base[rows] - 2.0 * least[rows], 0.0)) + EPS
+
+        def far(x, rows):      # distances rows x entries
+            d = (lift[rows] ** 2).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2.0 * (lift[rows] @ x.T)
+            return np.sqrt(np.maximum(d, 0.0))
 
         _, x, _, radius, child, _ = self.pages[0]
-        d = float(distance(x, lift)[0])
-        heap = [(max(d - radius[0], 0.0), int(child[0]), d)]
+        everyone = np.arange(len(q))
+        d = far(x, everyone)[:, 0]
+        low = np.maximum(d - radius[0], 0.0)
+        heap = [(float(low.min()), int(child[0]), everyone, low, d)]
         while heap:
-            low, page, dq = heapq.heappop(heap)
-            limit = reach()
-            if low > limit:
-                break
+            _, page, rows, low, dq = heapq.heappop(heap)
+            go = low <= reach(rows)
+            if not go.any():
+                continue
+            rows, dq = rows[go], dq[go]
             leaf, x, parent, radius, child, ids = self.pages[page]
             # |d(q, parent) - d(entry, parent)| bounds d(q, entry) without computing it
-            bound = np.abs(dq - parent) - (0.0 if leaf else radius)
-            at = np.flatnonzero(bound <= limit + EPS)
+            bound = np.abs(dq[:, None] - parent[None]) - (0.0 if leaf else radius[None])
+            near = bound <= (reach(rows) + EPS)[:, None]
+            at = np.flatnonzero(near.any(axis=0))
             if not len(at):
                 continue
             if leaf:
-                score = x[at] @ q
-                ok = np.flatnonzero(score >= least) if least is not None else np.arange(len(at))
-                for j in ok[np.argsort(-score[ok], kind="stable")]:
-                    s = int(score[j])
-                    if least is not None and s < least:
-                        break
-                    best += [(-s, int(i)) for i in ids[at[j]] if i != own]
-                    best.sort()
-                    del best[k:]
-                    if len(best) == k:
-                        least = -best[-1][0] if least is None else max(least, -best[-1][0])
+                score = (q[rows] @ x[at].T).astype(np.float64)
+                score[~near[:, at]] = -np.inf
+                cut = least[rows]
+                if len(at) > k + 1:                            # ties at the cut stay in
+                    cut = np.maximum(cut, -np.partition(-score, k, axis=1)[:, k])
+                for r, j in zip(*np.nonzero((score >= cut[:, None]) & (score > -np.inf))):
+                    i, mine = rows[r], best[rows[r]]
+                    mine += [(-int(score[r, j]), int(e)) for e in ids[at[j]] if e != own[i]]
+                for i in rows:
+                    mine = best[i]
+                    if len(mine) >= k:
+                        mine.sort()
+                        del mine[k:]
+                        least[i] = max(least[i], -mine[-1][0])
             else:
-                d = distance(x[at], lift)
-                for j, dj in zip(at, d):
-                    lb = max(dj - radius[j], 0.0)
-                    if lb <= limit:
-                        heapq.heappush(heap, (lb, int(child[j]), float(dj)))
-        return best
+                d = far(x[at], rows)
+                lower = np.maximum(d - radius[at][None], 0.0)
+                lower[~near[:, at]] = np.inf
+                open_ = lower <= reach(rows)[:, None]
+                for c, j in enumerate(at):
+                    some = np.flatnonzero(open_[:, c])
+                    if len(some):
+                        heapq.heappush(heap, (float(lower[some, c].min()), int(child[j]), rows[some], lower[some, c], d[some, c]))
+        return [sorted(m)[:k] for m in best]
 
 
 def visit(pages: DataFrame, asked: DataFrame, dim: int, top: float, k: int) -> DataFrame:
@@ -216,15 +236,18 @@ def visit(pages: DataFrame, asked: DataFrame, dim: int, top: float, k: int) -> D
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            tree = Tree(left, dim, top)
             t = int(left["tree"].iat[0])
-            for r in right.itertuples():
-                floor = None if pd.isna(r.floor) else int(r.floor)
-                out += [(int(r.query_id), t, i, -s) for s, i in tree.search(int(r.query_id), np.frombuffer(r.vec, "<i8"), k, floor)]
+            own = right["query_id"].to_numpy(np.int64)
+            floor = right["floor"].astype("float64").fillna(-np.inf).to_numpy()
+            for i, found in zip(own, Tree(left, dim, top).search(own, vectors_of(right["vec"], dim), k, floor)):
+                out += [(int(i), t, e, -s) for s, e in found]
         return pd.DataFrame(out, columns=["query_id", "tree", "vec_id", "score"]).astype("int64")
 
+    # as many tasks as the session shuffles to: the work is in the search, not in the bytes
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copies = pages.join(pairs, pages["tree"] == pairs["_t"]).drop("_t")
-    return (copies.groupBy("tree", "part").cogroup(asked.groupBy("tree", "block"))
+    return (copies.repartition(n, "tree", "part").groupBy("tree", "part")
+            .cogroup(asked.repartition(n, "tree", "block").groupBy("tree", "block"))
             .applyInPandas(search, "query_id long, tree long, vec_id long, score long"))
 
 
