@@ -1,5 +1,5 @@
 """Scalar column functions (F1-F15).  All are built-in Spark expressions, so
-they stay inside whole-stage codegen."""
+built-in functions only (higher-order ones are interpreted, the rest compiled)."""
 
 from __future__ import annotations
 
@@ -69,31 +69,11 @@ def empty_text(c) -> Column:
     return F.coalesce(_c(c).cast("string"), F.lit(""))
 
 
-def py_float_text(c) -> Column:
-    """Text of a double the way Python prints it for values in [1e-3, 1e7)."""
-    return none_text(_c(c).cast("double"))
-
-
 def fmt2(c) -> Column:
     """Two-decimal text (`{x:.2f}`)."""
     return F.format_string("%.2f", _c(c).cast("double"))
 
 
-def dot(a, b) -> Column:
-    """Dot product of two numeric arrays, in double."""
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
-def norm(a) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def cosine_similarity(a, b) -> Column:
-    """1 - cosine distance (interpreted; use the kNN operators for volume)."""
-    return dot(a, b) / (norm(a) * norm(b))
-
-
 def decay_factor(days, half_life) -> Column:
     """F8: exp(-ln2 * days / half_life)."""
     return F.exp(-F.log(F.lit(2.0)) * _c(days).cast("double") / F.lit(float(half_life)))

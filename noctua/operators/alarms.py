@@ -98,15 +98,26 @@ class Triage:
 
 
 def write_triage(t: Triage, base: str, version: int) -> dict:
-    """Sink for D1: incidents, checkpoints and evidence as new snapshot
-    versions under `base`, plus the next snapshot of the alarm table."""
-    from ..sources.tables import write_snapshot
+    """Sink for D1.  The incident table is the previous snapshot with this
+    run's incidents upserted on incident_ref (a known incident changes only its
+    count, score and breakdown; its status and history stay); checkpoints and
+    evidence are appended as this version's batch; the alarm table gets its
+    next snapshot.  A replay of a version writes the same rows again."""
+    from ..sources.tables import append_batch, read_latest, upsert, write_snapshot
     m = t.materialize()
-    out = {}
-    for name, df in (("incidents", m.incidents), ("agent_reasoning", m.checkpoints),
-                     ("evidence", m.evidence), ("network_alarms", m.marked_alarms)):
-        out[name] = write_snapshot(df, f"{base.rstrip('/')}/{name}", version)
-    return out
+    root = base.rstrip("/")
+    before = read_latest(m.incidents.sparkSession, f"{root}/incidents", below=version)
+    incidents = m.incidents
+    if before is not None:
+        changing = [c for c in ("alarm_count", "anomaly_score", "anomaly_breakdown") if c in before.columns]
+        incidents = upsert(before, incidents, ["incident_ref"], changing)
+    return {
+        "incidents": write_snapshot(incidents, f"{root}/incidents", version),
+        "agent_reasoning": append_batch(m.checkpoints, f"{root}/agent_reasoning", version),
+        "evidence": append_batch(m.evidence, f"{root}/evidence", version),
+        "network_alarms": write_snapshot(m.marked_alarms, f"{root}/network_alarms", version),
+    }
+
 
 
 def correlate_alarms(alarms: DataFrame, as_of=None, min_alarms: int = 5, lookback_hours: int = 6,

@@ -8,6 +8,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # Broadcast hint bound for data-dependent sides (bytes, optimizer estimate).
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
@@ -57,6 +59,13 @@ def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) ->
     return df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once as Parquet below the shared checkpoint folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def top_n(df: DataFrame, partition_by, order_by: list, n: int, rank_col: str = "rank") -> DataFrame:
     """Per-key top-n with a 1-based long rank (plans as WindowGroupLimit + Window)."""
     w = Window.partitionBy(*([partition_by] if isinstance(partition_by, (str, Column)) else partition_by)).orderBy(*order_by)

@@ -1,9 +1,8 @@
 """Text -> vector (U1) and the embedding backfill.
 
-The default encoder is signed feature hashing of the tokens, written as a
-Spark job: explode tokens, hash each token (md5: the same bits in every
-engine), partially aggregate signed counts per (row, bucket), then build the
-L2-normalised vector from at most `dim` entries per row.  It is repeatable
+The default encoder is signed feature hashing of the tokens (md5: the same
+bits in every engine) into `dim` buckets, L2-normalised, row by row in Arrow
+batches: no shuffle.  It is repeatable
 but not semantically equal to a trained sentence model.  A trained model
 plugs in through `encode_with`, which runs a batch callable under
 `mapInPandas` (loaded once per Python worker).
@@ -11,6 +10,7 @@ plugs in through `encode_with`, which runs a batch callable under
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -25,19 +25,30 @@ DEFAULT_DIM = 64
 
 
 def hashing_encode(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM, out: str = "vec") -> DataFrame:
-    """(id, text) -> (id, vec array<double>[dim]); rows without tokens get NULL."""
-    toks = df.select(id_col, F.explode(tokenize(text_col)).alias("_t"))
-    h = toks.select(id_col, F.md5("_t").alias("_m"))
-    b = h.select(id_col,
-                 (F.conv(F.substring("_m", 1, 8), 16, 10).cast("long") % dim).cast("int").alias("_b"),
-                 F.when(F.substring("_m", 9, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1)).alias("_s"))
-    per_bucket = b.groupBy(id_col, "_b").agg(F.sum("_s").cast("double").alias("_v"))
-    per_row = (per_bucket.groupBy(id_col)
-               .agg(F.map_from_entries(F.collect_list(F.struct("_b", "_v"))).alias("_map"),
-                    F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n")))
-    vec = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                              lambda i: F.coalesce(F.element_at("_map", i), F.lit(0.0)) / F.col("_n")))
-    return df.select(id_col).join(per_row.select(id_col, vec.alias(out)), id_col, "left")
+    """(id, text) -> (id, vec array<double>[dim]); rows without tokens get NULL.
+
+    A per-row function in Arrow batches: bucket and sign of every token come from
+    its md5.  No shuffle, and rows that share an id keep vectors of their own."""
+    def run(batches):
+        known: dict[str, tuple[int, float]] = {}
+        for pdf in batches:
+            rows = []
+            for tokens in pdf["_tokens"]:
+                v = np.zeros(dim)
+                for t in () if tokens is None else tokens:
+                    if t not in known:
+                        if len(known) > 500_000:            # bounded memory
+                            known.clear()
+                        h = hashlib.md5(t.encode()).hexdigest()
+                        known[t] = int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0
+                    b, sign = known[t]
+                    v[b] += sign
+                n = np.sqrt((v * v).sum())
+                rows.append((v / n).tolist() if n > 0 else None)
+            yield pd.DataFrame({id_col: pdf[id_col], out: rows})
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, tokenize(text_col).alias("_tokens")).mapInPandas(run, f"{id_col} {id_type}, {out} array<double>")
 
 
 def encode_with(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list[str]], np.ndarray],

@@ -9,8 +9,11 @@ window merges the per-block top-k lists.  Memory per task is bounded by
 block_rows^2 doubles whatever the table sizes or key skew; a key holding a
 third of the corpus is simply split into more blocks.
 
-Ordering contract (matches SQL `ORDER BY similarity DESC, id`): ties at the
-cut go to the smaller neighbour id.  NULL and zero-norm vectors never match.
+Ordering contract (SQL `ORDER BY round(similarity, 12) DESC, id`): similarities
+are rounded to 12 places in the kernel, because equal vectors in different
+blocks may differ in the last bit, and ties at the cut go to the smaller
+neighbour id.  NULL and zero-norm vectors never match, nor do vectors of
+different width.
 """
 
 from __future__ import annotations
@@ -21,6 +24,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 2048
+PLACES = 12
+
+
+def _by_width(kernel, columns: tuple[str, ...]):
+    """Run `kernel` once per vector width, so rows of another width cannot break a block."""
+    def fn(*sides: pd.DataFrame) -> pd.DataFrame:
+        widths = [side[col].map(len) for side, col in zip(sides, columns)]
+        shared = sorted(set.intersection(*(set(w) for w in widths)))
+        if len(shared) == 1 and all((w == shared[0]).all() for w in widths):
+            return kernel(*sides)
+        parts = [kernel(*(side[w == width] for side, w in zip(sides, widths))) for width in shared]
+        parts = [p for p in parts if len(p)]
+        return pd.concat(parts, ignore_index=True) if parts else kernel(*(side.iloc[:0] for side in sides))
+    return fn
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -61,7 +78,7 @@ def _knn_kernel(k: int):
             return empty
         Q, qn, qids = Q[qk], qn[qk], q["qid"].to_numpy()[qk]
         C, cn, cids = C[ck], cn[ck], c["cid"].to_numpy()[ck]
-        sims = (Q @ C.T) / np.outer(qn, cn)
+        sims = np.round((Q @ C.T) / np.outer(qn, cn), PLACES)
         picks = _topk_rows(sims, cids, k)
         rows_q, rows_c, rows_s, rows_r = [], [], [], []
         for i, idx in enumerate(picks):
@@ -120,7 +137,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
     schema = f"query_id {qid_t}, neighbour_id {cid_t}, similarity double, rank long"
     partial = (qx.groupBy("_key", "_qb", "_cb")
                .cogroup(cx.groupBy("_key", "_qb", "_cb"))
-               .applyInPandas(lambda q_, c_: _knn_kernel(k)(q_, c_), schema))
+               .applyInPandas(lambda q_, c_: _by_width(_knn_kernel(k), ("qv", "cv"))(q_, c_), schema))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("neighbour_id"))
     return (partial.withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= k))
@@ -131,6 +148,7 @@ def _pairs_kernel(threshold: float):
         empty = pd.DataFrame({"id_a": pdf["id"].iloc[:0], "id_b": pdf["id"].iloc[:0], "distance": np.zeros(0)})
         if len(pdf) < 2:
             return empty
+        pdf = pdf.reset_index(drop=True)
         lo = int(pdf["_lo"].iloc[0])
         hi = int(pdf["_hi"].iloc[0])
         V = _stack(pdf["v"])
@@ -152,10 +170,15 @@ def _pairs_kernel(threshold: float):
     return fn
 
 
+def _pairs_of_block(threshold: float):
+    one = _by_width(_pairs_kernel(threshold), ("v",))
+    return lambda pdf: one(pdf)
+
+
 def _packed_pairs_kernel(threshold: float):
     """Many (key, block pair) sub-groups per pandas call (one Arrow round
     trip for many small buckets)."""
-    one = _pairs_kernel(threshold)
+    one = _by_width(_pairs_kernel(threshold), ("v",))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [one(g) for _, g in pdf.groupby(["_key", "_lo", "_hi"], sort=False)]
@@ -190,7 +213,7 @@ def near_pairs(df: DataFrame, threshold: float, *, id_col: str = "id", vec_col:
     id_t = df.schema[id_col].dataType.simpleString()
     schema = f"id_a {id_t}, id_b {id_t}, distance double"
     if key is None:
-        return x.groupBy("_key", "_lo", "_hi").applyInPandas(_pairs_kernel(threshold), schema)
+        return x.groupBy("_key", "_lo", "_hi").applyInPandas(_pairs_of_block(threshold), schema)
     n_packs = x.select(F.greatest(F.lit(1), F.ceil(F.count("*") / pack_rows)).cast("int")).scalar()
     packed = x.withColumn("_pack", F.pmod(F.xxhash64("_key", "_lo", "_hi"), n_packs))
     return packed.groupBy("_pack").applyInPandas(_packed_pairs_kernel(threshold), schema)

@@ -3,12 +3,14 @@ approximate near-pair search by locality-sensitive hashing (J5, option c)."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_of_col, minus_interval
+from .common import as_of_col, minus_interval, stored
 from .knn import near_pairs
 
 # Retention periods in days (documented TTLs of the source schema).
@@ -44,25 +46,37 @@ def _signatures(bands: int, bits: int, seed: int):
             n = len(pdf)
             yield pd.DataFrame({
                 "id": np.repeat(pdf["id"].to_numpy(), bands),
-                "v": np.repeat(pdf["v"].to_numpy(), bands),
                 "bucket": (np.tile(np.arange(bands, dtype=np.int64), n) << bits) | keys.reshape(-1),
             })
     return run
 
 
+BUCKET_ROWS = 64      # rows of an average bucket, at any table size
+LSH_RECALL = 0.98     # at the threshold
+
+
+def lsh_design(rows: int, threshold: float) -> tuple[int, int]:
+    """(bands, bits): bits grow with log2 of the table so that buckets keep their
+    size; bands follow from the recall.  One bit agrees with p = 1 - acos(1 - d) / pi."""
+    p = 1 - math.acos(1 - threshold) / math.pi
+    bits = max(4, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS)))
+    return max(1, math.ceil(math.log(1 - LSH_RECALL) / math.log(1 - p ** bits))), bits
+
+
 def near_pairs_lsh(df: DataFrame, threshold: float, *, id_col: str = "id", vec_col: str = "vec",
-                   bands: int = 16, bits: int = 8, seed: int = 7) -> DataFrame:
+                   bands: int | None = None, bits: int | None = None, seed: int = 7) -> DataFrame:
     """Approximate J5 by SimHash banding: `bits` sign random projections per
-    band must all agree (AND), any of `bands` bands may match (OR).  A pair at
-    cosine distance d agrees on one bit with p = 1 - acos(1 - d) / pi, so it
-    is a candidate with probability 1 - (1 - p^bits)^bands (about 0.98 at
-    d = 0.15 with the defaults, 6% for unrelated vectors).  Candidates are
-    checked exactly inside each bucket with the blocked pair kernel, so
-    results are exact pairs (recall < 1, precision 1) and a hot bucket is
-    split into blocks rather than sent to one task."""
+    band must all agree (AND), any of `bands` bands may match (OR); by default
+    both follow from the row count (`lsh_design`).  Only ids and buckets are
+    shuffled; vectors are joined back for buckets of two rows or more, where
+    candidates are checked exactly with the blocked pair kernel, so results are
+    exact pairs (recall < 1, precision 1) and a hot bucket is split into blocks."""
     base = (df.filter(F.col(vec_col).isNotNull())
             .select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
+    if bands is None or bits is None:
+        bands, bits = lsh_design(base.count(), threshold)
     id_t = df.schema[id_col].dataType.simpleString()
-    sig = base.mapInPandas(_signatures(bands, bits, seed), f"id {id_t}, v array<double>, bucket long")
-    pairs = near_pairs(sig, threshold, id_col="id", vec_col="v", key="bucket")
+    sig = stored(base.mapInPandas(_signatures(bands, bits, seed), f"id {id_t}, bucket long"), "lsh")
+    met = sig.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    pairs = near_pairs(sig.join(met, "bucket").join(base, "id"), threshold, id_col="id", vec_col="v", key="bucket")
     return pairs.groupBy("id_a", "id_b").agg(F.min("distance").alias("distance"))

@@ -80,26 +80,31 @@ def gated_patterns(patterns: DataFrame, as_of, tuning: Tuning = DEFAULT_TUNING)
         "content", F.coalesce("category", F.lit("pattern")).alias("category"),
         F.coalesce("scope", F.lit("global")).alias("scope"), "confidence",
         F.lit(1).alias("evidence_count"), F.lit("active").alias("status"),
-        F.lit(None).cast("bigint").alias("superseded_by"), as_of_col(as_of).alias("last_reinforced_at"))
+        F.lit(None).cast("bigint").alias("superseded_by"), as_of_col(as_of).alias("last_reinforced_at"),
+        *[F.col("source_refs")] if "source_refs" in patterns.columns else [])
 
 
 def runbook_tallies(outcomes: DataFrame) -> DataFrame:
     """Success / fail counts per runbook."""
     return (outcomes.groupBy("runbook_id")
             .agg(F.count_if(F.col("succeeded")).alias("successes"),
-                 F.count_if(~F.col("succeeded")).alias("failures")))
+                 F.count_if(~F.col("succeeded")).alias("failures"),
+                 *[F.max("at").alias("used_at")] if "at" in outcomes.columns else []))
 
 
 def apply_runbook_outcomes(runbooks: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Add the tallies; confidence = round(s / greatest(s + f, 1), 2) for
-    runbooks with outcomes (the first outcome replaces the prior)."""
+    runbooks with outcomes (the first outcome replaces the prior).  A runbook
+    table with `last_used` gets the latest outcome time (`at`), never an earlier one."""
     t = runbook_tallies(outcomes)
     j = runbooks.join(t, runbooks["id"] == t["runbook_id"], "left")
     s = F.col("success_count") + F.coalesce("successes", F.lit(0))
     f = F.col("fail_count") + F.coalesce("failures", F.lit(0))
     conf = F.when(F.col("runbook_id").isNotNull(), F.round(s / F.greatest(s + f, F.lit(1)), 2)).otherwise(F.col("confidence"))
     return j.select(*[s.cast("long").alias(c) if c == "success_count" else f.cast("long").alias(c) if c == "fail_count"
-                      else conf.cast("double").alias(c) if c == "confidence" else F.col(c) for c in runbooks.columns])
+                      else conf.cast("double").alias(c) if c == "confidence"
+                      else F.greatest("last_used", F.col("used_at").cast(runbooks.schema[c].dataType)).alias(c)
+                      if c == "last_used" and "used_at" in t.columns else F.col(c) for c in runbooks.columns])
 
 
 def decay_memory(memory: DataFrame, as_of=None, half_life_days: int = 30, grace_days: int = 7, floor: float = 0.30,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .common import sized_broadcast
+from .common import sized_broadcast, stored, top_n
 from .knn import knn_join
 
 K1 = 1.2
@@ -28,14 +28,14 @@ def doc_postings(docs: DataFrame, id_col: str, text_col: str, materialize: bool
     """Postings (doc_id, term, tf) over non-null texts, plus one marker row
     (term '', tf 0) per document so that N, lengths and avgdl derive from the
     same table.  The corpus is scanned and tokenised once; with `materialize`
-    the postings are checkpointed (the index build), so every statistic and
+    the postings are stored as Parquet (the index build), so every statistic and
     the scoring join read the compact postings instead of the texts."""
     d = (docs.filter(F.col(text_col).isNotNull())
          .select(F.col(id_col).alias("doc_id"),
                  F.explode(F.concat(F.array(F.lit("")), tokenize(text_col))).alias("term")))
     post = (d.groupBy("doc_id", "term").agg(F.count("*").alias("_n"))
             .select("doc_id", "term", F.when(F.col("term") == "", F.lit(0)).otherwise(F.col("_n")).cast("long").alias("tf")))
-    return post.checkpoint() if materialize else post
+    return stored(post, "postings") if materialize else post
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,9 +46,11 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", query_text: str = "query_text",
          doc_id: str = "doc_id", doc_text: str = "text", pairs: DataFrame | None = None,
-         k1: float = K1, b: float = B) -> DataFrame:
+         top: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) for pairs sharing at least one term
-    (or only for `pairs` (query_id, doc_id) when given).
+    (or only for `pairs` (query_id, doc_id) when given).  With `top` only each
+    query's best `top` documents return (score rounded to 9 places, then the
+    smaller id); the rank filter also cuts the partial results per task.
 
     score = sum over shared distinct query terms of idf(t) * w(d, t) with
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)) and the document-side weight
@@ -57,8 +59,9 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
     few query terms, w to the postings), so the join carries four columns
     into one partial aggregate."""
     post = doc_postings(docs, doc_id, doc_text)
-    n_docs = post.filter(F.col("term") == "").select(F.count("*")).scalar()
-    avgdl = post.select(F.sum("tf") / n_docs).scalar()
+    # number of documents and mean length in one pass
+    size = post.agg(F.sum(F.when(F.col("term") == "", 1).otherwise(0)).alias("n"), F.sum("tf").alias("len")).first()
+    n_docs, avgdl = F.lit(size["n"] or 0), F.lit((size["len"] or 0) / max(size["n"] or 0, 1))
     lengths = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     df_t = post.filter(F.col("term") != "").groupBy("term").agg(F.count("*").alias("df"))
     qt = query_terms(queries, query_id, query_text)
@@ -73,7 +76,10 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
     else:
         weighted = post.join(lengths, "doc_id").select("doc_id", "term", w.alias("w"))
         m = sized_broadcast(q_idf).join(weighted, "term")
-    return m.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
+    scored = m.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
+    if top is None:
+        return scored
+    return top_n(scored, "query_id", [F.round("score", 9).desc(), F.col("doc_id")], top).drop("rank")
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id="query_id", query_vec="query_vec",

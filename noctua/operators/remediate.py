@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TUNING, Tuning
+from .common import as_of_col
 from .memory import apply_runbook_outcomes, recall_runbooks, recall_similar, route, write_gate
 
 
@@ -44,7 +45,8 @@ def remediate(incidents: DataFrame, memory: DataFrame, runbooks: DataFrame, tuni
               auto_resolve: bool = True) -> Remediation:
     """D18 for every open incident: route from the 3 nearest active patterns,
     apply the nearest runbook when it clears the floor (resolved, success
-    outcome, pattern offered to the write gate), else investigate."""
+    outcome, pattern offered to the write gate), else investigate.  Without
+    `auto_resolve` nothing is resolved, so no pattern and no outcome arises."""
     open_inc = incidents.filter(F.col("status") == "open")
     q = open_inc.select(F.col("incident_ref").alias("query_id"), F.col("signature_vec").alias("query_vec"))
     matches = recall_similar(q, memory, 3)
@@ -70,7 +72,7 @@ def remediate(incidents: DataFrame, memory: DataFrame, runbooks: DataFrame, tuni
                  F.lit(" anomaly="), anom_txt).alias("observation"),
         F.when(chosen, F.concat(F.lit("Apply runbook '"), F.coalesce("rb_title", F.lit("None")), F.lit("'")))
         .otherwise(F.lit("No matching runbook; escalate for manual investigation")).alias("hypothesis"),
-        F.when(chosen, F.concat(F.coalesce("subcategory", F.lit("None")), F.lit(" on element resolved by runbook '"),
+        F.when(chosen & F.lit(auto_resolve), F.concat(F.coalesce("subcategory", F.lit("None")), F.lit(" on element resolved by runbook '"),
                                 F.coalesce("rb_title", F.lit("None")), F.lit("' (anomaly "), anom_txt, F.lit(").")))
         .alias("pattern_content"),
     )
@@ -89,21 +91,30 @@ def remediate(incidents: DataFrame, memory: DataFrame, runbooks: DataFrame, tuni
 
 
 def write_remediation(r: Remediation, incidents: DataFrame, base: str, version: int, as_of=None) -> dict:
-    """D18 write-back as new snapshot versions under `base`: incident status
-    (S4), the runbook table with outcomes (D15), and the appended
-    checkpoints and accepted patterns (S5, write control D13)."""
-    from ..sources.tables import append, update_columns, write_snapshot
+    """D18 write-back under `base`: incident status (S4) and the runbook table
+    with outcomes (D15) as snapshots, the checkpoints and accepted patterns (S5,
+    write control D13) as this version's batch.  New rows carry an id (a hash of
+    content and version, so a replay repeats it), created_at, and patterns a
+    vector and their source incidents, so they can be recalled."""
+    from ..sources.tables import append_batch, update_columns, write_snapshot
+    from .encoder import hashing_encode
     from .memory import gated_patterns
+    now = as_of if as_of is not None else F.current_timestamp()
     root = base.rstrip("/")
     out = {
         "incidents": write_snapshot(update_columns(incidents, r.incident_status, ["incident_ref"], ["status"]),
                                     f"{root}/incidents", version),
         "runbook_memory": write_snapshot(r.runbooks, f"{root}/runbook_memory", version),
     }
-    append(r.checkpoints.withColumn("batch_version", F.lit(int(version))), f"{root}/agent_reasoning")
-    accepted = r.patterns.filter("accepted").drop("accepted")
-    append(gated_patterns(accepted, as_of if as_of is not None else F.current_timestamp()).withColumn(
-        "batch_version", F.lit(int(version))), f"{root}/incident_memory_new")
-    out["agent_reasoning"] = f"{root}/agent_reasoning"
-    out["incident_memory_new"] = f"{root}/incident_memory_new"
+    checkpoints = r.checkpoints.withColumns({"id": row_id("session_id", version), "created_at": as_of_col(now)})
+    out["agent_reasoning"] = append_batch(checkpoints, f"{root}/agent_reasoning", version)
+    accepted = gated_patterns(r.patterns.filter("accepted").drop("accepted"), now).withColumns(
+        {"id": row_id(F.concat_ws("|", "content", F.array_join("source_refs", ",")), version), "created_at": as_of_col(now)})
+    vectors = hashing_encode(accepted, "id", "content", out="memory_vec")
+    out["incident_memory_new"] = append_batch(accepted.join(vectors, "id"), f"{root}/incident_memory_new", version)
     return out
+
+
+def row_id(what, version: int):
+    """A repeatable positive id for a new row of one batch."""
+    return F.xxhash64(what, F.lit(int(version))).bitwiseAND(F.lit((1 << 62) - 1))

@@ -38,11 +38,11 @@ def replay_files(spark, df, order_col: str, name: str, n_files: int = 4) -> str:
     cuts = keyed.approxQuantile("_k", [i / n_files for i in range(1, n_files)], 0.001)
     bounds = [None] + cuts + [None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("_k") >= lo)
+        cond = F.lit(True) if lo is None else F.col("_k") >= lo
         if hi is not None:
             cond = cond & (F.col("_k") < hi)
+        if lo is None:
+            cond = cond | F.col("_k").isNull()          # rows without an order value arrive first
         keyed.filter(cond).drop("_k").sortWithinPartitions(order_col).write.mode("append").parquet(path)
     return path
 

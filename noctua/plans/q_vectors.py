@@ -10,7 +10,8 @@ from ..sources.fixtures import table, view, with_views
 from .catalog import query
 
 _TICKET_Q = """
-q AS (SELECT ticket_id AS query_id, cast(embedding AS DOUBLE[]) AS v, summary AS qtext FROM v_tickets_text WHERE embedding IS NOT NULL),
+q AS (SELECT ticket_id AS query_id, cast(embedding AS DOUBLE[]) AS v, b.text AS qtext FROM v_tickets_text
+      JOIN benchmark b ON b.item_id = ticket_id % (SELECT count(*) FROM benchmark) WHERE embedding IS NOT NULL),
 c AS (SELECT ticket_id AS doc_id, cast(embedding AS DOUBLE[]) AS v FROM v_tickets_text WHERE embedding IS NOT NULL),
 s AS (SELECT q.query_id, c.doc_id, list_cosine_similarity(q.v, c.v) AS sim FROM q CROSS JOIN c),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS vec_rank FROM s) WHERE vec_rank <= 10)"""
@@ -28,8 +29,11 @@ _BM25_TERM = "ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2
 
 def _ticket_queries(spark, sf_dir):
     t = view(spark, sf_dir, "v_tickets_text")
-    q = t.filter(F.col("embedding").isNotNull()).select(
-        F.col("ticket_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("summary").alias("query_text"))
+    b = table(spark, sf_dir, "benchmark")
+    asked = b.select("item_id", F.col("text").alias("query_text"))
+    q = t.filter(F.col("embedding").isNotNull()).join(
+        asked, F.col("ticket_id") % b.select(F.count(F.lit(1))).scalar() == F.col("item_id")).select(
+        F.col("ticket_id").alias("query_id"), F.col("embedding").alias("query_vec"), "query_text")
     return t, q
 
 
@@ -51,13 +55,15 @@ def q_vector_search(spark, sf_dir):
 @query("bm25", with_views(["v_tickets_text"], "WITH " + _BM25_STATS + """,
 qt AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id,
        unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark WHERE text IS NOT NULL))
-SELECT qt.query_id, tf.doc_id, round(sum(""" + _BM25_TERM + """), 6) AS score
-FROM qt JOIN tf ON tf.term = qt.term JOIN df ON df.term = qt.term JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN stats
-GROUP BY 1, 2"""))
+SELECT query_id, doc_id, round(raw, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, doc_id) AS r FROM (
+    SELECT qt.query_id, tf.doc_id, sum(""" + _BM25_TERM + """) AS raw
+    FROM qt JOIN tf ON tf.term = qt.term JOIN df ON df.term = qt.term JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN stats
+    GROUP BY 1, 2)) WHERE r <= 10"""))
 def q_bm25(spark, sf_dir):
     t = view(spark, sf_dir, "v_tickets_text")
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    s = R.bm25(bench, t, doc_id="ticket_id", doc_text="summary")
+    s = R.bm25(bench, t, doc_id="ticket_id", doc_text="summary", top=10)
     return s.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -59,16 +59,17 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
     "v_tickets_text": """
 SELECT doc_id AS ticket_id, lang AS region, 'L' || cast(label AS string) AS subcategory,
        CASE doc_id % 4 WHEN 0 THEN 'P1' WHEN 1 THEN 'P2' WHEN 2 THEN 'P3' ELSE 'P4' END AS priority,
-       substring(text, 1, 512) AS summary, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substring(text, 513, 512) END AS description,
+       text AS summary, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'reported by ' || source END AS description,
        CASE WHEN doc_id % 13 = 0 THEN NULL ELSE embedding END AS embedding
 FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
     "v_outcomes": """
-SELECT (l_partkey % 50) * 10 + 7 AS runbook_id, l_returnflag <> 'R' AS succeeded, l_shipdate AS at FROM lineitem""",
+SELECT (l_partkey % (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 7)) * 10 + 7 AS runbook_id,
+       l_returnflag <> 'R' AS succeeded, l_shipdate AS at FROM lineitem""",
     "v_reasoning": """
 SELECT conv_id * 1000 + turn AS id, 'S-' || cast(conv_id AS string) AS session_id,
        'NE-' || lpad(cast(conv_id % 15 AS string), 5, '0') AS element_id,
        timestamp '2024-01-01 00:00:00' + (conv_id * 60 + turn) * interval '1' minute AS created_at,
-       substring(text, 1, 200) AS observation, CASE WHEN turn % 3 = 0 THEN NULL ELSE role END AS hypothesis,
+       text AS observation, CASE WHEN turn % 3 = 0 THEN NULL ELSE role END AS hypothesis,
        CASE turn % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'escalated' ELSE 'promoted' END AS resolution,
        cast(50 + (conv_id + turn) % 46 AS double) / 100 AS confidence
 FROM conversations""",
@@ -85,7 +86,7 @@ FROM (SELECT vec_id AS id, cast(embedding AS {DARR}) AS memory_vec FROM embeddin
     "v_runbooks": """
 SELECT vec_id AS id, p_name AS title, 'type ' || p_type AS trigger_condition, '["check","reset"]' AS steps, 'global' AS scope,
        0.6e0 AS confidence, 0 AS success_count, 0 AS fail_count, 'active' AS status, cast(NULL AS bigint) AS superseded_by, embedding AS runbook_vec
-FROM embeddings LEFT JOIN part ON p_partkey = vec_id WHERE vec_id % 10 = 7 AND vec_id < 500""",
+FROM embeddings LEFT JOIN part ON p_partkey = vec_id WHERE vec_id % 10 = 7""",
     "v_incidents": """
 SELECT 'INC-' || element_id || '-' || cast(d AS string) AS incident_ref, element_id, window_start, window_end, alarm_count, severity,
        'L' || cast(label AS string) AS subcategory, 'L' || cast(label AS string) || ' on ' || element_id AS title,
@@ -93,7 +94,7 @@ SELECT 'INC-' || element_id || '-' || cast(d AS string) AS incident_ref, element
        CASE WHEN pick % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, embedding AS signature_vec
 FROM (SELECT 'NE-' || lpad(cast(user_id AS string), 5, '0') AS element_id, cast(ts AS date) AS d, min(ts) AS window_start, max(ts) AS window_end,
              count(*) AS alarm_count, max(CASE WHEN event_type = 'error' THEN 'critical' ELSE 'major' END) AS severity,
-             (min(event_id) * 7) % 500 AS pick
+             (min(event_id) * 7) % (SELECT count(*) FROM embeddings) AS pick
       FROM events GROUP BY 1, 2 HAVING count(*) >= 4) AS g JOIN embeddings ON vec_id = pick""",
 }
 
@@ -111,31 +112,28 @@ VIEW_DEPS = {
     "v_alarms": ["events"],
     "v_tickets_volume": ["orders", "customer", "nation", "region"],
     "v_tickets_text": ["documents", "embeddings"],
-    "v_outcomes": ["lineitem"],
+    "v_outcomes": ["lineitem", "embeddings"],
     "v_reasoning": ["conversations"],
     "v_memory": ["embeddings"],
     "v_runbooks": ["embeddings", "part"],
     "v_incidents": ["events", "embeddings"],
 }
 
-# session -> (sf_dir, registered names); temp views are per session.
-_REGISTERED: dict[int, tuple[str, set]] = {}
+# Session settings that remember what is registered (temp views are per session).
+_DIR, _DONE = "noctua.fixtures.dir", "noctua.fixtures.done"
 
 
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None, tables: list[str] | None = None,
-             materialize: bool = True) -> None:
+             materialize: bool = False) -> None:
     """Register the fixture views `names` (all when None) and base `tables`
     of `sf_dir` in Spark, skipping what this session already has for it.
 
-    With `materialize` each view is written once (per session and scale) as
-    parquet under the shared checkpoint folder and re-registered over the
-    files, so jobs scan a stored table - as they would in production - instead
-    of re-planning the view's joins in every branch."""
+    With `materialize` each view is also written as parquet under the shared
+    checkpoint folder and re-registered over the files."""
     prepare(spark)
-    key = id(spark)
-    cur_dir, done = _REGISTERED.get(key, (None, set()))
-    if cur_dir != sf_dir:
-        done = set()
+    done = set()
+    if spark.conf.get(_DIR, "") == sf_dir:
+        done = set(filter(None, spark.conf.get(_DONE, "").split(",")))
     views = list(VIEWS) if names is None else list(names)
     bases = set(tables or [])
     for v in views:
@@ -151,7 +149,8 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None, t
                 spark.table(v).write.parquet(path)
                 spark.read.parquet(path).createOrReplaceTempView(v)
             done.add(v)
-    _REGISTERED[key] = (sf_dir, done)
+    spark.conf.set(_DIR, sf_dir)
+    spark.conf.set(_DONE, ",".join(sorted(done)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

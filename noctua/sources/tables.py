@@ -4,11 +4,18 @@ Changes are never in-place: `upsert` and `update_columns` return the next
 snapshot of the table as a DataFrame, and `write_snapshot` stores it as a new
 version directory `<base>/v=<n>`, so a path being read is never overwritten
 and a replayed batch (same version) rewrites the same directory.
+
+A version counts once its number stands in the pointer table
+`<base>.versions`, which is written last; a half-written directory is never
+read.  Two layouts share this: snapshots (`read_latest`: the newest finished
+version is the table) and batches (`append_batch` / `read_batches`: all
+finished versions together are the table, a replay replaces its own batch).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,21 +89,52 @@ def update_columns(target: DataFrame, changes: DataFrame, keys: list[str], cols:
     return j.select(*sel)
 
 
+def _finished(spark: SparkSession, base: str, below: int | None = None) -> list[int]:
+    """Finished versions of the table at `base`, ascending (one small row each)."""
+    try:
+        done = spark.read.schema("version long").parquet(f"{base.rstrip('/')}.versions")
+        if below is not None:
+            done = done.filter(F.col("version") < below)
+        return sorted(r["version"] for r in done.distinct().collect())
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise
+
+
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[str] | None = None) -> str:
-    """Store `df` as version `version` of the table at `base`."""
+    """Store `df` as version `version` of the table at `base`; the pointer is written last."""
     path = f"{base.rstrip('/')}/v={int(version)}"
     w = df.write.mode("overwrite").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+    spark = df.sparkSession
+    spark.range(1).select(F.lit(int(version)).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(
+        f"{base.rstrip('/')}.versions")
     return path
 
 
-def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """Newest version of a snapshotted table (partition-pruned by scalar subquery)."""
-    all_v = spark.read.parquet(base)
-    latest: Column = all_v.select(F.max("v")).scalar()
-    return all_v.filter(F.col("v") == latest).drop("v")
+def read_latest(spark: SparkSession, base: str, below: int | None = None) -> DataFrame | None:
+    """The newest finished version of a snapshotted table (optionally below a
+    version); None when there is none."""
+    done = _finished(spark, base, below)
+    return spark.read.parquet(f"{base.rstrip('/')}/v={done[-1]}") if done else None
+
+
+def append_batch(df: DataFrame, base: str, version: int) -> str:
+    """Rows of one batch; a replay of the batch replaces its rows."""
+    return write_snapshot(df, base, version)
+
+
+def read_batches(spark: SparkSession, base: str) -> DataFrame | None:
+    """All finished batches of an append-only table, with their `batch_version`;
+    columns that a batch lacks are NULL."""
+    out = None
+    for v in _finished(spark, base):
+        part = spark.read.parquet(f"{base.rstrip('/')}/v={v}").withColumn("batch_version", F.lit(v).cast("long"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 LABELLED_SCHEMA = "ticket_id string, text string, true_subcat string"

@@ -5,7 +5,7 @@ import pandas as pd
 
 from noctua.config import DEFAULT_TUNING
 from noctua.operators import memory as M
-from noctua.operators.dedup import _greedy, connected_components, consolidate_memory
+from noctua.operators.dedup import connected_components, consolidate_memory, greedy_clusters
 
 
 def test_route_gates_inclusive_null_is_zero_and_tie_by_similarity(spark):
@@ -97,12 +97,12 @@ def test_consolidate_equals_plain_greedy(spark):
         assert out[k].evidence_count == evc[k]
 
 
-def test_greedy_is_not_connected_components():
-    # chain 1-2-3: anchor 1 takes {1,2}; 3 stays active (2 was superseded)
-    nodes = pd.DataFrame({"id": [1, 2, 3], "confidence": [0.9, 0.5, 0.5], "evidence_count": [1, 1, 1]})
-    edges = pd.DataFrame({"id_a": [1, 2], "id_b": [2, 3]})
-    out = _greedy(nodes, edges).set_index("id")
-    assert out.loc[2, "superseded_by"] == 1 and pd.isna(out.loc[3, "superseded_by"])
+def test_greedy_is_not_connected_components(spark):
+    # chain 1-2-3: anchor 1 takes {1,2}; 3 stays active (2 was superseded); NULL evidence counts as one
+    nodes = spark.createDataFrame([(1, 0.9, 1), (2, 0.5, None), (3, None, 1)], "id long, confidence double, evidence_count long")
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "id_a long, id_b long")
+    out = {r.id: r for r in greedy_clusters(nodes, edges).collect()}
+    assert out[2].superseded_by == 1 and out[3].superseded_by is None and out[1].evidence_count == 2
 
 
 def test_connected_components(spark):
