@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import alarms as A
 from ..operators.anomaly import FEATURE_NAMES, score_anomaly, type_to_subcategory
+from ..session import scratch_path
 from ..sources.fixtures import view, with_views
+from ..sources.tables import read_latest
 from .catalog import query
 
 LOOKBACK_H = 72
@@ -131,3 +133,22 @@ FROM inc"""))
 def q_triage_checkpoints(spark, sf_dir):
     t = A.correlate_alarms(_alarms(spark, sf_dir), None, MIN_ALARMS, LOOKBACK_H)
     return t.checkpoints.drop("observation")
+
+
+@query("triage_two_runs", with_views(["v_alarms"], f"""
+WITH early AS (SELECT * FROM v_alarms WHERE ts <= (SELECT max(ts) - INTERVAL 24 HOUR FROM v_alarms)),
+i1 AS ({_W.replace('v_alarms', 'early')} SELECT * FROM inc),
+i2 AS ({_W} SELECT * FROM inc)
+SELECT incident_ref, coalesce(i1.element_id, i2.element_id) AS element_id, coalesce(i1.severity, i2.severity) AS severity,
+       coalesce(i1.window_start, i2.window_start) AS window_start, coalesce(i2.alarm_count, i1.alarm_count) AS alarm_count,
+       coalesce(i2.anomaly_score, i1.anomaly_score) AS anomaly_score
+FROM i1 FULL JOIN i2 USING (incident_ref)"""))
+def q_triage_two_runs(spark, sf_dir):
+    """The incident table after two triage runs a day apart: the first run's
+    incidents stay, a known incident changes only its count, score and breakdown."""
+    alarms = _alarms(spark, sf_dir)
+    cut = alarms.select((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("t")).first()["t"]
+    base = scratch_path(spark, "triage-two-runs")
+    A.write_triage(A.correlate_alarms(alarms.filter(F.col("ts") <= F.lit(cut)), None, MIN_ALARMS, LOOKBACK_H), base, 1)
+    A.write_triage(A.correlate_alarms(alarms, None, MIN_ALARMS, LOOKBACK_H), base, 2)
+    return read_latest(spark, f"{base}/incidents").select("incident_ref", "element_id", "severity", "window_start", "alarm_count", "anomaly_score")

@@ -157,3 +157,17 @@ def test_write_triage_writes_all_outputs_from_one_aggregate(spark, tmp_out):
     assert read_latest(spark, f"{tmp_out}/evidence").count() == 4
     marked = {r.id: r.correlated_incident for r in read_latest(spark, f"{tmp_out}/network_alarms").collect()}
     assert marked[10] is None and marked[0] == "INC-W1-202401011200"
+
+
+def test_two_runs_keep_history_and_a_replay_changes_nothing(spark, tmp_out):
+    from noctua.sources.tables import read_batches, read_latest
+    first = [_a(i, "W1", "S", i) for i in range(4)]
+    second = first + [_a(20 + i, "W2", "S", 300 + i) for i in range(3)]
+    run = lambda rows, hours: A.correlate_alarms(_alarms(spark, rows), T0 + dt.timedelta(hours=hours), min_alarms=3)
+    A.write_triage(run(first, 1), tmp_out, 1)
+    for _ in range(2):                       # the second run, and its replay
+        A.write_triage(run(second, 5), tmp_out, 2)
+        got = {r.incident_ref: r.alarm_count for r in read_latest(spark, f"{tmp_out}/incidents").collect()}
+        assert got == {"INC-W1-202401011200": 4, "INC-W2-202401011700": 3}
+        assert read_batches(spark, f"{tmp_out}/evidence").filter("batch_version = 1").count() == 4
+        assert read_batches(spark, f"{tmp_out}/agent_reasoning").count() == 3

@@ -79,3 +79,13 @@ def test_append_alarms_stores_kpi_map_as_json(spark, tmp_out):
     T.append_alarms(df, p)
     back = spark.read.parquet(p).collect()[0]
     assert json.loads(back.metrics) == {"prb_util": 0.97, "latency_ms": 210.0}
+
+
+def test_half_written_version_is_not_read(spark, tmp_out):
+    base = os.path.join(tmp_out, "t")
+    assert T.read_latest(spark, base) is None and T.read_batches(spark, base) is None
+    T.write_snapshot(spark.range(100), base, 1)
+    spark.range(50).write.parquet(f"{base}/v=2")          # a run that died before its pointer
+    assert T.read_latest(spark, base).count() == 100
+    T.write_snapshot(spark.range(70), base, 2)
+    assert T.read_latest(spark, base).count() == 70 and T.read_latest(spark, base, below=2).count() == 100

@@ -143,3 +143,28 @@ def test_write_remediation(spark, tmp_out):
     assert spark.read.parquet(paths["agent_reasoning"]).count() == 2
     pats = spark.read.parquet(paths["incident_memory_new"]).collect()
     assert len(pats) == 1 and pats[0].confidence == 0.85
+
+
+def test_nothing_is_resolved_without_auto_resolve_and_last_used_moves(spark):
+    from noctua.operators.remediate import remediate
+    inc = spark.createDataFrame([("I1", "E1", "L1", "t", "major", 0.7, "open", [1.0, 0.0])],
+                                "incident_ref string, element_id string, subcategory string, title string, severity string, "
+                                "anomaly_score double, status string, signature_vec array<double>")
+    mem = spark.createDataFrame([], "id long, scope string, category string, content string, confidence double, "
+                                    "evidence_count long, status string, superseded_by long, memory_vec array<double>")
+    rb = spark.createDataFrame([(7, "reset", "t", "[]", 0.6, 0, 0, "active", None, dt.datetime(2024, 1, 1), [1.0, 0.05])],
+                               "id long, title string, trigger_condition string, steps string, confidence double, success_count long, "
+                               "fail_count long, status string, superseded_by long, last_used timestamp_ntz, runbook_vec array<double>")
+    r = remediate(inc, mem, rb, auto_resolve=False)
+    assert r.patterns.count() == 0 and r.incident_status.first()["status"] == "investigating"
+    at = dt.datetime(2024, 3, 1)
+    out = spark.createDataFrame([(7, True, at), (7, False, dt.datetime(2023, 1, 1))], "runbook_id long, succeeded boolean, at timestamp_ntz")
+    assert M.apply_runbook_outcomes(rb, out).first()["last_used"] == at
+
+
+def test_vectors_of_another_width_do_not_break_a_block(spark):
+    from noctua.operators.knn import knn_join
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "query_id long, query_vec array<double>")
+    c = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(60)] + [(99, [1.0, 0.0, 0.0])], "id long, vec array<double>")
+    got = [(r.query_id, r.neighbour_id) for r in knn_join(q, c, 3, block_rows=7).orderBy("rank").collect()]
+    assert got == [(1, 0), (1, 1), (1, 2)]                 # ties over blocks: smaller ids
