@@ -2,9 +2,9 @@
 
 The streaming jobs replay a table as ordered parquet files under the shared
 checkpoint folder, run the stream with an AvailableNow trigger and return
-what the sink wrote.  Windows still open at the end of input (end not before
-the final watermark) are never emitted in append mode; both the job and its
-oracle keep windows that end strictly before max(ts) - watermark.
+what the sink wrote.  Append mode emits a window once the watermark has passed
+its end, so the replay closes with one sentinel row far in the future: every
+window of the data is emitted, the sentinel's own (a single row) never is.
 """
 
 from __future__ import annotations
@@ -50,7 +50,10 @@ def replay_files(spark, df, order_col: str, name: str, n_files: int = 4) -> str:
 def _run_correlate(spark, sf_dir, mode: str):
     size = f"{WINDOW_HOURS} hours" if mode == "tumbling" else f"{SESSION_GAP_HOURS} hours"
     alarms = view(spark, sf_dir, "v_alarms")
-    src = replay_files(spark, alarms, "ts", "alarms")
+    last = alarms.agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
+    sentinel = last.select(*[F.col("ts") if c == "ts" else F.lit("~sentinel").alias(c) if c == "element_id"
+                             else F.lit(None).cast(t).alias(c) for c, t in alarms.dtypes])
+    src = replay_files(spark, alarms.unionByName(sentinel), "ts", "alarms")
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).parquet(src)
     out, ckpt = scratch_path(spark, "stream-incidents"), scratch_path(spark, "stream-ckpt")
@@ -58,18 +61,15 @@ def _run_correlate(spark, sf_dir, mode: str):
                          min_alarms=STREAM_MIN_ALARMS, tuning=DEFAULT_TUNING)
     q.awaitTermination()
     res = spark.read.parquet(out)
-    closed = alarms.select((F.max("ts") - F.expr(f"INTERVAL {WATERMARK_MIN} MINUTES")).alias("_wm")).scalar()
     return (res.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
             .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
-            .filter(F.col("window_end") < closed)
             .select("incident_ref", "element_id", "window_start", "window_end", "alarm_count", "severity",
                     "dominant_type", "subcategory", "anomaly_score"))
 
 
 def _stream_sql(grouping: str) -> str:
     return f"""
-WITH a AS (SELECT max(ts) AS max_ts FROM v_alarms),
-{grouping},
+WITH {grouping},
 feat AS (SELECT * FROM (VALUES
   ('prb_overload', 'prb_util', 0.85e0, 1.0e0, 1.0e0), ('latency_spike', 'latency_ms', 100e0, 0.9e0, 300e0),
   ('packet_loss', 'packet_loss', 0.01e0, 0.9e0, 0.1e0), ('sctp_flap', 'sctp_resets', 3e0, 0.8e0, 20e0),
@@ -97,8 +97,7 @@ SELECT 'INC-' || b.element_id || '-' || strftime(b.window_start, '%Y%m%d%H%M') A
          WHEN 'tempHigh' THEN 'Environmental-HighTemp' WHEN 'vswrAlarm' THEN 'Hardware-Card-Fault'
          WHEN 'latencyHigh' THEN 'Transport-Microwave-Fade' ELSE 'RAN-PRB-Congestion' END AS subcategory,
        coalesce(s.score, 0e0) AS anomaly_score
-FROM base b JOIN dom d USING (element_id, window_start) LEFT JOIN sc s USING (element_id, window_start) CROSS JOIN a
-WHERE b.window_end < a.max_ts - INTERVAL {WATERMARK_MIN} MINUTE"""
+FROM base b JOIN dom d USING (element_id, window_start) LEFT JOIN sc s USING (element_id, window_start)"""
 
 
 _TUMBLING = f"""g AS (SELECT element_id, ts, id, severity, alarm_type, metric, value,

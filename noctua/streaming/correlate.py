@@ -100,8 +100,9 @@ def stream_correlate(stream: DataFrame, out_path: str, checkpoint: str, *, mode:
 
 
 def late_rows(query) -> int:
-    """Alarms dropped behind the watermark, summed over the recent
-    progress reports of a streaming query."""
+    """Rows dropped behind the watermark, summed over the progress reports the
+    query still holds.  Spark counts them after partial aggregation: late alarms
+    of one element, window and task count once, so this is a lower bound."""
     total = 0
     for p in query.recentProgress or []:
         for op in p.get("stateOperators", []) if isinstance(p, dict) else getattr(p, "stateOperators", []):
