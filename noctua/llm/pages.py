@@ -11,9 +11,9 @@ containers are the host's template, the text below each is its slot.
 
 Pass 2 joins the template to the host's pages and extracts the remaining slots:
 a slot whose chain has a boilerplate element (by name, role or class words) is
-dropped; where the template or the page has an article or main element, the
-slots below it remain, else the container with the most slot text, without
-text runs that belong to the template.
+dropped; where the page has an article or main element, what stands below it
+remains, else all below the deepest container that holds most of the page's
+slot text (text outside the template), else all that is left.
 
 The template of a host is bounded by the length of its pages (its tokens stand on
 at least half of them).
@@ -141,34 +141,22 @@ def key_of(kind: str, key: str, text: str = "") -> int:
 
 
 def page_tokens(html: str) -> dict[int, list]:
-    """token -> [count, depth of a container or -1, has main, slot characters below it]."""
+    """token -> [count, is a container]."""
     out: dict[int, list] = {}
     for t in parse(html):
         if t[0] == "open":
-            el = t[1]
-            row = out.setdefault(chain(el.key)[-1], [0, el.key.count(">"), int(el.main), 0])
-            row[0] += 1
-        else:
-            _, el, _, raw, link = t
-            text = squeeze(raw)
-            if text:
-                row = out.setdefault(key_of("t", el.key, text), [0, -1, 0, 0])
-                row[0] += 1
-                if not el.drop and not link:
-                    for depth, token in enumerate(chain(el.key)):
-                        out.setdefault(token, [0, depth, int(el.main), 0])[3] += len(text)
+            out.setdefault(chain(t[1].key)[-1], [0, 1])[0] += 1
+        elif text := squeeze(t[3]):
+            out.setdefault(key_of("t", t[1].key, text), [0, 0])[0] += 1
     return out
 
 
-def extract(html: str, texts: frozenset, main: int | None) -> str:
-    """Blocks of the remaining slots, joined by blank lines."""
+def extract(html: str, texts: frozenset) -> str:
+    """Blocks of the remaining slots, joined by blank lines.  texts: the host's template texts."""
     runs = [t for t in parse(html) if t[0] == "text" and not t[1].drop]
     inside = [t for t in runs if t[1].main]
     if not any(t[3].strip() for t in inside):
-        # no article: the template's main container; else what is not template text; else all
-        below = [t for t in runs if main is not None and main in chain(t[1].key)]
-        slots = [t for t in runs if key_of("t", t[1].key, squeeze(t[3])) not in texts]
-        inside = next((x for x in (below, slots) if any(t[3].strip() for t in x)), runs)
+        inside = main_container(runs, texts) or runs
     blocks: dict[int, list[str]] = {}
     for _, _, block, raw, _ in inside:
         blocks.setdefault(block, []).append(entities.unescape(raw))
@@ -176,6 +164,21 @@ def extract(html: str, texts: frozenset, main: int | None) -> str:
     return "\n\n".join(b for b in out if b)
 
 
+def main_container(runs: list, texts: frozenset) -> list:
+    """Without an article: all runs below the deepest container that holds most of
+    the page's slot text (text that is neither template nor link)."""
+    held: dict[int, list] = {}
+    total = 0
+    for _, el, _, raw, link in runs:
+        text = squeeze(raw)
+        if text and not link and key_of("t", el.key, text) not in texts:
+            total += len(text)
+            for depth, token in enumerate(chain(el.key)):
+                held.setdefault(token, [depth, 0])[1] += len(text)
+    best = max((row[0], token) for token, row in held.items() if row[1] >= MAIN_SHARE * total) if total else None
+    return [t for t in runs if best and best[1] in chain(t[1].key)]
+
+
 def chain(key: str) -> tuple[int, ...]:
     """Token keys of an element's containers, outermost (the page) first."""
     known = per_worker("page-chains", dict)
@@ -191,15 +194,13 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows: dict[tuple, list] = {}
         for page, host, html in zip(pdf["page"], pdf["host"], pdf["html"]):
-            for token, (count, depth, main, chars) in page_tokens(html).items():
+            for token, (count, container) in page_tokens(html).items():
                 h = xxhash.xxh64_intdigest(f"{page}:{count}")
-                row = rows.setdefault((host, token), [0, 0, 0, depth, main, 0])
+                row = rows.setdefault((host, token), [0, 0, 0, container])
                 row[0] += 1
                 row[1] += h & 0xFFFFFFFF
                 row[2] += h >> 32
-                row[5] += chars
-        yield pd.DataFrame([(h, t, *r) for (h, t), r in rows.items()],
-                           columns=["host", "token", "pages", "s1", "s2", "depth", "main", "chars"])
+        yield pd.DataFrame([(h, t, *r) for (h, t), r in rows.items()], columns=["host", "token", "pages", "s1", "s2", "container"])
 
 
 def host_of(url):
@@ -207,24 +208,20 @@ def host_of(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, texts, main): the template of every host with enough pages.
+    """(host, containers, texts): the template of every host with enough pages.
     pages: page, host, html."""
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages")).filter(F.col("all_pages") >= MIN_PAGES)
-    tokens = (pages.mapInPandas(_count, "host string, token long, pages long, s1 long, s2 long, depth int, main int, chars long")
+    tokens = (pages.mapInPandas(_count, "host string, token long, pages long, s1 long, s2 long, container int")
               .groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
-                                            F.max("depth").alias("depth"), F.max("main").alias("main"), F.sum("chars").alias("chars")))
+                                            F.max("container").alias("container")))
     frequent = tokens.join(hosts, "host").filter((F.col("pages") >= MIN_PAGES) & (F.col("pages") * 2 >= F.col("all_pages")))
     # a class is a host's tokens with one occurrence vector; its size decides
     classes = frequent.groupBy("host", "pages", "s1", "s2").agg(
-        F.collect_list(F.struct("depth", "main", "chars", "token")).alias("members")).filter(F.size("members") >= MIN_TOKENS)
+        F.collect_list(F.struct("container", "token")).alias("members")).filter(F.size("members") >= MIN_TOKENS)
     member = classes.select("host", F.explode("members").alias("m")).select("host", "m.*")
-    host = member.groupBy("host").agg(
-        F.collect_list(F.when(F.col("depth") >= 0, F.struct("main", "depth", "token", "chars"))).alias("containers"),
-        F.collect_list(F.when(F.col("depth") < 0, F.col("token"))).alias("texts"))
-    # the main container: an article or main element, else the deepest that holds most of the slot text
-    total = F.array_max(F.transform("containers", lambda c: c["chars"]))
-    main = F.array_max(F.filter("containers", lambda c: (c["main"] == 1) | (c["chars"] >= MAIN_SHARE * total)))
-    return host.select("host", "texts", main["token"].alias("main"))
+    return member.groupBy("host").agg(
+        F.collect_list(F.when(F.col("container") == 1, F.col("token"))).alias("containers"),
+        F.collect_list(F.when(F.col("container") == 0, F.col("token"))).alias("texts"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -233,15 +230,14 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     src = pages.select(*kept, host_of(F.col(url)).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     known = templates(src.select(F.xxhash64("_html", *[c for c in kept]).alias("page"), F.col("_host").alias("host"),
                                  F.col("_html").alias("html"))).withColumnRenamed("host", "_host")
-    joined = src.join(known, "_host", "left").select(*kept, "_html", "texts", "main")
+    joined = src.join(known, "_host", "left").select(*kept, "_html", "texts")
     schema = StructType([pages.schema[c] for c in kept] + [StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = []
-            for h, t, m in zip(pdf["_html"], pdf["texts"], pdf["main"]):
-                some = t is not None
-                text.append(extract(h, frozenset(t.tolist()) if some else frozenset(), None if pd.isna(m) else int(m)))
+            for h, t in zip(pdf["_html"], pdf["texts"]):
+                text.append(extract(h, frozenset() if t is None else frozenset(t.tolist())))
             yield pdf[kept].assign(text=text, n_chars=[len(t) for t in text])
 
     return joined.mapInPandas(run, schema)

@@ -54,9 +54,9 @@ ARTICLE = ('<html><body class="has-sidebar"><header><h1>Site</h1></header><nav>x
 
 
 def test_article_blocks():
-    assert pages.extract(ARTICLE, frozenset(), None) == "Tést &\n\na b c\n\nd\n\none\n\ntwo\n\nx\n\ny"
-    assert pages.extract("<p>" + "w " * 50000 + "</p>", frozenset(), None) == ("w " * 50000).strip()
-    assert pages.extract("<div>a<!-- c -->b</div><form>q</form><p>t <a", frozenset(), None) == "ab\n\nt"
+    assert pages.extract(ARTICLE, frozenset()) == "Tést &\n\na b c\n\nd\n\none\n\ntwo\n\nx\n\ny"
+    assert pages.extract("<p>" + "w " * 50000 + "</p>", frozenset()) == ("w " * 50000).strip()
+    assert pages.extract("<div>a<!-- c -->b</div><form>q</form><p>t <a", frozenset()) == "ab\n\nt"
 
 
 def test_template_of_a_host(spark):
