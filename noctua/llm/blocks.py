@@ -32,7 +32,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def tiled(members: DataFrame, payloads: DataFrame, link: Callable, rows: int = 512, units: int = 1_000_000) -> DataFrame:
+def tiled(members: DataFrame, payloads: DataFrame, link: Callable, rows: int = 1024, units: int = 1_000_000) -> DataFrame:
     """members: cluster long, id long, weight long, unit long (payload size); payloads:
     id long, payload binary, one row per id, joined once the rows are dealt.
     `link(left payloads, right payloads or None)` gives the boolean link matrix
