@@ -6,14 +6,19 @@ occurrence vector over the pages of its host is never built; two 32-bit sums of
 a hash of (page, count) over the pages stand for it, so hot hosts combine
 map-side.  Tokens of a host with equal sums and page counts form an equivalence
 class; classes of at least `MIN_TOKENS` tokens on at least `MIN_PAGES` pages and
-half of the host's pages are valid.  Chains order and nest them: valid
-containers are the host's template, the text below each is its slot.
-
-Pass 2 joins the template to the host's pages and extracts the remaining slots:
-a slot whose chain has a boilerplate element (by name, role or class words) is
-dropped; where the page has an article or main element, what stands below it
-remains, else all below the deepest container that holds most of the page's
-slot text (text outside the template), else all that is left.
+half of the host's pages are valid.  Valid
+texts are the host's template; a text's token holds its chain, so a valid text
+vouches for the containers around it.
+
+Pass 2 joins the template to the host's pages and extracts the remaining slots
+in page order.  Elements that are boilerplate by name, role or `hidden` are
+dropped.  An element with a listed class or id word is dropped if it holds no
+article or main element (within an article: or has a whole listed class name, as
+comments do) and recurs on the host's pages (`MIN_PAGES` and one in
+`CONFIRM`); on hosts with fewer pages only whole listed class names count.  Where
+the page has an article or main element, the rest below it remains, else all below
+the deepest container that holds most of the page's slot text (text outside the
+template), else all that is left.
 
 The template of a host is bounded by the length of its pages (its tokens stand on
 at least half of them).
@@ -40,11 +45,12 @@ from .common import per_worker
 MIN_TOKENS = 2
 MIN_PAGES = 3
 MAIN_SHARE = 0.7
+CONFIRM = 20        # a class or id word counts on elements that stand on one in so many pages of the host
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|"[^"]*"|'[^']*'""")
 
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp small span strike strong sub "
                    "sup time tt u var wbr br".split())
@@ -63,16 +69,24 @@ HEADER_WORDS = frozenset("header".split())        # dropped outside the article
 
 
 class Element:
-    __slots__ = ("name", "key", "drop", "main", "inline")
+    """key: the chain; own: the chain ends with this element; hard: dropped by name,
+    role or hidden, itself or above; listed, header: class or id words; whole: a
+    listed class name; article: starts the main text; holds, within: an article
+    stands below, above.  drop, main, slot, gone are settled when the whole page is known."""
+    __slots__ = ("name", "key", "parent", "inline", "own", "hard", "listed", "header", "whole", "article", "holds", "within", "drop", "main", "slot", "gone")
 
-    def __init__(self, name, key, drop, main, inline):
-        self.name, self.key, self.drop, self.main, self.inline = name, key, drop, main, inline
+    def __init__(self, name, key, parent=None, inline=False):
+        self.name, self.key, self.parent, self.inline = name, key, parent, inline
+        self.hard = parent is not None and parent.hard
+        self.own = self.listed = self.header = self.whole = self.article = self.holds = False
+        self.within = parent is not None and (parent.within or parent.name == "article")
+        self.drop = self.main = self.slot = self.gone = False
 
 
 def parse(html: str):
-    """Text runs and containers of a page.  Yields ("open", element) for every
-    structural element and ("text", element, block number, raw text, in link)."""
-    root = Element("", "", False, False, False)
+    """Text runs and elements of a page.  Yields ("open", element) for every
+    element and ("text", element, block number, raw text, in link)."""
+    root = Element("", "")
     stack, block, at = [root], 0, 0
 
     def close_to(k):
@@ -113,25 +127,38 @@ def parse(html: str):
                     break
             block += 1
         top = stack[-1]
-        if inline:
-            stack.append(Element(name, top.key, top.drop, top.main, True))
-            continue
-        attrs = {a.lower(): (v or "").strip("\"'").lower() for a, v in ATTR.findall(m[4] or "")}
-        words = set(re.findall(r"[a-z0-9]+", attrs.get("class", "") + " " + attrs.get("id", "")))
-        drop = top.drop or name in DROP_ELEMENTS or "hidden" in attrs or attrs.get("role") in DROP_ROLES
-        if name not in ("html", "body", "main"):
-            drop = drop or bool(words & DROP_WORDS)
-        if not top.main:
-            drop = drop or name == "header" or (name != "article" and bool(words & HEADER_WORDS) and name not in ("html", "body", "main"))
-        main = top.main or (not drop and (name in ("article", "main") or attrs.get("role") in ("main", "article")))
-        el = Element(name, f"{top.key}>{name}.{'.'.join(sorted(words))}" if name in BARRIER else top.key, drop, main, False)
+        el = Element(name, top.key, top, inline)
         stack.append(el)
-        if name in BARRIER:
-            yield "open", el
+        if not inline:
+            describe(el, m[4] or "")
+        yield "open", el
     if at < len(html):
         yield "text", stack[-1], block, re.sub(r"<[^<]*\Z", "", html[at:]), any(e.name == "a" for e in stack)
 
 
+def describe(el: Element, markup: str) -> None:
+    """Role of a structural element by its name and attributes."""
+    attrs: dict[str, str] = {}
+    for name, value in ATTR.findall(markup):
+        if name:
+            attrs.setdefault(name.lower(), value.strip("\"'").lower())
+    names = attrs.get("class", "").split()
+    words = set(re.findall(r"[a-z0-9]+", " ".join([*names, attrs.get("id", "")])))
+    el.hard = el.hard or el.name in DROP_ELEMENTS or "hidden" in attrs or attrs.get("role") in DROP_ROLES
+    el.article = el.name in ("article", "main") or attrs.get("role") in ("main", "article")
+    if not el.article and el.name not in ("html", "body"):
+        el.listed, el.header = bool(words & DROP_WORDS), bool(words & HEADER_WORDS)
+        el.whole = any(n in DROP_WORDS or n in HEADER_WORDS for n in names)
+    el.own = el.name in BARRIER or bool(words)
+    if el.own:
+        el.key += f">{el.name}.{'.'.join(sorted(words))}"
+    if el.article and not el.hard:
+        up = el.parent
+        while up is not None and not up.holds:
+            up.holds = True
+            up = up.parent
+
+
 def squeeze(raw: str) -> str:
     return " ".join(entities.unescape(raw).split())
 
@@ -141,24 +168,36 @@ def key_of(kind: str, key: str, text: str = "") -> int:
 
 
 def page_tokens(html: str) -> dict[int, list]:
-    """token -> [count, is a container]."""
+    """token -> [count, kind]; kind 0 = text, 1 = container, 2 = container with a listed word."""
     out: dict[int, list] = {}
     for t in parse(html):
         if t[0] == "open":
-            out.setdefault(chain(t[1].key)[-1], [0, 1])[0] += 1
+            if t[1].own:
+                out.setdefault(chain(t[1].key)[-1], [0, 2 if t[1].listed or t[1].header else 1])[0] += 1
         elif text := squeeze(t[3]):
             out.setdefault(key_of("t", t[1].key, text), [0, 0])[0] += 1
     return out
 
 
-def extract(html: str, texts: frozenset) -> str:
-    """Blocks of the remaining slots, joined by blank lines.  texts: the host's template texts."""
-    runs = [t for t in parse(html) if t[0] == "text" and not t[1].drop]
-    inside = [t for t in runs if t[1].main]
-    if not any(t[3].strip() for t in inside):
+def extract(html: str, texts: frozenset, repeated: frozenset | None = None) -> str:
+    """Blocks of the remaining slots, joined by blank lines.  texts: the host's template
+    texts; repeated: its recurring containers with a listed word (None: too few pages to tell)."""
+    elements, runs = [], []
+    for t in parse(html):
+        (elements if t[0] == "open" else runs).append(t[1:])
+    elements = [e for e, in elements]
+    for el in elements:                                     # parents first
+        up = el.parent
+        el.drop = up.drop or el.hard or (el.name == "header" and not up.main)
+        if not el.drop and (not el.holds or (el.within and el.whole)) and (el.listed or (el.header and not up.main)):
+            el.drop = el.whole if repeated is None else chain(el.key)[-1] in repeated
+        el.main = up.main or (el.article and not el.drop)
+    runs = [r for r in runs if not r[0].drop]
+    inside = [r for r in runs if r[0].main]
+    if not any(r[2].strip() for r in inside):
         inside = main_container(runs, texts) or runs
     blocks: dict[int, list[str]] = {}
-    for _, _, block, raw, _ in inside:
+    for _, block, raw, _ in inside:
         blocks.setdefault(block, []).append(entities.unescape(raw))
     out = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(b for b in out if b)
@@ -169,14 +208,14 @@ def main_container(runs: list, texts: frozenset) -> list:
     the page's slot text (text that is neither template nor link)."""
     held: dict[int, list] = {}
     total = 0
-    for _, el, _, raw, link in runs:
+    for el, _, raw, link in runs:
         text = squeeze(raw)
         if text and not link and key_of("t", el.key, text) not in texts:
             total += len(text)
             for depth, token in enumerate(chain(el.key)):
                 held.setdefault(token, [depth, 0])[1] += len(text)
     best = max((row[0], token) for token, row in held.items() if row[1] >= MAIN_SHARE * total) if total else None
-    return [t for t in runs if best and best[1] in chain(t[1].key)]
+    return [t for t in runs if best and best[1] in chain(t[0].key)]
 
 
 def chain(key: str) -> tuple[int, ...]:
@@ -208,20 +247,23 @@ def host_of(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, containers, texts): the template of every host with enough pages.
-    pages: page, host, html."""
+    """(host, texts, repeated): the template of every host with enough
+    pages.  pages: page, host, html."""
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages")).filter(F.col("all_pages") >= MIN_PAGES)
     tokens = (pages.mapInPandas(_count, "host string, token long, pages long, s1 long, s2 long, container int")
               .groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
                                             F.max("container").alias("container")))
-    frequent = tokens.join(hosts, "host").filter((F.col("pages") >= MIN_PAGES) & (F.col("pages") * 2 >= F.col("all_pages")))
+    seen = tokens.join(hosts, "host").filter((F.col("pages") >= MIN_PAGES) & (
+        (F.col("pages") * 2 >= F.col("all_pages")) | ((F.col("container") == 2) & (F.col("pages") * CONFIRM >= F.col("all_pages")))))
     # a class is a host's tokens with one occurrence vector; its size decides
-    classes = frequent.groupBy("host", "pages", "s1", "s2").agg(
-        F.collect_list(F.struct("container", "token")).alias("members")).filter(F.size("members") >= MIN_TOKENS)
-    member = classes.select("host", F.explode("members").alias("m")).select("host", "m.*")
-    return member.groupBy("host").agg(
-        F.collect_list(F.when(F.col("container") == 1, F.col("token"))).alias("containers"),
-        F.collect_list(F.when(F.col("container") == 0, F.col("token"))).alias("texts"))
+    classes = seen.groupBy("host", "pages", "all_pages", "s1", "s2").agg(F.collect_list(F.struct("container", "token")).alias("members"))
+    valid = (F.size("members") >= MIN_TOKENS) & (F.col("pages") * 2 >= F.col("all_pages"))
+    member = classes.select("host", valid.alias("valid"), F.explode("members").alias("m")).select("host", "valid", "m.*")
+    lists = member.groupBy("host").agg(
+        F.collect_list(F.when(F.col("valid") & (F.col("container") == 0), F.col("token"))).alias("texts"),
+        F.collect_list(F.when(F.col("container") == 2, F.col("token"))).alias("repeated"))
+    none = F.array().cast("array<bigint>")
+    return hosts.join(lists, "host", "left").select("host", *[F.coalesce(c, none).alias(c) for c in ("texts", "repeated")])
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -230,14 +272,17 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     src = pages.select(*kept, host_of(F.col(url)).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     known = templates(src.select(F.xxhash64("_html", *[c for c in kept]).alias("page"), F.col("_host").alias("host"),
                                  F.col("_html").alias("html"))).withColumnRenamed("host", "_host")
-    joined = src.join(known, "_host", "left").select(*kept, "_html", "texts")
+    joined = src.join(known, "_host", "left").select(*kept, "_html", "texts", "repeated")
     schema = StructType([pages.schema[c] for c in kept] + [StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = []
-            for h, t in zip(pdf["_html"], pdf["texts"]):
-                text.append(extract(h, frozenset() if t is None else frozenset(t.tolist())))
+            for h, *known in zip(pdf["_html"], pdf["texts"], pdf["repeated"]):
+                if known[0] is None:                        # too few pages for a template
+                    text.append(extract(h, frozenset()))
+                else:
+                    text.append(extract(h, *[frozenset(k.tolist()) for k in known]))
             yield pdf[kept].assign(text=text, n_chars=[len(t) for t in text])
 
     return joined.mapInPandas(run, schema)

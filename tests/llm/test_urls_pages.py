@@ -69,3 +69,28 @@ def test_template_of_a_host(spark):
     assert out[9].text == "" and out[9].n_chars == 0 and out[10].text == "" and out[11].text.startswith("Tést")
     assert pages.main_text(df).count() == len(rows)
     assert pages.main_text(df.limit(0)).count() == 0
+
+
+def texts_of(spark, bodies, host="h.x"):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return [r.text for r in pages.main_text(df).orderBy("page_id").collect()]
+
+
+WRAPPERS = ['<div id="page" class="site has-sidebar"><article class="post category-social">%s</article></div>',
+            '<div style="overflow:hidden" data-hidden=1 aria-hidden="false"><main>%s</main></div>',
+            '<article><h2 id="search-methods">%s</h2></article>',
+            '<div class="social" title="class=ad hidden"><div><div role="main">%s</div></div></div>']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_do_not_swallow_the_article(spark, wrapper):
+    assert pages.extract("<body>" + wrapper % "story", frozenset()) == "story"
+    assert texts_of(spark, [wrapper % f"story {i}" for i in range(6)] if "search" not in wrapper else
+                    [(wrapper % f"story {i}").replace("methods", f"m{i}") for i in range(6)]) == [f"story {i}" for i in range(6)]
+
+
+def test_listed_words_need_the_template(spark):
+    bodies = [f'<article><p>story {i}</p><div class="ad">buy {i}</div><div class="box-related">see {i}</div>'
+              f'<section class="comments"><article>reply {i}</article></section><p hidden>no</p>'
+              f'<div id="search-{i}">part {i}</div></article>' for i in range(6)]
+    assert texts_of(spark, bodies) == [f"story {i}\n\npart {i}" for i in range(6)]
