@@ -15,10 +15,13 @@ in page order.  Elements that are boilerplate by name, role or `hidden` are
 dropped.  An element with a listed class or id word is dropped if it holds no
 article or main element (within an article: or has a whole listed class name, as
 comments do) and recurs on the host's pages (`MIN_PAGES` and one in
-`CONFIRM`); on hosts with fewer pages only whole listed class names count.  Where
-the page has an article or main element, the rest below it remains, else all below
-the deepest container that holds most of the page's slot text (text outside the
-template), else all that is left.
+`CONFIRM`); on hosts with fewer pages only whole listed class names count.  A
+container that has text, but no slot text (text outside the template), on a page
+is template and removed from it, inside an article too.  Where the page has an article or main
+element, the rest below it remains, else the rest below the lowest container that
+covers all slots.  A page (or article) without any slot text, such as one of many
+copies, keeps what is not dropped.  Template text that shares its container with
+slot text stays: a repeated sentence of the story cannot be told from a notice.
 
 The template of a host is bounded by the length of its pages (its tokens stand on
 at least half of them).
@@ -44,7 +47,6 @@ from .common import per_worker
 
 MIN_TOKENS = 2
 MIN_PAGES = 3
-MAIN_SHARE = 0.7
 CONFIRM = 20        # a class or id word counts on elements that stand on one in so many pages of the host
 
 TOKEN = re.compile(
@@ -194,8 +196,12 @@ def extract(html: str, texts: frozenset, repeated: frozenset | None = None) -> s
         el.main = up.main or (el.article and not el.drop)
     runs = [r for r in runs if not r[0].drop]
     inside = [r for r in runs if r[0].main]
-    if not any(r[2].strip() for r in inside):
-        inside = main_container(runs, texts) or runs
+    if any(r[2].strip() for r in inside):
+        if texts:
+            inside, _ = slots(inside, elements, texts)
+    else:
+        inside, filled = slots(runs, elements, texts)
+        inside = below_common(inside, filled)
     blocks: dict[int, list[str]] = {}
     for _, block, raw, _ in inside:
         blocks.setdefault(block, []).append(entities.unescape(raw))
@@ -203,19 +209,55 @@ def extract(html: str, texts: frozenset, repeated: frozenset | None = None) -> s
     return "\n\n".join(b for b in out if b)
 
 
-def main_container(runs: list, texts: frozenset) -> list:
-    """Without an article: all runs below the deepest container that holds most of
-    the page's slot text (text that is neither template nor link)."""
-    held: dict[int, list] = {}
-    total = 0
-    for el, _, raw, link in runs:
-        text = squeeze(raw)
-        if text and not link and key_of("t", el.key, text) not in texts:
-            total += len(text)
-            for depth, token in enumerate(chain(el.key)):
-                held.setdefault(token, [depth, 0])[1] += len(text)
-    best = max((row[0], token) for token, row in held.items() if row[1] >= MAIN_SHARE * total) if total else None
-    return [t for t in runs if best and best[1] in chain(t[0].key)]
+def slots(runs: list, elements: list, texts: frozenset) -> tuple[list, list]:
+    """(runs outside the containers without slot text, runs of slot text); all runs if none is slot text."""
+    filled = []
+    for run in runs:
+        text = squeeze(run[2])
+        if text and key_of("t", run[0].key, text) not in texts:
+            filled.append(run)
+            up = run[0]
+            while up is not None and not up.slot:
+                up.slot = True
+                up = up.parent
+    if not filled:
+        return runs, []
+    for el in elements:
+        up = el.parent
+        el.gone = up.gone or (el.own and not el.slot and (up.main or not el.main))
+    return [r for r in runs if not r[0].gone], filled
+
+
+def below_common(runs: list, filled: list) -> list:
+    """Without an article: the runs below the lowest container that covers all slot text."""
+    common: list | None = None
+    for el in {id(r[0]): r[0] for r in filled}.values():
+        path = []
+        while el is not None:
+            if el.name in BARRIER or el.parent is None:
+                path.append(el)
+            el = el.parent
+        path.reverse()
+        if common is None:
+            common = path
+        k = 0
+        while k < min(len(common), len(path)) and common[k] is path[k]:
+            k += 1
+        common = common[:k]
+    if not common or common[-1].parent is None:
+        return runs
+    within = {id(common[-1]): True}
+
+    def covered(el):
+        path = []
+        while el is not None and id(el) not in within:
+            path.append(id(el))
+            el = el.parent
+        found = el is not None and within[id(el)]
+        within.update(dict.fromkeys(path, found))
+        return found
+
+    return [r for r in runs if covered(r[0])]
 
 
 def chain(key: str) -> tuple[int, ...]:

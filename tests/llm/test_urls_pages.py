@@ -94,3 +94,19 @@ def test_listed_words_need_the_template(spark):
               f'<section class="comments"><article>reply {i}</article></section><p hidden>no</p>'
               f'<div id="search-{i}">part {i}</div></article>' for i in range(6)]
     assert texts_of(spark, bodies) == [f"story {i}\n\npart {i}" for i in range(6)]
+
+
+def test_repeated_notice_in_an_article_goes(spark):
+    bodies = [f'<article><h1>t{i}</h1><div class="callout"><p>Support us with a coffee</p></div><p>story {i}</p>'
+              f'<p class="legal">All prices without tax</p><div class="callout"><p>extra {i}</p></div></article>' for i in range(6)]
+    assert texts_of(spark, bodies) == [f"t{i}\n\nstory {i}\n\nextra {i}" for i in range(6)]
+    copies = ["<article><p>one</p><ul><li>two</ul></article>"] * 4        # copies keep their text
+    assert texts_of(spark, copies) == ["one\n\ntwo"] * 4
+
+
+def test_all_slots_remain_without_an_article(spark):
+    bodies = [f'<div class=top>Welcome to all of you</div><div class=wrap><h1>head {i}</h1><p>lead {i}</p><ul>' + f"<li>a long entry of page {i}" * 30
+              + f'</ul><table><tr><td>cell {i}</table><div class=x>Repeated line</div><p>end {i}</p></div><div class=y>Bye</div>' for i in range(6)]
+    for i, text in enumerate(texts_of(spark, bodies)):
+        parts = text.split("\n\n")
+        assert parts[:2] == [f"head {i}", f"lead {i}"] and parts[-2:] == [f"cell {i}", f"end {i}"] and len(parts) == 34
