@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import regex_spans
 
-RULE_VERSION = 1
+RULE_VERSION = 3         # 1 ended private_key at its header line; 2 was given out by hand
 KINDS = ["assign", "access", "hex", "private_key", "github", "slack", "jwt"]
 
 
@@ -42,6 +42,13 @@ ASSIGN_VALUE = rf"""^(?:{KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 PRIVATE_KEY = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+# a whole key: up to its END marker if that is the next marker, else (cut off) its header
+# lines and base64 run.  Blanks, quotes and escaped line ends may stand for the line ends.
+_GAP = r"""(?:\\[nrt]|[\s"'+,>|#*\\])"""
+_RUN = r"(?:[A-Za-z0-9+/=]|\\/)"
+KEY_BLOCK = (rf"{PRIVATE_KEY}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{{0,24}}PRIVATE KEY-----"
+             rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_GAP}*+{_RUN}{{16,}}+)++(?:(?:\r?\n|\\n)[\x20\t]*+{_RUN}{{1,15}}+(?=\s|\\|\z))?+"
+             r"|)")
 GITHUB = r"gh[pousr]_[A-Za-z0-9]{36,}+"
 SLACK = r"xox[abprs]-[A-Za-z0-9-]{10,}+"
 JWT = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
@@ -67,7 +74,7 @@ def base_spans(text: Column) -> Column:
 
 def added_spans(text: Column) -> Column:
     return F.concat(
-        _when(text, ["PRIVATE KEY-----"], regex_spans(text, PRIVATE_KEY, 3, "private_key")),
+        _when(text, ["PRIVATE KEY-----"], regex_spans(text, KEY_BLOCK, 3, "private_key")),
         _when(text, ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], regex_spans(text, GITHUB, 4, "github")),
         _when(text, ["xox"], regex_spans(text, SLACK, 5, "slack")),
         _when(text, ["eyJ"], regex_spans(text, JWT, 6, "jwt")))
