@@ -11,9 +11,11 @@ log-probabilities per language.
 Prediction (`predict`): every whole text, in Arrow batches; distinct n-grams
 of a batch are found by binary search, backing off through the orders; the
 language of the lowest length-normalised cross-entropy wins.  The score is the
-posterior at a temperature fitted on the calibration rows; a text whose
-cross-entropy lies far above what its language's calibration rows show at
-that length is rejected.
+posterior at a temperature fitted on the calibration rows.  Rejection looks at
+segments of `SEGMENT` letters, each in its own best language, so that clean texts
+in several learned languages stay: a text is rejected when the cost of its
+segments lies far above what the calibration rows (distinct texts) of these
+languages show at that length.
 
 Cases: null text or text without a letter: `und`, score 0, rejected; no
 labelled rows: `und`, score 0, nothing with letters is rejected; ties go to the
@@ -38,6 +40,7 @@ CALIBRATE = 6          # every so many of them fits temperature and rejection, t
 LANGUAGES = 200        # at most so many languages (the most frequent) are learned
 ALPHABET = 65536       # letters a language may have: share of an unseen letter
 SLACK = 8.0            # standard deviations above the calibrated cross-entropy that reject
+SEGMENT = 50           # n-grams that are judged in one language for rejection
 OTHER = 0xFFFF         # stands for letters beyond the basic plane
 BLOCK_CHARS = 1_000_000
 
@@ -118,13 +121,20 @@ class Model:
             out[~hit] = low
         return out
 
-    def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(grams per text, cross-entropy per language, variance of one gram's cost)."""
+    def entropy(self, texts: list[str]) -> tuple:
+        """(grams per text, cross-entropy per language, variance of one gram's cost,
+        (text, grams, lowest cost, its language) of every segment)."""
         key, at = grams(*symbols(texts))
         n = np.diff(np.append(at, len(key)))
         total = np.zeros((len(texts), len(self.langs)))
         square = np.zeros_like(total)
         has = n > 0
+        parts = -(-n // SEGMENT)
+        owner = np.repeat(np.arange(len(texts)), parts)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = at[owner] + nth * n[owner] // np.maximum(parts[owner], 1)       # segments of nearly equal length
+        size = np.diff(np.append(begin, len(key)))
+        low, lang = np.full(len(owner), np.inf), np.zeros(len(owner), np.int64)
         if len(key):
             u, inv = np.unique(key, return_inverse=True)
             cost = -self.logp(u)
@@ -132,11 +142,14 @@ class Model:
                 x = cost[inv, j]
                 total[has, j] = np.add.reduceat(x, at[has])
                 square[has, j] = np.add.reduceat(x * x, at[has])
+                part = np.add.reduceat(x, begin)
+                lang[part < low] = j
+                low = np.minimum(low, part)
         m = np.maximum(n, 1)[:, None]
-        return n, total / m, np.maximum(square / m - (total / m) ** 2, 0)
+        return n, total / m, np.maximum(square / m - (total / m) ** 2, 0), (owner, size, low, lang)
 
     def best(self, texts: list[str]):
-        n, h, _ = self.entropy(texts)
+        n, h, _, (owner, size, cost, lang) = self.entropy(texts)
         top = np.argmin(h, axis=1)
         low = h[np.arange(len(h)), top]
         # evidence grows with length, tempered
@@ -144,8 +157,11 @@ class Model:
         score = 1.0 / np.exp(z).sum(axis=1)
         far = np.zeros(len(texts), bool)
         if self.mean is not None:
-            bound = self.mean[top] + SLACK * np.sqrt(self.var_text[top] + self.var_char[top] / np.maximum(n, 1))
-            far = low > bound
+            def weighed(x):
+                return np.bincount(owner, x, len(texts)) / np.maximum(n, 1)
+            bound = weighed(self.mean[lang] * size) + SLACK * np.sqrt(
+                weighed(self.var_text[lang] * size) + weighed(self.var_char[lang] * size) / np.maximum(n, 1))
+            far = weighed(cost) > bound
         return n, top, score, far
 
 
@@ -236,10 +252,10 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
         m = restored(shipped.value)
         for pdf in batches:
             texts = pdf["text"].tolist()
-            n, h, v = m.entropy(texts)
+            n, h, v, _ = m.entropy(texts)
             yield pd.DataFrame({"lang": pdf["lang"].tolist(), "n": n, "h": h.tolist(), "v": v.tolist()})
 
-    got = rows.select("lang", "text").mapInPandas(measure, "lang string, n long, h array<double>, v array<double>").toPandas()
+    got = rows.select("lang", "text").distinct().mapInPandas(measure, "lang string, n long, h array<double>, v array<double>").toPandas()
     got = got[(got["n"] > 0) & got["lang"].isin(model.langs)]
     if got.empty:
         return

@@ -162,6 +162,28 @@ def test_language_accuracy_and_edge_cases(spark):
     assert {r.lang_pred for r in none} == {"und"} and [r.rejected for r in none] == [True, True, True, False, False, False]
 
 
+def test_clean_bilingual_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    # calibrated on uniform texts: copies must not narrow the bound either
+    model = langid.fit(docs.unionByName(docs.filter("doc_id % 50 = 0").crossJoin(spark.range(3)).withColumn("doc_id", F.col("doc_id") + 10**6 * (F.col("id") + 1)).drop("id")))
+    rng = np.random.default_rng(1)
+    long = {}
+    for r in docs.filter("lang is not null and length(text) > 1600").orderBy("doc_id").collect():
+        long.setdefault(r.lang, []).append(r.text)
+    halves, sentences = [], []
+    for a, b in itertools.combinations(sorted(long), 2):
+        for x, y in zip(long[a][:5], long[b][:5]):
+            halves.append(x[:2000] + " " + y[:2000])
+            cut = [[t[k:k + 150] for k in range(0, 2000, 150)] for t in (x, y)]
+            sentences.append(" ".join(p + " " + q for p, q in zip(*cut)))
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (200, 1000, 4000, 20000)]
+    rows = list(enumerate(halves + sentences + noise))
+    told = {r.doc_id: r.rejected for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    clean = len(halves) + len(sentences)
+    assert len(halves) >= 20 and sum(told[i] for i in range(clean)) == 0
+    assert all(told[i] for i in range(clean, len(rows)))
+
+
 def test_segmentations_round_trip_and_repeat(spark):
     df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(ODD)] + [(3, ODD[3], "p")], "doc_id long, text string, pieces string")
     enc = segment.encode(df, samples=4)
