@@ -7,8 +7,10 @@ types count as `other`).  Scoring (D2), dominant type (A4) and the
 subcategory (D3) are column expressions over the aggregate, so the state is
 a fixed-width row per open window whatever the alarm volume of an element.
 
-Late alarms (event time behind the watermark) are dropped by the engine and
-reported in `StreamingQueryProgress` (`numRowsDroppedByWatermark`).  Output
+Late alarms (of a window that ends at or behind the watermark) are dropped by the
+engine.  They are counted before the aggregation: the rows' window ends travel
+beside the aggregate to the sink, which writes per batch the exact count and the
+watermark to `<checkpoint>/late_rows/batch=<id>` (the source is read twice).  Output
 is append mode: a window is emitted once, when the watermark passes its end;
 the sink is `foreachBatch` writing `<out>/batch=<id>`, so a replayed batch
 overwrites its own directory (idempotent).
@@ -16,7 +18,7 @@ overwrites its own directory (idempotent).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_DOMAIN, DEFAULT_TUNING, Domain, Tuning
@@ -90,22 +92,39 @@ def stream_correlate(stream: DataFrame, out_path: str, checkpoint: str, *, mode:
     """Start the streaming job; returns the StreamingQuery."""
     agg = window_aggregate(stream, mode=mode, size=size, watermark=watermark, domain=domain)
     inc = incidents_from_windows(agg, min_alarms, tuning, domain)
+    spark = stream.sparkSession
+    late_path = f"{checkpoint.rstrip('/')}/late_rows"
+    delay = spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + INTERVAL {watermark})").first()[0]
+    out = inc.select(F.struct(*inc.columns).alias("inc"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("timestamp").alias("end"))
+    ts = F.col("ts").cast("timestamp_ltz")
+    end = F.window("ts", size)["end"] if mode == "tumbling" else F.col("ts") + F.expr(f"INTERVAL {size}")
+    rows = stream.select(ts.alias("ts")).filter("ts IS NOT NULL").select("ts", end.alias("end"))
+    both = out.unionByName(rows.select(F.lit(None).cast(out.schema["inc"].dataType).alias("inc"), "ts", "end"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
-
-    w = inc.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
+        # the engine drops by the watermark of the batch before; it advances when a batch ends
+        dropped_by, current = 0, 0
+        if batch_id > 0:
+            before = batch.sparkSession.read.parquet(f"{late_path}/batch={batch_id - 1}").first()
+            dropped_by, current = before["watermark_ms"], before["next_ms"]
+        seen = Observation()
+        observed = batch.observe(seen, F.count_if(F.unix_micros("end") <= dropped_by * 1000).alias("late"),
+                                 F.max(F.unix_millis("ts")).alias("max_ms"))
+        observed.filter("inc IS NOT NULL").select("inc.*").write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
+        top = seen.get["max_ms"]
+        row = (int(seen.get["late"]), current, max(current, top - delay) if top is not None else current)
+        (batch.sparkSession.createDataFrame([row], "late long, watermark_ms long, next_ms long").coalesce(1)
+         .write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}"))
+
+    w = both.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    query = w.start()
+    query.late_rows_path = late_path
+    return query
 
 
 def late_rows(query) -> int:
-    """Rows dropped behind the watermark, summed over the progress reports the
-    query still holds.  Spark counts them after partial aggregation: late alarms
-    of one element, window and task count once, so this is a lower bound."""
-    total = 0
-    for p in query.recentProgress or []:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else getattr(p, "stateOperators", []):
-            total += int(op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
-                         else getattr(op, "numRowsDroppedByWatermark", 0))
-    return total
+    """All alarms of the job's checkpoint that were dropped behind the watermark, exactly.
+    query: what `stream_correlate` returned."""
+    spark = SparkSession.active()
+    return int(spark.read.parquet(query.late_rows_path).agg(F.coalesce(F.sum("late"), F.lit(0))).first()[0])

@@ -41,3 +41,18 @@ def test_stream_windows_equal_batch_form(spark):
     assert got == [("E1", 0, 4, 0.9), ("E1", 15, 3, 0.9), ("E2", 0, 3, 0.9)]
     sess = incidents_from_windows(window_aggregate(batch, mode="session"), min_alarms=3).collect()
     assert sorted(r.alarm_count for r in sess) == [3, 8]
+
+
+def test_every_late_alarm_counts(spark, tmp_out):
+    src = os.path.join(tmp_out, "src")
+    late = 0
+    # seven late alarms of one window and element, later two more; a row behind the watermark in an open window is not late
+    for k, minutes in enumerate([[0, 1, 2, 128], [3] * 7 + [121], [4, 5, 129]]):
+        spark.createDataFrame(_rows(100 * k, minutes), SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        schema = spark.read.parquet(src).schema
+        q = stream_correlate(spark.readStream.schema(schema).parquet(src), os.path.join(tmp_out, "out"), os.path.join(tmp_out, "ckpt"),
+                             min_alarms=3, watermark="5 minutes")
+        q.awaitTermination()
+        late += [0, 7, 2][k]
+        assert late_rows(q) == late
+    assert [r.alarm_count for r in spark.read.parquet(os.path.join(tmp_out, "out")).collect()] == [3]
