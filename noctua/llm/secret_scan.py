@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import regex_spans
 
-RULE_VERSION = 3         # 1 ended private_key at its header line; 2 was given out by hand
+RULE_VERSION = 3         # 1 ended private_key at its header line; 2 is taken by the tests' second version
 KINDS = ["assign", "access", "hex", "private_key", "github", "slack", "jwt"]
 
 
