@@ -123,3 +123,28 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(reach.b) AS component_id, e.vec_id = min(reach.b) AS kept
 FROM embeddings e JOIN reach ON reach.a = e.vec_id GROUP BY e.vec_id
 """
+
+
+def centroid_rounds(clusters: int, rounds: int, dim: int, seed: str) -> str:
+    """Operator 11: the rounds as a chain of statements, every vector against every centroid."""
+    nearest = """SELECT x.rid, min(struct_pack(d := list_sum(list_transform(list_zip(x.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT,
+      c := c.c)) AS best FROM v x, c{k} c GROUP BY x.rid"""
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({256} * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), e) - 1 AS c, e FROM v
+  WHERE vec_id IS NOT NULL ORDER BY 1 LIMIT {clusters})"""]
+    for k in range(rounds):
+        parts += [f"a{k} AS MATERIALIZED ({nearest.format(k=k)})",
+                  f"""s{k} AS (SELECT a.best.c AS c, u.pos, sum(u.val) AS s, count(*) AS n FROM a{k} a
+  JOIN (SELECT rid, unnest(e) AS val, generate_subscripts(e, 1) AS pos FROM v) u USING (rid) GROUP BY 1, 2)""",
+                  f"""c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(m.e, c{k}.e) AS e FROM c{k} LEFT JOIN (SELECT c,
+  list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS e FROM s{k} GROUP BY c) m USING (c))"""]
+    return "WITH " + ",\n".join(parts) + f""",
+a{rounds} AS MATERIALIZED ({nearest.format(k=rounds)})
+SELECT v.vec_id, a.best.c::INTEGER AS cluster, a.best.d AS distance, (sum(a.best.d) OVER (PARTITION BY a.best.c))::BIGINT AS cluster_inertia,
+       (sum(a.best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.c = a.best.c
+"""
+
+
+OP11 = centroid_rounds(40, 5, 64, "2")

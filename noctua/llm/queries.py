@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, jaccard, langid, mtree, packing, pages, pii, secret_scan, segment, urls
+from . import caps, centroids, jaccard, langid, mtree, packing, pages, pii, secret_scan, segment, urls
 from .catalog import query
 from .common import read, span_digest, span_text
-from .oracles import OP1, OP2, OP4, OP6, OP7
+from .oracles import OP1, OP2, OP4, OP6, OP7, OP11
 
 
 def count_kind(spans: str, kind: str):
@@ -75,3 +75,8 @@ def op3_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = segment.encode(docs, keep=("text_hash",)).withColumn("ids_crc32", F.crc32("pieces"))
     return segment.decode(sampled).select("doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "log_inclusion",
                                           (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
+
+
+@query("op11_centroid_clustering", OP11)
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("computed")
