@@ -139,14 +139,12 @@ def _sums(centroids: np.ndarray):
 
 def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """The centroids after one round."""
-    dim = centroids.shape[1]
     part = vectors.select("q").mapInPandas(_sums(centroids), "cluster int, n long, total array<long>")
-    wide = "decimal(38,0)"
-    rows = part.groupBy("cluster").agg(F.sum(F.col("n").cast(wide)).alias("n"),
-                                       *[F.sum(F.col("total")[i].cast(wide)).alias(f"s{i}") for i in range(dim)]).collect()
+    rows = (part.select("cluster", "n", F.posexplode("total").alias("pos", "x")).groupBy("cluster", "pos")
+            .agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect())
     out = centroids.copy()
-    for r in rows:
-        out[r["cluster"]] = [int(r[f"s{i}"]) // int(r["n"]) for i in range(dim)]
+    for r in rows:                  # at most one row per number of the table
+        out[r["cluster"], r["pos"]] = int(r["x"]) // r["n"]
     return out
 
 
