@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, centroids, jaccard, langid, mtree, packing, pages, pii, secret_scan, segment, urls
+from . import caps, centroids, jaccard, langid, lexical, mtree, packing, pages, pii, secret_scan, segment, urls
 from .catalog import query
 from .common import read, span_digest, span_text
-from .oracles import OP1, OP2, OP4, OP6, OP7, OP11
+from .oracles import OP1, OP2, OP4, OP6, OP7, OP11, OP12
 
 
 def count_kind(spans: str, kind: str):
@@ -80,3 +80,8 @@ def op3_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_centroid_clustering", OP11)
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("computed")
+
+
+@query("op12_best_position_search", OP12)
+def op12_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
