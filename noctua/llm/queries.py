@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, centroids, jaccard, langid, lexical, mtree, packing, pages, pii, secret_scan, segment, urls
+from . import caps, centroids, chat, jaccard, langid, lexical, mtree, packing, pages, pii, secret_scan, segment, urls
 from .catalog import query
 from .common import read, span_digest, span_text
 from .oracles import OP1, OP2, OP4, OP6, OP7, OP11, OP12
@@ -85,3 +85,9 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_best_position_search", OP12)
 def op12_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("op13_chat_windows")
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_windows(turns.unionByName(chat.probe(spark))))
