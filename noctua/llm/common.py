@@ -12,23 +12,36 @@ from __future__ import annotations
 
 import sys
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bounded(spark: SparkSession) -> SparkSession:
+    """Session settings of this package: rows of the text tables can be very long,
+    so Arrow batches end at a number of bytes (and rows)."""
     prepare(spark)
-    # rows of the text tables can be very long: keep Arrow batches small
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    return spark
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return bounded(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def per_worker(key: str, make):
-    """One object per Python worker process.  This package's functions travel by
-    value, so module globals would start anew with every task."""
+    """One object per Python worker process and Spark stage.  This package's functions
+    travel by value, so module globals would start anew with every task; what
+    earlier stages left in the worker is let go."""
     store = vars(sys).setdefault("_noctua_llm", {})
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if store.get("stage") != stage:
+        store.clear()
+        store["stage"] = stage
     if key not in store:
         store[key] = make()
     return store[key]

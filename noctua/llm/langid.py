@@ -1,12 +1,13 @@
 """Operator 10: language ID by interpolated Kneser-Ney character models.
 
-Training (`fit`): a bounded sample of labelled rows per language (`SAMPLE`, a
-documented parameter; drawn by a hash of the row id, every `CALIBRATE`-th kept
-apart for calibration) gives 4-gram counts, summed by Spark.  The driver turns
-the distinct 4-grams - a table bounded by the sample - into one interpolated
-Kneser-Ney model per language, laid out as sorted arrays of 64-bit keys (an
-n-gram packed 16 bits a letter, so the key is an injective hash) with a row of
-log-probabilities per language.
+Training (`fit`): every label that occurs is learned, from a bounded sample of its
+rows (`SAMPLE`, a documented parameter; the rows with the smallest hash of the
+id, rows that share an id counting once; every `CALIBRATE`-th kept apart for
+calibration).  Hash bounds that follow from the labels' counts cut the rows before
+the shuffle.  4-gram counts are summed by Spark; the driver turns the distinct
+4-grams - a table bounded by the sample - into one interpolated Kneser-Ney model
+per language: sorted arrays of 64-bit keys (an n-gram packed 16 bits a letter,
+so the key is an injective hash) with log-probabilities, linear in the sample.
 
 Prediction (`predict`): every whole text, in Arrow batches; distinct n-grams
 of a batch are found by binary search, backing off through the orders; the
@@ -28,21 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import per_worker
+from .common import per_worker, stored
 
 ORDER = 4
 SAMPLE = 1800          # labelled rows per language that are drawn, by hash of the row id
 CALIBRATE = 6          # every so many of them fits temperature and rejection, the others feed the counts
-LANGUAGES = 200        # at most so many languages (the most frequent) are learned
+SPARE = 2              # so many times the sample is let through by the hash bounds, on average
 ALPHABET = 65536       # letters a language may have: share of an unseen letter
 SLACK = 8.0            # standard deviations above the calibrated cross-entropy that reject
 SEGMENT = 50           # n-grams that are judged in one language for rejection
 OTHER = 0xFFFF         # stands for letters beyond the basic plane
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 250_000
 
 
 def letters() -> np.ndarray:
@@ -99,26 +99,17 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Per order n: sorted keys, log p (keys x languages); sorted contexts, log backoff weight."""
+    """Per language and order n: sorted keys, log p; sorted contexts, log backoff weight."""
 
     def __init__(self, langs: list[str], tables: list):
         self.langs, self.tables = langs, tables
         self.temperature, self.mean, self.var_text, self.var_char = 1.0, None, None, None
 
-    def logp(self, key: np.ndarray, order: int = ORDER) -> np.ndarray:
+    def logp(self, key: np.ndarray) -> np.ndarray:
         """log p of distinct packed n-grams, one column per language."""
-        if order == 0:
-            return np.full((len(key), len(self.langs)), -np.log(ALPHABET))
-        keys, logp, ctx, back = self.tables[order - 1]
         out = np.empty((len(key), len(self.langs)))
-        at, hit = find(keys, key)
-        out[hit] = logp[at[hit]]
-        miss = key[~hit]
-        if len(miss):
-            low = self.logp(miss & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
-            c, seen = find(ctx, miss >> np.uint64(16))
-            low[seen] += back[c[seen]]
-            out[~hit] = low
+        for j, tables in enumerate(self.tables):
+            out[:, j] = backed_off(tables, key, ORDER)
         return out
 
     def entropy(self, texts: list[str]) -> tuple:
@@ -180,61 +171,68 @@ def find(sorted_keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_keys[at] == want
 
 
-def build(counts: pd.DataFrame) -> Model:
-    """Interpolated Kneser-Ney from (lang, gram, n) rows of the highest order."""
-    langs = sorted(counts["lang"].unique())
-    tables: list = [None] * ORDER
-    by = {l: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy(np.float64)) for l, g in counts.groupby("lang")}
+def backed_off(tables: list, key: np.ndarray, order: int) -> np.ndarray:
+    """log p of packed n-grams in one language."""
+    if order == 0:
+        return np.full(len(key), -np.log(ALPHABET))
+    keys, logp, ctx, back = tables[order - 1]
+    out = np.empty(len(key))
+    at, hit = find(keys, key)
+    out[hit] = logp[at[hit]]
+    miss = key[~hit]
+    if len(miss):
+        low = backed_off(tables, miss & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
+        c, seen = find(ctx, miss >> np.uint64(16))
+        low[seen] += back[c[seen]]
+        out[~hit] = low
+    return out
+
+
+def estimated(gram: np.ndarray, n: np.ndarray) -> list:
+    """Interpolated Kneser-Ney tables of one language from its highest-order counts."""
+    order = np.argsort(gram)
     # raw counts at the top, continuation counts (distinct left neighbours) below
-    levels = []
-    for l in langs:
-        key, n = by[l]
-        order = np.argsort(key)
-        level = {ORDER: (key[order], n[order])}
-        for k in range(ORDER - 1, 0, -1):
-            u, c = np.unique(level[k + 1][0] & np.uint64((1 << 16 * k) - 1), return_counts=True)
-            level[k] = (u, c.astype(np.float64))
-        levels.append(level)
-    model = Model(langs, tables)
+    level = {ORDER: (gram[order], n[order])}
+    for k in range(ORDER - 1, 0, -1):
+        u, c = np.unique(level[k + 1][0] & np.uint64((1 << 16 * k) - 1), return_counts=True)
+        level[k] = (u, c.astype(np.float64))
+    tables: list = []
     for k in range(1, ORDER + 1):
-        keys = np.unique(np.concatenate([lv[k][0] for lv in levels]))
-        ctxs = np.unique(keys >> np.uint64(16))
-        prob, back = np.zeros((len(keys), len(langs))), np.zeros((len(ctxs), len(langs)))
-        lower = np.exp(model.logp(keys & np.uint64((1 << 16 * (k - 1)) - 1), k - 1))
-        for j, lv in enumerate(levels):
-            u, c = lv[k]
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = float(np.clip(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1, 0.9))
-            cu, first = np.unique(u >> np.uint64(16), return_index=True)
-            mass, kinds = np.add.reduceat(c, first), np.diff(np.append(first, len(u)))
-            at, has = find(cu, ctxs)
-            weight = np.ones(len(ctxs))
-            weight[has] = d * kinds[at[has]] / mass[at[has]]
-            back[:, j] = np.log(weight)
-            of = np.searchsorted(ctxs, keys >> np.uint64(16))
-            at, seen = find(u, keys)
-            cat, _ = find(cu, keys >> np.uint64(16))
-            own = np.where(seen, np.maximum(c[at] - d, 0) / mass[cat], 0.0)
-            prob[:, j] = own + weight[of] * lower[:, j]
-        tables[k - 1] = (keys, np.log(prob), ctxs, back)
-    return model
+        u, c = level[k]
+        n1, n2 = (c == 1).sum(), (c == 2).sum()
+        d = float(np.clip(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1, 0.9))
+        ctx, first, of = np.unique(u >> np.uint64(16), return_index=True, return_inverse=True)
+        mass, kinds = np.add.reduceat(c, first), np.diff(np.append(first, len(u)))
+        weight = d * kinds / mass
+        lower = np.exp(backed_off(tables, u & np.uint64((1 << 16 * (k - 1)) - 1), k - 1))
+        tables.append((u, np.log(np.maximum(c - d, 0) / mass[of] + weight[of] * lower), ctx, np.log(weight)))
+    return tables
+
+
+def build(counts: pd.DataFrame) -> Model:
+    """A model per language from (lang, gram, n) rows of the highest order."""
+    by = {l: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy(np.float64)) for l, g in counts.groupby("lang")}
+    langs = sorted(by)
+    return Model(langs, [estimated(*by[l]) for l in langs])
+
+
+def sampled(docs: DataFrame, id_col: str, text: str, lang: str, sample: int) -> DataFrame:
+    """(lang, text, rank): of every label the `sample` rows of smallest id hash outside the held-out fold."""
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~fold_out(F.col(id_col))).select(
+        F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
+    # hashes spread evenly: a bound lets SPARE * sample rows of a label through, so no label's rows meet in one task
+    share = F.least(F.lit(1.0), (SPARE * sample + 200) / F.col("n"))
+    bounds = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", share.alias("share"))
+    low = rows.join(F.broadcast(bounds), "lang").filter(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))      # one row per label
+    once = low.groupBy("lang", "id", "h").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("lang").orderBy("h", "id")
+    return stored(once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sample).select("lang", "text", "rank"), "lang-sample")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE,
         calibrate: int = CALIBRATE) -> Model | None:
     """Learn from rows with a language whose id is not in the held-out fold; None without any."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~fold_out(F.col(id_col))).select(
-        F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    # row_number <= bound plans as a group limit on both sides of the shuffle; only ids are sorted
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    drawn = (rows.select("id", "lang").withColumn("rank", F.row_number().over(w))
-             .filter(F.col("rank") <= sample))
-    few = (drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang"))
-    few = [r.lang for r in few.collect()]
-    if not few:
-        return None
-    # the sample has at most LANGUAGES * sample ids
-    picked = rows.join(F.broadcast(drawn.filter(F.col("lang").isin(few)).select("id", "rank").distinct()), "id")
+    picked = sampled(docs, id_col, text, lang, sample)
     counts = (picked.filter(F.col("rank") % calibrate != 0).select("lang", "text")
               .mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))).toPandas()
     if counts.empty:
@@ -279,38 +277,49 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
     model.mean, model.var_text, model.var_char = mean, vt, vc
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """`docs` plus lang_pred, score and rejected.  Only the text is looked at."""
-    added = {"lang_pred": StringType(), "score": DoubleType(), "rejected": BooleanType()}
-    kept = [c for c in docs.columns if c not in added]
-    src = docs.select(*kept)
-    schema = StructType(src.schema.fields + [StructField(k, t) for k, t in added.items()])
-    shipped = docs.sparkSession.sparkContext.broadcast(model and vars(model))
+def judge(spark: SparkSession, model: Model | None):
+    """A column function: text -> struct(lang_pred, score, rejected).  Only the text
+    travels to Python and only the three values come back."""
+    shipped = spark.sparkContext.broadcast(model and vars(model))
+
+    def told(m: Model | None, part: list[str]):
+        if m is None:
+            return [("und", 0.0, not any(c.isalpha() for c in t)) for t in part]
+        n, top, score, far = m.best(part)
+        out = []
+        for t, j, x, f, count in zip(part, top, score, far, n):
+            none = count <= 1 and not any(c.isalpha() for c in t)
+            out.append(("und", 0.0, True) if none else (m.langs[j], float(x), bool(f)))
+        return out
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = restored(shipped.value)
-        for pdf in batches:
-            body = [t if isinstance(t, str) else "" for t in pdf[text]]
-            lang, score, gone = [], [], []
-            at = 0
+        for texts in batches:
+            body = [t if isinstance(t, str) else "" for t in texts]
+            rows, at = [], 0
             while at < len(body):
                 stop, chars = at, 0
                 while stop < len(body) and chars < BLOCK_CHARS:
                     chars += len(body[stop])
                     stop += 1
-                part = body[at:stop]
+                rows += told(m, body[at:stop])
                 at = stop
-                if m is None:
-                    lang += ["und"] * len(part)
-                    score += [0.0] * len(part)
-                    gone += [not any(c.isalpha() for c in t) for t in part]
-                    continue
-                n, top, s, far = m.best(part)
-                for t, j, x, f, count in zip(part, top, s, far, n):
-                    none = count <= 1 and not any(c.isalpha() for c in t)
-                    lang.append("und" if none else m.langs[j])
-                    score.append(0.0 if none else float(x))
-                    gone.append(bool(none or f))
-            yield pdf.assign(lang_pred=lang, score=score, rejected=gone)
-
-    return src.mapInPandas(judge, schema)
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
+
+    # marked so, the optimizer leaves it at one place and runs it once a row
+    return F.pandas_udf(run, "lang_pred string, score double, rejected boolean").asNondeterministic()
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """`docs` plus lang_pred, score and rejected, which replace columns of these names.  Only the text is looked at."""
+    added = ["lang_pred", "score", "rejected"]
+    kept = [c for c in docs.columns if c not in added]
+    found = unused("_told", docs.columns)
+    told = docs.withColumn(found, judge(docs.sparkSession, model)(F.col(text)))
+    return told.select(*kept, *[F.col(f"{found}.{c}").alias(c) for c in added])
+
+
+def unused(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name

@@ -11,14 +11,15 @@ special token's string take the library's own path, text by text.
 from __future__ import annotations
 
 import base64
+import json
 from itertools import chain
 
 import numpy as np
 
 from .common import per_worker
 
-BLOCK_CHARS = 2_000_000
-KNOWN_TOKENS = 1_000_000     # memory bound of the worker's table of pre-tokens; beyond it the table starts anew
+BLOCK_CHARS = 400_000
+KNOWN_TOKENS = 300_000     # memory bound of the worker's table of pre-tokens; beyond it the table starts anew
 
 LETTER, NUMBER, SPACE = 1, 2, 3
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -53,15 +54,22 @@ class TextEncoder:
     def __init__(self, path: str | None = None):
         import public_tokenizers as p
         import tiktoken
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path or p.path("byte_bpe_50k.json"))
+        self.file, self.tokenizer = path or p.path("byte_bpe_50k.json"), None
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_50k.tiktoken"), "rb"))}
         self.bpe = tiktoken.Encoding("ranks", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(self.file, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.classes = _classes()
         self.pow, self.inv = _powers(1 << 15)
         self._forget()
 
+    def library(self):
+        """The library's own tokenizer, loaded for the few texts that need it."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+            self.tokenizer = Tokenizer.from_file(self.file)
+        return self.tokenizer
+
     def _forget(self) -> None:
         """Pre-tokens met so far: sorted hashes, their ids in one array."""
         self.known = np.zeros(0, np.uint64)
@@ -73,7 +81,7 @@ class TextEncoder:
         block, size = [], 0
         for i, t in enumerate(texts):
             if any(s in t for s in self.special):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+                out[i] = np.array(self.library().encode(t, add_special_tokens=False).ids, "<u4")
             elif "'" in t:
                 out[i] = np.array(self.bpe.encode_ordinary(t), "<u4")
             else:
