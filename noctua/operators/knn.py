@@ -1,19 +1,30 @@
-"""Exact vector joins by blocks: kNN join (J4) and near pairs.
+"""Exact vector joins: kNN join (J4) and near pairs.
 
-Nothing is collected to the driver and no side is broadcast whole.  Both
-sides are hashed into blocks of at most ~`block_rows` rows (block counts are
-computed in the plan from per-key counts), every (query block, corpus
-block) pair meets in one cogroup task, and a vectorised NumPy kernel does
-one matrix product per pair and keeps the local top-k.  A final per-query
-window merges the per-block top-k lists.  Memory per task is bounded by
-block_rows^2 doubles whatever the table sizes or key skew; a key holding a
-third of the corpus is simply split into more blocks.
+kNN join.  The corpus is measured first (rows and vector values, one row of
+aggregates).  Up to `SMALL_VALUES` values it travels to the queries, which stay
+where they are: no shuffle at all.  Beyond that the join runs over cells:
+
+* Up to `PIVOTS` corpus vectors, drawn by hash, are pivots; every corpus row
+  belongs to the cell of its nearest pivot.  Cells hold about `cell_rows` rows; a
+  fuller one (a hot vector, a dense cluster) is split by id into parts.
+* Round 1 sends a query to its nearest cells that together hold k rows, which
+  gives an upper bound of its k-th distance.  Round 2 sends it to those of the
+  other cells that the bounds cannot exclude: for a row x of cell p,
+  |q - x| >= |q - p| - radius(p), |q - x| >= inner(p) - |q - p| and, p0 being the
+  query's nearest pivot, |q - x| >= (|q - p|^2 - |q - p0|^2) / (2 |p - p0|).
+* Queries of a cell travel in blocks, and a cell part is copied once per block.
+  Distances are those of unit vectors, where |a - b|^2 = 2 - 2 cos(a, b).
+
+Keyed joins (`same_key`) beyond the small size meet block by block within the key;
+a key holding a third of the corpus is split into more blocks.  The tables that
+reach the driver are bounded: the small corpus, at most `PIVOTS` pivots, one
+row per cell.
 
 Ordering contract (SQL `ORDER BY round(similarity, 12) DESC, id`): similarities
 are rounded to 12 places in the kernel, because equal vectors in different
 blocks may differ in the last bit, and ties at the cut go to the smaller
 neighbour id.  NULL and zero-norm vectors never match, nor do vectors of
-different width.
+different width.  Query ids are taken to be unique.
 """
 
 from __future__ import annotations
@@ -23,8 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 DEFAULT_BLOCK_ROWS = 2048
 PLACES = 12
+SMALL_VALUES = 8_000_000    # vector values (64 MB) of a corpus that is sent to the queries
+PIVOTS = 1024
+SLACK = 1e-5                # of distance bounds: similarities are rounded, and a root magnifies that near 0
 
 
 def _by_width(kernel, columns: tuple[str, ...]):
@@ -65,39 +81,29 @@ def _topk_rows(sims: np.ndarray, ids: np.ndarray, k: int):
     return out
 
 
+def _nearest(qids, Q, cids, C, k: int) -> pd.DataFrame:
+    """The k best of the rows C for every row of Q."""
+    qn, cn = np.linalg.norm(Q, axis=1), np.linalg.norm(C, axis=1)
+    Q, qn, qids = Q[qn > 0], qn[qn > 0], qids[qn > 0]
+    C, cn, cids = C[cn > 0], cn[cn > 0], cids[cn > 0]
+    if not len(Q) or not len(C):
+        return pd.DataFrame({"query_id": qids[:0], "neighbour_id": cids[:0], "similarity": np.zeros(0), "rank": np.zeros(0, dtype=np.int64)})
+    sims = np.round((Q @ C.T) / np.outer(qn, cn), PLACES)
+    picks = _topk_rows(sims, cids, k)
+    sizes = [len(idx) for idx in picks]
+    row, at = np.repeat(np.arange(len(Q)), sizes), np.concatenate(picks)
+    return pd.DataFrame({"query_id": qids[row], "neighbour_id": cids[at], "similarity": sims[row, at],
+                         "rank": np.concatenate([np.arange(1, n + 1, dtype=np.int64) for n in sizes])})
+
+
 def _knn_kernel(k: int):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": q["qid"].iloc[:0], "neighbour_id": c["cid"].iloc[:0],
-                              "similarity": np.zeros(0), "rank": np.zeros(0, dtype=np.int64)})
-        if len(q) == 0 or len(c) == 0:
-            return empty
-        Q, C = _stack(q["qv"]), _stack(c["cv"])
-        qn, cn = np.linalg.norm(Q, axis=1), np.linalg.norm(C, axis=1)
-        qk, ck = qn > 0, cn > 0
-        if not qk.any() or not ck.any():
-            return empty
-        Q, qn, qids = Q[qk], qn[qk], q["qid"].to_numpy()[qk]
-        C, cn, cids = C[ck], cn[ck], c["cid"].to_numpy()[ck]
-        sims = np.round((Q @ C.T) / np.outer(qn, cn), PLACES)
-        picks = _topk_rows(sims, cids, k)
-        rows_q, rows_c, rows_s, rows_r = [], [], [], []
-        for i, idx in enumerate(picks):
-            rows_q.append(np.repeat(qids[i:i + 1], len(idx)))
-            rows_c.append(cids[idx])
-            rows_s.append(sims[i, idx])
-            rows_r.append(np.arange(1, len(idx) + 1, dtype=np.int64))
-        return pd.DataFrame({"query_id": np.concatenate(rows_q), "neighbour_id": np.concatenate(rows_c),
-                             "similarity": np.concatenate(rows_s), "rank": np.concatenate(rows_r)})
+        return _nearest(q["qid"].to_numpy(), _stack(q["qv"]), c["cid"].to_numpy(), _stack(c["cv"]), k)
     return fn
 
 
-def _block_counts(q: DataFrame, c: DataFrame, block_rows: int, keyed: bool):
-    """Per-key (query blocks, corpus blocks).  Without a key they are two
-    scalar subqueries; with a key, a per-key table joined on the key."""
-    if not keyed:
-        nq = q.select(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")).scalar()
-        nc = c.select(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")).scalar()
-        return q.withColumn("_nq", nq).withColumn("_nc", nc), c.withColumn("_nq", nq).withColumn("_nc", nc)
+def _block_counts(q: DataFrame, c: DataFrame, block_rows: int):
+    """Both sides with their key's (query blocks, corpus blocks)."""
     qc = q.groupBy("_key").agg(F.count("*").alias("_qn"))
     cc = c.groupBy("_key").agg(F.count("*").alias("_cn"))
     blocks = qc.join(cc, "_key").select(
@@ -110,7 +116,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
              query_id: str = "query_id", query_vec: str = "query_vec",
              corpus_id: str = "id", corpus_vec: str = "vec",
              same_key: str | tuple[str, str] | None = None,
-             block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+             block_rows: int = DEFAULT_BLOCK_ROWS, small_values: int = SMALL_VALUES) -> DataFrame:
     """For each query the k corpus rows of highest cosine similarity.
 
     Returns (query_id, neighbour_id, similarity, rank).  `same_key` restricts
@@ -125,24 +131,173 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
     c = (corpus.filter(F.col(corpus_vec).isNotNull())
          .select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).cast("array<double>").alias("cv"), ckey.alias("_key"))
          .filter(F.col("_key").isNotNull()))
-    qb, cb = _block_counts(q, c, block_rows, qk is not None)
-    # Both sides must group by identically typed keys: each side is hash
-    # partitioned by its own key expressions before the cogroup.
-    qx = qb.select("qid", "qv", "_key", F.pmod(F.xxhash64("qid"), F.col("_nq")).cast("int").alias("_qb"),
-                   F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_cb"))
-    cx = cb.select("cid", "cv", "_key", F.pmod(F.xxhash64("cid"), F.col("_nc")).cast("int").alias("_cb"),
-                   F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_qb"))
     qid_t = queries.schema[query_id].dataType.simpleString()
     cid_t = corpus.schema[corpus_id].dataType.simpleString()
     schema = f"query_id {qid_t}, neighbour_id {cid_t}, similarity double, rank long"
-    partial = (qx.groupBy("_key", "_qb", "_cb")
-               .cogroup(cx.groupBy("_key", "_qb", "_cb"))
-               .applyInPandas(lambda q_, c_: _by_width(_knn_kernel(k), ("qv", "cv"))(q_, c_), schema))
+    size = c.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("cv")), F.lit(0)).alias("values")).first()
+    if size["values"] <= small_values:
+        return q.mapInPandas(_near_small(_packed(c.toPandas()), q.sparkSession, k), schema)
+    if qk is None:
+        return best_k(cell_search(stored(q.drop("_key"), "knn-queries"), stored(c.drop("_key"), "knn-corpus"), k, block_rows, schema)[0], k)
+    return best_k(_by_blocks(q, c, k, block_rows, schema), k)
+
+
+def best_k(partial: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("neighbour_id"))
     return (partial.withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= k))
 
 
+def _packed(rows: pd.DataFrame) -> dict:
+    """(key, width) -> (ids, vectors) of a small corpus."""
+    if rows.empty:
+        return {}
+    groups = rows.groupby([rows["_key"], rows["cv"].map(len)], sort=False)
+    return {(key, int(width)): (g["cid"].to_numpy(), _stack(g["cv"])) for (key, width), g in groups}
+
+
+def _near_small(packed: dict, spark, k: int):
+    """Queries stay in their partitions and meet the whole corpus there."""
+    shipped = spark.sparkContext.broadcast(packed)
+
+    def run(batches):
+        for pdf in batches:
+            for (key, width), q in pdf.groupby([pdf["_key"], pdf["qv"].map(len)], sort=False):
+                if (key, int(width)) in shipped.value:
+                    ids, vecs = shipped.value[(key, int(width))]
+                    for a in range(0, len(q), DEFAULT_BLOCK_ROWS):
+                        yield _nearest(q["qid"].to_numpy()[a:a + DEFAULT_BLOCK_ROWS], _stack(q["qv"].iloc[a:a + DEFAULT_BLOCK_ROWS]), ids, vecs, k)
+    return run
+
+
+def _by_blocks(q: DataFrame, c: DataFrame, k: int, block_rows: int, schema: str) -> DataFrame:
+    """All blocks of a key's queries meet all blocks of its corpus rows."""
+    qb, cb = _block_counts(q, c, block_rows)
+    # Both sides must group by identically typed keys: each side is hash
+    # partitioned by its own key expressions before the cogroup.
+    qx = qb.select("qid", "qv", "_key", F.pmod(F.xxhash64("qid"), F.col("_nq")).cast("int").alias("_qb"),
+                   F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_cb"))
+    cx = cb.select("cid", "cv", "_key", F.pmod(F.xxhash64("cid"), F.col("_nc")).cast("int").alias("_cb"),
+                   F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_qb"))
+    return (qx.groupBy("_key", "_qb", "_cb")
+            .cogroup(cx.groupBy("_key", "_qb", "_cb"))
+            .applyInPandas(lambda q_, c_: _by_width(_knn_kernel(k), ("qv", "cv"))(q_, c_), schema))
+
+
+class Cells:
+    """Pivots (unit vectors) of one width with the bounds of their cells."""
+
+    def __init__(self, width: int, pivots: np.ndarray):
+        self.width, self.pivots = width, pivots
+        self.rows, self.inner, self.radius, self.parts = (np.zeros(len(pivots)) for _ in range(4))
+
+    def distances(self, v: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2.0 - 2.0 * (v @ self.pivots.T), 0.0))
+
+    def first(self, d: np.ndarray, k: int) -> np.ndarray:
+        """Per query: the nearest cells that together hold k rows."""
+        order = np.argsort(d, axis=1)
+        held = np.cumsum(self.rows[order], axis=1)
+        go = np.zeros(d.shape, bool)
+        np.put_along_axis(go, order, (held - self.rows[order]) < k, axis=1)
+        return go & (self.rows > 0)
+
+    def reachable(self, d: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Cells that may hold a row within `most` of each query."""
+        low = np.maximum(d - self.radius, self.inner - d)
+        near = d.argmin(axis=1)
+        apart = np.maximum(self.distances(self.pivots)[near], 1e-12)
+        low = np.maximum(low, (d ** 2 - d[np.arange(len(d)), near][:, None] ** 2) / (2 * apart) - SLACK / apart)
+        return (low <= most[:, None] + SLACK) & (self.rows > 0)
+
+
+def _unit(col: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    v = _stack(col)
+    n = np.linalg.norm(v, axis=1)
+    return v / np.where(n > 0, n, 1.0)[:, None], n > 0
+
+
+def _cells_of(corpus: DataFrame, width: int, rows: int, cell_rows: int, cid_t: str) -> tuple[Cells, DataFrame]:
+    """The cells of one width, and its corpus rows with cell and part."""
+    mine = corpus.filter(F.size("cv") == width)
+    drawn = mine.orderBy(F.xxhash64("cid"), "cid").limit(min(PIVOTS, -(-rows // cell_rows))).toPandas()
+    unit, ok = _unit(drawn["cv"])
+    cells = Cells(width, unit[ok] if ok.any() else unit[:1])
+    pivots = cells.pivots
+
+    def place(batches):
+        home = Cells(width, pivots)
+        for pdf in batches:
+            if len(pdf):
+                v, has = _unit(pdf["cv"])
+                d = home.distances(v)
+                cell = d.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), d=d[np.arange(len(d)), cell])[has]
+
+    placed = stored(mine.mapInPandas(place, f"cid {cid_t}, cv array<double>, cell int, d double"), "knn-cells")
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect():
+        cells.rows[r["cell"]], cells.inner[r["cell"]], cells.radius[r["cell"]] = r["n"], r["lo"], r["hi"]
+    cells.parts = np.ceil(cells.rows / cell_rows).astype(np.int64)
+    parts = F.element_at(F.array(*[F.lit(int(max(p, 1))) for p in cells.parts]), F.col("cell") + 1)
+    return cells, placed.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")).drop("d")
+
+
+def _visits(cells: Cells, k: int, bounded: bool):
+    """(cell, part, query) rows: round 1, or with a bound (`most`) round 2 without the cells of round 1."""
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v, has = _unit(pdf["qv"])
+            d = cells.distances(v)
+            go = cells.first(d, k)
+            if bounded:
+                most = pdf["most"].fillna(2.0).to_numpy(np.float64)
+                go = cells.reachable(d, most) & ~go
+            row, cell = np.nonzero(go & has[:, None])
+            again = cells.parts[cell]
+            row, cell = np.repeat(row, again), np.repeat(cell, again)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(again) - again, again)
+            for a in range(0, len(row), 4096):
+                at = row[a:a + 4096]
+                yield pd.DataFrame({"cell": cell[a:a + 4096].astype(np.int32), "part": part[a:a + 4096].astype(np.int32),
+                                    "qid": pdf["qid"].to_numpy()[at], "qv": [pdf["qv"].iat[i] for i in at]})
+    return run
+
+
+def _meet(asked: DataFrame, placed: DataFrame, k: int, block_rows: int, schema: str) -> DataFrame:
+    """Queries of a cell part, in blocks, against its rows."""
+    blocks = asked.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n"))
+    left = asked.join(blocks, ["cell", "part"]).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("n")).cast("int")).drop("n")
+    right = placed.join(blocks, ["cell", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    key = ["cell", "part", "block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: _knn_kernel(k)(a, b), schema)
+
+
+def cell_search(queries: DataFrame, corpus: DataFrame, k: int, cell_rows: int, schema: str) -> tuple[DataFrame, dict]:
+    """Partial results of all queries (qid, qv) against the corpus (cid, cv), and what the
+    bounds saved: cells, visits made, visits that every query to every cell would make."""
+    spark = queries.sparkSession
+    qid_t, cid_t = queries.schema["qid"].dataType.simpleString(), corpus.schema["cid"].dataType.simpleString()
+    out, told = spark.createDataFrame([], schema), {"cells": 0, "visits": 0, "all_visits": 0}
+    shape = f"cell int, part int, qid {qid_t}, qv array<double>"
+    for width, rows in [(r["w"], r["n"]) for r in corpus.groupBy(F.size("cv").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()]:
+        asking = queries.filter(F.size("qv") == width)
+        cells, placed = _cells_of(corpus, width, rows, cell_rows, cid_t)
+        one = stored(asking.mapInPandas(_visits(cells, k, False), shape), "knn-round1")
+        near = stored(_meet(one, placed, k, cell_rows, schema), "knn-near")
+        # the k-th similarity of round 1 bounds the distance; without k rows nothing is excluded
+        kth = best_k(near, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("s"))
+        most = kth.select("query_id", F.sqrt(F.greatest(2.0 - 2.0 * F.col("s"), F.lit(0.0))).alias("most"))
+        two = stored(asking.join(most, asking["qid"] == most["query_id"], "left").drop("query_id")
+                     .mapInPandas(_visits(cells, k, True), shape), "knn-round2")
+        out = out.unionByName(near).unionByName(_meet(two, placed, k, cell_rows, schema))
+        told["cells"] += int(cells.parts.sum())
+        told["visits"] += one.count() + two.count()
+        told["all_visits"] += asking.count() * int(cells.parts.sum())
+    return out, told
+
+
 def _pairs_kernel(threshold: float):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id_a": pdf["id"].iloc[:0], "id_b": pdf["id"].iloc[:0], "distance": np.zeros(0)})

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from noctua.operators import knn
 from noctua.operators.knn import knn_join, near_pairs
 from noctua.operators.lifecycle import near_pairs_lsh
 from noctua.operators.ranking import bm25, hybrid_rank
@@ -42,12 +43,17 @@ def no_coalesce(spark):
     spark.conf.set(key, old)
 
 
-@pytest.mark.parametrize("block_rows", [7, 2048])
-def test_knn_join_matches_brute_force_across_blocks(spark, no_coalesce, block_rows):
+@pytest.mark.parametrize("block_rows,small", [(7, 0), (2048, 0), (2048, knn.SMALL_VALUES)])
+def test_knn_join_matches_brute_force_by_cells_and_small(spark, no_coalesce, block_rows, small):
     q, qrows = _vecs(spark, 40, 8, 1)
     c, crows = _vecs(spark, 55, 8, 2, start=1000)
-    got = knn_join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), c, 5,
-                   block_rows=block_rows).collect()
+    crows += [(2000 + i, [1.0, 2.0] * 4, 0) for i in range(30)] + [(3000, [0.0] * 8, 0)]       # a hot vector, a zero one
+    qrows += [(500, [1.0, 2.0] * 4, 0)]
+    q, c = (spark.createDataFrame(rows, "id long, vec array<double>, key int") for rows in (qrows, crows))
+    crows = [r for r in crows if r[0] != 3000]
+    odd = spark.createDataFrame([(4000, [1.0] * 5, 0), (4001, None, 0)], "id long, vec array<double>, key int")
+    got = knn_join(q.unionByName(odd).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")),
+                   c.unionByName(odd.filter("id = 4001")), 5, block_rows=block_rows, small_values=small).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.neighbour_id)
@@ -57,20 +63,37 @@ def test_knn_join_matches_brute_force_across_blocks(spark, no_coalesce, block_ro
 def test_knn_join_same_key(spark, no_coalesce):
     q, qrows = _vecs(spark, 20, 6, 3, key_mod=3)
     c, crows = _vecs(spark, 30, 6, 4, key_mod=3, start=500)
-    got = knn_join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "key"), c, 3,
-                   same_key="key", block_rows=4).collect()
+    for small in (0, knn.SMALL_VALUES):
+        got = knn_join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "key"), c, 3,
+                       same_key="key", block_rows=4, small_values=small).collect()
+        res = {}
+        for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+            res.setdefault(r.query_id, []).append(r.neighbour_id)
+        assert res == _brute_knn(qrows, crows, 3, same_key=True)
+
+
+def test_cells_skip_what_the_bounds_exclude(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(25, 12))
+    make = lambda n, at: [(at + i, (centres[i % 25] + rng.normal(scale=0.08, size=12)).tolist(), 0) for i in range(n)]
+    qrows, crows = make(100, 0), make(2000, 10_000)
+    q = spark.createDataFrame([r[:2] for r in qrows], "qid long, qv array<double>")
+    c = spark.createDataFrame([r[:2] for r in crows], "cid long, cv array<double>")
+    found, told = knn.cell_search(q, c, 4, 50, "query_id long, neighbour_id long, similarity double, rank long")
     res = {}
-    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(knn.best_k(found, 4).collect(), key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.neighbour_id)
-    assert res == _brute_knn(qrows, crows, 3, same_key=True)
+    assert res == _brute_knn(qrows, crows, 4)
+    assert told["cells"] >= 40 and told["visits"] < 0.25 * told["all_visits"]
 
 
 def test_ties_go_to_smaller_id_and_null_or_zero_vectors_never_match(spark):
     c = spark.createDataFrame([(5, [1.0, 0.0]), (3, [2.0, 0.0]), (9, [0.0, 0.0]), (1, None), (7, [0.0, 1.0])],
                               "id long, vec array<double>")
     q = spark.createDataFrame([(100, [1.0, 0.0])], "query_id long, query_vec array<double>")
-    got = [(r.neighbour_id, round(r.similarity, 6)) for r in knn_join(q, c, 3).orderBy("rank").collect()]
-    assert got == [(3, 1.0), (5, 1.0), (7, 0.0)]
+    for small in (0, knn.SMALL_VALUES):
+        got = [(r.neighbour_id, round(r.similarity, 6)) for r in knn_join(q, c, 3, small_values=small).orderBy("rank").collect()]
+        assert got == [(3, 1.0), (5, 1.0), (7, 0.0)]
 
 
 @pytest.mark.parametrize("block_rows", [6, 2048])
