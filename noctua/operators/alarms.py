@@ -98,26 +98,28 @@ class Triage:
 
 
 def write_triage(t: Triage, base: str, version: int) -> dict:
-    """Sink for D1.  The incident table is the previous snapshot with this
-    run's incidents upserted on incident_ref (a known incident changes only its
-    count, score and breakdown; its status and history stay); checkpoints and
-    evidence are appended as this version's batch; the alarm table gets its
-    next snapshot.  A replay of a version writes the same rows again."""
-    from ..sources.tables import append_batch, read_latest, upsert, write_snapshot
+    """Sink for D1, as writer `triage` of stored tables under `base`.  Incidents are
+    upserted on incident_ref (a known incident changes only its count, score and
+    breakdown; its status and history stay), in the partitions of their window's
+    date; checkpoints and evidence are appended; of the alarm table only the dates of
+    the lookback are rewritten.  A replay of a version changes nothing.  Returns
+    whether each table took the batch now."""
+    from ..sources.store import Store, day
+    from ..sources.tables import append_batch, upsert_into
     m = t.materialize()
-    root = base.rstrip("/")
-    before = read_latest(m.incidents.sparkSession, f"{root}/incidents", below=version)
-    incidents = m.incidents
-    if before is not None:
-        changing = [c for c in ("alarm_count", "anomaly_score", "anomaly_breakdown") if c in before.columns]
-        incidents = upsert(before, incidents, ["incident_ref"], changing)
-    return {
-        "incidents": write_snapshot(incidents, f"{root}/incidents", version),
-        "agent_reasoning": append_batch(m.checkpoints, f"{root}/agent_reasoning", version),
-        "evidence": append_batch(m.evidence, f"{root}/evidence", version),
-        "network_alarms": write_snapshot(m.marked_alarms, f"{root}/network_alarms", version),
-    }
-
+    spark, root, writer = m.incidents.sparkSession, base.rstrip("/"), "triage"
+    taken = {"incidents": upsert_into(Store(spark, f"{root}/incidents"), m.incidents, ["incident_ref"],
+                                      ["alarm_count", "anomaly_score", "anomaly_breakdown"], "window_start", writer, version)}
+    for name, rows in (("agent_reasoning", m.checkpoints), ("evidence", m.evidence)):
+        taken[name] = append_batch(rows, f"{root}/{name}", version, writer)
+    store = Store(spark, f"{root}/network_alarms")
+    if store.head() is None:
+        taken["network_alarms"] = store.overwrite(m.marked_alarms, writer, version, by=day("ts"))
+    else:
+        since = F.to_date(minus_interval(as_of_col(t.as_of, t.alarms, "ts"), t.lookback_hours, "HOUR"))
+        recent = m.marked_alarms.filter(F.to_date("ts") >= since)
+        taken["network_alarms"] = store.replace(recent, writer, version, day("ts"), recent.select(day("ts").alias("part")))
+    return taken
 
 
 def correlate_alarms(alarms: DataFrame, as_of=None, min_alarms: int = 5, lookback_hours: int = 6,

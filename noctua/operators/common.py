@@ -1,4 +1,4 @@
-"""Shared plan helpers: the `as_of` instant, size-checked broadcast, and
+"""Shared plan helpers: the `as_of` instant, stored intermediates, and
 deterministic ranking columns."""
 
 from __future__ import annotations
@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-# Broadcast hint bound for data-dependent sides (bytes, optimizer estimate).
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
 
 def as_of_col(as_of, df: DataFrame | None = None, ts_col: str | None = None, lazy: bool = False) -> Column:
     """The fixed `now` of one run, as a Column.
@@ -42,23 +39,6 @@ def minus_interval(ts: Column, n, unit: str) -> Column:
     return ts - F.expr(f"INTERVAL {int(n)} {unit.upper()}S")
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of a plan (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # e.g. Spark Connect: no JVM handle
-        return None
-
-
-def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint only when the estimated size is known and under the bound;
-    otherwise leave the choice to the planner and AQE (shuffle join)."""
-    est = estimated_bytes(df)
-    if est is not None and est <= limit_bytes:
-        return F.broadcast(df)
-    return df
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet below the shared checkpoint folder and read it back."""
     path = scratch_path(df.sparkSession, name)

@@ -3,6 +3,7 @@ approximate near-pair search by locality-sensitive hashing (J5, option c)."""
 
 from __future__ import annotations
 
+import datetime as _dt
 import math
 
 import numpy as np
@@ -30,6 +31,17 @@ def expire(df: DataFrame, ts: str, as_of=None, days: int = 14) -> DataFrame:
     return df.withColumn("expired", F.col(ts) < minus_interval(now, days, "DAY"))
 
 
+def expire_partitions(store, as_of: str, days: int, writer: str = "retention", batch: int | None = None) -> DataFrame:
+    """X2 on a stored table partitioned by date: drop the partitions that lie wholly before
+    as_of - days (no row is read or written); rows without a date stay.  Returns the dropped dates."""
+    from ..sources.store import UNDATED
+    limit = _dt.datetime.fromisoformat(str(as_of)) - _dt.timedelta(days=days)
+    old = (F.col("part") != UNDATED) & (F.col("part") < limit.strftime("%Y-%m-%d"))
+    gone = store.parts().filter(old)
+    store.drop(old, writer, limit.toordinal() if batch is None else batch)
+    return gone
+
+
 def _signatures(bands: int, bits: int, seed: int):
     """Per row: one (band, bucket) per band from sign random projections."""
     def run(batches):

@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import none_text
-from .common import as_of_col, minus_interval, sized_broadcast, top_n
+from .common import as_of_col, minus_interval, top_n
 
 
 def element_profile(entities: DataFrame, elements: DataFrame, entity_col: str = "entity_ref") -> DataFrame:
     """Left lookup of each entity's element row -> (entity, t1_text, t1_status).
 
     status: no_entity (NULL entity), not_found (no element row), ok."""
-    el = sized_broadcast(elements.select("element_id", "site_id", "element_type", "vendor", "model",
-                                         *(["sw_version"] if "sw_version" in elements.columns else []),
-                                         "region", "criticality"))
+    el = elements.select("element_id", "site_id", "element_type", "vendor", "model",
+                         *(["sw_version"] if "sw_version" in elements.columns else []), "region", "criticality")
     if "sw_version" not in el.columns:
         el = el.withColumn("sw_version", F.lit(None).cast("string"))
     j = entities.join(el, entities[entity_col] == el["element_id"], "left")

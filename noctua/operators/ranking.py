@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .common import sized_broadcast, stored, top_n
+from .common import stored, top_n
 from .knn import knn_join
 
 K1 = 1.2
@@ -75,7 +75,7 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id", que
         m = pairs.select("query_id", "doc_id").join(weighted, "doc_id").join(q_idf, ["query_id", "term"])
     else:
         weighted = post.join(lengths, "doc_id").select("doc_id", "term", w.alias("w"))
-        m = sized_broadcast(q_idf).join(weighted, "term")
+        m = q_idf.join(weighted, "term")
     scored = m.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
     if top is None:
         return scored

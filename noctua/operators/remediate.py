@@ -91,28 +91,34 @@ def remediate(incidents: DataFrame, memory: DataFrame, runbooks: DataFrame, tuni
 
 
 def write_remediation(r: Remediation, incidents: DataFrame, base: str, version: int, as_of=None) -> dict:
-    """D18 write-back under `base`: incident status (S4) and the runbook table
-    with outcomes (D15) as snapshots, the checkpoints and accepted patterns (S5,
-    write control D13) as this version's batch.  New rows carry an id (a hash of
-    content and version, so a replay repeats it), created_at, and patterns a
-    vector and their source incidents, so they can be recalled."""
-    from ..sources.tables import append_batch, update_columns, write_snapshot
+    """D18 write-back, as writer `remediation` of stored tables under `base`: incident
+    status (S4; only the dates of the decided incidents), the runbook table with outcomes
+    (D15), the checkpoints and accepted patterns (S5, write control D13).  New rows carry
+    an id (a hash of content and version), created_at, and patterns a vector and their source
+    incidents, so they can be recalled.  A replay changes nothing."""
+    from ..sources.store import Store
+    from ..sources.tables import append_batch, update_columns, upsert_into, write_snapshot
     from .encoder import hashing_encode
     from .memory import gated_patterns
     now = as_of if as_of is not None else F.current_timestamp()
-    root = base.rstrip("/")
-    out = {
-        "incidents": write_snapshot(update_columns(incidents, r.incident_status, ["incident_ref"], ["status"]),
-                                    f"{root}/incidents", version),
-        "runbook_memory": write_snapshot(r.runbooks, f"{root}/runbook_memory", version),
-    }
+    root, writer = base.rstrip("/"), "remediation"
+    spark = incidents.sparkSession
+    decided = incidents.join(r.incident_status.select("incident_ref"), "incident_ref", "left_semi")
+    changed = update_columns(decided, r.incident_status, ["incident_ref"], ["status"])
+    store = Store(spark, f"{root}/incidents")
+    if "window_start" in incidents.columns:
+        upsert_into(store, changed, ["incident_ref"], ["status"], "window_start", writer, version)
+    else:                                    # undated incidents: the whole table is the unit
+        before = store.read()
+        store.overwrite(update_columns(incidents if before is None else before, r.incident_status, ["incident_ref"], ["status"]), writer, version)
+    write_snapshot(r.runbooks, f"{root}/runbook_memory", version, writer)
     checkpoints = r.checkpoints.withColumns({"id": row_id("session_id", version), "created_at": as_of_col(now)})
-    out["agent_reasoning"] = append_batch(checkpoints, f"{root}/agent_reasoning", version)
+    append_batch(checkpoints, f"{root}/agent_reasoning", version, writer)
     accepted = gated_patterns(r.patterns.filter("accepted").drop("accepted"), now).withColumns(
         {"id": row_id(F.concat_ws("|", "content", F.array_join("source_refs", ",")), version), "created_at": as_of_col(now)})
     vectors = hashing_encode(accepted, "id", "content", out="memory_vec")
-    out["incident_memory_new"] = append_batch(accepted.join(vectors, "id"), f"{root}/incident_memory_new", version)
-    return out
+    append_batch(accepted.join(vectors, "id"), f"{root}/incident_memory_new", version, writer)
+    return {name: f"{root}/{name}" for name in ("incidents", "runbook_memory", "agent_reasoning", "incident_memory_new")}
 
 
 def row_id(what, version: int):

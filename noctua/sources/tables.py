@@ -1,24 +1,23 @@
 """Table I/O and row-level changes without a table format.
 
-Changes are never in-place: `upsert` and `update_columns` return the next
-snapshot of the table as a DataFrame, and `write_snapshot` stores it as a new
-version directory `<base>/v=<n>`, so a path being read is never overwritten
-and a replayed batch (same version) rewrites the same directory.
-
-A version counts once its number stands in the pointer table
-`<base>.versions`, which is written last; a half-written directory is never
-read.  Two layouts share this: snapshots (`read_latest`: the newest finished
-version is the table) and batches (`append_batch` / `read_batches`: all
-finished versions together are the table, a replay replaces its own batch).
+Changes are never in-place: `upsert` and `update_columns` return the next state
+of the rows as a DataFrame, and a `Store` (see `store`) commits it: old files
+stay readable, a version counts once its commit row is written, and a batch
+that a writer has committed already is left alone when it is repeated.
+
+`upsert_into` is S3 on a stored table: only the date partitions that hold or
+receive source rows are read and rewritten.  `append_batch` / `read_batches`
+add the writer and its batch number to the rows of an append-only table.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .store import Store, day
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, fmt: str = "parquet") -> DataFrame:
     """Full-row scan with a declared schema (no inference)."""
@@ -89,52 +88,44 @@ def update_columns(target: DataFrame, changes: DataFrame, keys: list[str], cols:
     return j.select(*sel)
 
 
-def _finished(spark: SparkSession, base: str, below: int | None = None) -> list[int]:
-    """Finished versions of the table at `base`, ascending (one small row each)."""
-    try:
-        done = spark.read.schema("version long").parquet(f"{base.rstrip('/')}.versions")
-        if below is not None:
-            done = done.filter(F.col("version") < below)
-        return sorted(r["version"] for r in done.distinct().collect())
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
+def widened(df: DataFrame, like: DataFrame) -> DataFrame:
+    """`df` with the columns it lacks as NULLs."""
+    return df.unionByName(like.limit(0), allowMissingColumns=True)
 
 
-def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[str] | None = None) -> str:
-    """Store `df` as version `version` of the table at `base`; the pointer is written last."""
-    path = f"{base.rstrip('/')}/v={int(version)}"
-    w = df.write.mode("overwrite").format("parquet")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(path)
-    spark = df.sparkSession
-    spark.range(1).select(F.lit(int(version)).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(
-        f"{base.rstrip('/')}.versions")
-    return path
+def upsert_into(store: Store, source: DataFrame, keys: list[str], update_cols: list[str], ts: str, writer: str, batch: int) -> bool:
+    """S3 on a stored table that is partitioned by the date of `ts`, which a known key keeps."""
+    touched = source.select(day(ts).alias("part")).distinct()
+    before = store.read(where=F.col("part").isin([r["part"] for r in touched.collect()]))       # one value per touched date
+    if before is None:
+        return store.append(source, writer, batch, by=day(ts))
+    before = widened(before, source)
+    changed = upsert(before, source, keys, [c for c in update_cols if c in before.columns])
+    return store.replace(changed, writer, batch, day(ts), touched)
+
+
+def write_snapshot(df: DataFrame, base: str, version: int, writer: str = "snapshot") -> str:
+    """Commit `df` as the whole table; a version that this writer has committed stays as it is."""
+    Store(df.sparkSession, base).overwrite(df, writer, version)
+    return base
 
 
 def read_latest(spark: SparkSession, base: str, below: int | None = None) -> DataFrame | None:
-    """The newest finished version of a snapshotted table (optionally below a
-    version); None when there is none."""
-    done = _finished(spark, base, below)
-    return spark.read.parquet(f"{base.rstrip('/')}/v={done[-1]}") if done else None
+    """The table's newest version (optionally of a batch below a number); None when there is none."""
+    return Store(spark, base).read(below=below)
 
 
-def append_batch(df: DataFrame, base: str, version: int) -> str:
-    """Rows of one batch; a replay of the batch replaces its rows."""
-    return write_snapshot(df, base, version)
+def append_batch(df: DataFrame, base: str, version: int, writer: str = "append") -> str:
+    """Rows of one batch of one writer, added exactly once."""
+    rows = df.withColumns({"writer": F.lit(writer), "batch_version": F.lit(int(version)).cast("long")})
+    Store(df.sparkSession, base).append(rows, writer, version)
+    return base
 
 
 def read_batches(spark: SparkSession, base: str) -> DataFrame | None:
-    """All finished batches of an append-only table, with their `batch_version`;
-    columns that a batch lacks are NULL."""
-    out = None
-    for v in _finished(spark, base):
-        part = spark.read.parquet(f"{base.rstrip('/')}/v={v}").withColumn("batch_version", F.lit(v).cast("long"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    """All committed batches of an append-only table, with their writer and
+    batch_version; columns that a batch lacks are NULL."""
+    return Store(spark, base).read()
 
 
 LABELLED_SCHEMA = "ticket_id string, text string, true_subcat string"

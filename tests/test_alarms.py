@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from noctua.config import DEFAULT_TUNING
 from noctua.operators import alarms as A
 from noctua.operators.anomaly import score_anomaly
@@ -171,3 +173,24 @@ def test_two_runs_keep_history_and_a_replay_changes_nothing(spark, tmp_out):
         assert got == {"INC-W1-202401011200": 4, "INC-W2-202401011700": 3}
         assert read_batches(spark, f"{tmp_out}/evidence").filter("batch_version = 1").count() == 4
         assert read_batches(spark, f"{tmp_out}/agent_reasoning").count() == 3
+
+
+def test_triage_and_remediation_of_one_version_keep_each_others_rows(spark, tmp_out):
+    from noctua.operators.remediate import remediate, write_remediation
+    from noctua.sources.tables import read_batches, read_latest
+    rows = [_a(i, "W1", "S", i) for i in range(4)] + [_a(10 + i, "W2", "S", i) for i in range(3)]
+    t = A.correlate_alarms(_alarms(spark, rows), T0 + dt.timedelta(hours=1), min_alarms=3)
+    A.write_triage(t, tmp_out, 1)
+    inc = read_latest(spark, f"{tmp_out}/incidents").withColumn("signature_vec", F.array(F.lit(1.0), F.lit(0.0)))
+    mem = spark.createDataFrame([], "id long, scope string, category string, content string, confidence double, "
+                                    "evidence_count long, status string, superseded_by long, memory_vec array<double>")
+    rb = spark.createDataFrame([(7, "reset", "t", "[]", 0.6, 0, 0, "active", None, [1.0, 0.05])],
+                               "id long, title string, trigger_condition string, steps string, confidence double, "
+                               "success_count long, fail_count long, status string, superseded_by long, runbook_vec array<double>")
+    for _ in range(2):                       # and its replay
+        write_remediation(remediate(inc, mem, rb), inc, tmp_out, 1, T0)
+    log = read_batches(spark, f"{tmp_out}/agent_reasoning").collect()
+    assert sorted((r.writer, r.session_id.split("-")[0]) for r in log) == [("remediation", "remediation")] * 2 + [("triage", "triage")] * 2
+    now = {r.element_id: (r.status, r.alarm_count) for r in read_latest(spark, f"{tmp_out}/incidents").collect()}
+    assert now == {"W1": ("resolved", 4), "W2": ("resolved", 3)}
+    assert read_batches(spark, f"{tmp_out}/evidence").count() == 7

@@ -5,8 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from noctua.operators.lifecycle import expire_partitions
 from noctua.sources import tables as T
 from noctua.sources.quality import ALARMS_CONTRACT, split_valid, validate
+from noctua.sources.store import Conflict, Store, day
 
 
 def test_upsert_changes_only_listed_columns(spark):
@@ -85,7 +87,60 @@ def test_half_written_version_is_not_read(spark, tmp_out):
     base = os.path.join(tmp_out, "t")
     assert T.read_latest(spark, base) is None and T.read_batches(spark, base) is None
     T.write_snapshot(spark.range(100), base, 1)
-    spark.range(50).write.parquet(f"{base}/v=2")          # a run that died before its pointer
+    store = Store(spark, base)
+    store._written(spark.range(50), None)                  # a run that died before its manifest
+    spark.createDataFrame([(None, "/nowhere")], "part string, folder string").write.parquet(f"{base}/manifests/x")       # and one before its commit
     assert T.read_latest(spark, base).count() == 100
     T.write_snapshot(spark.range(70), base, 2)
     assert T.read_latest(spark, base).count() == 70 and T.read_latest(spark, base, below=2).count() == 100
+    T.write_snapshot(spark.range(5), base, 2)              # a replay leaves the finished version alone
+    assert T.read_latest(spark, base).count() == 70
+
+
+def dated(spark, days):
+    return spark.createDataFrame([(i, dt.datetime(2024, 1, d) if d else None, "a") for i, d in enumerate(days)], "id long, ts timestamp_ntz, v string")
+
+
+def folders(store):
+    return {r.part: r.folder for r in store._manifest(store.head()).collect()}
+
+
+def test_only_touched_dates_are_rewritten_and_expiry_drops_partitions(spark, tmp_out):
+    store = Store(spark, os.path.join(tmp_out, "alarms"))
+    assert store.append(dated(spark, [1, 1, 2, 3, None]), "ingest", 1, by=day("ts"))
+    before = folders(store)
+    new = spark.createDataFrame([(2, dt.datetime(2024, 1, 2), "b"), (9, dt.datetime(2024, 1, 4), "c")], "id long, ts timestamp_ntz, v string")
+    assert T.upsert_into(store, new, ["id"], ["v"], "ts", "fix", 1)
+    after = folders(store)
+    assert {p for p in before if before[p] == after[p]} == {"2024-01-01", "2024-01-03", "none"} and set(after) == set(before) | {"2024-01-04"}
+    assert {r.id: r.v for r in store.read().collect()} == {0: "a", 1: "a", 2: "b", 3: "a", 4: "a", 9: "c"}
+    assert {r.id for r in store.read(where=F.col("part") == "2024-01-01").collect()} == {0, 1}
+    assert {r.part for r in expire_partitions(store, "2024-01-05 12:00:00", 2).collect()} == {"2024-01-01", "2024-01-02"}
+    assert {r.id for r in store.read().collect()} == {3, 4, 9}
+    assert {r.id for r in store.read(writer="fix").collect()} == {0, 1, 2, 3, 4, 9}     # the older version stays readable
+
+
+def test_writers_with_equal_batches_do_not_meet(spark, tmp_out):
+    base = os.path.join(tmp_out, "log")
+    for _ in range(2):                                     # each batch, and its replay
+        T.append_batch(spark.range(3).select("id", F.lit(1).alias("x")), base, 1, "one")
+        T.append_batch(spark.range(4), base, 1, "two")
+    T.append_batch(spark.range(0), base, 2, "one")
+    got = T.read_batches(spark, base).groupBy("writer", "batch_version").agg(F.count("x").alias("x"), F.count("*").alias("n")).collect()
+    assert {(r.writer, r.batch_version): (r.n, r.x) for r in got} == {("one", 1): (3, 3), ("two", 1): (4, 0)}
+
+
+def test_second_commit_on_a_version_raises(spark, tmp_out):
+    store = Store(spark, os.path.join(tmp_out, "race"))
+    store.append(spark.range(1), "a", 1)
+    stale = store.head()
+    rows = store._manifest(stale)
+    outcomes = []
+    for writer in ("b", "c", "d"):                         # all on the version of "a"
+        try:
+            store._commit(stale, rows, spark.range(1).schema, writer, 1)
+            outcomes.append(writer)
+        except Conflict:
+            pass
+    assert "b" in outcomes and store.head()["seq"] == 2
+    assert sum(store.done(w, 1) for w in "bcd") == 1

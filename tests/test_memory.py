@@ -123,7 +123,7 @@ def test_apply_decay_updates_only_decayed_rows(spark):
 
 def test_write_remediation(spark, tmp_out):
     from noctua.operators.remediate import remediate, write_remediation
-    from noctua.sources.tables import read_latest
+    from noctua.sources.tables import read_batches, read_latest
     inc = spark.createDataFrame([("I1", "E1", "L1", "t", "major", 0.7, "open", [1.0, 0.0]),
                                  ("I2", "E2", "L2", "t", "major", 0.0, "open", [0.0, 1.0])],
                                 "incident_ref string, element_id string, subcategory string, title string, severity string, "
@@ -140,8 +140,8 @@ def test_write_remediation(spark, tmp_out):
     assert status == {"I1": "resolved", "I2": "investigating"}
     rbn = read_latest(spark, f"{tmp_out}/runbook_memory").collect()[0]
     assert rbn.success_count == 1 and rbn.confidence == 1.0
-    assert spark.read.parquet(paths["agent_reasoning"]).count() == 2
-    pats = spark.read.parquet(paths["incident_memory_new"]).collect()
+    assert read_batches(spark, paths["agent_reasoning"]).count() == 2
+    pats = read_batches(spark, paths["incident_memory_new"]).collect()
     assert len(pats) == 1 and pats[0].confidence == 0.85
 
 
