@@ -108,6 +108,7 @@ def hybrid_candidates(queries: DataFrame, tickets: DataFrame, *, retrieve_n: int
                      corpus_id=ticket_id, corpus_vec=ticket_vec, same_key=same)
     cands = cands.select("query_id", F.col("neighbour_id").alias("doc_id"), "similarity", F.col("rank").alias("vec_rank"))
     if use_text:
+        cands = stored(cands, "candidates")          # the text score and the ranking both read them
         ft = bm25(queries, tickets, query_id=query_id, query_text=query_text, doc_id=ticket_id, doc_text=summary,
                   pairs=cands)
         j = cands.join(ft, ["query_id", "doc_id"], "left")

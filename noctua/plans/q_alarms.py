@@ -152,3 +152,22 @@ def q_triage_two_runs(spark, sf_dir):
     A.write_triage(A.correlate_alarms(alarms.filter(F.col("ts") <= F.lit(cut)), None, MIN_ALARMS, LOOKBACK_H), base, 1)
     A.write_triage(A.correlate_alarms(alarms, None, MIN_ALARMS, LOOKBACK_H), base, 2)
     return read_latest(spark, f"{base}/incidents").select("incident_ref", "element_id", "severity", "window_start", "alarm_count", "anomaly_score")
+
+
+@query("triage_marks_stored", with_views(["v_alarms"], f"""
+WITH n AS (SELECT max(ts) AS as_of, cast(max(ts) - INTERVAL {LOOKBACK_H} HOUR AS DATE) AS since FROM v_alarms),
+early AS (SELECT * FROM v_alarms WHERE ts <= (SELECT as_of - INTERVAL 24 HOUR FROM n)),
+i1 AS ({_W.replace('v_alarms', 'early')} SELECT * FROM inc),
+i2 AS ({_W} SELECT * FROM inc)
+SELECT v.id, v.element_id, CASE WHEN cast(v.ts AS DATE) >= since THEN CASE WHEN v.ts >= as_of - INTERVAL {LOOKBACK_H} HOUR THEN i2.incident_ref END
+       WHEN v.ts >= as_of - INTERVAL {LOOKBACK_H + 24} HOUR THEN i1.incident_ref END AS correlated_incident
+FROM v_alarms v CROSS JOIN n LEFT JOIN i1 ON v.element_id = i1.element_id LEFT JOIN i2 ON v.element_id = i2.element_id"""))
+def q_triage_marks_stored(spark, sf_dir):
+    """The stored alarm table after two triage runs a day apart: the second rewrites the
+    dates of its lookback only, older marks stay."""
+    alarms = _alarms(spark, sf_dir)
+    cut = alarms.select((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("t")).first()["t"]
+    base = scratch_path(spark, "triage-marks")
+    A.write_triage(A.correlate_alarms(alarms.filter(F.col("ts") <= F.lit(cut)), None, MIN_ALARMS, LOOKBACK_H), base, 1)
+    A.write_triage(A.correlate_alarms(alarms, None, MIN_ALARMS, LOOKBACK_H), base, 2)
+    return read_latest(spark, f"{base}/network_alarms").select("id", "element_id", "correlated_incident")

@@ -9,10 +9,14 @@ from ..config import DEFAULT_TUNING, TIER_CAPS
 from ..operators import context as C
 from ..operators import dedup as D
 from ..operators import remediate as RM
+from ..operators.alarms import correlate_alarms, write_triage
 from ..operators.knn import near_pairs
 from ..operators.memory import active_only
+from ..session import scratch_path
 from ..sources.fixtures import view, with_views
+from ..sources.tables import read_batches
 from .catalog import query
+from .q_alarms import _W, LOOKBACK_H, MIN_ALARMS
 from .q_memory import _INC_Q, incident_queries
 
 CONTEXT_BUDGET = 120
@@ -188,3 +192,17 @@ def q_remediate_writeback(spark, sf_dir):
     """Runbook table after one remediation batch (D18 write-back via D15)."""
     r = RM.remediate(view(spark, sf_dir, "v_incidents"), view(spark, sf_dir, "v_memory"), view(spark, sf_dir, "v_runbooks"))
     return r.runbooks.select("id", "success_count", "fail_count", "confidence")
+
+
+@query("memory_after_remediate", with_views(["v_alarms", "v_incidents", "v_memory", "v_runbooks"], _REMEDIATE_CTES + f""",
+t AS ({_W} SELECT 'triage-' || incident_ref AS session_id, element_id, CASE WHEN anomaly_score >= 0.5 THEN 'confirmed' ELSE 'dismissed' END AS resolution FROM inc)
+SELECT 'triage' AS writer, session_id, element_id, resolution FROM t
+UNION ALL SELECT 'remediation', 'remediation-' || incident_ref, element_id, CASE WHEN chosen THEN 'confirmed' ELSE 'escalated' END FROM d"""))
+def q_memory_after_remediate(spark, sf_dir):
+    """Episodic memory after a triage and a remediation run of the same version: both writers' rows."""
+    base = scratch_path(spark, "memory-after")
+    incidents = view(spark, sf_dir, "v_incidents")
+    write_triage(correlate_alarms(view(spark, sf_dir, "v_alarms"), None, MIN_ALARMS, LOOKBACK_H), base, 1)
+    r = RM.remediate(incidents, view(spark, sf_dir, "v_memory"), view(spark, sf_dir, "v_runbooks"))
+    RM.write_remediation(r, incidents, base, 1, "2024-03-01 00:00:00")
+    return read_batches(spark, f"{base}/agent_reasoning").select("writer", "session_id", "element_id", "resolution")

@@ -1,10 +1,10 @@
 """Streaming, approximate and lifecycle jobs.
 
-The streaming jobs replay a table as ordered parquet files under the shared
-checkpoint folder, run the stream with an AvailableNow trigger and return
-what the sink wrote.  Append mode emits a window once the watermark has passed
-its end, so the replay closes with one sentinel row far in the future: every
-window of the data is emitted, the sentinel's own (a single row) never is.
+The streaming jobs read a table's rows as arrived files below the shared
+checkpoint folder, run with an AvailableNow trigger and return what the sink wrote.
+Append mode emits a window once the watermark has passed its end, so one
+sentinel row far in the future closes every window of the data; the sentinel's own
+(a single row) is never emitted.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from ..operators import lifecycle as LC
 from ..operators.memory import active_only
 from ..session import scratch_path
 from ..sources.fixtures import view, with_views
+from ..sources.store import Store, day
 from ..streaming.correlate import stream_correlate
 from ..streaming.embed import stream_embed
+from ..streaming.upsert import stream_incidents
 from .catalog import ORACLES, query
 from .q_eval import q_embed_backfill  # noqa: F401  (registers the shared oracle)
 
@@ -27,23 +29,9 @@ WATERMARK_MIN = 10
 STREAM_MIN_ALARMS = 3
 
 
-def replay_files(spark, df, order_col: str, name: str, n_files: int = 4) -> str:
-    """Write `df` as consecutive slices of `order_col` (approximate quantile
-    boundaries), one append per slice in order.  Readers take all available
-    files per trigger, so file modification order cannot make rows late."""
-    path = scratch_path(spark, f"replay-{name}")
-    key = F.col(order_col).cast("double") if dict(df.dtypes)[order_col] != "timestamp_ntz" else \
-        F.unix_micros(F.col(order_col).cast("timestamp_ltz")).cast("double")
-    keyed = df.withColumn("_k", key)
-    cuts = keyed.approxQuantile("_k", [i / n_files for i in range(1, n_files)], 0.001)
-    bounds = [None] + cuts + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True) if lo is None else F.col("_k") >= lo
-        if hi is not None:
-            cond = cond & (F.col("_k") < hi)
-        if lo is None:
-            cond = cond | F.col("_k").isNull()          # rows without an order value arrive first
-        keyed.filter(cond).drop("_k").sortWithinPartitions(order_col).write.mode("append").parquet(path)
+def _arrived(spark, df, path: str) -> str:
+    """The rows as arrived files; a stream's next trigger takes all new ones."""
+    df.write.mode("append").parquet(path)
     return path
 
 
@@ -53,7 +41,7 @@ def _run_correlate(spark, sf_dir, mode: str):
     last = alarms.agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
     sentinel = last.select(*[F.col("ts") if c == "ts" else F.lit("~sentinel").alias(c) if c == "element_id"
                              else F.lit(None).cast(t).alias(c) for c, t in alarms.dtypes])
-    src = replay_files(spark, alarms.unionByName(sentinel), "ts", "alarms")
+    src = _arrived(spark, alarms.unionByName(sentinel), scratch_path(spark, "arrived-alarms"))
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).parquet(src)
     out, ckpt = scratch_path(spark, "stream-incidents"), scratch_path(spark, "stream-ckpt")
@@ -124,15 +112,34 @@ def q_stream_correlate_session(spark, sf_dir):
     return _run_correlate(spark, sf_dir, "session")
 
 
-@query("stream_embed", ORACLES["embed_backfill"])
+@query("stream_incidents_upsert", with_views(["v_alarms"], _stream_sql(_TUMBLING)))
+def q_stream_incidents_upsert(spark, sf_dir):
+    """Update mode into a stored incident table, stopped and restarted between the
+    two halves of the alarms."""
+    alarms = view(spark, sf_dir, "v_alarms")
+    span = alarms.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    middle = F.lit(span["lo"] + (span["hi"] - span["lo"]) / 2)
+    src, base, ckpt = (scratch_path(spark, f"upsert-{k}") for k in ("arrived", "incidents", "ckpt"))
+    for half in (F.coalesce(F.col("ts") < middle, F.lit(True)), F.col("ts") >= middle):
+        _arrived(spark, alarms.filter(half), src)
+        stream = spark.readStream.schema(alarms.schema).parquet(src)
+        stream_incidents(stream, base, ckpt, size=f"{WINDOW_HOURS} hours", watermark=f"{WATERMARK_MIN} minutes",
+                         min_alarms=STREAM_MIN_ALARMS).awaitTermination()
+    return (Store(spark, base).read().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+            .select("incident_ref", "element_id", "window_start", "window_end", "alarm_count", "severity",
+                    "dominant_type", "subcategory", "anomaly_score"))
+
+
+@query("stream_embed", ORACLES["embed_backfill"] + """
+UNION ALL SELECT ticket_id, cast(unnest(range(0, len(embedding))) AS INTEGER), round(cast(unnest(embedding) AS DOUBLE), 6)
+FROM v_tickets_text WHERE embedding IS NOT NULL""")
 def q_stream_embed(spark, sf_dir):
+    """The tickets' next table: old vectors as they were, missing ones filled."""
     t = view(spark, sf_dir, "v_tickets_text")
-    src = replay_files(spark, t, "ticket_id", "tickets")
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    out, ckpt = scratch_path(spark, "stream-vectors"), scratch_path(spark, "stream-embed-ckpt")
-    stream_embed(stream, "tickets", out, ckpt).awaitTermination()
-    filled = spark.read.parquet(out).drop("batch")
-    return (filled.filter(F.col("embedding").isNotNull())
+    src, base, ckpt = (scratch_path(spark, f"embed-{k}") for k in ("arrived", "tickets", "ckpt"))
+    _arrived(spark, t, src)
+    stream_embed(spark.readStream.schema(t.schema).parquet(src), "tickets", base, ckpt).awaitTermination()
+    return (Store(spark, base).read().filter(F.col("embedding").isNotNull())
             .select("ticket_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim_index", "value"))
             .select("ticket_id", F.col("dim_index").cast("int").alias("dim_index"), F.round("value", 6).alias("value")))
 
@@ -159,3 +166,15 @@ SELECT id, ts < as_of - INTERVAL 14 DAY AS expired FROM v_alarms, a"""))
 def q_expire(spark, sf_dir):
     e = LC.expire(view(spark, sf_dir, "v_alarms"), "ts", None, LC.RETENTION_DAYS["network_alarms"])
     return e.select("id", "expired")
+
+
+@query("expire_partitions", with_views(["v_alarms"], """
+WITH a AS (SELECT cast(max(ts) - INTERVAL 14 DAY AS DATE) AS first_day FROM v_alarms)
+SELECT id, element_id, ts FROM v_alarms, a WHERE cast(ts AS DATE) >= first_day"""))
+def q_expire_partitions(spark, sf_dir):
+    """The stored alarm table after its retention run: whole dates are dropped."""
+    alarms = view(spark, sf_dir, "v_alarms")
+    store = Store(spark, scratch_path(spark, "expire-alarms"))
+    store.append(alarms, "ingest", 1, by=day("ts"))
+    LC.expire_partitions(store, str(alarms.agg(F.max("ts")).first()[0]), LC.RETENTION_DAYS["network_alarms"])
+    return store.read().select("id", "element_id", "ts")

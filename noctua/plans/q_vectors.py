@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..operators.common import stored
 from ..operators.knn import knn_join
 from ..sources.fixtures import table, view, with_views
 from .catalog import query
 
 _TICKET_Q = """
-q AS (SELECT ticket_id AS query_id, cast(embedding AS DOUBLE[]) AS v, b.text AS qtext FROM v_tickets_text
-      JOIN benchmark b ON b.item_id = ticket_id % (SELECT count(*) FROM benchmark) WHERE embedding IS NOT NULL),
+q AS (SELECT ticket_id AS query_id, cast(embedding AS DOUBLE[]) AS v, summary AS qtext FROM v_tickets_text WHERE embedding IS NOT NULL),
 c AS (SELECT ticket_id AS doc_id, cast(embedding AS DOUBLE[]) AS v FROM v_tickets_text WHERE embedding IS NOT NULL),
 s AS (SELECT q.query_id, c.doc_id, list_cosine_similarity(q.v, c.v) AS sim FROM q CROSS JOIN c),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS vec_rank FROM s) WHERE vec_rank <= 10)"""
@@ -28,12 +28,10 @@ _BM25_TERM = "ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2
 
 
 def _ticket_queries(spark, sf_dir):
+    """Every ticket with a vector asks with its own vector and whole summary."""
     t = view(spark, sf_dir, "v_tickets_text")
-    b = table(spark, sf_dir, "benchmark")
-    asked = b.select("item_id", F.col("text").alias("query_text"))
-    q = t.filter(F.col("embedding").isNotNull()).join(
-        asked, F.col("ticket_id") % b.select(F.count(F.lit(1))).scalar() == F.col("item_id")).select(
-        F.col("ticket_id").alias("query_id"), F.col("embedding").alias("query_vec"), "query_text")
+    q = t.filter(F.col("embedding").isNotNull()).select(
+        F.col("ticket_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("summary").alias("query_text"))
     return t, q
 
 
@@ -147,7 +145,7 @@ def q_rank_within_label(spark, sf_dir):
     t = view(spark, sf_dir, "v_tickets_text")
     nn = knn_join(inc, t, 10, corpus_id="ticket_id", corpus_vec="embedding")
     lab = nn.join(t.select("ticket_id", F.col("subcategory").alias("label")), nn["neighbour_id"] == F.col("ticket_id"))
-    chosen = R.classify(lab, "label").select("query_id", "chosen_label")
-    q = inc.join(chosen, "query_id")
+    chosen = stored(R.classify(lab, "label").select("query_id", "chosen_label"), "chosen")       # read by every branch below
+    q = stored(inc.join(chosen, "query_id"), "within-label")
     r = R.hybrid_rerank(q, t, top_n=5, retrieve_n=10, alpha=0.7, subcategory_col="chosen_label")
     return r.join(chosen, "query_id").select("query_id", "chosen_label", "ticket_id", "rank", "vec_sim", "hybrid_score")
