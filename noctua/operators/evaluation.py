@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_TUNING, SWEEP_GRID, Tuning
 from ..functions.scalar import empty_text, none_text
 from ..functions.text import strip_ws
+from .common import stored
 from .memory import recall_similar
 from .ranking import hybrid_candidates
 from .remediate import best_runbook
@@ -149,11 +150,61 @@ def sweep(items: DataFrame, tickets: DataFrame, memory: DataFrame, runbooks: Dat
     return evaluate_settings(parts, tickets, settings, tuning)
 
 
+BINS = 1024
+
+
+def order_statistics(samples: DataFrame, value: str, by: list[str], ranks: DataFrame) -> DataFrame:
+    """Exact order statistics of every group without sorting or gathering one.
+
+    `ranks`: the group columns, `target` (a name) and `k` (rank from 0).  Each pass counts
+    the values of every target's range in `BINS` equal bins, a partial aggregate, and
+    narrows the range to the bin that holds the rank (to the values that occur there);
+    it ends when every range is one value.  A value that fills a group is one count."""
+    rows = stored(samples.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+                  .select(*by, F.col(value).cast("double").alias("_v")), "order-values")
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    targets = stored(_same(ranks, ends, by).select(*by, "target", "k", "lo", "hi"), "order-ranges")
+    while not targets.filter("lo < hi").isEmpty():
+        open_ = targets.filter("lo < hi")
+        met = _same(rows, open_, by).filter(F.col("_v").between(F.col("lo"), F.col("hi")))
+        # halves before the difference, so that ranges up to the largest double stay finite
+        share = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1).cast("long"))
+        counts = met.groupBy(*by, "target", "k", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        before = F.sum("n").over(Window.partitionBy(*by, "target").orderBy("bin")) - F.col("n")       # BINS rows a target
+        hit = counts.withColumn("before", before).filter((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("n")))
+        narrowed = hit.select(*by, "target", (F.col("k") - F.col("before")).alias("k"), "lo", "hi")
+        targets = stored(narrowed.unionByName(targets.filter("lo = hi")), "order-ranges")
+    return targets.select(*by, "target", F.col("lo").alias("value"))
+
+
+def _same(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Join on the group columns, NULL groups included."""
+    right = b.select(*[F.col(c).alias(f"_b_{c}") for c in by], *[c for c in b.columns if c not in by])
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return a.join(right, cond).drop(*[f"_b_{c}" for c in by])
+
+
 def latency_summary(samples: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """N, mean, p50, p95 (linear interpolation between order statistics),
-    rounded to 1 decimal, per group."""
-    aggs = [F.count(value).alias("n"), F.round(F.avg(value), 1).alias("mean_ms"),
-            F.percentile(value, F.array(F.lit(0.5), F.lit(0.95))).alias("_p")]
-    g = samples.groupBy(*(by or [])).agg(*aggs)
-    return g.select(*(by or []), "n", "mean_ms", F.round(F.col("_p")[0], 1).alias("p50_ms"),
-                    F.round(F.col("_p")[1], 1).alias("p95_ms"))
+    """N, mean, p50, p95 (linear interpolation between order statistics, exact),
+    rounded to 1 decimal, per group.  NULL and NaN samples count nowhere."""
+    by = by or []
+    work = samples if by else samples.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    x = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    size = stored(work.groupBy(*keys).agg(F.count(x).alias("n"), F.round(F.avg(x), 1).alias("mean_ms")), "order-sizes")
+    at = lambda p: (F.col("n") - 1) * F.lit(p)
+    wanted = F.array(*[F.struct(F.lit(f"{name}_{side}").alias("target"), fn(at(p)).cast("long").alias("k"))
+                       for name, p in (("p50", 0.5), ("p95", 0.95)) for side, fn in (("lo", F.floor), ("hi", F.ceil))])
+    ranks = size.filter("n > 0").select(*keys, F.explode(wanted).alias("_t")).select(*keys, "_t.target", "_t.k")
+    found = order_statistics(work, value, keys, ranks).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in ("p50_lo", "p50_hi", "p95_lo", "p95_hi")])
+    names = [F.col(f"s.{c}") for c in by]
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}"))
+    both = size.alias("s").join(found.alias("f"), cond, "left")
+    between = lambda name, p: F.round(F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (at(p) - F.floor(at(p))), 1)
+    return both.select(*names, "n", "mean_ms", between("p50", 0.5).alias("p50_ms"), between("p95", 0.95).alias("p95_ms"))

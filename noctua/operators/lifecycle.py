@@ -4,6 +4,7 @@ approximate near-pair search by locality-sensitive hashing (J5, option c)."""
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import math
 
 import numpy as np
@@ -42,24 +43,28 @@ def expire_partitions(store, as_of: str, days: int, writer: str = "retention", b
     return gone
 
 
+def plane(number: int, dim: int, seed: int) -> list[float]:
+    """One random direction: md5 of seed, plane and component gives its uniform components, so
+    that any engine can restate it."""
+    return [int(hashlib.md5(f"{seed}:{number}:{d}".encode()).hexdigest()[:8], 16) / 2**32 - 0.5 for d in range(dim)]
+
+
 def _signatures(bands: int, bits: int, seed: int):
     """Per row: one (band, bucket) per band from sign random projections."""
     def run(batches):
-        planes = None
+        planes: dict[int, np.ndarray] = {}
+        weights = 1 << np.arange(bits, dtype=np.int64)
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            V = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["v"].to_numpy()])
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((bands * bits, V.shape[1]))
-            signs = (V @ planes.T) > 0
-            weights = (1 << np.arange(bits, dtype=np.int64))
-            keys = (signs.reshape(len(pdf), bands, bits) * weights).sum(axis=2)
-            n = len(pdf)
-            yield pd.DataFrame({
-                "id": np.repeat(pdf["id"].to_numpy(), bands),
-                "bucket": (np.tile(np.arange(bands, dtype=np.int64), n) << bits) | keys.reshape(-1),
-            })
+            for width, part in pdf.groupby(pdf["v"].map(len), sort=False):
+                if width not in planes:
+                    planes[width] = np.array([plane(n, width, seed) for n in range(bands * bits)]).reshape(bands * bits, width)
+                V = np.vstack([np.asarray(v, dtype=np.float64) for v in part["v"].to_numpy()])
+                signs = (V @ planes[width].T) > 0
+                keys = (signs.reshape(len(part), bands, bits) * weights).sum(axis=2)
+                yield pd.DataFrame({
+                    "id": np.repeat(part["id"].to_numpy(), bands),
+                    "bucket": (np.tile(np.arange(bands, dtype=np.int64), len(part)) << bits) | keys.reshape(-1),
+                })
     return run
 
 

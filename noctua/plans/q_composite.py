@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_TUNING, TIER_CAPS
 from ..operators import context as C
 from ..operators import dedup as D
+from ..operators import lifecycle as LC
 from ..operators import remediate as RM
 from ..operators.alarms import correlate_alarms, write_triage
 from ..operators.knn import near_pairs
@@ -32,11 +33,47 @@ def q_near_pairs(spark, sf_dir):
     return p.select("id_a", "id_b", F.round("distance", 6).alias("distance"))
 
 
-@query("consolidate")
+def lsh_pairs_sql(threshold: float, recall: float = LC.LSH_RECALL, bucket_rows: int = LC.BUCKET_ROWS, seed: int = 7) -> str:
+    """CTEs up to `near` (id_a, id_b, distance): active patterns that share a bucket of sign projections
+    and lie closer than the threshold."""
+    return f"""
+act AS (SELECT id, memory_vec AS v FROM v_memory WHERE status = 'active' AND superseded_by IS NULL AND memory_vec IS NOT NULL),
+design AS (SELECT bits, greatest(1, ceil(ln(1 - {recall}) / ln(1 - pow(1 - acos(1 - {threshold}) / pi(), bits)))) AS bands
+  FROM (SELECT greatest(4, ceil(log2(greatest(count(*), 1) / {bucket_rows}.0))) AS bits FROM act)),
+planes AS (SELECT num, bits, list(('0x' || substr(md5('{seed}:' || num || ':' || d), 1, 8))::BIGINT / 4294967296.0e0 - 0.5e0 ORDER BY d) AS p
+  FROM (SELECT bits, unnest(range(cast(bits * bands AS BIGINT))) AS num FROM design),
+       (SELECT unnest(range((SELECT max(len(v)) FROM act))) AS d) GROUP BY 1, 2),
+sig AS (SELECT id, cast(num // bits AS BIGINT) AS band, string_agg(CASE WHEN list_inner_product(v, p) > 0 THEN '1' ELSE '0' END, '' ORDER BY num) AS bucket
+  FROM act, planes GROUP BY 1, 2),
+met AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM sig a JOIN sig b ON a.band = b.band AND a.bucket = b.bucket AND a.id < b.id),
+near AS (SELECT * FROM (SELECT id_a, id_b, 1 - list_cosine_similarity(x.v, y.v) AS distance
+  FROM met JOIN act x ON x.id = id_a JOIN act y ON y.id = id_b) WHERE distance < {threshold})"""
+
+
+@query("consolidate", with_views(["v_memory"], "WITH RECURSIVE " + lsh_pairs_sql(0.15) + """,
+links AS (SELECT id_a AS id, id_b AS other FROM near UNION ALL SELECT id_b, id_a FROM near),
+nodes AS (SELECT row_number() OVER (ORDER BY id) AS k, m.id, coalesce(m.confidence, 0.7e0) AS conf, coalesce(m.evidence_count, 1)::BIGINT AS ev, l.others
+  FROM v_memory m JOIN (SELECT id, list(other) AS others FROM links GROUP BY 1) l USING (id)),
+greedy AS (
+  SELECT 0::BIGINT AS k, (SELECT list(struct_pack(id := id, conf := conf, ev := ev, sup := NULL::BIGINT, hit := false, seen := false) ORDER BY id) FROM nodes) AS st
+  UNION ALL
+  SELECT k + 1, CASE WHEN sz < 2 THEN st ELSE list_transform(st, lambda x: CASE WHEN NOT list_contains(ids, x.id) THEN x
+      WHEN x.id = keep THEN struct_pack(id := x.id, conf := x.conf, ev := total, sup := x.sup, hit := true, seen := true)
+      ELSE struct_pack(id := x.id, conf := x.conf, ev := x.ev, sup := keep, hit := x.hit, seen := true) END) END
+  FROM (SELECT k, st, len(mem) AS sz, list_transform(mem, lambda x: x.id) AS ids, list_sum(list_transform(mem, lambda x: x.ev))::BIGINT AS total,
+               list_sort(list_transform(mem, lambda x: struct_pack(c := -x.conf, i := x.id)))[1].i AS keep
+        FROM (SELECT g.k, g.st, CASE WHEN g.st[g.k + 1].seen THEN [] ELSE
+                list_filter(g.st, lambda x: x.sup IS NULL AND (x.id = n.id OR list_contains(n.others, x.id))) END AS mem
+              FROM greedy g JOIN nodes n ON n.k = g.k + 1))),
+fin AS (SELECT u.* FROM (SELECT unnest(st) AS u FROM (SELECT st FROM greedy ORDER BY k DESC LIMIT 1)))
+SELECT m.id, CASE WHEN f.sup IS NOT NULL THEN 'superseded' ELSE m.status END AS status, coalesce(f.sup, m.superseded_by) AS superseded_by,
+       coalesce(f.ev, m.evidence_count)::BIGINT AS evidence_count,
+       CASE WHEN f.hit THEN (SELECT max(coalesce(last_reinforced_at, created_at)) FROM v_memory) ELSE m.last_reinforced_at END AS last_reinforced_at
+FROM v_memory m LEFT JOIN fin f USING (id)"""))
 def q_consolidate(spark, sf_dir):
-    """Rows-only (sequential greedy; checked against a plain greedy in tests)."""
+    """The memory table after one consolidation pass; the oracle takes one anchor after the other."""
     out = D.consolidate_memory(view(spark, sf_dir, "v_memory"))
-    return out.select("id", "status", "superseded_by", "evidence_count", "last_reinforced_at")
+    return out.select("id", "status", "superseded_by", F.col("evidence_count").cast("long").alias("evidence_count"), "last_reinforced_at")
 
 
 @query("best_runbook", with_views(["v_incidents", "v_runbooks"], "WITH " + _INC_Q + """,

@@ -21,6 +21,7 @@ from ..streaming.correlate import stream_correlate
 from ..streaming.embed import stream_embed
 from ..streaming.upsert import stream_incidents
 from .catalog import ORACLES, query
+from .q_composite import lsh_pairs_sql
 from .q_eval import q_embed_backfill  # noqa: F401  (registers the shared oracle)
 
 WINDOW_HOURS = 6        # tumbling window size
@@ -144,9 +145,10 @@ def q_stream_embed(spark, sf_dir):
             .select("ticket_id", F.col("dim_index").cast("int").alias("dim_index"), F.round("value", 6).alias("value")))
 
 
-@query("near_pairs_lsh")
+@query("near_pairs_lsh", with_views(["v_memory"], "WITH " + lsh_pairs_sql(0.15) + """
+SELECT id_a, id_b, round(distance, 6) AS distance FROM near"""))
 def q_near_pairs_lsh(spark, sf_dir):
-    """Rows-only: approximate; recall against the exact pairs is tested."""
+    """Approximate, with planes that the oracle restates; recall against the exact pairs is tested."""
     m = active_only(view(spark, sf_dir, "v_memory"))
     p = LC.near_pairs_lsh(m, DEFAULT_TUNING.dedup_distance_threshold, id_col="id", vec_col="memory_vec")
     return p.select("id_a", "id_b", F.round("distance", 6).alias("distance"))

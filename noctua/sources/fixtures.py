@@ -170,6 +170,7 @@ def with_views(names: list[str], body: str) -> str:
     `body` may itself start with WITH; its CTEs are appended after the views."""
     ctes = [f"{n} AS ({view_sql(n, 'duckdb')})" for n in names]
     body = body.strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ",\n".join(ctes) + ",\n" + body[len(start):]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -66,10 +66,15 @@ class Store:
             rows = rows.filter(F.col("batch") < below)
         return rows.orderBy(F.desc("seq"), "manifest").limit(1).first()
 
+    def _state(self, writer: str, batch: int):
+        """(newest commit or None, whether the writer's batch is committed), in one pass."""
+        first = self._commits().groupBy("seq").agg(F.min(F.struct("manifest", "writer", "batch", "schema")).alias("c"))
+        mine = (F.col("c.writer") == writer) & (F.col("c.batch") == int(batch))
+        row = first.agg(F.max(F.struct("seq", "c.manifest", "c.schema")).alias("head"), F.coalesce(F.max(mine), F.lit(False)).alias("done")).first()
+        return row["head"], row["done"]
+
     def done(self, writer: str, batch: int) -> bool:
-        mine = self._commits().filter((F.col("writer") == writer) & (F.col("batch") == int(batch)))
-        first = self._commits().groupBy("seq").agg(F.min("manifest").alias("manifest"))
-        return not mine.join(first, ["seq", "manifest"], "left_semi").isEmpty()
+        return self._state(writer, batch)[1]
 
     def _manifest(self, commit) -> DataFrame:
         if commit is None:
@@ -115,9 +120,9 @@ class Store:
         return path
 
     def _change(self, df: DataFrame | None, writer: str, batch: int, by: Column | None, keep) -> bool:
-        if self.done(writer, batch):
+        head, done = self._state(writer, batch)
+        if done:
             return False
-        head = self.head()
         rows = keep(self._manifest(head))
         known = StructType.fromJson(json.loads(head["schema"])) if head else StructType([])
         if df is not None:

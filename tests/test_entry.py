@@ -12,7 +12,7 @@ def test_every_oracle_has_a_query():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     own = {n for n in set(q) - set(o) if n != "pipeline" and not n.startswith("op")}     # without the optional subpackage
-    assert own == {"consolidate", "near_pairs_lsh"}
+    assert own == set()
 
 
 def test_fast_queries_run_on_smoke_data(spark):

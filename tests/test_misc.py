@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from noctua.functions.text import band_text
 from noctua.operators import lifecycle as LC
 from noctua.operators.encoder import hashing_encode
-from noctua.operators.evaluation import eval_set, latency_summary
+from noctua.operators.evaluation import eval_set, latency_summary, order_statistics
 from noctua.operators.lookups import pick_incidents
 
 
@@ -80,3 +80,17 @@ def test_hashing_encoder_is_unit_norm_and_deterministic(spark):
     v1, v2 = np.asarray(got[1]), np.asarray(got[2])
     assert len(v1) == 64 and np.linalg.norm(v1) == pytest.approx(1.0)
     assert np.allclose(v1, v2)  # same tokens after lower-casing
+
+
+def test_order_statistics_of_skewed_groups(spark):
+    rng = np.random.default_rng(2)
+    groups = {"wide": (10.0 ** rng.uniform(-300, 300, 500) * rng.choice([-1, 1], 500)).tolist(), "hot": [7.0] * 3000 + [1.0, 9.0, 1e308, -1e308],
+              None: [3.0, 1.0], "one": [5.0], "empty": [None, float("nan")], "near": [1.0 + k * 2.0**-52 for k in range(40)]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, ms double")
+    ranks = spark.createDataFrame([(g, f"r{k}", k) for g, xs in groups.items() if g != "empty" for k in {0, len(xs) // 3, len(xs) - 1}], "g string, target string, k long")
+    got = {(r.g, r.target): r.value for r in order_statistics(df, "ms", ["g"], ranks).collect()}
+    assert got == {(g, f"r{k}"): sorted(xs)[k] for g, xs in groups.items() if g != "empty" for k in {0, len(xs) // 3, len(xs) - 1}}
+    told = {r.g: r for r in latency_summary(df.filter("g is null or g in ('hot', 'one', 'empty')"), "ms", ["g"]).collect()}
+    assert (told[None].n, told[None].p50_ms, told[None].p95_ms) == (2, 2.0, 2.9) and told["one"].p95_ms == 5.0
+    assert (told["hot"].p50_ms, told["hot"].p95_ms) == (7.0, 7.0) and (told["empty"].n, told["empty"].p50_ms) == (0, None)
+    assert latency_summary(df.filter("g = 'one'"), "ms").collect()[0].p50_ms == 5.0
