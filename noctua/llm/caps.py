@@ -156,7 +156,7 @@ def coarse(left, right, least: float):
 def exact(left, right, least: float):
     a = np.frombuffer(b"".join(left), "<f8").reshape(len(left), -1)
     b = a if right is None else np.frombuffer(b"".join(right), "<f8").reshape(len(right), -1)
-    return a @ b.T >= least - 1e-15
+    return a @ b.T >= least
 
 
 def usable(col: str):

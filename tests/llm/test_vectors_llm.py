@@ -54,3 +54,11 @@ def test_near_vectors_equal_brute_force(spark):
         assert got[i].n_links <= link[i].sum() and got[i].kept == (got[i].component_id == i)
     assert len(got) == len(rows) - 1 and all(got[i].n_links == 0 for i in (800, 900, 901, 902, 903, 904))
     assert caps.near_vectors(vectors(spark, [])).count() == 0
+
+
+def test_no_link_below_the_threshold():
+    import math
+    a = np.array([1.0, 0.0])
+    below, at = math.nextafter(0.9, 0), 0.9
+    rows = [x.tobytes() for x in (a, np.array([below, math.sqrt(1 - below**2)]), np.array([at, math.sqrt(1 - at**2)]))]
+    assert caps.exact(rows[:1], rows[1:], 0.9).tolist() == [[False, True]]
