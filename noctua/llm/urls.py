@@ -173,12 +173,13 @@ def join_urls(src: DataFrame, spark: SparkSession, entries, labels: int, lengths
                            lambda n: F.col("path").substr(F.lit(1), n))
     cand = (pairs.filter("host <> ''").select("host", "path", F.explode(suffixes).alias("h"))
             .select("host", "path", "h", F.explode(prefixes).alias("p"))
-            .select("host", "path", F.concat("h", "p").alias("entry"), F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
+            .select("host", "path", F.concat("h", "p").alias("entry"), F.length("h").alias("wide"), F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
             .withColumn("key", F.xxhash64("kind", "entry")))
     best = (cand.join(table, ["key", "kind", "entry"])
             .groupBy("host", "path")
+            # the longest entry wins; of equal ones that of the longer host, as in the other form
             .agg(F.max_by(F.when(F.col("kind") == 0, F.struct("entry", "entry_verdict")),
-                          F.when(F.col("kind") == 0, F.length("entry"))).alias("r"),
+                          F.when(F.col("kind") == 0, F.struct(F.length("entry"), "wide"))).alias("r"),
                  F.max_by(F.when(F.col("kind") == 1, F.col("entry")), F.when(F.col("kind") == 1, F.length("entry"))).alias("listed")))
     return (src.join(best, ["host", "path"], "left")
             .select(*src.columns, F.col("r.entry").alias("rule"), "listed",

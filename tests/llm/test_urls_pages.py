@@ -35,6 +35,14 @@ def test_rules_and_list(spark, bound):
     assert urls.filter_urls(df.limit(0), broadcast_bound=bound).count() == 0
 
 
+def test_equal_lengths_go_to_the_longer_host_in_both_forms(spark):
+    rules = [("b.com", "/abc", "block"), ("x.b.com", "/a", "allow"), ("com", "/abcde", "block")]
+    df = spark.createDataFrame([(1, "http://x.b.com/abcdef"), (2, "http://y.b.com/abc")], "page_id long, url string")
+    for bound in (urls.BROADCAST_BOUND, 0):
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df, rules=rules, blocked=[], broadcast_bound=bound).collect()}
+        assert got == {1: ("x.b.com/a", "allow"), 2: ("b.com/abc", "block")}
+
+
 def test_colliding_keys_are_told_apart():
     index = urls.Digests(urls.build_index([(f"h{i}.example", "", "block", 1) for i in range(500)]))
     keys = index.keys.copy()
