@@ -139,3 +139,17 @@ def test_whole_private_keys_are_redacted(spark, tmp_out):
     # a header that is only talked about takes no prose with it
     talk = spark.createDataFrame([(1, BEGIN + " opens a key, then prose")], "doc_id long, text string")
     assert secret_scan.redact(secret_scan.scan(talk, tmp_out)).first().text == "[SECRET] opens a key, then prose"
+
+
+def test_private_key_spans_are_the_planted_ones(spark, tmp_out):
+    """Spans by construction: a key with known parts between prose, all seven kinds of layout."""
+    keys = [k for k in KEYS[:6]]
+    rows, want = [], {}
+    for i, k in enumerate(keys):
+        before, after = "é😀 before ", "\n\nafter - it"
+        rows.append((i, before + k + after + k + after))
+        second = len(before) + len(k) + len(after)
+        want[i] = [(len(before), len(before) + len(k)), (second, second + len(k))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secret_scan.scan(df, tmp_out).select("doc_id", "secret_spans").collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.secret_spans if s.kind == "private_key"] for r in got} == want
