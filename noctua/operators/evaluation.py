@@ -11,6 +11,7 @@ one evaluation plus a small join with the 9-row settings table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,7 @@ from ..config import DEFAULT_TUNING, SWEEP_GRID, Tuning
 from ..functions.scalar import empty_text, none_text
 from ..functions.text import strip_ws
 from .common import stored
+from .encoder import DEFAULT_DIM, hashing_encode
 from .memory import recall_similar
 from .ranking import hybrid_candidates
 from .remediate import best_runbook
@@ -37,6 +39,26 @@ def eval_set(tickets: DataFrame, per_label: int = 4, seed: int = 7, *, label: st
                     F.col(label).alias("true_subcat"), F.col(vec).alias("query_vec"))
 
 
+def labelled_items(items: DataFrame, dim: int = DEFAULT_DIM, encoder: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
+    """Items of a labelled file (ticket_id?, text, true_subcat), made ready for `eval_parts`.
+
+    Every row stays one item: its id is a hash of its content and the number of the copy, so rows without
+    a ticket id and repeated rows count.  `self_id` is the given ticket id (text) and leaves that ticket out
+    of the item's own hits; without one nothing is left out.  The vector is the encoder's (default
+    `hashing_encode`, `encoder` as in `embed_backfill`); a text without tokens has none, finds nothing
+    and counts as missed and escalated."""
+    content = F.struct(F.col("ticket_id").cast("string"), "text", "true_subcat")
+    counted = (items.groupBy(F.md5(F.to_json(content)).alias("_key")).agg(
+        F.first("ticket_id").cast("string").alias("self_id"), F.first("text").alias("text"),
+        F.first("true_subcat").alias("true_subcat"), F.count("*").alias("_n")))
+    enc = encoder or (lambda d, i, t: hashing_encode(d, i, t, dim, "query_vec"))
+    vectors = enc(counted.select("_key", "text"), "_key", "text")
+    vectors = vectors.withColumnRenamed(next(c for c in vectors.columns if c != "_key"), "query_vec")
+    return (counted.join(vectors, "_key")
+            .select("*", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy"))
+            .select(F.concat("_key", F.lit("#"), F.col("_copy").cast("string")).alias("ticket_id"), "self_id", "text", "true_subcat", "query_vec"))
+
+
 @dataclass
 class EvalParts:
     items: DataFrame
@@ -67,8 +89,12 @@ def item_quality(parts: EvalParts, alphas: list[float], tickets: DataFrame) -> D
     scored = c.withColumn("hybrid_score",
                           F.round(F.col("alpha") * F.col("similarity") + (1 - F.col("alpha")) * F.col("ft_norm"), 4))
     w1 = Window.partitionBy("alpha", "query_id").orderBy(F.col("hybrid_score").desc(), F.col("vec_rank"))
-    ranked = (scored.withColumn("rank", F.row_number().over(w1)).filter(F.col("rank") <= k + 6)
-              .filter(F.col("doc_id") != F.col("query_id")))
+    ranked = scored.withColumn("rank", F.row_number().over(w1)).filter(F.col("rank") <= k + 6)
+    if "self_id" in parts.items.columns:
+        own = parts.items.select(F.col("ticket_id").alias("query_id"), "self_id")
+        ranked = ranked.join(own, "query_id").filter(~F.col("doc_id").cast("string").eqNullSafe(F.col("self_id"))).drop("self_id")
+    else:
+        ranked = ranked.filter(F.col("doc_id") != F.col("query_id"))
     w2 = Window.partitionBy("alpha", "query_id").orderBy("rank")
     hits = ranked.withColumn("rank", F.row_number().over(w2).cast("long")).filter(F.col("rank") <= k)
     hits = hits.join(tickets.select(F.col("ticket_id").alias("doc_id"), F.col("subcategory").alias("label")), "doc_id")
@@ -135,6 +161,12 @@ def evaluate(items: DataFrame, tickets: DataFrame, memory: DataFrame, runbooks:
         F.lit(k).alias("k"), F.lit(float(alpha)).alias("alpha"), "*")
 
 
+def evaluate_labelled(items: DataFrame, tickets: DataFrame, memory: DataFrame, runbooks: DataFrame, k: int = 10, alpha: float = 0.7,
+                      tuning: Tuning = DEFAULT_TUNING, dim: int = DEFAULT_DIM, encoder=None) -> DataFrame:
+    """D22 on a labelled file (S6): items carry text and label only; see `labelled_items`."""
+    return evaluate(labelled_items(items, dim, encoder), tickets, memory, runbooks, k, alpha, tuning)
+
+
 def sweep(items: DataFrame, tickets: DataFrame, memory: DataFrame, runbooks: DataFrame, k: int = 10,
           grid: dict | None = None, base_alpha: float = 0.7, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
     """One knob at a time, others at default; one row per (knob, value)."""

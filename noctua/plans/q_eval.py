@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import SWEEP_GRID
+from ..config import DEFAULT_TUNING, SWEEP_GRID
 from ..functions.text import band_text
 from ..operators import encoder as E
 from ..operators import evaluation as EV
+from ..session import scratch_path
 from ..sources.fixtures import table, view, with_views
+from ..sources.tables import load_labelled, save_labelled
 from .catalog import query
 from .q_vectors import _BM25_STATS, _BM25_TERM
 
@@ -84,9 +86,20 @@ def q_eval_set(spark, sf_dir):
     return EV.eval_set(view(spark, sf_dir, "v_tickets_text"), 4, 7).drop("query_vec")
 
 
-def _eval_sql(settings: str) -> str:
+def encoded_sql(source: str, key: str, text: str, out: str) -> str:
+    """CTE `out` (key, v): the hashed vector of every row of CTE `source` that has tokens."""
+    return f"""
+{out}_b AS (SELECT {key}, cast(('0x' || substr(m, 1, 8))::BIGINT % 64 AS INTEGER) AS d, CASE WHEN substr(m, 9, 1) < '8' THEN 1 ELSE -1 END AS s
+  FROM (SELECT {key}, md5(unnest(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda x: x <> ''))) AS m FROM {source})),
+{out}_p AS (SELECT {key}, d, cast(sum(s) AS DOUBLE) AS x FROM {out}_b GROUP BY 1, 2),
+{out} AS (SELECT n.{key}, list(coalesce(p.x, 0e0) / n.norm ORDER BY g.d) AS v
+  FROM (SELECT {key}, sqrt(sum(x * x)) AS norm FROM {out}_p GROUP BY 1) n CROSS JOIN (SELECT cast(range AS INTEGER) AS d FROM range(64)) g
+  LEFT JOIN {out}_p p ON p.{key} = n.{key} AND p.d = g.d WHERE n.norm > 0 GROUP BY 1)"""
+
+
+def _eval_sql(settings: str, items: str = _ITEMS, not_own: str = "doc_id <> query_id") -> str:
     """Evaluation over a settings table (knob, value, alpha, sg, fl)."""
-    return "WITH " + _ITEMS + ",\n" + _BM25_STATS + f""",
+    return "WITH " + items + ",\n" + _BM25_STATS + f""",
 settings AS (SELECT * FROM (VALUES {settings}) AS s(knob, value, alpha, sg, fl)),
 c AS (SELECT ticket_id AS doc_id, cast(embedding AS DOUBLE[]) AS v FROM v_tickets_text WHERE embedding IS NOT NULL),
 cand AS (SELECT * FROM (SELECT i.query_id, c.doc_id, list_cosine_similarity(i.v, c.v) AS sim,
@@ -102,7 +115,7 @@ nz AS (SELECT *, raw / CASE WHEN max(raw) OVER (PARTITION BY query_id) > 0 THEN
 alphas AS (SELECT DISTINCT alpha FROM settings),
 h AS (SELECT nz.*, a.alpha, round(a.alpha * sim + (1 - a.alpha) * ftn, 4) AS hs FROM nz CROSS JOIN alphas a),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY hs DESC, vec_rank) AS rk FROM h),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY rk) AS rank FROM r1 WHERE doc_id <> query_id),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY rk) AS rank FROM r1 WHERE {not_own}),
 hits AS (SELECT r2.alpha, r2.query_id, r2.rank, t.subcategory AS label, i.true_subcat
          FROM r2 JOIN v_tickets_text t ON t.ticket_id = r2.doc_id JOIN items i ON i.query_id = r2.query_id WHERE r2.rank <= 10),
 per AS (SELECT alpha, query_id, count(*) AS n_ret, count(*) FILTER (WHERE label = true_subcat) AS n_match,
@@ -160,6 +173,32 @@ def q_evaluate(spark, sf_dir):
                     "rerank_precision_at_k", "rerank_mrr", "shortcut_rate", "escalation_rate")
 
 
+_LABELLED = _ITEMS.replace("items AS", "sampled AS", 1) + """,
+raw AS (SELECT CASE WHEN query_id % 3 = 0 THEN NULL ELSE cast(query_id AS varchar) END AS self_id, qtext, true_subcat FROM sampled
+  UNION ALL SELECT NULL, qtext, true_subcat FROM sampled WHERE query_id % 3 = 0
+  UNION ALL SELECT NULL, text, 'L' || cast(item_id % 5 AS varchar) FROM benchmark),
+numbered AS (SELECT row_number() OVER () AS query_id, * FROM raw),""" + encoded_sql("numbered", "query_id", "qtext", "enc") + """,
+items AS (SELECT n.*, enc.v FROM numbered n JOIN enc USING (query_id))"""
+
+
+@query("evaluate_labelled", with_views(["v_tickets_text", "v_memory", "v_runbooks"], _eval_sql(
+    "('labelled', 0.7e0, 0.7e0, 0.3e0, 0.25e0)", _LABELLED,
+    "cast(doc_id AS varchar) IS DISTINCT FROM (SELECT self_id FROM items i WHERE i.query_id = r1.query_id)")))
+def q_evaluate_labelled(spark, sf_dir):
+    """A labelled file through S6 and D22: sampled tickets (a third without their id, and those twice) and benchmark passages."""
+    t, sampled, mem, rb = _tables(spark, sf_dir)
+    nameless = F.col("ticket_id") % 3 == 0
+    text = sampled.select(F.when(~nameless, F.col("ticket_id").cast("string")).alias("ticket_id"), "text", "true_subcat", nameless.alias("again"))
+    bench = table(spark, sf_dir, "benchmark").select(F.lit(None).cast("string").alias("ticket_id"), "text",
+                                                     F.concat(F.lit("L"), (F.col("item_id") % 5).cast("string")).alias("true_subcat"))
+    path = scratch_path(spark, "labelled")
+    save_labelled(text.drop("again").unionByName(text.filter("again").drop("again")).unionByName(bench), path)
+    e = EV.evaluate_labelled(load_labelled(spark, path, lines=True), t, mem, rb, k=10, alpha=0.7,
+                             tuning=DEFAULT_TUNING.with_(routing_similarity_gate=0.3, runbook_relevance_floor=0.25))
+    return e.select(F.lit("labelled").alias("knob"), F.lit(0.7).alias("value"), "n_items", "classification_top1_accuracy",
+                    "rerank_precision_at_k", "rerank_mrr", "shortcut_rate", "escalation_rate")
+
+
 @query("sweep", with_views(["v_tickets_text", "v_memory", "v_runbooks"], _eval_sql(_settings_values())))
 def q_sweep(spark, sf_dir):
     t, items, mem, rb = _tables(spark, sf_dir)

@@ -131,12 +131,14 @@ def read_batches(spark: SparkSession, base: str) -> DataFrame | None:
 LABELLED_SCHEMA = "ticket_id string, text string, true_subcat string"
 
 
-def load_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """JSON list of {ticket_id?, text, true_subcat}."""
-    return spark.read.schema(LABELLED_SCHEMA).option("multiLine", True).json(path)
+def load_labelled(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """{ticket_id?, text, true_subcat} items, as one JSON list per file (read by one task each)
+    or, with `lines`, one object a line (`save_labelled`; files are split among tasks)."""
+    return spark.read.schema(LABELLED_SCHEMA).option("multiLine", not lines).json(path)
 
 
 def save_labelled(items: DataFrame, path: str) -> None:
+    """The items as JSON lines, read back by `load_labelled(lines=True)`."""
     items.select("ticket_id", "text", "true_subcat").write.mode("overwrite").json(path)
 
 
