@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_alarms, q_composite, q_eval, q_lookups, q_memory, q_stream, q_vectors, q_volume  # noqa: F401
+    from . import q_alarms, q_composite, q_contracts, q_eval, q_lookups, q_memory, q_stream, q_vectors, q_volume  # noqa: F401

@@ -87,6 +87,12 @@ FROM (SELECT vec_id AS id, cast(embedding AS {DARR}) AS memory_vec FROM embeddin
 SELECT vec_id AS id, p_name AS title, 'type ' || p_type AS trigger_condition, '["check","reset"]' AS steps, 'global' AS scope,
        0.6e0 AS confidence, 0 AS success_count, 0 AS fail_count, 'active' AS status, cast(NULL AS bigint) AS superseded_by, embedding AS runbook_vec
 FROM embeddings LEFT JOIN part ON p_partkey = vec_id WHERE vec_id % 10 = 7""",
+    "v_catalog": """
+SELECT 'P-' || cast(p_partkey AS string) AS pattern_id, p_name AS pattern_name,
+       CASE p_partkey % 4 WHEN 0 THEN 'radio' WHEN 1 THEN 'transport' WHEN 2 THEN 'core' ELSE 'power' END AS category,
+       'worn ' || p_type AS root_cause, '["' || p_type || '"]' AS symptoms, 'replace ' || p_name AS resolution,
+       CASE p_partkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' ELSE 'minor' END AS severity, embedding AS signature_vec
+FROM part LEFT JOIN embeddings ON vec_id = p_partkey""",
     "v_incidents": """
 SELECT 'INC-' || element_id || '-' || cast(d AS string) AS incident_ref, element_id, window_start, window_end, alarm_count, severity,
        'L' || cast(label AS string) AS subcategory, 'L' || cast(label AS string) || ' on ' || element_id AS title,
@@ -116,6 +122,7 @@ VIEW_DEPS = {
     "v_reasoning": ["conversations"],
     "v_memory": ["embeddings"],
     "v_runbooks": ["embeddings", "part"],
+    "v_catalog": ["part", "embeddings"],
     "v_incidents": ["events", "embeddings"],
 }
 
