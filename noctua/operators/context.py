@@ -29,9 +29,10 @@ def _joined_lines(df: DataFrame, key: str, order: Column, line: Column, alias: s
 
 
 def tier_texts(entities: DataFrame, elements: DataFrame, incidents: DataFrame, alarms: DataFrame,
-               reasoning: DataFrame, memory: DataFrame, as_of=None) -> DataFrame:
+               reasoning: DataFrame, memory: DataFrame, as_of=None, matches: DataFrame | None = None) -> DataFrame:
     """entities (key, entity_ref, session_id, query_vec) -> one row per key with
-    the raw text, line count and status of every tier plus T5 matches."""
+    the raw text, line count and status of every tier plus T5 matches.  `matches`: the
+    3 nearest patterns per key (as `recall_similar` gives them) where the caller has them."""
     ents = entities.select("key", "entity_ref", "session_id", "query_vec")
     now = as_of_col(as_of, alarms, "ts")
     refs = ents.select("entity_ref").filter(F.col("entity_ref").isNotNull()).distinct()
@@ -65,7 +66,7 @@ def tier_texts(entities: DataFrame, elements: DataFrame, incidents: DataFrame, a
                        "entity_ref", F.col("o"), F.col("l"), "t4_lines")
 
     q = ents.select(F.col("key").alias("query_id"), "query_vec").filter(F.col("query_vec").isNotNull())
-    nn = recall_similar(q, memory, 3)
+    nn = recall_similar(q, memory, 3) if matches is None else matches
     t5 = (nn.groupBy("query_id")
           .agg(F.array_sort(F.collect_list(F.struct("rank", "id", "category", "confidence", "similarity", "content"))).alias("_m"),
                F.max_by(F.col("id"), F.struct(F.col("confidence"), -F.col("rank"))).alias("top_match_id"))
@@ -81,11 +82,12 @@ def tier_texts(entities: DataFrame, elements: DataFrame, incidents: DataFrame, a
 
 
 def assemble_context(entities: DataFrame, elements: DataFrame, incidents: DataFrame, alarms: DataFrame,
-                     reasoning: DataFrame, memory: DataFrame, as_of=None, tuning: Tuning = DEFAULT_TUNING) -> DataFrame:
+                     reasoning: DataFrame, memory: DataFrame, as_of=None, tuning: Tuning = DEFAULT_TUNING,
+                     matches: DataFrame | None = None) -> DataFrame:
     """Per entity key, the system context, budget used, per-tier tokens
     (NULL = no entry) and statuses, and the T5 top match."""
     budget = int(tuning.context_budget_tokens)
-    t = tier_texts(entities, elements, incidents, alarms, reasoning, memory, as_of)
+    t = tier_texts(entities, elements, incidents, alarms, reasoning, memory, as_of, matches)
     t1_status = (F.when(F.col("entity_ref").isNull(), "no_entity")
                  .when(F.col("t1_raw").isNull(), "not_found").otherwise("ok"))
     t24_status = F.when(F.col("entity_ref").isNull(), "no_entity")

@@ -18,6 +18,7 @@ from ..sources.fixtures import view, with_views
 from ..sources.tables import read_batches
 from .catalog import query
 from .q_alarms import _W, LOOKBACK_H, MIN_ALARMS
+from .q_eval import encoded_sql
 from .q_memory import _INC_Q, incident_queries
 
 CONTEXT_BUDGET = 120
@@ -94,7 +95,14 @@ def _trunc(x: str, cap: int) -> str:
     return f"CASE WHEN length({x}) > {n} THEN substring({x}, 1, {n}) || '…' ELSE {x} END"
 
 
-def _context_sql(budget: int) -> str:
+_CONTEXT_ENTS = """
+WITH a AS (SELECT max(ts) AS as_of FROM v_alarms),
+ents AS (SELECT incident_ref AS key, element_id AS entity_ref, 'S-' || cast(alarm_count AS varchar) AS session_id,
+                cast(signature_vec AS DOUBLE[]) AS v FROM v_incidents)"""
+
+
+def _context_sql(budget: int, start: str = _CONTEXT_ENTS, incidents: str = "v_incidents", reasoning: str = "v_reasoning", end: str | None = None) -> str:
+    """`start`: CTEs up to `a` (as_of) and `ents` (key, entity_ref, session_id, v); `end`: what follows the context CTE `ctx`."""
     tiers = C.TIERS
     texts = {
         "t1_entity": "t1_raw",
@@ -123,10 +131,7 @@ def _context_sql(budget: int) -> str:
         f"CASE WHEN k_{n} THEN c_{n} WHEN x_{n} IS NULL AND ({empty_status[n]}) IS NOT NULL THEN 0 END AS {n}_tokens" for n in tiers)
     statuses = ", ".join(f"CASE WHEN k_{n} THEN 'ok' WHEN x_{n} IS NULL THEN {empty_status[n]} END AS {n}_status" for n in tiers)
     blocks = ", ".join(f"CASE WHEN k_{n} THEN x_{n} END" for n in tiers)
-    return f"""
-WITH a AS (SELECT max(ts) AS as_of FROM v_alarms),
-ents AS (SELECT incident_ref AS key, element_id AS entity_ref, 'S-' || cast(alarm_count AS varchar) AS session_id,
-                cast(signature_vec AS DOUBLE[]) AS v FROM v_incidents),
+    return start + f""",
 refs AS (SELECT DISTINCT entity_ref FROM ents WHERE entity_ref IS NOT NULL),
 t1 AS (SELECT r.entity_ref, '[T1 element] ' || el.element_id || ' type=' || coalesce(el.element_type, 'None') || ' vendor='
               || coalesce(el.vendor, 'None') || '/' || coalesce(el.model, 'None') || ' sw=None site=' || coalesce(el.site_id, 'None')
@@ -135,7 +140,7 @@ t1 AS (SELECT r.entity_ref, '[T1 element] ' || el.element_id || ' type=' || coal
 il AS (SELECT element_id AS entity_ref, rank AS o, 'inc ' || incident_ref || ' ' || coalesce(severity, 'None') || '/'
               || coalesce(subcategory, 'None') || ' anom=' || coalesce(printf('%.3f', anomaly_score), 'None') || ' ' || coalesce(status, 'None') AS l
        FROM (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY window_start DESC, incident_ref) AS rank
-             FROM v_incidents WHERE element_id IN (SELECT entity_ref FROM refs)) WHERE rank <= 5),
+             FROM {incidents} WHERE element_id IN (SELECT entity_ref FROM refs)) WHERE rank <= 5),
 ac AS (SELECT element_id, severity, alarm_type, count(*) AS c FROM v_alarms, a
        WHERE ts >= as_of - INTERVAL 24 HOUR AND severity IN ('critical', 'major') AND element_id IN (SELECT entity_ref FROM refs) GROUP BY 1, 2, 3),
 alr AS (SELECT element_id AS entity_ref, rank + 100 AS o, 'alarm ' || severity || ' ' || alarm_type || ' x' || cast(c AS varchar) || ' (24h)' AS l
@@ -143,11 +148,11 @@ alr AS (SELECT element_id AS entity_ref, rank + 100 AS o, 'alarm ' || severity |
 t2 AS (SELECT entity_ref, string_agg(l, ' | ' ORDER BY o) AS t2_lines FROM (SELECT * FROM il UNION ALL SELECT * FROM alr) GROUP BY 1),
 t3 AS (SELECT session_id, '[T3 active] obs=' || coalesce(observation, 'None') || ' | hyp=' || coalesce(hypothesis, 'None')
               || ' | conf=' || coalesce(printf('%.2f', confidence), 'None') AS t3_raw
-       FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS r FROM v_reasoning
+       FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS r FROM {reasoning}
              WHERE session_id IN (SELECT session_id FROM ents)) WHERE r = 1),
 t4 AS (SELECT element_id AS entity_ref, string_agg(coalesce(resolution, 'None') || ' (conf=' || coalesce(printf('%.2f', confidence), 'None')
               || '): ' || substring(coalesce(hypothesis, ''), 1, 80), ' | ' ORDER BY rank) AS t4_lines
-       FROM (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY created_at DESC, id DESC) AS rank FROM v_reasoning
+       FROM (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY created_at DESC, id DESC) AS rank FROM {reasoning}
              WHERE resolution IN ('confirmed', 'promoted', 'escalated') AND element_id IN (SELECT entity_ref FROM refs)) WHERE rank <= 4 GROUP BY 1),
 m AS (SELECT * FROM v_memory WHERE status = 'active' AND superseded_by IS NULL AND memory_vec IS NOT NULL),
 ms AS (SELECT e.key, m.id, m.category, m.confidence, m.content, list_cosine_similarity(e.v, m.memory_vec) AS sim FROM ents e CROSS JOIN m WHERE e.v IS NOT NULL),
@@ -161,11 +166,12 @@ j AS (SELECT e.key, e.entity_ref, e.session_id, t1.t1_raw, t2.t2_lines, t3.t3_ra
       LEFT JOIN t4 USING (entity_ref) LEFT JOIN t5 USING (key)),
 txts AS (SELECT *, {txt_cols} FROM j),
 costs AS (SELECT *, {cost_cols} FROM txts),
-{", ".join(chain)}
-SELECT key, entity_ref, session_id, concat_ws(chr(10), {blocks}) AS system_context,
+{", ".join(chain)},
+ctx AS (SELECT key, entity_ref, session_id, concat_ws(chr(10), {blocks}) AS system_context,
        cast({prev} AS INTEGER) AS budget_used, {budget} AS budget_total, {tokens}, {statuses},
        top_match_id, coalesce(t5_n, 0) AS n_vector_matches
-FROM {last}"""
+FROM {last})
+""" + (end or "SELECT * FROM ctx")
 
 
 @query("assemble_context", with_views(["v_alarms", "v_incidents", "v_elements", "v_reasoning", "v_memory"],
@@ -243,3 +249,56 @@ def q_memory_after_remediate(spark, sf_dir):
     r = RM.remediate(incidents, view(spark, sf_dir, "v_memory"), view(spark, sf_dir, "v_runbooks"))
     RM.write_remediation(r, incidents, base, 1, "2024-03-01 00:00:00")
     return read_batches(spark, f"{base}/agent_reasoning").select("writer", "session_id", "element_id", "resolution")
+
+
+CHAIN_TUNING = DEFAULT_TUNING.with_(routing_similarity_gate=0.3, runbook_relevance_floor=0.25, context_budget_tokens=CONTEXT_BUDGET)
+
+_CHAIN_START = _W.rstrip() + """,
+opened AS (SELECT incident_ref, element_id, severity, subcategory, anomaly_score, window_start, 'open' AS status,
+       subcategory || ' ' || subcategory || ' on ' || element_id || ' (' || cast(alarm_count AS varchar) || ' correlated alarms)' AS txt FROM inc),
+episodes AS (SELECT id, session_id, element_id, created_at, observation, hypothesis, resolution, confidence FROM v_reasoning
+  UNION ALL SELECT NULL, 'triage-' || incident_ref, element_id, (SELECT as_of FROM a), '',
+       'Likely ' || subcategory || ' (dominant alarm: ' || coalesce(dominant_type, 'None') || ')',
+       CASE WHEN anomaly_score >= 0.5 THEN 'confirmed' ELSE 'dismissed' END, round(least(0.95e0, 0.5e0 + anomaly_score / 2), 2) FROM inc),""" \
+    + encoded_sql("opened", "incident_ref", "txt", "enc") + """,
+ents AS (SELECT o.incident_ref AS key, o.element_id AS entity_ref, 'remediation-' || o.incident_ref AS session_id, enc.v
+  FROM opened o JOIN enc USING (incident_ref))"""
+
+_CHAIN_END = """,
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sim DESC, id) AS rank FROM ms) WHERE rank <= 5),
+sims AS (SELECT key, string_agg(cast(id AS varchar) || ':' || cast(round(sim, 4) AS varchar), ',' ORDER BY rank) AS near_ids FROM near GROUP BY 1),
+gate AS (SELECT key, count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok, arg_max(id, (confidence * sim, sim, -id)) FILTER (WHERE ok) AS hit,
+                arg_max(confidence, (confidence * sim, sim, -id)) FILTER (WHERE ok) AS hit_conf, arg_max(sim, (confidence * sim, sim, -id)) FILTER (WHERE ok) AS hit_sim
+         FROM (SELECT *, confidence >= 0.85e0 AND sim >= 0.3e0 AS ok FROM mr) GROUP BY 1),
+rb AS (SELECT * FROM v_runbooks WHERE status = 'active' AND superseded_by IS NULL AND runbook_vec IS NOT NULL),
+r1 AS (SELECT * FROM (SELECT e.key, rb.id AS rb_id, rb.title AS rb_title, rb.steps, list_cosine_similarity(e.v, cast(rb.runbook_vec AS DOUBLE[])) AS rb_sim,
+        row_number() OVER (PARTITION BY e.key ORDER BY list_cosine_similarity(e.v, cast(rb.runbook_vec AS DOUBLE[])) DESC, rb.id) AS r FROM ents e CROSS JOIN rb) WHERE r = 1),
+d AS (SELECT o.*, c.system_context, c.budget_used, c.budget_total, g.n, g.n_ok, g.hit, g.hit_conf, g.hit_sim, r1.rb_id, r1.rb_title, r1.steps, r1.rb_sim,
+             r1.rb_sim >= 0.25e0 AS chosen, s.near_ids, c.t4_prior_status, c.t5_semantic_tokens,
+             least(0.95e0, 0.5e0 + (CASE WHEN o.anomaly_score <> 0 THEN o.anomaly_score ELSE 0.6e0 END) / 2) AS confidence
+      FROM opened o JOIN ctx c ON c.key = o.incident_ref LEFT JOIN gate g ON g.key = o.incident_ref LEFT JOIN r1 ON r1.key = o.incident_ref
+      LEFT JOIN sims s ON s.key = o.incident_ref)
+SELECT incident_ref, element_id, subcategory, system_context, budget_used || '/' || budget_total AS context_budget, t4_prior_status, t5_semantic_tokens,
+       CASE WHEN hit IS NOT NULL THEN 'SHORTCUT' ELSE 'EXPLORE' END AS path, hit AS matched_id,
+       CASE WHEN n IS NULL THEN 'no semantic-memory matches (cold start)' WHEN hit IS NULL THEN 'scanned ' || n || ' matches; none passed both gates'
+            ELSE n_ok || '/' || n || ' matches passed gates (conf≥0.85, sim≥0.3); chose mem ' || hit || ' (conf=' || printf('%.2f', hit_conf) || ', sim='
+                 || printf('%.2f', hit_sim) || ') — substrate-driven shortcut' END AS reason,
+       CASE WHEN chosen THEN rb_title END AS chosen_runbook, CASE WHEN chosen THEN steps END AS steps, round(rb_sim, 3) AS top_runbook_similarity,
+       CASE WHEN chosen THEN 'resolved' ELSE 'investigating' END AS new_status, confidence, near_ids AS similar_patterns,
+       CASE WHEN chosen THEN 'recorded success for runbook ' || rb_id
+            ELSE 'nearest runbook similarity ' || printf('%.2f', rb_sim) || ' < floor 0.25 — no relevant runbook, escalating' END AS action,
+       CASE WHEN chosen THEN confidence >= 0.80e0 END AS pattern_accepted
+FROM d"""
+
+
+@query("triage_to_remediation", with_views(["v_alarms", "v_elements", "v_reasoning", "v_memory", "v_runbooks"],
+                                           _context_sql(CONTEXT_BUDGET, _CHAIN_START, "opened", "episodes", _CHAIN_END)))
+def q_triage_to_remediation(spark, sf_dir):
+    """Raw alarms to incidents to decisions in one batch, queries encoded from the incidents' own text."""
+    v = {n: view(spark, sf_dir, f"v_{n}") for n in ("alarms", "elements", "reasoning", "memory", "runbooks")}
+    _, r = RM.triage_to_remediation(v["alarms"], v["elements"], v["reasoning"], v["memory"], v["runbooks"], None, MIN_ALARMS, LOOKBACK_H, CHAIN_TUNING)
+    acc = r.patterns.select(F.element_at("source_refs", 1).alias("incident_ref"), F.col("accepted").alias("pattern_accepted"))
+    named = F.array_join(F.transform("similar_patterns", lambda s: F.concat(s["id"].cast("string"), F.lit(":"), F.round(s["similarity"], 4).cast("string"))), ",")
+    return r.decisions.join(acc, "incident_ref", "left").select(
+        "incident_ref", "element_id", "subcategory", "system_context", "context_budget", "t4_prior_status", "t5_semantic_tokens", "path", "matched_id", "reason",
+        "chosen_runbook", "steps", "top_runbook_similarity", "new_status", "confidence", named.alias("similar_patterns"), "action", "pattern_accepted")
