@@ -32,6 +32,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def own_prefix(columns) -> str:
+    """A prefix that no given column starts with (in any case), for an operator's helper columns."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def per_worker(key: str, make):
     """One object per Python worker process and Spark stage.  This package's functions
     travel by value, so module globals would start anew with every task; what

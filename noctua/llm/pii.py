@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import regex_spans
+from .common import own_prefix, regex_spans
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 
@@ -88,23 +88,26 @@ def _inner(runs: Column, pattern: str, idx: int, kind: str, keep=None) -> Column
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` plus `pii_base` and `pii_spans`: arrays of (start, idx, end, kind,
     match, score); `pii_spans` holds the base spans and those the method adds
-    with a score of at least ACCEPT, by start, then kind."""
+    with a score of at least ACCEPT, by start, then kind.  Other columns pass whatever
+    their names; given columns of these two names are replaced."""
+    p = own_prefix(docs.columns)
+    kept = [c for c in docs.columns if c.lower() not in ("pii_base", "pii_spans")]
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,idx:int,end:int,kind:string,match:string>>")
     # cheap containment tests first: most texts have no candidate of a kind
     df = docs.withColumns({
-        "_email": F.when(t.contains("@"), regex_spans(t, EMAIL, 0, "email")).otherwise(none),
-        "_ip": F.when(t.contains("."), regex_spans(t, IP, 1, "ip", ip_ok)).otherwise(none),
-        "_card": regex_spans(t, CARD, 2, "card"),
-        "_phone": F.when(t.contains("+"), regex_spans(t, PHONE, 3, "phone")).otherwise(none),
-        "_iban": regex_spans(t, IBAN, 4, "iban", mod97),
-        "_ssn": F.when(t.contains("-"), regex_spans(t, SSN, 5, "ssn")).otherwise(none),
+        f"{p}email": F.when(t.contains("@"), regex_spans(t, EMAIL, 0, "email")).otherwise(none),
+        f"{p}ip": F.when(t.contains("."), regex_spans(t, IP, 1, "ip", ip_ok)).otherwise(none),
+        f"{p}card": regex_spans(t, CARD, 2, "card"),
+        f"{p}phone": F.when(t.contains("+"), regex_spans(t, PHONE, 3, "phone")).otherwise(none),
+        f"{p}iban": regex_spans(t, IBAN, 4, "iban", mod97),
+        f"{p}ssn": F.when(t.contains("-"), regex_spans(t, SSN, 5, "ssn")).otherwise(none),
     })
     ok_card = lambda s: between(s["match"], 12, 19) & luhn(s["match"])
     ok_phone = lambda s: between(s["match"], 9, 15)
     df = df.withColumns({
-        "_cards": F.filter("_card", ok_card), "_badcards": F.filter("_card", lambda s: ~ok_card(s)),
-        "_phones": F.filter("_phone", ok_phone), "_badphones": F.filter("_phone", lambda s: ~ok_phone(s)),
+        f"{p}cards": F.filter(f"{p}card", ok_card), f"{p}badcards": F.filter(f"{p}card", lambda s: ~ok_card(s)),
+        f"{p}phones": F.filter(f"{p}phone", ok_phone), f"{p}badphones": F.filter(f"{p}phone", lambda s: ~ok_phone(s)),
     })
 
     def scored(spans, kind):
@@ -116,11 +119,11 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             s["match"].alias("match"), F.when(near(s), hi).otherwise(lo).alias("score")))
 
     df = df.withColumn("pii_base", F.array_sort(F.concat(
-        scored(F.col("_email"), "email"), scored(F.col("_ip"), "ip"), scored(F.col("_cards"), "card"),
-        scored(F.col("_phones"), "phone"))))
+        scored(F.col(f"{p}email"), "email"), scored(F.col(f"{p}ip"), "ip"), scored(F.col(f"{p}cards"), "card"),
+        scored(F.col(f"{p}phones"), "phone"))))
     extra = F.concat(
-        scored(_inner(F.col("_badcards"), CARD_INNER, 2, "card", luhn), "card"),
-        scored(_inner(F.col("_badphones"), PHONE_INNER, 3, "phone"), "phone"),
-        scored(F.col("_iban"), "iban"), scored(F.col("_ssn"), "ssn"))
+        scored(_inner(F.col(f"{p}badcards"), CARD_INNER, 2, "card", luhn), "card"),
+        scored(_inner(F.col(f"{p}badphones"), PHONE_INNER, 3, "phone"), "phone"),
+        scored(F.col(f"{p}iban"), "iban"), scored(F.col(f"{p}ssn"), "ssn"))
     df = df.withColumn("pii_spans", F.array_sort(F.concat("pii_base", F.filter(extra, lambda s: s["score"] >= ACCEPT))))
-    return df.select(*docs.columns, "pii_base", "pii_spans")
+    return df.select(*kept, "pii_base", "pii_spans")

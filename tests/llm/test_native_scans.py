@@ -153,3 +153,11 @@ def test_private_key_spans_are_the_planted_ones(spark, tmp_out):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = secret_scan.scan(df, tmp_out).select("doc_id", "secret_spans").collect()
     assert {r.doc_id: [(s.start, s.end) for s in r.secret_spans if s.kind == "private_key"] for r in got} == want
+
+
+def test_pii_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cc", "keep", "old", 5)], "doc_id long, text string, _email string, pii_spans string, __card int")
+    out = pii.find_pii(df)
+    assert out.columns == ["doc_id", "text", "_email", "__card", "pii_base", "pii_spans"]
+    row = out.first()
+    assert (row["_email"], row["__card"], len(row.pii_base), row.pii_spans[0].match) == ("keep", 5, 1, "a@b.cc")
