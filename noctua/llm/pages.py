@@ -28,7 +28,7 @@ at least half of them).
 
 Cases: null or empty html = empty text; a page without `://` in its url belongs
 to the empty host; truncated or unclosed markup is closed at the end; repeated
-pages are extracted alike; other columns pass through.
+pages are extracted alike; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,10 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import per_worker
+from .common import own_prefix, per_worker
 
 MIN_TOKENS = 2
 MIN_PAGES = 3
+HOT = 1024          # a host with more than one in so many pages is dealt to several tasks
 CONFIRM = 20        # a class or id word counts on elements that stand on one in so many pages of the host
 
 TOKEN = re.compile(
@@ -308,19 +309,38 @@ def templates(pages: DataFrame) -> DataFrame:
     return hosts.join(lists, "host", "left").select("host", *[F.coalesce(c, none).alias(c) for c in ("texts", "repeated")])
 
 
+def shares(pages: DataFrame) -> DataFrame:
+    """(host, copies): hosts that hold more than one in HOT of all pages, fewer than HOT of them at any
+    size, and the number of tasks that share their pages."""
+    n = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total = pages.agg(F.count(F.lit(1)).alias("total"))          # one row
+    return (n.join(F.broadcast(total)).filter(F.col("n") * HOT > F.col("total"))
+            .select("host", F.ceil(F.col("n") * HOT / F.col("total")).cast("int").alias("copies")))
+
+
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """`pages` without the html, plus text and n_chars."""
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    src = pages.select(*kept, host_of(F.col(url)).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    known = templates(src.select(F.xxhash64("_html", *[c for c in kept]).alias("page"), F.col("_host").alias("host"),
-                                 F.col("_html").alias("html"))).withColumnRenamed("host", "_host")
-    joined = src.join(known, "_host", "left").select(*kept, "_html", "texts", "repeated")
+    """`pages` without the html, plus text and n_chars (given columns of these names are replaced).
+
+    The pages meet their host's template on (host, share): a hot host's pages are dealt to as many tasks as its
+    part of all pages asks for, and its small template is copied to each of them."""
+    kept = [c for c in pages.columns if c.lower() not in (html.lower(), "text", "n_chars")]
+    p = own_prefix(pages.columns)
+    src = pages.select(*kept, host_of(F.col(url)).alias(f"{p}host"), F.coalesce(F.col(html), F.lit("")).alias(f"{p}html"))
+    src = src.withColumn(f"{p}page", F.xxhash64(f"{p}html", *kept))
+    named = src.select(F.col(f"{p}page").alias("page"), F.col(f"{p}host").alias("host"), F.col(f"{p}html").alias("html"))
+    hot = F.broadcast(shares(named.select("host")))              # fewer than HOT rows
+    known = (templates(named).join(hot, "host", "left")
+             .select(F.col("host").alias(f"{p}host"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias(f"{p}share"),
+                     F.col("texts").alias(f"{p}texts"), F.col("repeated").alias(f"{p}repeated")))
+    dealt = (src.join(hot.select(F.col("host").alias(f"{p}host"), F.col("copies").alias(f"{p}copies")), f"{p}host", "left")
+             .withColumn(f"{p}share", F.pmod(f"{p}page", F.coalesce(f"{p}copies", F.lit(1))).cast("int")))
+    joined = dealt.join(known, [f"{p}host", f"{p}share"], "left").select(*kept, f"{p}html", f"{p}texts", f"{p}repeated")
     schema = StructType([pages.schema[c] for c in kept] + [StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = []
-            for h, *known in zip(pdf["_html"], pdf["texts"], pdf["repeated"]):
+            for h, *known in zip(pdf[f"{p}html"], pdf[f"{p}texts"], pdf[f"{p}repeated"]):
                 if known[0] is None:                        # too few pages for a template
                     text.append(extract(h, frozenset()))
                 else:

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from noctua.llm import pages, urls
@@ -118,3 +120,16 @@ def test_all_slots_remain_without_an_article(spark):
     for i, text in enumerate(texts_of(spark, bodies)):
         parts = text.split("\n\n")
         assert parts[:2] == [f"head {i}", f"lead {i}"] and parts[-2:] == [f"cell {i}", f"end {i}"] and len(parts) == 34
+
+
+def test_hot_host_is_shared_and_columns_may_clash(spark):
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i}'}.x/{i}", f"<div class=top>Welcome all</div><div class=box><p>story {i}</p></div><div class=x>Bye</div>", i, "t", "k")
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _host long, TEXT string, __share string")
+    copies = {r.host: r.copies for r in pages.shares(df.select(pages.host_of(df.url).alias("host"))).collect()}
+    assert copies["hot.x"] == math.ceil(200 * pages.HOT / 300) and copies["h3.x"] == math.ceil(pages.HOT / 300)
+    out = pages.main_text(df)
+    assert out.columns == ["page_id", "url", "_host", "__share", "text", "n_chars"]
+    got = {r.page_id: r for r in out.collect()}
+    assert len(got) == 300 and all(got[i].text == f"story {i}" and got[i]["_host"] == i for i in range(300) if i % 3)
+    assert pages.shares(df.limit(0).select(pages.host_of(df.url).alias("host"))).count() == 0
