@@ -12,12 +12,17 @@ trees.  Each tree is bulk-loaded by one task into pages: routing pages with
 routing object, covering radius and distance to the parent, leaf pages with the
 entries and their distance to the parent.  Pages are rows of a stored table.
 
-Search: best-first per query and tree.  A page is opened in order of its lower
-bound; entries whose stored parent distance already excludes them by the
-triangle inequality are skipped without a computation; scores are whole
-numbers.  Round 1 visits each query's nearest tree, which gives a threshold;
-round 2 visits the trees whose covering radius does not exclude a better or
-equal score.  Queries travel in blocks of `QUERY_BLOCK`, so no task holds all.
+Search: a block of queries shares the pages of a tree, opened in order of the
+smallest lower bound; every query keeps a frontier and threshold of its own.  A
+page costs only the queries whose bound reaches it, an entry only those whose
+stored parent distance does not exclude it by the triangle inequality; scores
+are whole numbers.  Round 1 visits each query's nearest tree, which gives a
+threshold; round 2 visits the trees whose covering radius does not exclude a
+better or equal score.  Both find their trees in two levels: the routes (at most
+`ROUTES`, each with the radius that covers its trees) travel to the queries, the
+trees' roots are joined on the route, so no list of trees passes the driver.
+Queries are dealt to blocks of about `QUERY_BLOCK` inside each tree: page copies
+grow with the visits, not with queries x trees.
 
 Cases: vectors that are null, empty or hold null or non-finite components take
 no part; rows with a null id take no part; a vec_id that occurs several times
@@ -43,6 +48,7 @@ ROUTES = 1024          # most routing objects at the top; the sample they are dr
 TREE_ROWS = 4096       # entries of one tree
 PAGE = 128             # entries of one page
 QUERY_BLOCK = 2048     # queries that visit a tree in one task
+DENSE = 0.25           # a page is computed as a whole where at least so many of its pairs are needed, else pair by pair
 EPS = 1e-6             # slack of the floating-point bounds; scores themselves are whole numbers
 
 
@@ -156,21 +162,22 @@ def build_index(distinct: DataFrame, dim: int, top: float) -> tuple[DataFrame, n
 class Tree:
     def __init__(self, rows: pd.DataFrame, dim: int, top: float):
         self.top, self.pages = top, {}
+        self.computed = self.entries = 0                       # products and distances made; leaf entries
         for r in rows.itertuples():
             ints = np.frombuffer(r.vecs, "<i8").reshape(-1, dim)
             parent = np.frombuffer(r.parent, "<f8")
             if r.leaf:
                 self.pages[r.page] = (True, ints, parent, None, None, r.ids)
+                self.entries += len(ints)
             else:
                 self.pages[r.page] = (False, lifted(ints, top), parent, np.frombuffer(r.radius, "<f8"), np.frombuffer(r.child, "<i8"), None)
 
     def search(self, own: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
         """The k best (-score, id) of every query row; only scores >= its floor can matter.
 
-        Best-first for all queries of the block: the page with the smallest lower
-        bound of any query is opened next, for those queries whose own bound still
-        reaches it; the others, and entries that the stored parent distance
-        excludes for every one of them, cost no computation."""
+        The page with the smallest lower bound of any query is opened next, for those
+        queries whose own bound still reaches it; of its entries each query pays only
+        for those that the stored parent distance does not exclude for itself."""
         lift = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
         base = (lift * lift).sum(axis=1) + self.top
         best: list[list[tuple[int, int]]] = [[] for _ in range(len(q))]
@@ -180,13 +187,23 @@ class Tree:
             with np.errstate(invalid="ignore"):
                 return np.sqrt(np.maximum(base[rows] - 2.0 * least[rows], 0.0)) + EPS
 
-        def far(x, rows):      # distances rows x entries
-            d = (lift[rows] ** 2).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2.0 * (lift[rows] @ x.T)
+        def products(a, b, need, rest):      # rows of a x rows of b where needed, `rest` elsewhere
+            if need.mean() >= DENSE:
+                self.computed += need.size
+                return np.where(need, (a @ b.T).astype(np.float64), rest)
+            r, c = np.nonzero(need)
+            self.computed += len(r)
+            out = np.full(need.shape, rest)
+            out[r, c] = np.einsum("ij,ij->i", a[r], b[c])
+            return out
+
+        def far(x, rows, need):              # distances rows x entries, infinite where not needed
+            d = (lift[rows] ** 2).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2.0 * products(lift[rows], x, need, -np.inf)
             return np.sqrt(np.maximum(d, 0.0))
 
         _, x, _, radius, child, _ = self.pages[0]
         everyone = np.arange(len(q))
-        d = far(x, everyone)[:, 0]
+        d = far(x, everyone, np.ones((len(q), 1), bool))[:, 0]
         low = np.maximum(d - radius[0], 0.0)
         heap = [(float(low.min()), int(child[0]), everyone, low, d)]
         while heap:
@@ -203,8 +220,7 @@ class Tree:
             if not len(at):
                 continue
             if leaf:
-                score = (q[rows] @ x[at].T).astype(np.float64)
-                score[~near[:, at]] = -np.inf
+                score = products(q[rows], x[at], near[:, at], -np.inf)
                 cut = least[rows]
                 if len(at) > k + 1:                            # ties at the cut stay in
                     cut = np.maximum(cut, -np.partition(-score, k, axis=1)[:, k])
@@ -218,9 +234,8 @@ class Tree:
                         del mine[k:]
                         least[i] = max(least[i], -mine[-1][0])
             else:
-                d = far(x[at], rows)
+                d = far(x[at], rows, near[:, at])
                 lower = np.maximum(d - radius[at][None], 0.0)
-                lower[~near[:, at]] = np.inf
                 open_ = lower <= reach(rows)[:, None]
                 for c, j in enumerate(at):
                     some = np.flatnonzero(open_[:, c])
@@ -230,8 +245,10 @@ class Tree:
 
 
 def visit(pages: DataFrame, asked: DataFrame, dim: int, top: float, k: int) -> DataFrame:
-    """asked: (tree, block, query_id, vec, floor) -> (query_id, tree, vec_id, score)."""
-    pairs = asked.select(F.col("tree").alias("_t"), F.col("block").alias("part")).distinct()
+    """asked: (tree, query_id, vec, floor) -> (query_id, tree, vec_id, score)."""
+    parts = asked.groupBy("tree").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("parts"))
+    dealt = asked.join(parts, "tree").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("parts"))).drop("parts")
+    pairs = parts.select(F.col("tree").alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -247,35 +264,75 @@ def visit(pages: DataFrame, asked: DataFrame, dim: int, top: float, k: int) -> D
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copies = pages.join(pairs, pages["tree"] == pairs["_t"]).drop("_t")
     return (copies.repartition(n, "tree", "part").groupBy("tree", "part")
-            .cogroup(asked.repartition(n, "tree", "block").groupBy("tree", "block"))
+            .cogroup(dealt.repartition(n, "tree", "block").groupBy("tree", "block"))
             .applyInPandas(search, "query_id long, tree long, vec_id long, score long"))
 
 
-def _ask(roots: pd.DataFrame, dim: int, top: float, first: bool):
-    """Trees to visit: the nearest one, or all others whose radius allows the floor."""
-    tree = roots["tree"].to_numpy(np.int64)
-    centre = lifted(vectors_of(roots["vecs"], dim), top)
-    radius = np.array([np.frombuffer(r, "<f8")[0] for r in roots["radius"]])
+def reaches(roots: DataFrame, routes: np.ndarray, dim: int, top: float) -> np.ndarray:
+    """Of every route the radius that covers all its trees; a route without trees covers nothing."""
+    at = lifted(routes, top)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            route = pdf["route"].to_numpy(np.int64)
+            d = distance(at[route], lifted(vectors_of(pdf["vecs"], dim), top)) if len(pdf) else np.zeros(0)
+            yield pd.DataFrame({"route": route, "reach": d + np.array([np.frombuffer(r, "<f8")[0] for r in pdf["radius"]])})
+
+    rows = roots.mapInPandas(run, "route long, reach double").groupBy("route").agg(F.max("reach").alias("reach")).toPandas()   # at most ROUTES
+    out = np.full(len(routes), -np.inf)
+    out[rows["route"].to_numpy(np.int64)] = rows["reach"].to_numpy()
+    return out
+
+
+def limit_of(vecs: np.ndarray, floor: pd.Series, top: float) -> np.ndarray:
+    """Largest distance at which a query can still meet its floor (no floor: any)."""
+    least = floor.astype("float64").fillna(-np.inf).to_numpy()
+    with np.errstate(invalid="ignore"):
+        return np.sqrt(np.maximum((vecs * vecs).sum(axis=1) + top - 2.0 * least, 0.0)) + EPS
+
+
+def _to_routes(routes: np.ndarray, reach: np.ndarray, dim: int, top: float):
+    """Routes of a query: the nearest one that has trees (no floor yet), or all that its floor allows."""
+    at = lifted(routes, top)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in range(0, len(pdf), 256):
+                part = pdf.iloc[s:s + 256]
+                q = vectors_of(part["vec"], dim).astype(np.float64)
+                lift = np.hstack([q, np.zeros((len(q), 1))])
+                d = np.stack([distance(at, x) for x in lift])
+                first = part["floor"].isna().to_numpy() & (part["seen"] == NOWHERE).to_numpy()
+                go = (d - reach[None] <= limit_of(q, part["floor"], top)[:, None]) & (reach > -np.inf)[None]
+                go[first] = False
+                go[first, np.where(reach > -np.inf, d[first], np.inf).argmin(axis=1)] = True
+                r, c = np.nonzero(go)
+                yield part.iloc[r].assign(route=c)
+    return run
+
+
+def _to_trees(dim: int, top: float):
+    """Of joined (query, root of a tree) rows those that the root's radius allows, with the distance."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             q = vectors_of(pdf["vec"], dim).astype(np.float64)
-            for i in range(len(q)):
-                lift = np.append(q[i], 0.0)
-                d = distance(centre, lift)
-                if first:
-                    go = np.array([int(d.argmin())])
-                else:
-                    floor = pdf["floor"].iat[i]
-                    low = np.maximum(d - radius, 0.0)
-                    far = np.inf if pd.isna(floor) else np.sqrt(max((lift * lift).sum() + top - 2.0 * floor, 0.0)) + EPS
-                    go = np.flatnonzero((low <= far) & (tree != pdf["seen"].iat[i]))
-                yield pd.DataFrame({"tree": tree[go], "block": pdf["block"].iat[i], "query_id": pdf["query_id"].iat[i],
-                                    "vec": [pdf["vec"].iat[i]] * len(go), "floor": pd.array([pdf["floor"].iat[i]] * len(go), "Int64")})
+            centre = lifted(vectors_of(pdf["vecs"], dim), top)
+            d = distance(centre, np.hstack([q, np.zeros((len(q), 1))])) if len(q) else np.zeros(0)
+            radius = np.array([np.frombuffer(r, "<f8")[0] for r in pdf["radius"]])
+            go = (np.maximum(d - radius, 0.0) <= limit_of(q, pdf["floor"], top)) & (pdf["tree"] != pdf["seen"]).to_numpy()
+            yield pdf.assign(d=d)[go][["tree", "query_id", "vec", "floor", "d"]]
     return run
 
 
-ASKED = "tree long, block long, query_id long, vec binary, floor long"
+ASKING = "query_id long, vec binary, floor long, seen long, route long"
+ASKED = "tree long, query_id long, vec binary, floor long"
+NOWHERE = -1
+
+
+def trees_of(asking: DataFrame, roots: DataFrame, routes: np.ndarray, reach: np.ndarray, dim: int, top: float) -> DataFrame:
+    """asking: (query_id, vec, floor, seen) -> ASKED and d: the trees each query may visit."""
+    return (asking.mapInPandas(_to_routes(routes, reach, dim, top), ASKING).join(roots, "route")
+            .mapInPandas(_to_trees(dim, top), ASKED + ", d double"))
 
 
 def top_k(vectors: DataFrame, queries, id_col: str = "vec_id", vec: str = "embedding", k: int = K) -> DataFrame:
@@ -289,18 +346,18 @@ def top_k(vectors: DataFrame, queries, id_col: str = "vec_id", vec: str = "embed
     found = None
     widths = distinct.groupBy("dim").agg(F.max("norm").alias("top")).collect()          # one row per vector length
     for dim, top in [(r["dim"], float(r["top"])) for r in widths]:
-        pages, _ = build_index(distinct.filter(F.col("dim") == dim), dim, top)
-        # one root per TREE_ROWS entries: page 0 of every tree
-        roots = pages.filter("page = 0").select("tree", "vecs", "radius").orderBy("tree").toPandas()
-        asking = clean.filter(F.col("dim") == dim).withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "query_id")
-        blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-        asking = asking.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-        near = asking.withColumn("floor", F.lit(None).cast("long")).mapInPandas(_ask(roots, dim, top, True), ASKED)
-        near = stored(near, "near")
+        pages, routes = build_index(distinct.filter(F.col("dim") == dim), dim, top)
+        # page 0 of every tree is its root
+        roots = pages.filter("page = 0").select("tree", F.shiftright("tree", 32).alias("route"), "vecs", "radius")
+        reach = reaches(roots, routes, dim, top)
+        asking = (clean.filter(F.col("dim") == dim).withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "query_id")
+                  .select("query_id", "vec", F.lit(None).cast("long").alias("floor"), F.lit(NOWHERE).cast("long").alias("seen")))
+        near = stored(trees_of(asking, roots, routes, reach, dim, top).groupBy("query_id").agg(
+            F.min_by("tree", F.struct("d", "tree")).alias("tree"), F.first("vec").alias("vec"), F.first("floor").alias("floor")), "near")
         one = stored(visit(pages, near, dim, top, k), "round1")
         floor = one.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-        rest = (asking.join(floor, "query_id", "left").join(near.select("query_id", F.col("tree").alias("seen")), "query_id")
-                .mapInPandas(_ask(roots, dim, top, False), ASKED))
+        again = near.select("query_id", "vec", F.col("tree").alias("seen")).join(floor, "query_id", "left").select("query_id", "vec", "floor", "seen")
+        rest = trees_of(again, roots, routes, reach, dim, top).drop("d")
         both = one.unionByName(visit(pages, stored(rest, "rest"), dim, top, k))
         found = both if found is None else found.unionByName(both)
     if found is None:

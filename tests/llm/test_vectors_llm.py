@@ -62,3 +62,31 @@ def test_no_link_below_the_threshold():
     below, at = math.nextafter(0.9, 0), 0.9
     rows = [x.tobytes() for x in (a, np.array([below, math.sqrt(1 - below**2)]), np.array([at, math.sqrt(1 - at**2)]))]
     assert caps.exact(rows[:1], rows[1:], 0.9).tolist() == [[False, True]]
+
+
+def test_a_block_of_queries_pays_for_its_own_entries_only():
+    """40 tight clusters, one block of 200 queries over all of them: over three quarters of the computations are avoided."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((40, 32))
+    x = np.floor(256 * (np.repeat(centres, 100, axis=0) + rng.standard_normal((4000, 32)) * 0.01)).astype("<i8")
+    top = float((x * x).sum(axis=1).max())
+    pages = mtree._build(32, top)(mtree.pd.DataFrame({"tree": 0, "vec": [v.tobytes() for v in x], "ids": [[i] for i in range(len(x))]}))
+    tree = mtree.Tree(pages, 32, top)
+    own = np.arange(0, 4000, 20)
+    got = tree.search(own, x[own], 5, np.full(len(own), -np.inf))
+    for i, found in zip(own, got):
+        assert found == sorted((-int(x[i] @ v), j) for j, v in enumerate(x) if j != i)[:5]
+    assert tree.entries == 4000 and tree.computed < 0.25 * len(own) * tree.entries
+
+
+def test_roots_are_found_through_routes(spark, monkeypatch):
+    """Several trees a route: no list of trees passes the driver, results equal brute force."""
+    monkeypatch.setattr(mtree, "TREE_ROWS", 20)
+    monkeypatch.setattr(mtree, "ROUTES", 3)
+    monkeypatch.setattr(mtree, "PAGE", 8)
+    x = np.random.default_rng(4).standard_normal((400, 8)).astype(np.float32)
+    got = mtree.top_k(vectors(spark, [(i, [float(a) for a in v], 1) for i, v in enumerate(x)]), F.col("vec_id") % 50 == 0).collect()
+    ints = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    for q in range(0, 400, 50):
+        want = sorted((-int(ints[q] @ v), i) for i, v in enumerate(ints) if i != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
