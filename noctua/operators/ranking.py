@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from .common import stored, top_n
+from .encoder import DEFAULT_DIM, hashing_encode
 from .knn import knn_join
 
 K1 = 1.2
@@ -91,6 +92,19 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id
     return nn.join(c.drop(corpus_vec), nn["neighbour_id"] == c[corpus_id]).drop(corpus_id)
 
 
+def nearest_patterns(descriptions: DataFrame, catalog: DataFrame, k: int = 5, *, query_id="query_id", text="text", dim: int = DEFAULT_DIM,
+                     encoder=None) -> DataFrame:
+    """The k catalog patterns nearest each description, which is encoded in this job (`encoder` as in
+    `embed_backfill`) -> (query_id, rank, pattern_id, pattern_name, category, similarity).  A description
+    without tokens and a pattern without a vector meet nothing."""
+    enc = encoder or (lambda d, i, t: hashing_encode(d, i, t, dim, "query_vec"))
+    asked = enc(descriptions.select(F.col(query_id).alias("query_id"), F.col(text).alias("text")), "query_id", "text")
+    asked = asked.withColumnRenamed(next(c for c in asked.columns if c != "query_id"), "query_vec")
+    near = vector_search(asked, catalog.select("pattern_id", "pattern_name", "category", "signature_vec"), k,
+                         corpus_id="pattern_id", corpus_vec="signature_vec")
+    return near.select("query_id", "rank", F.col("neighbour_id").alias("pattern_id"), "pattern_name", "category", "similarity")
+
+
 def hybrid_candidates(queries: DataFrame, tickets: DataFrame, *, retrieve_n: int = 10, use_text: bool = True,
                       subcategory_col: str | None = None, subcategory: str | None = None,
                       query_id="query_id", query_vec="query_vec",

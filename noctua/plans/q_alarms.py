@@ -116,6 +116,14 @@ def q_correlate_alarms(spark, sf_dir):
                               "severity", "category", "subcategory", "title", "anomaly_score", "status")
 
 
+@query("incident_breakdown", with_views(["v_alarms"], _W + """
+SELECT incident_ref, feature, s.sub AS sub_score, anomaly_score FROM inc LEFT JOIN subs s USING (element_id)"""))
+def q_incident_breakdown(spark, sf_dir):
+    """F2: the breakdown stored with every incident, one row per feature (one without a feature for incidents that score nothing)."""
+    t = A.correlate_alarms(_alarms(spark, sf_dir), None, MIN_ALARMS, LOOKBACK_H)
+    return t.incidents.select("incident_ref", "anomaly_score", F.explode_outer(F.from_json("anomaly_breakdown", "map<string,double>")).alias("feature", "sub_score"))
+
+
 @query("mark_alarms", with_views(["v_alarms"], _W + """
 SELECT v.id, v.element_id, CASE WHEN v.ts >= a.as_of - INTERVAL 72 HOUR THEN i.incident_ref END AS correlated_incident
 FROM v_alarms v CROSS JOIN a LEFT JOIN inc i ON v.element_id = i.element_id"""))

@@ -177,13 +177,24 @@ FROM {last})
 @query("assemble_context", with_views(["v_alarms", "v_incidents", "v_elements", "v_reasoning", "v_memory"],
                                       _context_sql(CONTEXT_BUDGET)))
 def q_assemble_context(spark, sf_dir):
+    return _context(spark, sf_dir, DEFAULT_TUNING.with_(context_budget_tokens=CONTEXT_BUDGET))
+
+
+def _context(spark, sf_dir, tuning):
     inc = view(spark, sf_dir, "v_incidents")
     ents = inc.select(F.col("incident_ref").alias("key"), F.col("element_id").alias("entity_ref"),
                       F.concat(F.lit("S-"), F.col("alarm_count").cast("string")).alias("session_id"),
                       F.col("signature_vec").alias("query_vec"))
     return C.assemble_context(ents, view(spark, sf_dir, "v_elements"), inc, view(spark, sf_dir, "v_alarms"),
                               view(spark, sf_dir, "v_reasoning"), view(spark, sf_dir, "v_memory"),
-                              tuning=DEFAULT_TUNING.with_(context_budget_tokens=CONTEXT_BUDGET))
+                              tuning=tuning)
+
+
+@query("assemble_context_full", with_views(["v_alarms", "v_incidents", "v_elements", "v_reasoning", "v_memory"],
+                                           _context_sql(int(DEFAULT_TUNING.context_budget_tokens))))
+def q_assemble_context_full(spark, sf_dir):
+    """D11 under the default budget: every tier enters, long ones cut to their caps."""
+    return _context(spark, sf_dir, DEFAULT_TUNING)
 
 
 _REMEDIATE_CTES = """

@@ -7,6 +7,7 @@ from noctua.operators import remediate as RM
 from noctua.operators.alarms import correlate_alarms
 from noctua.operators.context import assemble_context
 from noctua.operators.encoder import hashing_encode
+from noctua.operators.ranking import nearest_patterns
 
 T = dt.datetime(2024, 1, 10, 12, 0)
 
@@ -102,3 +103,13 @@ def test_chain_without_memory_or_alarms(spark):
     assert r.decisions.count() == r.checkpoints.count() == 0
     plain = RM.remediate(correlate_alarms(alarms, CHAIN_AT, 5, 6).incidents, memory, runbooks)
     assert plain.decisions.count() == 2                  # incidents without a vector column are encoded first
+
+
+def test_nearest_catalog_patterns_of_a_text(spark):
+    catalog = spark.createDataFrame([("P1", "link flap", "transport"), ("P2", "fan broken", "hardware"), ("P3", "", "power")],
+                                    "pattern_id string, pattern_name string, category string")
+    catalog = catalog.join(hashing_encode(catalog, "pattern_id", "pattern_name", out="signature_vec"), "pattern_id")
+    asked = spark.createDataFrame([(1, "the fan broken"), (2, ""), (3, None)], "query_id long, text string")
+    got = nearest_patterns(asked, catalog, 1).collect()
+    assert [(r.query_id, r["rank"], r.pattern_id, r.category) for r in got] == [(1, 1, "P2", "hardware")]
+    assert nearest_patterns(asked.limit(0), catalog).count() == 0
