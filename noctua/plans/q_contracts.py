@@ -20,7 +20,7 @@ from .q_eval import _strip, encoded_sql
 
 PERIOD = 41
 _NUMBER = "cast(substring(element_id, 4) AS bigint)"
-_DATE_KEY = "cast(alarm_count AS bigint) * 7 + cast(substring(element_id, 4) AS bigint)"
+_DATE_KEY = "(cast(alarm_count AS bigint) * 7 + cast(substring(element_id, 4) AS bigint))"
 _LONG = "{c} || repeat('x', 70)"
 
 # table -> (view, row number, {column: [broken values, one remainder each]})

@@ -46,3 +46,10 @@ def test_empty_tables(spark, tmp_out, name):
     tables = {n: df.limit(0) for n, df in planted_tables(spark, SF).items()}
     i = Q.intake(tables[name], Q.CONTRACTS[name], os.path.join(tmp_out, "x"), tables)
     assert i.accepted.count() == i.quarantine.count() == i.counts["rows"] == 0
+
+
+def test_every_rule_of_every_table_is_planted(spark):
+    tables = planted_tables(spark, "/root/testdata/sf0.01")
+    for name, contract in Q.CONTRACTS.items():
+        reasons = {r.reason for r in Q.validate(tables[name], contract, tables).select("reason").distinct().collect()} - {None}
+        assert reasons == set(Q.rule_names(contract)), name
