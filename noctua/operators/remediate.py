@@ -63,7 +63,7 @@ def remediate(incidents: DataFrame, memory: DataFrame, runbooks: DataFrame, tuni
     rb = best_runbook(q, runbooks, tuning).withColumnRenamed("title", "rb_title").drop("steps")
     j = (open_inc.join(r, open_inc["incident_ref"] == r["query_id"], "left").drop("query_id")
          .join(rb, open_inc["incident_ref"] == rb["query_id"], "left").drop("query_id"))
-    return _outputs(_decisions(j, auto_resolve), runbooks, tuning, auto_resolve)
+    return _outputs(stored(_decisions(j, auto_resolve), "decisions"), runbooks, tuning, auto_resolve)
 
 
 def with_signatures(incidents: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:

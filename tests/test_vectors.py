@@ -87,6 +87,51 @@ def test_cells_skip_what_the_bounds_exclude(spark):
     assert told["cells"] >= 40 and told["visits"] < 0.25 * told["all_visits"]
 
 
+def test_a_search_that_no_bound_helps_goes_by_blocks_and_keeps_every_neighbour(spark, monkeypatch):
+    made = []
+    blocks = knn._by_blocks
+    monkeypatch.setattr(knn, "_by_blocks", lambda *a: made.append(1) or blocks(*a))
+    monkeypatch.setattr(knn, "DEFAULT_BLOCK_ROWS", 10)
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 32 * 100)
+    q, qrows = _vecs(spark, 150, 32, 21)
+    c, crows = _vecs(spark, 300, 32, 22, start=1000)
+    got = knn_join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), c, 4, small_values=0).collect()
+    res = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        res.setdefault(r.query_id, []).append(r.neighbour_id)
+    assert res == _brute_knn(qrows, crows, 4) and made
+
+
+def test_tiles_hold_little_and_agree_with_one_product(monkeypatch):
+    rng = np.random.default_rng(3)
+    Q, C = rng.normal(size=(70, 16)), rng.normal(size=(500, 16))
+    C[100:200] = C[5]                                        # a hot vector
+    Q[0] = C[5]
+    ids = rng.permutation(500)
+    sims = np.round(Q @ C.T / np.outer(np.linalg.norm(Q, axis=1), np.linalg.norm(C, axis=1)), knn.PLACES)
+    want = [[int(ids[j]) for j in np.lexsort((ids, -row))[:6]] for row in sims]
+    monkeypatch.setattr(knn, "TILE_ROWS", 16)
+    monkeypatch.setattr(knn, "TILE_COLS", 32)
+    monkeypatch.setattr(knn, "EXACT_ROWS", 64)
+    parts = list(knn._nearest(np.arange(70), Q, knn._Corpus(ids, C, 6)))
+    assert max(len(p) for p in parts) <= 16 * 6
+    got = {q: g.sort_values("rank")["neighbour_id"].tolist() for p in parts for q, g in p.groupby("query_id")}
+    assert [got[i] for i in range(70)] == want
+
+
+def test_near_pairs_copies_a_row_to_few_blocks(spark, monkeypatch):
+    def sizes(threshold):
+        return lambda pdf: pdf.iloc[:1].assign(id_a=pdf["id"], id_b=pdf["id"], distance=float(len(pdf)))[["id_a", "id_b", "distance"]]
+    df, _ = _vecs(spark, 400, 4, 6)
+    want = {(r.id_a, r.id_b) for r in near_pairs(df, 0.02, block_rows=400).collect()}
+    monkeypatch.setattr(knn, "DEFAULT_BLOCK_ROWS", 10)
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 4 * 200)
+    monkeypatch.setattr(knn, "PAIR_BLOCKS", 4)
+    assert {(r.id_a, r.id_b) for r in near_pairs(df, 0.02).collect()} == want != set()
+    monkeypatch.setattr(knn, "_pairs_of_block", sizes)
+    assert near_pairs(df, 0.02).agg(F.sum("distance")).first()[0] == 4 * 400
+
+
 def test_ties_go_to_smaller_id_and_null_or_zero_vectors_never_match(spark):
     c = spark.createDataFrame([(5, [1.0, 0.0]), (3, [2.0, 0.0]), (9, [0.0, 0.0]), (1, None), (7, [0.0, 1.0])],
                               "id long, vec array<double>")
