@@ -48,13 +48,19 @@ class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
+    def _row(self, schema: str, *values) -> DataFrame:
+        """One row of literals (NULLs without values): local rows would start a Python worker on every core."""
+        fields = StructType.fromDDL(schema).fields
+        return self.spark.range(1, numPartitions=1).select(*[F.lit(v).cast(f.dataType).alias(f.name)
+                                                             for f, v in zip(fields, values or [None] * len(fields), strict=True)])
+
     def _commits(self) -> DataFrame:
         try:
             return self.spark.read.schema(COMMIT).parquet(f"{self.base}/commits")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], COMMIT)
+            return self._row(COMMIT).limit(0)
 
     def head(self, writer: str | None = None, below: int | None = None):
         """The newest commit (of one writer, with a batch below a number), or None.  Of commits on the
@@ -78,7 +84,7 @@ class Store:
 
     def _manifest(self, commit) -> DataFrame:
         if commit is None:
-            return self.spark.createDataFrame([], MANIFEST)
+            return self._row(MANIFEST).limit(0)
         return self.spark.read.schema(MANIFEST).parquet(commit["manifest"])
 
     def parts(self) -> DataFrame:
@@ -101,7 +107,7 @@ class Store:
         path = f"{self.base}/files/{uuid.uuid4().hex}"
         if by is None:
             df.write.parquet(path)
-            return self.spark.createDataFrame([(None, path)], MANIFEST)
+            return self._row(MANIFEST, None, path)
         # rows of a date meet before they are written; a full date is split into several files
         dated = df.withColumn(PART, by).hint("rebalance", PART)
         dated.write.partitionBy(PART).parquet(path)
@@ -112,8 +118,7 @@ class Store:
         path = f"{self.base}/manifests/{uuid.uuid4().hex}"
         rows.coalesce(1).write.parquet(path)
         seq = head["seq"] + 1 if head else 1
-        row = (seq, writer, int(batch), path, schema.json())
-        self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.base}/commits")
+        self._row(COMMIT, seq, writer, int(batch), path, schema.json()).write.mode("append").parquet(f"{self.base}/commits")
         first = self._commits().filter(F.col("seq") == seq).agg(F.min("manifest")).first()[0]
         if first != path:
             raise Conflict(f"version {seq} of {self.base} was committed by another writer")

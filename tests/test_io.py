@@ -144,3 +144,13 @@ def test_second_commit_on_a_version_raises(spark, tmp_out):
             pass
     assert "b" in outcomes and store.head()["seq"] == 2
     assert sum(store.done(w, 1) for w in "bcd") == 1
+
+
+def test_commits_start_no_python_worker(spark, tmp_out, monkeypatch):
+    from noctua.sources.store import Store
+    rows = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "id long, d string")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: pytest.fail("local rows"))
+    store = Store(spark, f"{tmp_out}/t")
+    assert store.append(rows, "w", 1, by=F.col("d")) and store.append(rows, "w", 2) and not store.append(rows, "w", 2)
+    assert store.drop(F.col("part") < "2024-01-02", "r", 1)
+    assert sorted(r["id"] for r in store.read().collect()) == [1, 2, 2]
