@@ -44,7 +44,7 @@ def hashing_encode(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT
                     b, sign = known[t]
                     v[b] += sign
                 n = np.sqrt((v * v).sum())
-                rows.append((v / n).tolist() if n > 0 else None)
+                rows.append(v / n if n > 0 else None)
             yield pd.DataFrame({id_col: pdf[id_col], out: rows})
 
     id_type = df.schema[id_col].dataType.simpleString()
