@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noctua.operators import knn
+from noctua.operators import knn, ranking
 from noctua.operators.knn import knn_join, near_pairs
 from noctua.operators.lifecycle import near_pairs_lsh
 from noctua.operators.ranking import bm25, hybrid_rank
@@ -184,6 +184,33 @@ def test_bm25_by_hand(spark):
     assert got[2] == pytest.approx(term(1, 2, 1))
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_bm25_adds_up_scores_where_the_documents_are(spark, no_coalesce, monkeypatch, sent):
+    monkeypatch.setattr(ranking, "TEXT_BYTES", 200)
+    monkeypatch.setattr(ranking, "SCORE_ROWS", 50)
+    rng = np.random.default_rng(5)
+    rows = [(None if i == 7 else i % 50, " ".join(rng.choice(list("abcdefgh"), 6))) for i in range(60)]     # ids come twice, one is null
+    queries = [(1, "a b c"), (2, "h zz"), (2, "h g"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bm25(spark.createDataFrame(queries, "query_id long, query_text string"), docs, sent_terms=sent)
+    merged = {}
+    for i, text in rows:
+        merged.setdefault(i, []).extend(text.split())
+    n, avgdl = len(merged), sum(map(len, merged.values())) / len(merged)
+    want = {}
+    for q, text in queries:
+        for t in (text or "").split():
+            df = sum(t in words for words in merged.values())
+            for i, words in merged.items():
+                if i is not None and t in words:
+                    tf = words.count(t)
+                    want[q, i] = want.get((q, i), 0) + np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / avgdl))
+    assert {(r.query_id, r.doc_id): r.score for r in got.collect()} == pytest.approx(want)
+    plan = got._jdf.queryExecution().toString()
+    scored = plan[plan.index("== Physical Plan =="):]
+    assert ("hashpartitioning(query_id" in scored) == (sent == 0)       # partial scores meet only without the small side
+
+
 def test_hybrid_rank_ties_keep_vector_order_and_zero_max_divides_by_one(spark):
     c = spark.createDataFrame([(1, 10, 0.5, 1, 0.0), (1, 11, 0.5, 2, 0.0), (1, 12, 0.4, 3, 0.0)],
                               "query_id long, doc_id long, similarity double, vec_rank long, ft_norm double")
