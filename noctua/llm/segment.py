@@ -71,8 +71,9 @@ class Pieces:
         self.longest = max(len(self.text[i]) for i in usable)
         # open addressing: the hash decides the slot, the full hash confirms
         self.key, self.val = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
-        codes = [np.array([ord(c) for c in self.text[i]], np.uint64) for i in usable]
-        h = np.array([self.hash_one(c) for c in codes], np.uint64)
+        h, starts = self.hashes([self.text[i] for i in usable])
+        self.goes_on = np.zeros(SLOTS, bool)      # slots of the pieces' proper prefixes
+        self.goes_on[table_slot(starts)] = True
         taken: dict[int, int] = {}
         self.extra: dict[int, int] = {}
         for x, i in zip(h.tolist(), usable):
@@ -83,22 +84,35 @@ class Pieces:
                 taken[s] = i
                 self.key[s], self.val[s] = x, i
         self.extra_key = np.array(sorted(self.extra), np.uint64)
+        self.crowded = np.zeros(SLOTS, bool)
+        self.crowded[table_slot(self.extra_key)] = True
         self.extra_val = np.array([self.extra[int(x)] for x in self.extra_key], np.int32)
         self.raw = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(self.text)]
 
     @staticmethod
-    def hash_one(codes: np.ndarray) -> np.uint64:
+    def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all texts (none empty), and of all their proper prefixes."""
+        size = np.array([len(t) for t in texts])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        end = np.cumsum(size)
+        place = np.arange(len(codes)) - np.repeat(end - size, size)
         pw, _ = powers(64)
         with np.errstate(over="ignore"):
-            return mix((mix(codes + np.uint64(1)) * pw[:len(codes)]).sum(keepdims=True) + np.uint64(len(codes)))[0]
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece id of every substring hash, -1 without one."""
-        s = table_slot(h)
+            run = np.cumsum(mix(codes + np.uint64(1)) * pw[place])
+            before = np.concatenate([np.zeros(1, np.uint64), run])[end - size]
+            h = mix(run - np.repeat(before, size) + (place + 1).astype(np.uint64))
+        whole = np.zeros(len(codes), bool)
+        whole[end - 1] = True
+        return h[whole], h[~whole]
+
+    def find(self, h: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Piece id of every substring hash (and its slot), -1 without one."""
         out = np.where(self.key[s] == h, self.val[s], -1)
         if len(self.extra_key):
-            at = np.minimum(np.searchsorted(self.extra_key, h[out < 0]), len(self.extra_key) - 1)
-            out[out < 0] = np.where(self.extra_key[at] == h[out < 0], self.extra_val[at], -1)
+            miss = np.flatnonzero(self.crowded[s])
+            miss = miss[out[miss] < 0]
+            at = np.minimum(np.searchsorted(self.extra_key, h[miss]), len(self.extra_key) - 1)
+            out[miss] = np.where(self.extra_key[at] == h[miss], self.extra_val[at], -1)
         return out
 
 
@@ -114,49 +128,56 @@ class Lattice:
     the chunk's end; the arcs of a node are consecutive: length, piece, target
     and the probability, single and summed up, of leaving the node by it."""
 
-    def __init__(self, pieces: Pieces, codes: np.ndarray, start: np.ndarray, end: np.ndarray):
+    def __init__(self, pieces: Pieces, codes: np.ndarray, total: np.ndarray, start: np.ndarray, end: np.ndarray):
         width = end - start
         at = np.cumsum(width) - width
         n = int(width.sum())
         place = np.arange(n) - np.repeat(at, width) + np.repeat(start, width)     # of a node in the block
         left = np.repeat(at + width, width) - np.arange(n)                        # characters to the chunk's end
-        order = np.argsort(left.astype(np.int32), kind="stable")
+        order = np.argsort(left.astype(np.uint16 if width.max() < 1 << 16 else np.int32), kind="stable")
         number = np.empty(n, np.int64)
         number[order] = np.arange(n)
         self.first = number[at]                                # first node of each chunk
         self.left, place = left[order], place[order]
         self.code = codes[place]
         longest = int(min(pieces.longest, width.max()))
-        pw, inv = powers(len(codes) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(mix(codes + np.uint64(1)) * pw[:len(codes)], out=total[1:])
-        found = np.full((n, longest), -1, np.int32)
+        _, inv = powers(len(codes) + 1)
         begin, back = total[place], inv[place]
+        # the nodes whose first k - 1 characters go on in some piece, for every k
+        ahead, hits, count = np.arange(n), [], np.zeros(n, np.int64)
         for k in range(1, longest + 1):
-            lo = int(np.searchsorted(self.left, k))            # nodes with at least k characters ahead
             with np.errstate(over="ignore"):
-                h = mix((total[place[lo:] + k] - begin[lo:]) * back[lo:] + np.uint64(k))
-            found[lo:, k - 1] = pieces.find(h)
-        # characters without a piece of their own: byte pieces, one arc
-        bare = found[:, 0] < 0
-        found[bare, 0] = 0
-        node, col = np.nonzero(found >= 0)
-        self.piece = found[node, col]
-        self.length = (col + 1).astype(np.int8)
+                h = mix((total[place + k] - begin) * back + np.uint64(k))
+            slot = table_slot(h)
+            found = pieces.find(h, slot)
+            if k == 1:
+                bare = found < 0                               # characters without a piece of their own: byte pieces, one arc
+                found[bare] = 0
+            hit = np.flatnonzero(found >= 0)
+            hits.append((ahead[hit], found[hit]))
+            count[ahead[hit]] += 1
+            on = np.flatnonzero(pieces.goes_on[slot] & (self.left[ahead] > k))
+            if not len(on):
+                break
+            ahead, place, begin, back = ahead[on], place[on], begin[on], back[on]
+        self.arc = np.concatenate([[0], np.cumsum(count)])
+        node = np.repeat(np.arange(n), count)
+        self.piece, self.length = np.empty(len(node), np.int32), np.empty(len(node), np.int8)
+        free = self.arc[:-1].copy()                            # a node's arcs are filled from the shortest on
+        for k, (who, piece) in enumerate(hits, 1):
+            at = free[who]
+            self.piece[at], self.length[at] = piece, k
+            free[who] = at + 1
         weight = pieces.logp[self.piece].astype(np.float64)
         if bare.any():
-            own = np.flatnonzero(bare[node] & (col == 0))
+            own = self.arc[:-1][bare]
             u, which = np.unique(self.code[node[own]], return_inverse=True)
             weight[own] = np.array([sum(float(pieces.logp[pieces.byte[b]]) for b in utf8(int(x))) for x in u])[which]
             self.piece[own] = -1
-        self.arc = np.concatenate([np.searchsorted(node, np.arange(n)), [len(node)]])
         target = np.full(len(node), -1, np.int64)
         ahead = self.left[node] > self.length
-        # the node `length` further on in the same chunk
-        flat = np.empty(n, np.int64)
-        flat[number] = np.arange(n)                            # number -> place in the unsorted nodes
-        target[ahead] = number[flat[node[ahead]] + self.length[ahead]]
+        # the node `length` further on in the same chunk; `order` gives its place in the unsorted nodes
+        target[ahead] = number[order[node[ahead]] + self.length[ahead]]
         self.target = target
         # backward sums, all nodes at one distance together
         mass = np.zeros(n)
@@ -217,7 +238,7 @@ def sample_block(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int) ->
         np.cumsum(mix(codes + np.uint64(1)) * pw[:len(codes)], out=total[1:])
         h = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
     _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    lat = Lattice(pieces, codes, start[one], end[one])
+    lat = Lattice(pieces, codes, total, start[one], end[one])
     node0 = lat.first[which]                                   # first node of every chunk
     owner = np.repeat(np.arange(len(live)), np.diff(np.append(np.searchsorted(start, doc_at[live]), len(start))))
     seeds = mix(keys[live].astype(np.uint64))

@@ -221,3 +221,29 @@ def test_segmentations_follow_the_model():
     for a, b in itertools.combinations(top, 2):
         x, y = weight[a] / z, weight[b] / z
         assert abs(pairs[frozenset((a, b))] / n - x * y / (1 - x) - x * y / (1 - y)) < 0.025
+
+
+def test_lattice_holds_every_piece_and_looks_up_only_what_goes_on(monkeypatch):
+    import numpy as np
+
+    from noctua.llm import segment
+    from noctua.llm.shingles import mix, powers
+    pieces = segment.Pieces()
+    known = {t: i for i, t in enumerate(pieces.text) if pieces.logp[i] > -600 and not t.startswith("<0x")}
+    asked = []
+    find = segment.Pieces.find
+    monkeypatch.setattr(segment.Pieces, "find", lambda self, *a: asked.append(len(a[0])) or find(self, *a))
+    words = ["▁internationalisation", "▁zqxjkvbn", "▁the", "▁漢字", "▁" + "xq" * 20]
+    codes = np.array([ord(c) for c in "".join(words)], np.uint64)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    pw, _ = powers(len(codes) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes + np.uint64(1)) * pw[:len(codes)])])
+    lat = segment.Lattice(pieces, codes, total, start, end)
+    for word, node in zip(words, lat.first):
+        arcs = {(int(lat.length[a]), int(lat.piece[a])) for a in range(lat.arc[node], lat.arc[node + 1])}
+        want = {(k, known[word[:k]]) for k in range(1, len(word) + 1) if word[:k] in known}
+        assert arcs == want
+    every = sum(min(len(w) - i, pieces.longest) for w in words for i in range(len(w)))
+    assert sum(asked) < every / 2
