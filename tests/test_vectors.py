@@ -171,6 +171,21 @@ def test_lsh_pairs_are_exact_and_recall_is_high(spark, no_coalesce):
     assert len(approx) >= 0.98 * len(exact) and len(exact) >= 40
 
 
+def test_a_tile_of_similarities_is_small_and_used_again():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    q, c = rng.normal(size=(1024, 16)), rng.normal(size=(16384, 16))
+    corpus = knn._Corpus(np.arange(len(c)), c, 3)
+    tracemalloc.start()
+    got = list(knn._nearest(np.arange(len(q)), q, corpus))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20                     # one table of all similarities of a tile's rows is several times that
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    want = np.argsort(-(unit(q) @ unit(c).T), axis=1)[:, :3]
+    assert (np.concatenate([g["neighbour_id"].to_numpy() for g in got]).reshape(-1, 3) == want).all()
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "Fiber cut fiber"), (2, "power loss"), (3, None)], "doc_id long, text string")
     q = spark.createDataFrame([(10, "fiber FIBER loss")], "query_id long, query_text string")
