@@ -24,6 +24,7 @@ one noise; repeated rows get the same samples; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ SAMPLES = 2
 BLOCK_CHARS = 1_000_000
 BLANK, LITERAL = 0x2581, 0x110000      # the blank's piece character; a literal one in a text
 SLOTS = 1 << 20                        # of the hash table of pieces
-WINDOW = 128                           # steps of a path whose siblings are computed at once
+WINDOW = 48                            # steps of a path whose siblings are computed at once
+SLICE = 1 << 15                        # rows of an array worked on at once: a slice's temporaries stay in the cache
 NOISE = 38.0                           # above -log of the smallest exponential that the noise can give
 
 
@@ -72,8 +74,9 @@ class Pieces:
         # open addressing: the hash decides the slot, the full hash confirms
         self.key, self.val = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
         h, starts = self.hashes([self.text[i] for i in usable])
-        self.goes_on = np.zeros(SLOTS, bool)      # slots of the pieces' proper prefixes
-        self.goes_on[table_slot(starts)] = True
+        self.holds = np.zeros(SLOTS, np.uint8)    # of a slot: 1 with pieces, 2 with a piece's proper prefix
+        self.holds[table_slot(starts)] = 2
+        self.holds[table_slot(h)] |= 1
         taken: dict[int, int] = {}
         self.extra: dict[int, int] = {}
         for x, i in zip(h.tolist(), usable):
@@ -140,45 +143,29 @@ class Lattice:
         self.first = number[at]                                # first node of each chunk
         self.left, place = left[order], place[order]
         self.code = codes[place]
-        longest = int(min(pieces.longest, width.max()))
         _, inv = powers(len(codes) + 1)
-        begin, back = total[place], inv[place]
-        # the nodes whose first k - 1 characters go on in some piece, for every k
-        ahead, hits, count = np.arange(n), [], np.zeros(n, np.int64)
-        for k in range(1, longest + 1):
-            with np.errstate(over="ignore"):
-                h = mix((total[place + k] - begin) * back + np.uint64(k))
-            slot = table_slot(h)
-            found = pieces.find(h, slot)
-            if k == 1:
-                bare = found < 0                               # characters without a piece of their own: byte pieces, one arc
-                found[bare] = 0
-            hit = np.flatnonzero(found >= 0)
-            hits.append((ahead[hit], found[hit]))
-            count[ahead[hit]] += 1
-            on = np.flatnonzero(pieces.goes_on[slot] & (self.left[ahead] > k))
-            if not len(on):
-                break
-            ahead, place, begin, back = ahead[on], place[on], begin[on], back[on]
+        with np.errstate(over="ignore"):
+            term = np.diff(total) * inv[:len(codes)]           # of a character in a substring's hash
+        parts = []
+        for lo in range(0, n, SLICE):
+            here, left = place[lo:lo + SLICE], self.left[lo:lo + SLICE]
+            count, piece, length, bare = self.arcs(pieces, term, here, left)
+            # the node `length` further on in the same chunk; `order` gives its place in the unsorted nodes
+            node = np.repeat(np.arange(len(here)), count)
+            target = np.full(len(node), -1, np.int64)
+            ahead = np.flatnonzero(left.take(node) > length)
+            target[ahead] = number.take(order[lo:lo + SLICE].take(node[ahead]) + length[ahead])
+            weight = pieces.logp.take(piece).astype(np.float64)
+            if len(bare):
+                own = (np.cumsum(count) - count)[bare]
+                u, which = np.unique(self.code[lo + bare], return_inverse=True)
+                coded = [pieces.byte[list(utf8(x))] for x in u.tolist()]
+                weight[own] = np.array([sum(pieces.logp[c].tolist()) for c in coded])[which]
+                piece[own] = np.array([c[0] if len(c) == 1 else -1 for c in coded])[which]       # -1: several pieces
+            parts.append((count, piece, length, target, weight))
+        count, self.piece, self.length, self.target, weight = (np.concatenate(x) for x in zip(*parts))
+        target = self.target
         self.arc = np.concatenate([[0], np.cumsum(count)])
-        node = np.repeat(np.arange(n), count)
-        self.piece, self.length = np.empty(len(node), np.int32), np.empty(len(node), np.int8)
-        free = self.arc[:-1].copy()                            # a node's arcs are filled from the shortest on
-        for k, (who, piece) in enumerate(hits, 1):
-            at = free[who]
-            self.piece[at], self.length[at] = piece, k
-            free[who] = at + 1
-        weight = pieces.logp[self.piece].astype(np.float64)
-        if bare.any():
-            own = self.arc[:-1][bare]
-            u, which = np.unique(self.code[node[own]], return_inverse=True)
-            weight[own] = np.array([sum(float(pieces.logp[pieces.byte[b]]) for b in utf8(int(x))) for x in u])[which]
-            self.piece[own] = -1
-        target = np.full(len(node), -1, np.int64)
-        ahead = self.left[node] > self.length
-        # the node `length` further on in the same chunk; `order` gives its place in the unsorted nodes
-        target[ahead] = number[order[node[ahead]] + self.length[ahead]]
-        self.target = target
         # backward sums, all nodes at one distance together
         mass = np.zeros(n)
         cuts = np.searchsorted(self.left, np.arange(1, int(width.max()) + 2))
@@ -196,12 +183,56 @@ class Lattice:
             mass[lo:hi] = top + np.log(sums)
             weight[x:y] = e / np.repeat(sums, size)
         self.prob = weight
-        run = np.cumsum(weight)
-        self.cum = run - np.repeat((run - weight)[self.arc[:-1]], np.diff(self.arc))
+        self.cum = np.empty(len(weight))
+        for lo in range(0, n, SLICE):
+            heads = self.arc[lo:lo + SLICE + 1] - self.arc[lo]
+            part = slice(self.arc[lo], self.arc[lo] + heads[-1])
+            run = np.cumsum(weight[part])
+            self.cum[part] = run - np.repeat((run - weight[part])[heads[:-1]], count[lo:lo + SLICE])
         self.cum[self.arc[1:] - 1] = 2.0                       # the last arc takes what rounding leaves
         with np.errstate(divide="ignore"):
             self.logp = np.log(weight)
 
+    @staticmethod
+    def arcs(pieces: Pieces, term: np.ndarray, place: np.ndarray, left: np.ndarray):
+        """Arcs of some nodes, by node and length: their number by node, piece and length, and the
+        nodes whose character has no piece of its own (byte pieces, one arc)."""
+        n = len(place)
+        pw, _ = powers(pieces.longest)
+        # the nodes whose first k - 1 characters go on in some piece, for every k
+        ahead, hits, count, bare = np.arange(n), [], np.zeros(n, np.int64), np.zeros(0, np.int64)
+        run = np.zeros(n, np.uint64)
+        for k in range(1, int(min(pieces.longest, left.max())) + 1):
+            with np.errstate(over="ignore"):
+                run += term.take(place + (k - 1)) * pw[k - 1]
+                h = mix(run + np.uint64(k))
+            slot = table_slot(h)
+            holds = pieces.holds.take(slot)
+            hit = np.flatnonzero(holds & 1)
+            found = pieces.find(h.take(hit), slot.take(hit))
+            sure = np.flatnonzero(found >= 0)
+            hit, found = hit.take(sure), found.take(sure)
+            if k == 1 and len(hit) < n:
+                known = np.zeros(n, np.int32)
+                known[hit] = found
+                bare = np.delete(np.arange(n), hit)
+                hit, found = np.arange(n), known
+            who = ahead.take(hit)
+            hits.append((who, found))
+            count[who] += 1
+            on = np.flatnonzero((holds > 1) & (left.take(ahead) > k))
+            if not len(on):
+                break
+            ahead, place, run = ahead.take(on), place.take(on), run.take(on)
+        free = np.cumsum(count) - count                        # a node's arcs are filled from the shortest on
+        size = int(count.sum())
+        piece, length = np.empty(size, np.int32), np.empty(size, np.int8)
+        for k, (who, found) in enumerate(hits, 1):
+            at = free.take(who)
+            piece[at], length[at] = found, k
+            free[who] = at + 1
+        return count, piece, length, bare
+
 
 def utf8(code: int) -> bytes:
     return chr(BLANK if code == LITERAL else code).encode("utf-8", "surrogatepass")
@@ -237,7 +268,9 @@ def sample_block(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int) ->
         total = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(mix(codes + np.uint64(1)) * pw[:len(codes)], out=total[1:])
         h = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    which, one = pd.factorize(h)
+    one = np.empty(len(one), np.int64)
+    one[which[::-1]] = np.arange(len(h))[::-1]                 # the first of the equal chunks
     lat = Lattice(pieces, codes, total, start[one], end[one])
     node0 = lat.first[which]                                   # first node of every chunk
     owner = np.repeat(np.arange(len(live)), np.diff(np.append(np.searchsorted(start, doc_at[live]), len(start))))
@@ -247,106 +280,108 @@ def sample_block(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int) ->
     paths: list[list[tuple]] = [[] for _ in live]              # finished: value, places, nodes, arcs, their log-probabilities
     uid = 0
 
-    def siblings(d, value, off, node, arc, mass, sample):
-        """Perturbed values of the steps' other arcs, given the masses before the steps."""
-        one_way = lat.arc[node + 1] - lat.arc[node] == 1
-        with np.errstate(divide="ignore"):
-            loc = np.where(one_way, -np.inf, mass + np.log(np.maximum(1.0 - lat.prob[arc], 1e-300)))
-        return truncated(loc, value, uniform(seeds[d], sample, off - base[d], 1))
-
-    def finish(items, sample):
+    def finish(items, steps, sample):
         """Record the paths (text, value, places, nodes, arcs, log-probabilities, first
-        new step) and push the best k + 1 siblings of their new steps.
+        new step, where the new steps begin and end in `steps`) and push the best
+        k + 1 siblings of their new steps.
 
         The noise of one value is at most -log(2 ** -54); once the mass before a
-        step lies further below the values found, no later step can matter.  A
-        first window of all paths is computed at once, further steps path by path."""
+        step lies further below the values found, no later step can matter.  All
+        paths that go on advance together, a window at a time."""
         nonlocal uid
-        if not items:
-            return
-        cut = [(i[6], min(i[6] + WINDOW, len(i[2]))) for i in items]
-        size = np.array([e - f for f, e in cut])
-        col = lambda k: np.concatenate([i[k][f:e] for i, (f, e) in zip(items, cut)])
-        off, node, arc, logp = col(2), col(3), col(4), col(5)
-        stop = np.cumsum(size)
-        lead = np.array([float(i[5][:i[6]].sum()) for i in items])
-        run = np.cumsum(logp) - logp
-        heads = np.minimum(stop - size, max(len(run) - 1, 0))
-        mass = run - np.repeat(run[heads] - lead if len(run) else lead, size)
-        text = np.repeat(np.array([i[0] for i in items]), size)
-        g = siblings(text, np.repeat(np.array([i[1] for i in items]), size), off, node, arc, mass, sample)
-        for i, (f, e), z in zip(items, cut, stop):
-            d, value = i[0], i[1]
-            paths[d].append(i[1:6])
-            w, m = g[z - (e - f):z], mass[z - (e - f):z]
-            top = np.argpartition(-w, k)[:k + 1] if len(w) > k + 1 else range(len(w))
-            best = [(float(w[j]), f + int(j), float(m[j])) for j in top if w[j] > -np.inf]
-            before = float(m[-1] + i[5][e - 1]) if e > f else 0.0
-            while e < len(i[2]) and (len(best) <= k or before + NOISE >= min(best)[0]):
-                f, e = e, min(e + 4 * WINDOW, len(i[2]))
-                lp = i[5][f:e]
-                m = before + np.cumsum(lp) - lp
-                w = siblings(d, value, i[2][f:e], i[3][f:e], i[4][f:e], m, sample)
-                best += [(float(w[j]), f + int(j), float(m[j])) for j in np.argsort(-w)[:k + 1] if w[j] > -np.inf]
-                best = sorted(best, reverse=True)[:k + 1]
-                before = float(m[-1] + lp[-1])
-            for v, j, before in best:
-                uid += 1
-                heapq.heappush(heaps[d], (-v, uid, len(paths[d]) - 1, j, (int(i[4][j]),), before))
+        off, node, arc, logp = steps
+        d = np.array([i[0] for i in items])
+        value = np.array([i[1] for i in items])
+        shift = np.array([i[6] - i[7] for i in items])         # from a place in `steps` to the path's step
+        at, stop = np.array([i[7] for i in items]), np.array([i[8] for i in items])
+        before = np.array([float(i[5][:i[6]].sum()) for i in items])
+        best = np.full((len(items), k + 1), -np.inf)           # perturbed values, their steps and the masses before these
+        where, mass = np.zeros((len(items), k + 1), np.int64), np.zeros((len(items), k + 1))
+        live_ = np.flatnonzero(at < stop)
+        while len(live_):
+            window = np.arange(min(WINDOW, int((stop - at)[live_].max())))
+            rest = []
+            for x in (live_[lo:lo + SLICE // len(window) + 1] for lo in range(0, len(live_), SLICE // len(window) + 1)):
+                j = at[x, None] + window
+                inside = j < stop[x, None]
+                j[~inside] = 0
+                lp = np.where(inside, logp.take(j), 0.0)
+                run = before[x, None] + np.cumsum(lp, axis=1)
+                m = run - lp
+                a = arc.take(j)
+                from_ = node.take(j)
+                two = inside & (lat.arc.take(from_ + 1) - lat.arc.take(from_) > 1)      # steps with another arc
+                row = np.nonzero(two)[0]
+                j, g = j[two], np.full(two.shape, -np.inf)
+                loc = m[two] + np.log(np.maximum(1.0 - lat.prob.take(a[two]), 1e-300))
+                t = d[x][row]
+                g[two] = truncated(loc, value[x][row], uniform(seeds.take(t), sample, off.take(j) - base.take(t), 1))
+                values = np.concatenate([best[x], g], axis=1)
+                top = np.argpartition(-values, k, axis=1)[:, :k + 1]
+                step = (at + shift)[x, None] + window
+                best[x] = np.take_along_axis(values, top, 1)
+                where[x] = np.take_along_axis(np.concatenate([where[x], step], axis=1), top, 1)
+                mass[x] = np.take_along_axis(np.concatenate([mass[x], m], axis=1), top, 1)
+                before[x] = run[:, -1]
+                at[x] += len(window)
+                rest.append(x[(at[x] < stop[x]) & (before[x] + NOISE >= best[x].min(axis=1))])
+            live_ = np.concatenate(rest)
+        for i, values, steps_, masses in zip(items, best.tolist(), where.tolist(), mass.tolist()):
+            paths[i[0]].append(i[1:6])
+            for v, j, m in zip(values, steps_, masses):
+                if v > -np.inf:
+                    uid += 1
+                    heapq.heappush(heaps[i[0]], (-v, uid, len(paths[i[0]]) - 1, j, (int(i[4][j]),), m))
 
     # the best path of every text: an exact sample; its value is a plain Gumbel
-    off, node, arc = walk(lat, node0, start, base[owner], seeds[owner], 0)
-    logp = lat.logp[arc]
-    cut = np.searchsorted(off, np.append(base, len(codes)))
+    steps = walk(lat, node0, start, base[owner], seeds[owner], 0)
+    cut = np.searchsorted(steps[0], np.append(base, len(codes))).tolist()
     top = -np.log(-np.log(uniform(seeds, 0, np.zeros(len(live), np.int64), 2)))
-    finish([(d, float(top[d]), *(x[cut[d]:cut[d + 1]] for x in (off, node, arc, logp)), 0) for d in range(len(live))], 0)
+    finish([(d, float(top[d]), *(x[a:b] for x in steps), 0, a, b) for d, (a, b) in enumerate(zip(cut[:-1], cut[1:]))], steps, 0)
     for m in range(1, k):
-        todo = []
-        for d in range(len(live)):
-            if not heaps[d]:
-                continue
-            g, _, p, s, gone, before = heapq.heappop(heaps[d])
-            value = -g
-            _, off, node, arc, logp = paths[d][p]
-            x, at = int(node[s]), np.array([off[s] - base[d]])
+        popped = [(d, *heapq.heappop(heaps[d])) for d in range(len(live)) if heaps[d]]
+        if not popped:
+            break
+        d = np.array([x[0] for x in popped])
+        at = np.array([paths[x[0]][x[3]][1][x[4]] for x in popped]) - base[d]
+        pick = uniform(seeds[d], m, at, 3).tolist()
+        todo, left = [], np.full(len(popped), -np.inf)
+        for i, (d_, g, _, p, s, gone, before) in enumerate(popped):
+            x = int(paths[d_][p][2][s])
             lo = int(lat.arc[x])
             prob = lat.prob[lo:lat.arc[x + 1]].copy()
             prob[[j - lo for j in gone]] = 0
             c = np.cumsum(prob)
-            j = int(min(np.searchsorted(c, uniform(seeds[d], m, at, 3)[0] * c[-1], "right"), len(c) - 1))
+            j = int(min(np.searchsorted(c, pick[i] * c[-1], "right"), len(c) - 1))
             while prob[j] == 0:
                 j -= 1
             prob[j] = 0
             if prob.any():                                     # what remains at this node
-                loc = np.array([before + np.log(prob.sum())])
+                left[i] = before + math.log(prob.sum())
+            todo.append((d_, -g, p, s, lo + j))
+        again = truncated(left, np.array([t[1] for t in todo]), uniform(seeds[d], m, at, 1)).tolist()
+        for (d_, _, _, p, s, gone, before), t, v in zip(popped, todo, again):
+            if v > -np.inf:
                 uid += 1
-                heapq.heappush(heaps[d], (-float(truncated(loc, value, uniform(seeds[d], m, at, 1))[0]), uid, p, s, (*gone, lo + j), before))
-            todo.append((d, value, p, s, lo + j))
-        if not todo:
-            break
+                heapq.heappush(heaps[d_], (-v, uid, p, s, (*gone, t[4]), before))
         # completions of all texts in one walk: the rest of the branching chunk, then the later chunks
-        nodes, offs, own = [], [], []
-        joint = [int(paths[d][p][1][s] + lat.length[j]) for d, _, p, s, j in todo]
-        lo = np.searchsorted(start, joint)
-        hi = np.searchsorted(start, [base[t[0]] + lens[live[t[0]]] for t in todo])
-        for (d, _, _, _, j), o, a, b in zip(todo, joint, lo, hi):
-            if lat.target[j] >= 0:
-                nodes.append([lat.target[j]])
-                offs.append([o])
-                own.append([d])
-            nodes.append(node0[a:b])
-            offs.append(start[a:b])
-            own.append(np.full(b - a, d))
-        own_ = np.concatenate(own).astype(np.int64)
-        off, node, arc = walk(lat, np.concatenate(nodes).astype(np.int64), np.concatenate(offs).astype(np.int64), base[own_], seeds[own_], m)
-        logp = lat.logp[arc]
+        branch = np.array([t[4] for t in todo])
+        joint = at + base[d] + lat.length[branch]
+        inner = lat.target[branch]
+        lo, hi = np.searchsorted(start, joint), np.searchsorted(start, base[d] + lens[live[d]])
+        later = hi - lo
+        chunk = np.repeat(lo - (np.cumsum(later) - later), later) + np.arange(int(later.sum()))
+        own = np.concatenate([d[inner >= 0], np.repeat(d, later)])
+        steps = walk(lat, np.concatenate([inner[inner >= 0], node0[chunk]]), np.concatenate([joint[inner >= 0], start[chunk]]),
+                     base[own], seeds[own], m)
         done = []
-        for (d, value, p, s, j), o in zip(todo, joint):
-            a, b = np.searchsorted(off, [o, base[d] + lens[live[d]]])
-            _, po, pn, pa, pl = paths[d][p]
-            done.append((d, value, np.concatenate([po[:s + 1], off[a:b]]), np.concatenate([pn[:s + 1], node[a:b]]),
-                         np.concatenate([pa[:s], [j], arc[a:b]]), np.concatenate([pl[:s], [lat.logp[j]], logp[a:b]]), s + 1))
-        finish(done, m)
+        first_, last_ = np.searchsorted(steps[0], joint).tolist(), np.searchsorted(steps[0], base[d] + lens[live[d]]).tolist()
+        for (d_, value, p, s, j), a, b in zip(todo, first_, last_):
+            _, po, pn, pa, pl = paths[d_][p]
+            off, node, arc, logp = (x[a:b] for x in steps)
+            done.append((d_, value, np.concatenate([po[:s + 1], off]), np.concatenate([pn[:s + 1], node]),
+                         np.concatenate([pa[:s], [j], arc]), np.concatenate([pl[:s], [lat.logp[j]], logp]), s + 1, a, b))
+        finish(done, steps, m)
     for d, i in enumerate(live):
         # the next value bounds who is in the sample
         edge = -heaps[d][0][0] if heaps[d] else -np.inf
@@ -358,41 +393,49 @@ def sample_block(pieces: Pieces, keys: np.ndarray, texts: list[str], k: int) ->
     return out
 
 
-def walk(lat, node, off, base, seed, sample):
-    """Random completions of chunks from the given nodes: steps (place, node, arc)
-    by place.  The noise depends on the character's place in its own text."""
-    offs, nodes, arcs = [], [], []
-    while len(node):
-        u = uniform(seed, sample, off - base, 0)
-        arc = lat.arc[node]
-        behind = np.flatnonzero(lat.cum[arc] <= u)
-        while len(behind):                                     # step over arcs until the sum passes u
-            arc[behind] += 1
-            behind = behind[lat.cum[arc[behind]] <= u[behind]]
-        offs.append(off)
-        nodes.append(node)
-        arcs.append(arc)
-        next_ = lat.target[arc]
-        go = np.flatnonzero(next_ >= 0)
-        node, off, base, seed = next_[go], off[go] + lat.length[arc[go]], base[go], seed[go]
-    if not offs:
+def walk(lat, nodes, offs, bases, seeds, sample):
+    """Random completions of chunks from the given nodes: steps (place, node, arc,
+    log-probability) by place.  The noise depends on the character's place in its own text."""
+    if not len(nodes):
         z = np.zeros(0, np.int64)
-        return z, z, z
-    off, node, arc = np.concatenate(offs), np.concatenate(nodes), np.concatenate(arcs)
-    order = np.argsort(off, kind="stable")
-    return off[order], node[order], arc[order]
+        return z, z, z, np.zeros(0)
+    low = int(offs.min())
+    arc_at = np.full(int((offs + lat.left.take(nodes)).max()) - low, -1, np.int64)
+    node_at = np.empty(len(arc_at), np.int64)
+    for lo in range(0, len(nodes), SLICE):
+        node, off, base, seed = (x[lo:lo + SLICE] for x in (nodes, offs, bases, seeds))
+        while len(node):
+            u = uniform(seed, sample, off - base, 0)
+            arc = lat.arc.take(node)
+            behind = np.flatnonzero(lat.cum.take(arc) <= u)
+            while len(behind):                                 # step over arcs until the sum passes u
+                next_ = arc.take(behind) + 1
+                arc[behind] = next_
+                behind = behind[lat.cum.take(next_) <= u.take(behind)]
+            arc_at[off - low], node_at[off - low] = arc, node
+            next_ = lat.target.take(arc)
+            go = np.flatnonzero(next_ >= 0)
+            node, off = next_.take(go), off.take(go) + lat.length.take(arc.take(go))
+            base, seed = base.take(go), seed.take(go)
+    off = np.flatnonzero(arc_at >= 0)
+    arc = arc_at.take(off)
+    return off + low, node_at.take(off), arc, lat.logp.take(arc)
 
 
 def ids_of(pieces: Pieces, lat: Lattice, node: np.ndarray, arc: np.ndarray) -> np.ndarray:
-    ids = lat.piece[arc]
+    ids = lat.piece.take(arc)
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids.astype("<u2")
-    parts, last = [], 0
-    for b in bare:
-        parts += [ids[last:b], pieces.byte[list(utf8(int(lat.code[node[b]])))]]
-        last = b + 1
-    return np.concatenate([*parts, ids[last:]]).astype("<u2")
+    u, which = np.unique(lat.code.take(node.take(bare)), return_inverse=True)
+    coded = [pieces.byte[list(utf8(x))] for x in u.tolist()]
+    size = np.ones(len(ids), np.int64)
+    size[bare] = np.array([len(c) for c in coded])[which]
+    ids = np.repeat(ids, size)
+    first = (np.cumsum(size) - size)[bare]
+    for i, c in enumerate(coded):
+        ids[(first[which == i, None] + np.arange(len(c))).ravel()] = np.tile(c, int((which == i).sum()))
+    return ids.astype("<u2")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", samples: int = SAMPLES, model: str | None = None,
@@ -422,16 +465,32 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", samples:
     return src.mapInPandas(run, schema)
 
 
+class Spelling:
+    """The text of little-endian 16-bit piece ids."""
+
+    def __init__(self, raw: list[bytes]):
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.size = np.array([len(r) for r in raw])
+        self.at = np.cumsum(self.size) - self.size
+
+    def __call__(self, pieces: bytes) -> str:
+        ids = np.frombuffer(pieces, "<u2").astype(np.int64)
+        size = self.size.take(ids)
+        end = np.cumsum(size)
+        n = int(end[-1]) if len(ids) else 0
+        place = np.repeat(self.at.take(ids) - end + size, size) + np.arange(n)
+        # the blank put before the text is not part of it
+        return self.bytes.take(place)[1:].tobytes().decode("utf-8", "surrogatepass")
+
+
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """`encoded` with its pieces turned back into `text`."""
     kept = [c for c in encoded.columns if c not in ("pieces", "text")]
     schema = StructType([encoded.schema[c] for c in kept] + [StructField("text", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw = per_worker(f"pieces {model}", lambda: Pieces(model)).raw
+        spell = per_worker(f"spelling {model}", lambda: Spelling(Pieces(model).raw))
         for pdf in batches:
-            # the blank put before the text is not part of it
-            yield pdf[kept].assign(text=[b"".join([raw[i] for i in np.frombuffer(b, "<u2").tolist()])[1:].decode("utf-8", "surrogatepass")
-                                         for b in pdf["pieces"]])
+            yield pdf[kept].assign(text=[spell(b) for b in pdf["pieces"]])
 
     return encoded.mapInPandas(run, schema)

@@ -247,3 +247,37 @@ def test_lattice_holds_every_piece_and_looks_up_only_what_goes_on(monkeypatch):
         assert arcs == want
     every = sum(min(len(w) - i, pieces.longest) for w in words for i in range(len(w)))
     assert sum(asked) < every / 2
+
+
+def test_segmentation_noise_is_drawn_for_all_texts_at_once_and_only_where_it_can_matter(monkeypatch):
+    import numpy as np
+
+    from noctua.llm import segment
+    pieces = segment.Pieces()
+    drawn = []
+    uniform = segment.uniform
+    monkeypatch.setattr(segment, "uniform", lambda seed, sample, at, use: drawn.append((use, np.size(at))) or uniform(seed, sample, at, use))
+
+    def draws(n):
+        drawn.clear()
+        out = segment.sample_block(pieces, np.arange(n), [f"other words than text {i} had, and then some more " * 40 for i in range(n)], 2)
+        assert all(len(r) == 2 for r in out)
+        return len(drawn), sum(size for use, size in drawn if use == 1)
+
+    few, many = draws(10), draws(100)
+    assert many[0] < 2 * few[0]                          # calls do not grow with the texts
+    assert many[1] < 100 * 2 * 300                       # siblings' noise of two paths a text of some 600 steps each
+
+
+def test_segmentations_do_not_depend_on_the_other_texts_of_a_block():
+    import numpy as np
+
+    from noctua.llm import segment
+    pieces = segment.Pieces()
+    texts = [t for t in ODD if t is not None] + ["\n\t漢\U00010348" * 30, "then the " * 300, "x" * 900]
+    keys = np.arange(len(texts)) * 7919
+    spell = segment.Spelling(pieces.raw)
+    for key, text, rows in zip(keys, texts, segment.sample_block(pieces, keys, texts, 3)):
+        alone = segment.sample_block(pieces, np.array([key]), [text], 3)[0]
+        assert [(*r[:3], r[3].tobytes()) for r in rows] == [(*r[:3], r[3].tobytes()) for r in alone]
+        assert all(spell(r[3].tobytes()) == text for r in rows)
