@@ -21,6 +21,8 @@ threshold; round 2 visits the trees whose covering radius does not exclude a
 better or equal score.  Both find their trees in two levels: the routes (at most
 `ROUTES`, each with the radius that covers its trees) travel to the queries, the
 trees' roots are joined on the route, so no list of trees passes the driver.
+These joins are merged: the stored files of rows that repeat a vector are far smaller
+than the rows, and by the size of the files they would be broadcast.
 Queries are dealt to blocks of about `QUERY_BLOCK` inside each tree: page copies
 grow with the visits, not with queries x trees.
 
@@ -247,7 +249,7 @@ class Tree:
 def visit(pages: DataFrame, asked: DataFrame, dim: int, top: float, k: int) -> DataFrame:
     """asked: (tree, query_id, vec, floor) -> (query_id, tree, vec_id, score)."""
     parts = asked.groupBy("tree").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("parts"))
-    dealt = asked.join(parts, "tree").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("parts"))).drop("parts")
+    dealt = asked.join(parts.hint("merge"), "tree").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("parts"))).drop("parts")
     pairs = parts.select(F.col("tree").alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -262,7 +264,7 @@ def visit(pages: DataFrame, asked: DataFrame, dim: int, top: float, k: int) -> D
 
     # as many tasks as the session shuffles to: the work is in the search, not in the bytes
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = pages.join(pairs, pages["tree"] == pairs["_t"]).drop("_t")
+    copies = pages.join(pairs.hint("merge"), pages["tree"] == pairs["_t"]).drop("_t")
     return (copies.repartition(n, "tree", "part").groupBy("tree", "part")
             .cogroup(dealt.repartition(n, "tree", "block").groupBy("tree", "block"))
             .applyInPandas(search, "query_id long, tree long, vec_id long, score long"))
@@ -331,7 +333,7 @@ NOWHERE = -1
 
 def trees_of(asking: DataFrame, roots: DataFrame, routes: np.ndarray, reach: np.ndarray, dim: int, top: float) -> DataFrame:
     """asking: (query_id, vec, floor, seen) -> ASKED and d: the trees each query may visit."""
-    return (asking.mapInPandas(_to_routes(routes, reach, dim, top), ASKING).join(roots, "route")
+    return (asking.mapInPandas(_to_routes(routes, reach, dim, top), ASKING).join(roots.hint("merge"), "route")
             .mapInPandas(_to_trees(dim, top), ASKED + ", d double"))
 
 
@@ -356,7 +358,7 @@ def top_k(vectors: DataFrame, queries, id_col: str = "vec_id", vec: str = "embed
             F.min_by("tree", F.struct("d", "tree")).alias("tree"), F.first("vec").alias("vec"), F.first("floor").alias("floor")), "near")
         one = stored(visit(pages, near, dim, top, k), "round1")
         floor = one.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-        again = near.select("query_id", "vec", F.col("tree").alias("seen")).join(floor, "query_id", "left").select("query_id", "vec", "floor", "seen")
+        again = near.select("query_id", "vec", F.col("tree").alias("seen")).join(floor.hint("merge"), "query_id", "left").select("query_id", "vec", "floor", "seen")
         rest = trees_of(again, roots, routes, reach, dim, top).drop("d")
         both = one.unionByName(visit(pages, stored(rest, "rest"), dim, top, k))
         found = both if found is None else found.unionByName(both)

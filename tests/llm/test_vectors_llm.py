@@ -90,3 +90,16 @@ def test_roots_are_found_through_routes(spark, monkeypatch):
     for q in range(0, 400, 50):
         want = sorted((-int(ints[q] @ v), i) for i, v in enumerate(ints) if i != q)[:5]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_visits_are_not_broadcast(spark):
+    """Rows of queries and trees are joined by a shuffle, however small their files are."""
+    routes = np.array([[1, 0], [0, 1]])
+    vec = lambda *x: np.array(x, "<i8").tobytes()
+    asking = spark.createDataFrame([(i, vec(3, i), None, -1) for i in range(4)], "query_id long, vec binary, floor long, seen long")
+    roots = spark.createDataFrame([(r << 32, r, vec(*routes[r]), np.zeros(1).tobytes()) for r in range(2)], "tree long, route long, vecs binary, radius binary")
+    asked = mtree.trees_of(asking, roots, routes, np.zeros(2), 2, 100.0)
+    assert sorted((r.query_id, r.tree) for r in asked.collect()) == [(0, 0), (1, 0), (2, 0), (3, 0)]
+    pages = spark.createDataFrame([], mtree.PAGES)
+    for df in (asked, mtree.visit(pages, asked.drop("d"), 2, 100.0, 5)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
