@@ -226,6 +226,31 @@ def test_bm25_adds_up_scores_where_the_documents_are(spark, no_coalesce, monkeyp
     assert ("hashpartitioning(query_id" in scored) == (sent == 0)       # partial scores meet only without the small side
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_bm25_of_pairs_makes_no_row_per_pair_and_term(spark, sent):
+    rng = np.random.default_rng(7)
+    rows = [(None if i in (7, 8) else i % 50, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 7))))) for i in range(60)] + [(70, None)]
+    queries = [(1, "a b A c"), (2, "h zz"), (2, "h g"), (3, None), (4, "zz")]         # ids come twice, one is null
+    pairs = [(q, d) for q in (1, 2, 3, 4, 9) for d in range(0, 50, 3)] + [(1, 3), (1, 70), (1, 99), (1, None)]
+    got = bm25(spark.createDataFrame(queries, "query_id long, query_text string"), spark.createDataFrame(rows, "doc_id long, text string"),
+               pairs=spark.createDataFrame(pairs, "query_id long, doc_id long"), sent_terms=sent)
+    merged = {}
+    for i, text in rows:
+        if text is not None:
+            merged.setdefault(i, []).extend(text.split())
+    n, avgdl = len(merged), sum(map(len, merged.values())) / len(merged)
+    want = {}
+    for q, d in pairs:
+        for i, text in queries:
+            for t in set((text or "").lower().split()) if i == q and d in merged and d is not None else ():
+                df, tf = sum(t in words for words in merged.values()), merged[d].count(t)
+                if tf:
+                    want[q, d] = want.get((q, d), 0) + np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(merged[d]) / avgdl))
+    assert {(r.query_id, r.doc_id): r.score for r in got.collect()} == pytest.approx(want) and len(want) >= 20
+    joins = [line for line in got._jdf.queryExecution().toString().splitlines() if "Join [" in line]
+    assert joins and not any("doc_id" in line and "term#" in line for line in joins)
+
+
 def test_hybrid_rank_ties_keep_vector_order_and_zero_max_divides_by_one(spark):
     c = spark.createDataFrame([(1, 10, 0.5, 1, 0.0), (1, 11, 0.5, 2, 0.0), (1, 12, 0.4, 3, 0.0)],
                               "query_id long, doc_id long, similarity double, vec_rank long, ft_norm double")
