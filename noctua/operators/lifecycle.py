@@ -95,5 +95,6 @@ def near_pairs_lsh(df: DataFrame, threshold: float, *, id_col: str = "id", vec_c
     id_t = df.schema[id_col].dataType.simpleString()
     sig = stored(base.mapInPandas(_signatures(bands, bits, seed), f"id {id_t}, bucket long"), "lsh")
     met = sig.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    pairs = near_pairs(sig.join(met, "bucket").join(base, "id"), threshold, id_col="id", vec_col="v", key="bucket")
+    # merged: the files of ids and buckets are a small part of their rows, which must not be broadcast for that
+    pairs = near_pairs(sig.join(met.hint("merge"), "bucket"), threshold, id_col="id", key="bucket", vectors=base)
     return pairs.groupBy("id_a", "id_b").agg(F.min("distance").alias("distance"))

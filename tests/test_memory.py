@@ -105,6 +105,32 @@ def test_greedy_is_not_connected_components(spark):
     assert out[2].superseded_by == 1 and out[3].superseded_by is None and out[1].evidence_count == 2
 
 
+def test_greedy_clusters_of_many_links(spark, monkeypatch):
+    """Long chains, dense groups and kept rows that later anchors meet; nothing is collected to be broadcast."""
+    from noctua.operators import dedup
+    rng = np.random.default_rng(2)
+    n = 120
+    edges = {(i, i + 1) for i in range(1, 40)} | {(i, j) for i in range(50, 70) for j in range(i + 1, 70) if rng.random() < 0.6}
+    edges |= {tuple(sorted(map(int, rng.choice(np.arange(70, n), 2, replace=False)))) for _ in range(60)}
+    conf, ev = {i: float(rng.choice([0.5, 0.7, 0.9])) for i in range(1, n)}, {i: int(rng.integers(1, 4)) for i in range(1, n)}
+    near = {i: {a + b - i for a, b in edges if i in (a, b)} for i in range(1, n)}
+    live, seen, sup, evc = set(conf), set(), {}, dict(ev)
+    for a in sorted(conf):
+        cluster = [] if a in seen else [a, *(near[a] & live)]
+        if len(cluster) > 1:
+            keep, total = max(cluster, key=lambda r: (conf[r], -r)), sum(evc[r] for r in cluster)
+            sup |= {r: keep for r in cluster if r != keep}
+            live -= set(cluster) - {keep}
+            seen |= set(cluster)
+            evc[keep] = total
+    plans, write = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    out = greedy_clusters(spark.createDataFrame([(i, conf[i], ev[i]) for i in conf], "id long, confidence double, evidence_count long"),
+                          spark.createDataFrame(sorted(edges), "id_a long, id_b long")).collect()
+    assert {r.id: (r.superseded_by, r.evidence_count) for r in out} == {i: (sup.get(i), evc[i]) for i in conf if near[i]}
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_connected_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (4, 3)], "id_a long, id_b long")
     got = {r.id: r.component for r in connected_components(e).collect()}
